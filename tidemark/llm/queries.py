@@ -19,8 +19,31 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.exact_dedup import equal_text_groups
+
+    found = equal_text_groups(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.packing import pack_documents
+    from tidemark.llm.tokens import default_path
+
+    return pack_documents(_table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), room=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_exact_dedup": """
+        with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+        g as (select t, max(doc_id) as keep_id, count(*) as group_size from n group by t)
+        select doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) as kept, sha256(n.t) as text_sha256
+        from n join g on n.t = g.t
+    """,
+}
