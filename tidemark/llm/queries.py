@@ -19,6 +19,18 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import fit, predicted
+    from tidemark.llm.shared import crc_of_id
+    from tidemark.llm.tokens import default_path
+
+    docs = _table(spark, sf_dir, "documents")
+    remainder = crc_of_id(F.col("doc_id")) % 3
+    model = fit(docs.where(remainder != 1), default_path("piece_bpe_32k.model"))
+    found = docs.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), predicted(F.col("text"), model, spark).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.exact_dedup import equal_text_groups
 
@@ -34,6 +46,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
