@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import staged
-from tidemark.llm.tokens import WordEncoder, chunks_of_text
+from tidemark.llm.tokens import chunks_of_text, word_encoder
 
 END_ID = 1
 FAN_IN = 8
@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, path: str, room: int, id_col: str = "doc_id",
     """``(doc_id, piece, start, length, ids_crc32[, ids])``: every text's ids and the end id, cut at ``room``."""
 
     def run(batches):
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         for b in batches:
             for first, to, texts in chunks_of_text(b.column(1)):
                 ids, counts = encoder.encode(texts)

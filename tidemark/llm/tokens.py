@@ -45,6 +45,8 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 #: Words on which normalising changes no character's class; their pre-tokens can be counted beforehand.
 PLAIN_WORD = r"^[!-~\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
+#: Closing punctuation after a letter is a pre-token of its own, whether or not white space parts them.
+CLOSING = r"(\pL)([!-&(-/:-@\[-`{-~]+)(\s|$)"
 PRE_TOKEN = r"'(?i:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
@@ -103,6 +105,8 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, and each text's number of ids."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token: fewer distinct words, the same ids
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), CLOSING, r"\1 \2\3")
         distinct, index, counts = split_words(texts)
         distinct = distinct.to_pylist()
         if len(self.known) > REMEMBERED_WORDS:
@@ -114,6 +118,16 @@ class WordEncoder:
         return self.ids[spread(self.starts[at], lengths)], np.diff(upto, prepend=0)
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """This worker's encoder for a tokenizer file; it keeps its remembered words from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """``starts[0], starts[0] + 1, ...`` over each length in turn."""
     ends = np.cumsum(lengths)
