@@ -45,6 +45,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), room=4096)
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.html_main import main_text
+
+    found = _table(spark, sf_dir, "pages").select("page_id", "url", main_text(F.col("html"), spark).alias("text"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.lm_scoring import score
     from tidemark.llm.shared import crc_of_id
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_html_main_text": op8_html_main_text,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
