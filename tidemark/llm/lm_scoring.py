@@ -33,6 +33,7 @@ from tidemark.llm.tokens import chunks_of_text, split_words
 
 STRENGTHS = (10.0, 100.0, 1_000.0, 10_000.0)
 BLOCK_BYTES = 12_000_000
+STEPS_AT_ONCE = 250_000
 DOCS_PER_OWNER = 4_000
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")
 
@@ -64,23 +65,32 @@ def _walk(words: np.ndarray, counts: np.ndarray, hashes: np.ndarray):
     Returns ``(text, word, state, word keys, place of each word among them, bigram keys, place of each token's)``.
     """
     n = len(hashes)
-    text = np.repeat(np.arange(len(counts)), counts + 1)
+    text = np.repeat(np.arange(len(counts), dtype=np.int32), counts + 1)
     ends = np.cumsum(counts + 1) - 1
-    word = np.full(len(text), n, dtype=np.int64)
+    word = np.full(len(text), n, dtype=np.int32)
     inner = np.ones(len(text), dtype=bool)
     inner[ends] = False
     word[inner] = words
-    state = np.concatenate([[n + 1], word[:-1]]) if len(word) else word
-    state[(ends - counts)] = n + 1
+    state = np.roll(word, 1)
+    state[ends - counts] = n + 1
     all_hashes = np.concatenate([hashes, np.array([END, START], dtype=np.uint64)])
     order = np.argsort(all_hashes)
-    place = np.empty(n + 2, dtype=np.int64)
+    place = np.empty(n + 2, dtype=np.int32)
     place[order] = np.arange(n + 2)
-    pairs, of = np.unique(state * (n + 2) + word, return_inverse=True)
+    both = state.astype(np.int64) * (n + 2) + word
+    turns = np.argsort(both)
+    both = both[turns]
+    new = np.ones(len(both), dtype=bool)
+    new[1:] = both[1:] != both[:-1]
+    pairs = both[new]
+    del both
+    of = np.empty(len(turns), dtype=np.int32)
+    of[turns] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    del turns, new
     pair_keys = mix64(all_hashes[pairs // (n + 2)], all_hashes[pairs % (n + 2)])
     pair_order = np.argsort(pair_keys)
-    pair_place = np.empty(len(pairs), dtype=np.int64)
-    pair_place[pair_order] = np.arange(len(pairs))
+    pair_place = np.empty(len(pairs), dtype=np.int32)
+    pair_place[pair_order] = np.arange(len(pairs), dtype=np.int32)
     return text, word, state, all_hashes[order], place, pair_keys[pair_order], pair_place[of]
 
 
@@ -149,28 +159,34 @@ def _scoring(strengths: tuple[float, ...], schema: pa.Schema):
         rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
         own, answers = rows[0], rows[1:]
         ids, no_id, held, counts = np.frombuffer(own["meta"], np.int64).reshape(4, -1)
-        hashes = np.frombuffer(own["hashes"], np.uint64)
-        text, word, state, _, place, _, pair_of = _walk(_from_planes(own["words"], np.uint32).astype(np.int64), counts, hashes)
         n_all, v_all = np.sum([np.frombuffer(a["meta"], np.int64) for a in answers], axis=0)
-        uni = np.concatenate([_from_planes(a["uni_n"], np.int64) for a in answers]).astype(float)
-        bi = np.concatenate([_from_planes(a["bi_n"], np.int64) for a in answers]).astype(float)
-        c_w, c_u, c_uw = uni[place[word]], uni[place[state]], bi[pair_of]
+        uni = np.concatenate([_from_planes(a["uni_n"], np.int64) for a in answers])
+        bi = np.concatenate([_from_planes(a["bi_n"], np.int64) for a in answers])
+        text, word, state, _, place, _, pair_of = _walk(_from_planes(own["words"], np.uint32), counts, np.frombuffer(own["hashes"], np.uint64))
+        del rows, own, answers
         room = n_all + 0.5 * (v_all + 1)
-        p = (c_w + 0.5) / room
-        learns = held[text] == 0
-        left_p = np.where(learns, (c_w - 0.5) / (room - 1), 1.0)
-
-        def per_text(x):
-            return np.bincount(text, weights=x, minlength=len(ids))
-
-        scores, left = [], []
-        for k in strengths:
-            arc = np.log10((c_uw + k * p) / (c_u + k))
-            failure = np.log10(k / (c_u + k)) + np.log10(p)
-            scores.append(per_text(np.where(c_uw > 0, arc, failure)))
-            left.append(per_text(np.where(learns, np.log10((np.maximum(c_uw - 1, 0) + k * left_p) / (np.maximum(c_u - 1, 0) + k)), 0.0)))
-        columns = [pa.array(ids, mask=no_id > 0), pa.array(counts + 1), pa.array(per_text(c_w > 0).astype(np.int64)), pa.array(np.full(len(ids), n_all)), pa.array(per_text(np.log10(p)))]
-        columns += [pa.array(list(np.stack(x, axis=1)), pa.list_(pa.float64())) for x in (scores, left)]
+        known, base = np.zeros(len(ids)), np.zeros(len(ids))
+        scores, left = np.zeros((len(ids), len(strengths))), np.zeros((len(ids), len(strengths)))
+        for at in range(0, len(text), STEPS_AT_ONCE):
+            here = slice(at, at + STEPS_AT_ONCE)
+            of = text[here]
+            c_w, c_u, c_uw = uni[place[word[here]]], uni[place[state[here]]], bi[pair_of[here]]
+            p, learns = (c_w + 0.5) / room, held[of] == 0
+            left_p = np.where(learns, (c_w - 0.5) / (room - 1), 1.0)
+
+            def per_text(x, of=of):
+                return np.bincount(of, weights=x, minlength=len(ids))
+
+            known += per_text(c_w > 0)
+            base += per_text(np.log10(p))
+            for i, k in enumerate(strengths):
+                arc = np.log10((c_uw + k * p) / (c_u + k))
+                failure = np.log10(k / (c_u + k)) + np.log10(p)
+                scores[:, i] += per_text(np.where(c_uw > 0, arc, failure))
+                left[:, i] += per_text(np.where(learns, np.log10((np.maximum(c_uw - 1, 0) + k * left_p) / (np.maximum(c_u - 1, 0) + k)), 0.0))
+        columns = [pa.array(ids, mask=no_id > 0), pa.array(counts + 1), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), n_all)), pa.array(base)]
+        columns += [pa.array(list(x), pa.list_(pa.float64())) for x in (scores, left)]
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_arrays([*columns, pa.array(held > 0)], schema=schema)
 
     return run
