@@ -45,6 +45,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), room=4096)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.line_dedup import duplicate_lines
+
+    found = duplicate_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("bigint").alias("n_dropped"), "dropped")
+
+
 def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.html_main import main_text
 
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_html_main_text": op8_html_main_text,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_nearest_neighbours": op10_nearest_neighbours,
