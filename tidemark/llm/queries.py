@@ -45,6 +45,15 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), room=4096)
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.licences import licences
+
+    docs = _table(spark, sf_dir, "documents")
+    # documents have no paths: a source is a tree with a directory for every thousand and every ten ids
+    folder = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    return licences(docs.withColumn("path", F.concat_ws("/", "source", folder(1000), folder(10), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.line_dedup import duplicate_lines
 
@@ -79,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_licence_scan": op6_licence_scan,
     "op7_line_dedup": op7_line_dedup,
     "op8_html_main_text": op8_html_main_text,
     "op9_lm_scoring": op9_lm_scoring,
