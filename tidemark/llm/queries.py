@@ -38,6 +38,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sentencepiece_lattice import encode
+    from tidemark.llm.tokens import default_path
+
+    found = encode(_table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"), with_ids=False)
+    return found.select("doc_id", "n_ids", "ids_crc32")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.packing import pack_documents
     from tidemark.llm.tokens import default_path
@@ -87,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_licence_scan": op6_licence_scan,
     "op7_line_dedup": op7_line_dedup,
