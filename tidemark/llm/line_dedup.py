@@ -6,9 +6,9 @@ into the index. Owner tasks take ranges of words. In a word's list, a line meets
 the pair must pass a length, a positional and a bitmap filter, all of them safe; what passes is
 verified on the whole sets. A line goes when an earlier one matches it.
 
-For the decision one match is enough, so a line brings its nearest ``TRIES`` earlier candidates of a
-list to verification. Where all of them fail and the list had more, the line's lists are joined
-whole in a second, exact pass.
+For the decision one match is enough. A list that gives a line up to ``FEW`` earlier candidates sends
+them all to verification; of more, only the best of the nearest ``TRIES`` goes, by the bound on common
+words. A line for which all fail has those longer lists joined whole in a second, exact pass.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +26,22 @@ from tidemark.llm.tokens import chunks_of_text, split_words
 
 THRESHOLD = 0.8
 MIN_WORDS = 5
-TRIES = 8
+TRIES = 16
+FEW = 4
 COUNTERS = 1 << 20
+#: Hash classes by which the second pass tells the words of open lists; a bit each, so 2 MB.
+LIST_CLASSES = 1 << 24
 DOCS_PER_OWNER = 4_000
 
 POSTING = [("token", np.uint64), ("sig", np.uint64), ("size", np.uint32), ("pos", np.uint32), ("doc", np.int64), ("line", np.uint32), ("b0", np.uint64), ("b1", np.uint64)]
-POSTING_DDL = "shard bigint, " + ", ".join(f"{k} binary" for k, _ in POSTING)
-POSTING_ARROW = pa.schema([("shard", pa.int64()), *((k, pa.binary()) for k, _ in POSTING)])
-PAIR_DDL = "sig bigint, doc bigint, line bigint, other bigint, other_doc bigint, other_line bigint, more boolean"
+NUMBERED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+NUMBERED_DDL = "doc_id bigint, text_key bigint, sigs array<bigint>"
+#: A message goes to an owner (shard >= 0) with index rows, or passes it by with its block's documents.
+MESSAGE = pa.schema([("shard", pa.int64()), *((k, pa.binary()) for k, _ in POSTING), ("docs", pa.list_(pa.struct(NUMBERED)))])
+MESSAGE_DDL = "shard bigint, " + ", ".join(f"{k} binary" for k, _ in POSTING) + f", docs array<struct<{NUMBERED_DDL.replace(' ', ': ', 1).replace(', text_key ', ', text_key: ').replace(', sigs ', ', sigs: ')}>>"
+PAIR = ["sig", "doc", "line", "other", "other_doc", "other_line", "token", "bound"]
+FOUND = pa.schema([*((k, pa.int64()) for k in PAIR), ("more", pa.bool_()), *NUMBERED])
+FOUND_DDL = ", ".join(f"{k} bigint" for k in PAIR) + ", more boolean, " + NUMBERED_DDL
 
 
 def least_overlap(total, threshold: float):
@@ -51,7 +60,7 @@ def _lines(texts: pa.Array):
 def _word_sets(lines: pa.Array, counters: np.ndarray | None):
     """Distinct words of each line, rarest first: ``(line of each, word hash of each, set size of each line)``."""
     words, index, counts = split_words(pc.ascii_lower(lines))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
     order = np.argsort(hashes) if counters is None else np.lexsort((hashes, counters[hashes & np.uint64(COUNTERS - 1)]))
     rank = np.empty(len(words), dtype=np.int64)
     rank[order] = np.arange(len(words))
@@ -73,39 +82,45 @@ def _signatures(line: np.ndarray, token: np.ndarray, n_lines: int) -> np.ndarray
     return mix64(sums, np.bincount(line, minlength=n_lines).astype(np.uint64))
 
 
-def _bitmaps(line: np.ndarray, token: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray]:
+def _bitmaps(line: np.ndarray, token: np.ndarray, n_lines: int, words: int = 2) -> list[np.ndarray]:
+    """Each set as ``words`` words of 64 bits, a bit for each hash class of its members."""
     first = np.flatnonzero(np.diff(line, prepend=-1))
-    bit = (token >> np.uint64(40)) & np.uint64(127)
+    bit = (token >> np.uint64(40)) & np.uint64(64 * words - 1)
     out = []
-    for half in (0, 1):
-        m = np.where((bit >> np.uint64(6)) == half, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+    for part in range(words):
+        m = np.where((bit >> np.uint64(6)) == part, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
         sums = np.zeros(n_lines, dtype=np.uint64)
         if len(first):
             sums[line[first]] = np.bitwise_or.reduceat(m, first)
         out.append(sums)
-    return out[0], out[1]
+    return out
 
 
 def _ids(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
 
-def _postings(texts: pa.Array, ids: np.ndarray, counters: np.ndarray, threshold: float, min_words: int) -> dict[str, np.ndarray]:
-    """The index rows of a chunk; a set that the chunk has twice is posted for its first line."""
-    lines, of, number = _lines(texts)
+def _indexed(lines: pa.Array, counters: np.ndarray):
+    """The word sets of lines: ``(line of each word, word, size, signature and both bitmaps of each line)``."""
     line, token, size = _word_sets(lines, counters)
-    sig = _signatures(line, token, len(size))
-    b0, b1 = _bitmaps(line, token, len(size))
+    return line, token, size, _signatures(line, token, len(size)), _bitmaps(line, token, len(size))
+
+
+def _postings(indexed, of: np.ndarray, number: np.ndarray, ids: np.ndarray, threshold: float, min_words: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The index rows of a chunk's lines, and the line of each; a set that the chunk has twice is posted for its first line."""
+    line, token, size, sig, (b0, b1) = indexed
     prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
     order = np.lexsort((number, ids[of], sig))
     chosen = np.zeros(len(size), dtype=bool)
-    chosen[order[np.flatnonzero(np.diff(sig[order].view(np.int64), prepend=~sig[order][:1].view(np.int64)))]] = True
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = sig[order][1:] != sig[order][:-1]
+    chosen[order[new]] = True
     chosen &= size >= min_words
     pos = np.arange(len(line)) - (np.cumsum(size) - size)[line]
     use = chosen[line] & (pos < prefix[line])
     line, token, pos = line[use], token[use], pos[use]
     values = (token, sig[line], size[line], pos, ids[of[line]], number[line], b0[line], b1[line])
-    return {k: v.astype(t) for (k, t), v in zip(POSTING, values)}
+    return {k: v.astype(t) for (k, t), v in zip(POSTING, values)}, line
 
 
 def _shards_out(rows: dict[str, np.ndarray], shards: int) -> pa.RecordBatch:
@@ -117,13 +132,16 @@ def _shards_out(rows: dict[str, np.ndarray], shards: int) -> pa.RecordBatch:
     for k, _ in POSTING:
         v = rows[k][order]
         columns.append(pa.array([v[at[s] : at[s + 1]].tobytes() for s in there], pa.binary()))
-    return pa.RecordBatch.from_arrays(columns, schema=POSTING_ARROW)
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(there), MESSAGE.field("docs").type)], schema=MESSAGE)
 
 
 def _candidates(threshold: float, tries: int):
     """Owner task: the nearest earlier candidates of every line in the lists of one range of words."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table["shard"][0].as_py() < 0:
+            own = pa.Table.from_batches([pa.RecordBatch.from_struct_array(c.flatten()) for c in table["docs"].chunks])
+            return pa.Table.from_arrays([*(pa.nulls(len(own), f.type) for f in FOUND if f.name not in own.column_names), *own.columns], schema=FOUND)
         r = {k: np.concatenate([np.frombuffer(x, t) for x in table[k].to_pylist()]) for k, t in POSTING}
         order = np.lexsort((r["line"], r["doc"], r["sig"], r["token"]))
         r = {k: v[order] for k, v in r.items()}
@@ -133,46 +151,57 @@ def _candidates(threshold: float, tries: int):
         order = np.lexsort((r["sig"], r["line"], r["doc"], r["token"]))
         r = {k: v[order] for k, v in r.items()}
         token, size, pos = r["token"], r["size"].astype(np.int64), r["pos"].astype(np.int64)
-        found = np.zeros(len(token), dtype=np.int64)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found, few = np.zeros(len(token), dtype=np.int64), min(FEW, tries)
+        best, bound = np.zeros(len(token), dtype=np.int64), np.full(len(token), -1, dtype=np.int64)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         active, k = np.arange(1, len(token)), 1
         while len(active):
             active = active[active >= k]
             active = active[token[active] == token[active - k]]
             a, b = active, active - k
-            need = least_overlap(size[a] + size[b], threshold)
-            ok = np.minimum(pos[a], pos[b]) + 1 + np.minimum(size[a] - pos[a], size[b] - pos[b]) - 1 >= need
+            both = size[a] + size[b]
+            need = least_overlap(both, threshold)
+            ok = np.minimum(pos[a], pos[b]) + np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
             ok &= np.minimum(size[a], size[b]) >= np.ceil(threshold * np.maximum(size[a], size[b]) - 1e-9)
+            a, b, both, need = a[ok], b[ok], both[ok], need[ok]
             apart = np.bitwise_count(r["b0"][a] ^ r["b0"][b]).astype(np.int64) + np.bitwise_count(r["b1"][a] ^ r["b1"][b])
-            ok &= (size[a] + size[b] - apart) // 2 >= need
-            hit = a[ok]
-            found[hit] += 1
-            out.append((hit, hit - k, found[hit] > tries))
+            most = (both - apart) // 2
+            ok = most >= need
+            a, b, share = a[ok], b[ok], (1_000_000 * most[ok]) // both[ok]
+            found[a] += 1
+            better = share > bound[a]
+            best[a[better]], bound[a[better]] = b[better], share[better]
+            early = found[a] <= few
+            out.append((a[early], b[early]))
             active = active[found[active] <= tries]  # one past the tries: it is known that there are more
             k += 1
-        a, b, more = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, dtype=np.int64) for i in range(3))
+        # few candidates go as they are, of many the best one
+        a, b = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, dtype=np.int64) for i in (0, 1))
+        a, b = a[found[a] <= few], b[found[a] <= few]
+        many = np.flatnonzero(found > few)
+        a, b = np.concatenate([a, many]), np.concatenate([b, best[many]])
         s = {k: v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64) for k, v in r.items()}
-        columns = [s["sig"][a], s["doc"][a], s["line"][a], s["sig"][b], s["doc"][b], s["line"][b], more.astype(bool)]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], names=["sig", "doc", "line", "other", "other_doc", "other_line", "more"])
+        columns = [s["sig"][a], s["doc"][a], s["line"][a], s["sig"][b], s["doc"][b], s["line"][b], s["token"][a], bound[a], found[a] > few]
+        return pa.Table.from_arrays([*map(pa.array, columns), *(pa.nulls(len(a), f.type) for f in NUMBERED)], schema=FOUND)
 
     return run
 
 
-def _count_words(docs: DataFrame, threshold: float) -> np.ndarray:
-    """In how many lines the words of each of COUNTERS hash classes occur; of a fixed size."""
+def _count_words(docs: DataFrame) -> np.ndarray:
+    """How often the words of each of COUNTERS hash classes occur; of a fixed size. Any order of words is right, a rare-first one is fast."""
 
     def run(batches):
         total = np.zeros(COUNTERS, dtype=np.int64)
         for b in batches:
             for _, _, texts in chunks_of_text(b.column(0)):
-                _, token, _ = _word_sets(_lines(texts)[0], None)
-                total += np.bincount((token & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                words, index, _ = split_words(pc.ascii_lower(texts))
+                total += np.bincount(_classes(words), weights=np.bincount(index, minlength=len(words)), minlength=COUNTERS).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(0, COUNTERS, 4096)), pa.array(list(total.reshape(-1, 4096)), pa.list_(pa.int64()))], names=["at", "n"])
 
     parts = docs.select("text").mapInArrow(run, "at bigint, n array<bigint>")
 
     def add(table: pa.Table) -> pa.Table:
-        n = table["n"].combine_chunks().flatten().to_numpy().reshape(-1, 4096).sum(0)
+        n = np.concatenate([c.flatten().to_numpy() for c in table["n"].chunks]).reshape(-1, 4096).sum(0)
         return pa.Table.from_arrays([table["at"].slice(0, 1), pa.array([n.tolist()], pa.list_(pa.int64()))], names=["at", "n"])
 
     out = np.zeros(COUNTERS, dtype=np.int64)
@@ -181,6 +210,11 @@ def _count_words(docs: DataFrame, threshold: float) -> np.ndarray:
     return out
 
 
+def _classes(words: pa.Array, classes: int = COUNTERS) -> np.ndarray:
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
+    return (hashes & np.uint64(classes - 1)).astype(np.int64)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(sig, words)`` of the lines at the wanted addresses ``(doc, line, sig)``: sorted word hashes."""
     per_doc = wanted.groupBy("doc").agg(F.collect_set(F.struct("line", "sig")).alias("wanted"))
@@ -224,22 +258,47 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return both.select("sig", "a", "b").mapInArrow(run, "sig bigint").distinct()
 
 
-def _all_candidates(docs: DataFrame, probes: DataFrame, counters, threshold: float, min_words: int) -> DataFrame:
-    """Every earlier candidate of the few probes, by a join on words of the whole index."""
+def _all_candidates(docs: DataFrame, lists: DataFrame, counters, threshold: float, min_words: int) -> DataFrame:
+    """Every earlier candidate of some lines in some lists ``(token, sig)``, by a join on the word.
+
+    Only lines with words of the lists' hash classes, a set of fixed size, are indexed again.
+    """
+    wanted = np.zeros(LIST_CLASSES, dtype=bool)
+    wanted[lists.select(F.col("token").bitwiseAND(F.lit(LIST_CLASSES - 1).cast("bigint")).alias("c")).distinct().toArrow()["c"].to_numpy()] = True
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batches):
+        mine = np.unpackbits(wanted.value).astype(bool)
         for b in batches:
             for first, to, texts in chunks_of_text(b.column(1)):
-                rows = _postings(texts, _ids(b.column(0).slice(first, to - first)), counters.value, threshold, min_words)
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64)) for v in rows.values()], names=list(rows))
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{k} bigint" for k, _ in POSTING))
-    mine = rows.join(probes.select("sig").distinct(), "sig", "left_semi")
-    other = rows.select(*(F.col(k).alias(k if k == "token" else f"o_{k}") for k, _ in POSTING))
+                lines, of, number = _lines(texts)
+                words, index, counts = split_words(pc.ascii_lower(lines))
+                hit = mine[_classes(words, LIST_CLASSES)][index]
+                near = np.unique(np.repeat(np.arange(len(counts)), counts)[hit])
+                indexed = _indexed(lines.take(pa.array(near)), counters.value)
+                wide = np.stack(_bitmaps(*indexed[:2], len(near), 8), axis=1).view(np.int64)
+                rows, at = _postings(indexed, of[near], number[near], _ids(b.column(0).slice(first, to - first)), threshold, min_words)
+                use = mine[(rows["token"] & np.uint64(LIST_CLASSES - 1)).astype(np.int64)]
+                columns = [pa.array(v[use].view(np.int64) if v.dtype == np.uint64 else v[use].astype(np.int64)) for v in rows.values()]
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                prefixes = dict(zip(at[first].tolist(), np.split(rows["token"].view(np.int64), first[1:])))
+                columns += [pa.array([prefixes[i] for i in at[use].tolist()], pa.list_(pa.int64())), pa.array(list(wide[at[use]]), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*rows, "prefix", "wide"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{k} bigint" for k, _ in POSTING) + ", prefix array<bigint>, wide array<bigint>")
+    rows = rows.join(lists.select("token").distinct(), "token", "left_semi")
+    # a set posted by several chunks counts where it comes first
+    rows = staged(rows.groupBy("token", "sig").agg(F.min(F.struct("doc", "line", "size", "b0", "b1", "prefix", "wide")).alias("r")).select("token", "sig", "r.*"), "line-lists")
+    open_lists = lists.groupBy("sig").agg(F.collect_set("token").alias("own"))
+    mine = rows.join(lists.select("token", "sig").distinct(), ["token", "sig"], "left_semi").drop("prefix").join(open_lists, "sig")
+    other = rows.select(*(F.col(k).alias(k if k == "token" else f"o_{k}") for k in rows.columns))
     total, both = F.col("size") + F.col("o_size"), mine.join(other, "token").where("struct(o_doc, o_line) < struct(doc, line) and sig <> o_sig")
     need = F.ceil(total * threshold / (1 + threshold) - 1e-9)
     apart = F.bit_count(F.col("b0").bitwiseXOR(F.col("o_b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("o_b1")))
     both = both.where(F.least("size", "o_size") >= F.ceil(F.greatest("size", "o_size") * threshold - 1e-9)).where(total - apart >= 2 * need)
+    apart = F.aggregate(F.zip_with("wide", "o_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    both = both.where(total - apart >= 2 * need)
+    both = both.where(F.array_min(F.array_intersect("own", "o_prefix")) == F.col("token"))  # a pair once, not in each list
     return both.select("sig", "doc", "line", F.col("o_sig").alias("other"), F.col("o_doc").alias("other_doc"), F.col("o_line").alias("other_line"))
 
 
@@ -254,30 +313,34 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    counters = spark.sparkContext.broadcast(_count_words(docs, threshold))
+    counters = spark.sparkContext.broadcast(_count_words(docs))
     shards = max(shuffle_width(spark), docs.count() // DOCS_PER_OWNER)
 
-    def number(batches):
-        for b in batches:
-            for first, to, texts in chunks_of_text(b.column(1)):
-                lines, of, at = _lines(texts)
-                line, token, size = _word_sets(lines, None)
-                sig = _signatures(line, token, len(size)).view(np.int64)
-                n = np.bincount(of, minlength=to - first)
-                long = [np.where(s >= min_words, g, 0).tolist() for s, g in zip(np.split(size, np.cumsum(n)[:-1]), np.split(sig, np.cumsum(n)[:-1]))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, to - first), b.column(2).slice(first, to - first), pa.array(long, pa.list_(pa.int64()))], names=["doc_id", "text_key", "sigs"])
-
     def post(batches):
+        part, serial = TaskContext.get().partitionId(), 0
         for b in batches:
             for first, to, texts in chunks_of_text(b.column(1)):
-                yield _shards_out(_postings(texts, _ids(b.column(0).slice(first, to - first)), counters.value, threshold, min_words), shards)
-
-    numbered = staged(docs.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text", "text_key").mapInArrow(number, "doc_id bigint, text_key bigint, sigs array<bigint>").dropDuplicates(["doc_id", "text_key"]), "line-sigs")
-    pairs = staged(docs.select("doc_id", "text").mapInArrow(post, POSTING_DDL).groupBy("shard").applyInArrow(_candidates(threshold, tries), PAIR_DDL), "line-pairs")
-    matched = staged(_verified(docs, pairs.where("not more"), threshold), "line-matches")
-    rest = pairs.where("more").select("sig").distinct().join(matched, "sig", "left_anti")
+                lines, of, number = _lines(texts)
+                indexed = _indexed(lines, counters.value)
+                ids = b.column(0).slice(first, to - first)
+                yield _shards_out(_postings(indexed, of, number, _ids(ids), threshold, min_words)[0], shards)
+                ends = np.cumsum(np.bincount(of, minlength=to - first))
+                sigs = np.where(indexed[2] >= min_words, indexed[3].view(np.int64), 0)
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(sigs))
+                docs_in = pa.StructArray.from_arrays([ids, b.column(2).slice(first, to - first), listed], fields=list(NUMBERED))
+                serial += 1
+                row = [pa.array([-1 - (part << 24) - serial]), *(pa.nulls(1, pa.binary()) for _ in POSTING), pa.ListArray.from_arrays(pa.array([0, len(docs_in)], pa.int32()), docs_in)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(row, MESSAGE)], schema=MESSAGE)
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    found = staged(rows.mapInArrow(post, MESSAGE_DDL).groupBy("shard").applyInArrow(_candidates(threshold, tries), FOUND_DDL), "line-pairs")
+    numbered = found.where("sigs is not null").select("doc_id", "text_key", "sigs").dropDuplicates(["doc_id", "text_key"])
+    pairs = found.where("sig is not null")
+    matched = staged(_verified(docs, pairs.select("sig", "doc", "line", "other", "other_doc", "other_line").distinct(), threshold), "line-matches")
+    rest = staged(pairs.where("more").select("token", "sig").distinct().join(matched, "sig", "left_anti"), "line-rest")
     if rest.take(1):
-        matched = matched.unionByName(_verified(docs, _all_candidates(docs, rest, counters, threshold, min_words), threshold)).distinct()
+        more = staged(_all_candidates(docs, rest, counters, threshold, min_words), "line-rest-pairs")
+        matched = matched.unionByName(_verified(docs, more, threshold)).distinct()
     lines = numbered.select("doc_id", "text_key", F.posexplode("sigs").alias("line", "sig")).where("sig <> 0")
     place = F.struct("doc_id", "text_key", "line")
     first = lines.groupBy("sig").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(matched.withColumn("matched", F.lit(True)), "sig", "left").where("n > 1 or matched")
