@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -277,7 +278,9 @@ def training_set(n: int, seed: int = 17) -> tuple[list, list[list[int]]]:
     return pages, labels
 
 
+@cache
 def train(pages: int = TRAINING_PAGES, epochs: int = EPOCHS) -> Labeller:
+    """The labeller fitted on made pages; the same one every time, so a process trains it once."""
     return Labeller().fit(*training_set(pages), epochs)
 
 
