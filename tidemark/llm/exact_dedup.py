@@ -104,7 +104,8 @@ def equal_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     entries = staged(rows.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), "index-entries")
     pointers, depth = directory(spark, entries, bucket_entries)
     prefix = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("bigint")
-    repeated = entries.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # a table of its own: both joins below then meet plain exchanges, whose hot keys Spark splits
+    repeated = staged(entries.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "index-repeated")
     alone = entries.join(repeated, "h", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "sha")
 
     met = rows.join(repeated, "h", "left_semi").withColumn("prefix", prefix).join(F.broadcast(pointers), "prefix")
