@@ -178,7 +178,7 @@ def fit(docs: DataFrame, vocabulary_path: str, per_language: int = 1500, rounds:
                     words, index, _ = split_words(texts.filter(pa.array(langs[first:to] == lang)))
                     runs, of = letter_runs(words)
                     n = np.bincount(index, minlength=len(words))[of]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(runs)), runs.cast(pa.string()), pa.array(n)], names=["lang", "run", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(runs), pa.string()), runs.cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "run", "n"])
 
     counted = staged(sample.select("lang", "text").mapInArrow(runs_of, "lang string, run string, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n")), "langid-words")
     size = public_vocabulary(vocabulary_path).size
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, vocabulary_path: str, per_language: int = 1500, rounds:
                     runs = b.column(1).filter(mine).cast(pa.large_string())
                     total[:, k] += expected_counts(vocabulary, now[:, k], runs, b.column(2).filter(mine).to_numpy(zero_copy_only=False).astype(float))
             piece, k = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(piece), pa.array(total[piece, k])], names=["k", "piece", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(piece, pa.int64()), pa.array(total[piece, k], pa.float64())], names=["k", "piece", "n"])
 
         sums = counted.mapInArrow(expect, "k bigint, piece bigint, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros((size, len(languages)))

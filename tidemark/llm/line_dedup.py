@@ -357,9 +357,10 @@ def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
     A document that loses no line keeps its text as it was, null and empty ones too.
     """
     found = duplicate_lines(docs, id_col, text_col, **options).where(F.size("dropped") > 0)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n_lines", "dropped")
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_key"))
+    found = found.select(F.struct("doc_id", "text_key", "n_lines", "dropped").alias("_line_dedup_found"))
+    f = F.col("_line_dedup_found")
+    same = F.col(id_col).cast("bigint").eqNullSafe(f["doc_id"]) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == f["text_key"])
     joined = docs.join(found, same, "left")
-    kept = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains("dropped", i))
-    text = F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.where(F.col("dropped").isNull() | (F.size("dropped") < F.col("n_lines"))).withColumn(text_col, text).select(*docs.columns)
+    kept = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains(f["dropped"], i))
+    text = F.when(f.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return joined.where(f.isNull() | (F.size(f["dropped"]) < f["n_lines"])).withColumn(text_col, text).select(*docs.columns)
