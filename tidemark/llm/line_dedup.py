@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import ascii_lower, mix64, shuffle_width, staged
+from tidemark.llm.shared import from_planes, mix64, planes, shuffle_width, staged
 from tidemark.llm.tokens import chunks_of_text, split_words
 
 THRESHOLD = 0.8
@@ -32,13 +32,17 @@ COUNTERS = 1 << 20
 #: Hash classes by which the second pass tells the words of open lists; a bit each, so 2 MB.
 LIST_CLASSES = 1 << 24
 DOCS_PER_OWNER = 4_000
+#: 64-bit words of a set's bitmap in the first pass, and in the second. Long lines fill a short bitmap, and a full one tells nothing.
+BITMAP, WIDE_BITMAP = 4, 8
 
-POSTING = [("token", np.uint64), ("sig", np.uint64), ("size", np.uint32), ("pos", np.uint32), ("doc", np.int64), ("line", np.uint32), ("b0", np.uint64), ("b1", np.uint64)]
+POSTING = [("token", np.uint64), ("sig", np.uint64), ("size", np.uint32), ("pos", np.uint32), ("doc", np.int64), ("line", np.uint32), *((f"b{i}", np.uint64) for i in range(BITMAP))]
 NUMBERED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("sigs", pa.list_(pa.int64()))])
 NUMBERED_DDL = "doc_id bigint, text_key bigint, sigs array<bigint>"
 #: A message goes to an owner (shard >= 0) with index rows, or passes it by with its block's documents.
 MESSAGE = pa.schema([("shard", pa.int64()), *((k, pa.binary()) for k, _ in POSTING), ("docs", pa.list_(pa.struct(NUMBERED)))])
 MESSAGE_DDL = "shard bigint, " + ", ".join(f"{k} binary" for k, _ in POSTING) + f", docs array<struct<{NUMBERED_DDL.replace(' ', ': ', 1).replace(', text_key ', ', text_key: ').replace(', sigs ', ', sigs: ')}>>"
+#: Of a posting, what the second pass needs besides the prefix and the wide bitmap.
+LISTED = ("token", "sig", "size", "doc", "line")
 PAIR = ["sig", "doc", "line", "other", "other_doc", "other_line", "token", "bound"]
 FOUND = pa.schema([*((k, pa.int64()) for k in PAIR), ("more", pa.bool_()), *NUMBERED])
 FOUND_DDL = ", ".join(f"{k} bigint" for k in PAIR) + ", more boolean, " + NUMBERED_DDL
@@ -82,7 +86,7 @@ def _signatures(line: np.ndarray, token: np.ndarray, n_lines: int) -> np.ndarray
     return mix64(sums, np.bincount(line, minlength=n_lines).astype(np.uint64))
 
 
-def _bitmaps(line: np.ndarray, token: np.ndarray, n_lines: int, words: int = 2) -> list[np.ndarray]:
+def _bitmaps(line: np.ndarray, token: np.ndarray, n_lines: int, words: int = BITMAP) -> list[np.ndarray]:
     """Each set as ``words`` words of 64 bits, a bit for each hash class of its members."""
     first = np.flatnonzero(np.diff(line, prepend=-1))
     bit = (token >> np.uint64(40)) & np.uint64(64 * words - 1)
@@ -101,14 +105,14 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _indexed(lines: pa.Array, counters: np.ndarray):
-    """The word sets of lines: ``(line of each word, word, size, signature and both bitmaps of each line)``."""
+    """The word sets of lines: ``(line of each word, word, size, signature and bitmaps of each line)``."""
     line, token, size = _word_sets(lines, counters)
     return line, token, size, _signatures(line, token, len(size)), _bitmaps(line, token, len(size))
 
 
 def _postings(indexed, of: np.ndarray, number: np.ndarray, ids: np.ndarray, threshold: float, min_words: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The index rows of a chunk's lines, and the line of each; a set that the chunk has twice is posted for its first line."""
-    line, token, size, sig, (b0, b1) = indexed
+    line, token, size, sig, bitmaps = indexed
     prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
     order = np.lexsort((number, ids[of], sig))
     chosen = np.zeros(len(size), dtype=bool)
@@ -119,7 +123,7 @@ def _postings(indexed, of: np.ndarray, number: np.ndarray, ids: np.ndarray, thre
     pos = np.arange(len(line)) - (np.cumsum(size) - size)[line]
     use = chosen[line] & (pos < prefix[line])
     line, token, pos = line[use], token[use], pos[use]
-    values = (token, sig[line], size[line], pos, ids[of[line]], number[line], b0[line], b1[line])
+    values = (token, sig[line], size[line], pos, ids[of[line]], number[line], *(b[line] for b in bitmaps))
     return {k: v.astype(t) for (k, t), v in zip(POSTING, values)}, line
 
 
@@ -131,7 +135,7 @@ def _shards_out(rows: dict[str, np.ndarray], shards: int) -> pa.RecordBatch:
     columns = [pa.array(there, pa.int64())]
     for k, _ in POSTING:
         v = rows[k][order]
-        columns.append(pa.array([v[at[s] : at[s + 1]].tobytes() for s in there], pa.binary()))
+        columns.append(pa.array([planes(v[at[s] : at[s + 1]]) for s in there], pa.binary()))
     return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(there), MESSAGE.field("docs").type)], schema=MESSAGE)
 
 
@@ -142,7 +146,7 @@ def _candidates(threshold: float, tries: int):
         if table["shard"][0].as_py() < 0:
             own = pa.Table.from_batches([pa.RecordBatch.from_struct_array(c.flatten()) for c in table["docs"].chunks])
             return pa.Table.from_arrays([*(pa.nulls(len(own), f.type) for f in FOUND if f.name not in own.column_names), *own.columns], schema=FOUND)
-        r = {k: np.concatenate([np.frombuffer(x, t) for x in table[k].to_pylist()]) for k, t in POSTING}
+        r = {k: np.concatenate([from_planes(x, t) for x in table[k].to_pylist()]) for k, t in POSTING}
         order = np.lexsort((r["line"], r["doc"], r["sig"], r["token"]))
         r = {k: v[order] for k, v in r.items()}
         new = np.ones(len(order), dtype=bool)
@@ -164,7 +168,7 @@ def _candidates(threshold: float, tries: int):
             ok = np.minimum(pos[a], pos[b]) + np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
             ok &= np.minimum(size[a], size[b]) >= np.ceil(threshold * np.maximum(size[a], size[b]) - 1e-9)
             a, b, both, need = a[ok], b[ok], both[ok], need[ok]
-            apart = np.bitwise_count(r["b0"][a] ^ r["b0"][b]).astype(np.int64) + np.bitwise_count(r["b1"][a] ^ r["b1"][b])
+            apart = sum(np.bitwise_count(r[f"b{i}"][a] ^ r[f"b{i}"][b]).astype(np.int64) for i in range(BITMAP))
             most = (both - apart) // 2
             ok = most >= need
             a, b, share = a[ok], b[ok], (1_000_000 * most[ok]) // both[ok]
@@ -276,26 +280,25 @@ def _all_candidates(docs: DataFrame, lists: DataFrame, counters, threshold: floa
                 hit = mine[_classes(words, LIST_CLASSES)][index]
                 near = np.unique(np.repeat(np.arange(len(counts)), counts)[hit])
                 indexed = _indexed(lines.take(pa.array(near)), counters.value)
-                wide = np.stack(_bitmaps(*indexed[:2], len(near), 8), axis=1).view(np.int64)
+                wide = np.stack(_bitmaps(*indexed[:2], len(near), WIDE_BITMAP), axis=1).view(np.int64)
                 rows, at = _postings(indexed, of[near], number[near], _ids(b.column(0).slice(first, to - first)), threshold, min_words)
                 use = mine[(rows["token"] & np.uint64(LIST_CLASSES - 1)).astype(np.int64)]
-                columns = [pa.array(v[use].view(np.int64) if v.dtype == np.uint64 else v[use].astype(np.int64)) for v in rows.values()]
+                columns = [pa.array(v[use].view(np.int64) if v.dtype == np.uint64 else v[use].astype(np.int64)) for v in (rows[k] for k in LISTED)]
                 first = np.flatnonzero(np.diff(at, prepend=-1))
                 prefixes = dict(zip(at[first].tolist(), np.split(rows["token"].view(np.int64), first[1:])))
                 columns += [pa.array([prefixes[i] for i in at[use].tolist()], pa.list_(pa.int64())), pa.array(list(wide[at[use]]), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*rows, "prefix", "wide"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*LISTED, "prefix", "wide"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{k} bigint" for k, _ in POSTING) + ", prefix array<bigint>, wide array<bigint>")
+    rows = docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{k} bigint" for k in LISTED) + ", prefix array<bigint>, wide array<bigint>")
     rows = rows.join(lists.select("token").distinct(), "token", "left_semi")
     # a set posted by several chunks counts where it comes first
-    rows = staged(rows.groupBy("token", "sig").agg(F.min(F.struct("doc", "line", "size", "b0", "b1", "prefix", "wide")).alias("r")).select("token", "sig", "r.*"), "line-lists")
+    rows = staged(rows.groupBy("token", "sig").agg(F.min(F.struct("doc", "line", "size", "prefix", "wide")).alias("r")).select("token", "sig", "r.*"), "line-lists")
     open_lists = lists.groupBy("sig").agg(F.collect_set("token").alias("own"))
     mine = rows.join(lists.select("token", "sig").distinct(), ["token", "sig"], "left_semi").drop("prefix").join(open_lists, "sig")
     other = rows.select(*(F.col(k).alias(k if k == "token" else f"o_{k}") for k in rows.columns))
     total, both = F.col("size") + F.col("o_size"), mine.join(other, "token").where("struct(o_doc, o_line) < struct(doc, line) and sig <> o_sig")
     need = F.ceil(total * threshold / (1 + threshold) - 1e-9)
-    apart = F.bit_count(F.col("b0").bitwiseXOR(F.col("o_b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("o_b1")))
-    both = both.where(F.least("size", "o_size") >= F.ceil(F.greatest("size", "o_size") * threshold - 1e-9)).where(total - apart >= 2 * need)
+    both = both.where(F.least("size", "o_size") >= F.ceil(F.greatest("size", "o_size") * threshold - 1e-9))
     apart = F.aggregate(F.zip_with("wide", "o_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     both = both.where(total - apart >= 2 * need)
     both = both.where(F.array_min(F.array_intersect("own", "o_prefix")) == F.col("token"))  # a pair once, not in each list

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import mix64, shuffle_width, staged
+from tidemark.llm.shared import from_planes, mix64, planes, shuffle_width, staged
 from tidemark.llm.tokens import chunks_of_text, split_words
 
 STRENGTHS = (10.0, 100.0, 1_000.0, 10_000.0)
@@ -41,22 +41,12 @@ MESSAGE = pa.schema([("to", pa.int64()), ("block", pa.int64()), ("shard", pa.int
 MESSAGE_DDL = "to bigint, block bigint, shard bigint, words binary, hashes binary, meta binary, uni binary, uni_n binary, bi binary, bi_n binary"
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of an array, lowest bytes first: the high ones, mostly zero, stand together and compress."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-
-
-def _from_planes(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def _keys_out(keys: np.ndarray) -> bytes:
-    return _planes(np.diff(keys, prepend=np.uint64(0)))
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _keys_in(raw: bytes) -> np.ndarray:
-    return np.cumsum(_from_planes(raw, np.uint64), dtype=np.uint64)
+    return np.cumsum(from_planes(raw, np.uint64), dtype=np.uint64)
 
 
 def _walk(words: np.ndarray, counts: np.ndarray, hashes: np.ndarray):
@@ -114,12 +104,12 @@ def _asking(shards: int, block_bytes: int):
                 serial += 1
                 no_id = pc.is_null(ids).to_numpy(zero_copy_only=False).astype(np.int64)
                 meta = np.stack([pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64), no_id, held.astype(np.int64), counts])
-                rows = [(-1 - block, block, -1, _planes(index.astype(np.uint32)), hashes.tobytes(), meta.tobytes(), None, None, None, None)]
+                rows = [(-1 - block, block, -1, planes(index.astype(np.uint32)), hashes.tobytes(), meta.tobytes(), None, None, None, None)]
                 edges = np.arange(shards + 1)
                 at, pair_at = np.searchsorted(_shard(keys, shards), edges), np.searchsorted(_shard(pair_keys, shards), edges)
                 for s in range(shards):
                     u, p = slice(at[s], at[s + 1]), slice(pair_at[s], pair_at[s + 1])
-                    rows.append((s, block, s, None, None, None, _keys_out(keys[u]), _planes(uni_n[u]), _keys_out(pair_keys[p]), _planes(bi_n[p])))
+                    rows.append((s, block, s, None, None, None, _keys_out(keys[u]), planes(uni_n[u]), _keys_out(pair_keys[p]), planes(bi_n[p])))
                 yield _batch(rows)
 
     return run
@@ -146,12 +136,12 @@ def _owner(table: pa.Table) -> pa.Table:
         return table.set_column(0, "to", table["block"])
     blocks = table["block"].to_pylist()
     uni_keys = [_keys_in(x) for x in table["uni"].to_pylist()]
-    keys, total, uni = _summed(uni_keys, [_from_planes(x, np.uint32) for x in table["uni_n"].to_pylist()])
+    keys, total, uni = _summed(uni_keys, [from_planes(x, np.uint32) for x in table["uni_n"].to_pylist()])
     tokens = (total > 0) & (keys != np.uint64(START))
     facts = np.array([total[tokens].sum(), tokens.sum()], dtype=np.int64).tobytes()
-    _, _, bi = _summed([_keys_in(x) for x in table["bi"].to_pylist()], [_from_planes(x, np.uint32) for x in table["bi_n"].to_pylist()])
+    _, _, bi = _summed([_keys_in(x) for x in table["bi"].to_pylist()], [from_planes(x, np.uint32) for x in table["bi_n"].to_pylist()])
     shard = table["shard"][0].as_py()
-    return pa.Table.from_batches([_batch([(b, b, shard, None, None, facts, None, _planes(u.astype(np.int64)), None, _planes(x.astype(np.int64))) for b, u, x in zip(blocks, uni, bi)])])
+    return pa.Table.from_batches([_batch([(b, b, shard, None, None, facts, None, planes(u.astype(np.int64)), None, planes(x.astype(np.int64))) for b, u, x in zip(blocks, uni, bi)])])
 
 
 def _scoring(strengths: tuple[float, ...], schema: pa.Schema):
@@ -160,9 +150,9 @@ def _scoring(strengths: tuple[float, ...], schema: pa.Schema):
         own, answers = rows[0], rows[1:]
         ids, no_id, held, counts = np.frombuffer(own["meta"], np.int64).reshape(4, -1)
         n_all, v_all = np.sum([np.frombuffer(a["meta"], np.int64) for a in answers], axis=0)
-        uni = np.concatenate([_from_planes(a["uni_n"], np.int64) for a in answers])
-        bi = np.concatenate([_from_planes(a["bi_n"], np.int64) for a in answers])
-        text, word, state, _, place, _, pair_of = _walk(_from_planes(own["words"], np.uint32), counts, np.frombuffer(own["hashes"], np.uint64))
+        uni = np.concatenate([from_planes(a["uni_n"], np.int64) for a in answers])
+        bi = np.concatenate([from_planes(a["bi_n"], np.int64) for a in answers])
+        text, word, state, _, place, _, pair_of = _walk(from_planes(own["words"], np.uint32), counts, np.frombuffer(own["hashes"], np.uint64))
         del rows, own, answers
         room = n_all + 0.5 * (v_all + 1)
         known, base = np.zeros(len(ids)), np.zeros(len(ids))
