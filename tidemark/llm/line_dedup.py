@@ -31,6 +31,8 @@ FEW = 4
 COUNTERS = 1 << 20
 #: Hash classes by which the second pass tells the words of open lists; a bit each, so 2 MB.
 LIST_CLASSES = 1 << 24
+#: Sizes of sets are told apart by powers of this; a step moves a hash class on by so many.
+SIZE_STEP, STEP_STRIDE = 1.25, 40_503
 DOCS_PER_OWNER = 4_000
 #: 64-bit words of a set's bitmap in the first pass, and in the second. Long lines fill a short bitmap, and a full one tells nothing.
 BITMAP, WIDE_BITMAP = 4, 8
@@ -43,7 +45,7 @@ MESSAGE = pa.schema([("shard", pa.int64()), *((k, pa.binary()) for k, _ in POSTI
 MESSAGE_DDL = "shard bigint, " + ", ".join(f"{k} binary" for k, _ in POSTING) + f", docs array<struct<{NUMBERED_DDL.replace(' ', ': ', 1).replace(', text_key ', ', text_key: ').replace(', sigs ', ', sigs: ')}>>"
 #: Of a posting, what the second pass needs besides the prefix and the wide bitmap.
 LISTED = ("token", "sig", "size", "doc", "line")
-PAIR = ["sig", "doc", "line", "other", "other_doc", "other_line", "token", "bound"]
+PAIR = ["sig", "doc", "line", "other", "other_doc", "other_line", "token", "size"]
 FOUND = pa.schema([*((k, pa.int64()) for k in PAIR), ("more", pa.bool_()), *NUMBERED])
 FOUND_DDL = ", ".join(f"{k} bigint" for k in PAIR) + ", more boolean, " + NUMBERED_DDL
 
@@ -185,7 +187,7 @@ def _candidates(threshold: float, tries: int):
         many = np.flatnonzero(found > few)
         a, b = np.concatenate([a, many]), np.concatenate([b, best[many]])
         s = {k: v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64) for k, v in r.items()}
-        columns = [s["sig"][a], s["doc"][a], s["line"][a], s["sig"][b], s["doc"][b], s["line"][b], s["token"][a], bound[a], found[a] > few]
+        columns = [s["sig"][a], s["doc"][a], s["line"][a], s["sig"][b], s["doc"][b], s["line"][b], s["token"][a], s["size"][a], found[a] > few]
         return pa.Table.from_arrays([*map(pa.array, columns), *(pa.nulls(len(a), f.type) for f in NUMBERED)], schema=FOUND)
 
     return run
@@ -263,16 +265,27 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _all_candidates(docs: DataFrame, lists: DataFrame, counters, threshold: float, min_words: int) -> DataFrame:
-    """Every earlier candidate of some lines in some lists ``(token, sig)``, by a join on the word.
+    """Every earlier candidate of some lines in some lists ``(token, sig, size)``, by a join on the word.
 
-    Only lines with words of the lists' hash classes, a set of fixed size, are indexed again.
+    Only lines with words of the lists' hash classes, a set of fixed size, are indexed again, and of
+    these only the postings whose set size can match one of the list's: a second set of classes has
+    each word together with the steps of SIZE_STEP that such sizes fall in.
     """
-    wanted = np.zeros(LIST_CLASSES, dtype=bool)
-    wanted[lists.select(F.col("token").bitwiseAND(F.lit(LIST_CLASSES - 1).cast("bigint")).alias("c")).distinct().toArrow()["c"].to_numpy()] = True
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    own_class = F.col("token").bitwiseAND(F.lit(LIST_CLASSES - 1).cast("bigint"))
+    step = lambda size: F.floor(F.log(size) / F.lit(np.log(SIZE_STEP)))
+    near_sizes = F.sequence(step(F.col("size") * threshold) - 1, step(F.col("size") / threshold) + 1)  # a step more on each side, whatever the rounding
+    classes = lists.select("token", "size").distinct().select(own_class.alias("c"), F.explode(near_sizes).alias("step"))
+
+    def marked(found: DataFrame):
+        bits = np.zeros(LIST_CLASSES, dtype=bool)
+        bits[found.distinct().toArrow()["c"].to_numpy()] = True
+        return docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    by_word = marked(classes.select("c"))
+    by_size = marked(classes.select((F.col("c") + F.col("step") * STEP_STRIDE).bitwiseAND(F.lit(LIST_CLASSES - 1).cast("bigint")).alias("c")))
 
     def run(batches):
-        mine = np.unpackbits(wanted.value).astype(bool)
+        mine, sized = np.unpackbits(by_word.value).astype(bool), np.unpackbits(by_size.value).astype(bool)
         for b in batches:
             for first, to, texts in chunks_of_text(b.column(1)):
                 lines, of, number = _lines(texts)
@@ -282,10 +295,12 @@ def _all_candidates(docs: DataFrame, lists: DataFrame, counters, threshold: floa
                 indexed = _indexed(lines.take(pa.array(near)), counters.value)
                 wide = np.stack(_bitmaps(*indexed[:2], len(near), WIDE_BITMAP), axis=1).view(np.int64)
                 rows, at = _postings(indexed, of[near], number[near], _ids(b.column(0).slice(first, to - first)), threshold, min_words)
-                use = mine[(rows["token"] & np.uint64(LIST_CLASSES - 1)).astype(np.int64)]
+                word = (rows["token"] & np.uint64(LIST_CLASSES - 1)).astype(np.int64)
+                steps = np.floor(np.log(np.maximum(1, rows["size"])) / np.log(SIZE_STEP)).astype(np.int64)
+                use = mine[word] & sized[(word + steps * STEP_STRIDE) & (LIST_CLASSES - 1)]
                 columns = [pa.array(v[use].view(np.int64) if v.dtype == np.uint64 else v[use].astype(np.int64)) for v in (rows[k] for k in LISTED)]
-                first = np.flatnonzero(np.diff(at, prepend=-1))
-                prefixes = dict(zip(at[first].tolist(), np.split(rows["token"].view(np.int64), first[1:])))
+                begins = np.flatnonzero(np.diff(at, prepend=-1))
+                prefixes = dict(zip(at[begins].tolist(), np.split(rows["token"].view(np.int64), begins[1:])))
                 columns += [pa.array([prefixes[i] for i in at[use].tolist()], pa.list_(pa.int64())), pa.array(list(wide[at[use]]), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*LISTED, "prefix", "wide"])
 
@@ -340,7 +355,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     numbered = found.where("sigs is not null").select("doc_id", "text_key", "sigs").dropDuplicates(["doc_id", "text_key"])
     pairs = found.where("sig is not null")
     matched = staged(_verified(docs, pairs.select("sig", "doc", "line", "other", "other_doc", "other_line").distinct(), threshold), "line-matches")
-    rest = staged(pairs.where("more").select("token", "sig").distinct().join(matched, "sig", "left_anti"), "line-rest")
+    rest = staged(pairs.where("more").select("token", "sig", "size").distinct().join(matched, "sig", "left_anti"), "line-rest")
     if rest.take(1):
         more = staged(_all_candidates(docs, rest, counters, threshold, min_words), "line-rest-pairs")
         matched = matched.unionByName(_verified(docs, more, threshold)).distinct()
