@@ -33,7 +33,7 @@ COUNTERS = 1 << 20
 LIST_CLASSES = 1 << 24
 #: Sizes of sets are told apart by powers of this; a step moves a hash class on by so many.
 SIZE_STEP, STEP_STRIDE = 1.25, 40_503
-DOCS_PER_OWNER = 4_000
+DOCS_PER_OWNER = 2_000
 #: 64-bit words of a set's bitmap in the first pass, and in the second. Long lines fill a short bitmap, and a full one tells nothing.
 BITMAP, WIDE_BITMAP = 4, 8
 
@@ -187,6 +187,8 @@ def _candidates(threshold: float, tries: int):
         many = np.flatnonzero(found > few)
         a, b = np.concatenate([a, many]), np.concatenate([b, best[many]])
         s = {k: v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64) for k, v in r.items()}
+        del r, order, new, size, pos, best, bound, out
+        pa.default_memory_pool().release_unused()
         columns = [s["sig"][a], s["doc"][a], s["line"][a], s["sig"][b], s["doc"][b], s["line"][b], s["token"][a], s["size"][a], found[a] > few]
         return pa.Table.from_arrays([*map(pa.array, columns), *(pa.nulls(len(a), f.type) for f in NUMBERED)], schema=FOUND)
 
