@@ -109,6 +109,53 @@ def test_hot_keys_give_the_same_links(spark):
         assert parted((r["u"], r["v"]) for r in simhash_dedup.links(fps, 2, limit).collect()) == want
 
 
+def edited_copies():
+    """Texts of 100, 300 and 1000 words and their copies with one to five in a hundred words changed."""
+    rng, rows = random.Random(8), []
+    for n in (100, 300, 1000):
+        for _ in range(4):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            rows.append((len(rows), " ".join(base)))
+            for share in (0.01, 0.02, 0.03, 0.05):
+                copy = list(base)
+                for at in rng.sample(range(n), max(1, int(n * share))):
+                    copy[at] = f"new{rng.randrange(10**6)}"
+                rows.append((len(rows), " ".join(copy)))
+    # one repeated shingle outweighs the rest: equal fingerprints, unlike sets
+    rows += [(len(rows) + k, "again " * 400 + " ".join(f"own{k}x{i}" for i in range(20))) for k in range(2)]
+    # a group of near copies larger than the others
+    base = [f"h{rng.randrange(10**6)}" for _ in range(200)]
+    for k in range(150):
+        rows.append((len(rows), " ".join([*base[: 1 + k % 190], f"edit{k}", *base[1 + k % 190 :]])))
+    return rows
+
+
+def test_stage_links_by_jaccard(docs_of, edge_rows):
+    rows = [(i if i is None else 10_000 + i, t) for i, t in edge_rows if len(t or "") < 10_000] + edited_copies() + near_copies()[:80]
+    sets = []
+    for _, t in rows:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    want = sorted((str(i), str(least.get(find(k)))) for k, (i, _) in enumerate(rows))
+    found = simhash_dedup.similar_groups(docs_of(rows), width=5)
+    assert sorted(tuple(map(str, r)) for r in found.collect()) == want
+
+
 def test_empty_tables(docs_of):
     none = docs_of([(1, "x")]).limit(0)
     assert exact_dedup.equal_text_groups(none).count() == 0 and simhash_dedup.near_duplicate_groups(none).count() == 0
+    assert simhash_dedup.similar_groups(none).count() == 0
