@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import langid, lm_scoring, queries
 from tidemark.llm.tokens import default_path
 
@@ -43,6 +44,29 @@ def test_forward_pass_sums_all_segmentations():
     assert counts.sum() > 0 and (counts >= 0).all()
 
 
+def test_long_unknown_runs_stay_in_range(spark, docs_of):
+    lao = "".join(chr(0x0E81 + k % 2) for k in range(300))
+    vocabulary = langid.Vocabulary(["a", "b", "ab"])
+    table = np.array([[0.5], [0.3], [0.2], [0.0]])
+    runs = pa.array([lao[:39] + "a", lao[:40], "a" + lao[:39]], pa.large_string())
+    assert np.isfinite(langid.log_probabilities(vocabulary, table, runs)).all()
+    counts = langid.expected_counts(vocabulary, table[:, 0], runs, np.ones(3))
+    at = vocabulary.find(np.array([langid._hash_of("a")], dtype=np.uint64))[0]
+    assert np.isfinite(counts).all() and abs(counts[at] - 2) < 1e-6
+
+    english, german = "the cat and the dog sat on the mat with the hat ", "der hund und die katze liegen auf der matte mit dem hut "
+    told = docs_of([(1, english * 9, "en"), (2, german * 9, "de"), (3, f"{german} {lao[:36]}x", "de")])
+    model = langid.fit(told, PIECES)
+    assert np.isfinite(model.table).all() and np.isfinite(model.per_letter).all()
+    asked = docs_of([(4, f"{english * 3} {lao}"), (5, f"{lao} {german * 3}"), (6, lao), (7, english)])
+    found = {r["doc_id"]: r["p"] for r in asked.select("doc_id", langid.predicted(F.col("text"), model, spark).alias("p")).collect()}
+    assert [found[k]["lang"] for k in (4, 5, 7)] == ["en", "de", "en"] and all(0 <= p["score"] <= 1 for p in found.values())
+    assert found[6]["below"] > corpus_pipeline.MOST_BELOW > found[7]["below"]
+
+    none = corpus_pipeline.language_id(spark, docs_of([(8, english), (9, "12 34"), (10, None)]), "")
+    assert [r["doc_id"] for r in none.collect()] == [8]
+
+
 def test_held_out_languages(spark):
     found = queries.op1_language_id(spark, "/root/testdata/sf0.01").alias("p")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null").select("doc_id", "lang", "text")

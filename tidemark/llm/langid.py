@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import staged
 from tidemark.llm.tokens import chunks_of_text, split_words
 
-#: Runs of letters are scored in spans of at most so many characters, so probabilities stay in range.
+#: Runs of letters are scored in spans of at most so many characters, which bounds a lattice.
 SPAN = 40
+#: The forward pass brings its sums back to one at every so many positions, so they stay in range.
+RESCALED = 8
 #: Probability of a character that the vocabulary has no piece for, in every language.
 UNKNOWN = 1e-9
 SMOOTHING = 0.1
@@ -109,40 +111,55 @@ def _lattice(vocabulary: Vocabulary, chars: np.ndarray):
                 yield i, j, vocabulary.find(h)
 
 
+def _forward(vocabulary: Vocabulary, table: np.ndarray, chars: np.ndarray, edges: list | None = None) -> np.ndarray:
+    """The logs of the forward sums at each position, run and further axis of ``table``; takes the edges down if asked."""
+    n = chars.shape[1]
+    forward = np.zeros((n + 1, len(chars), *table.shape[1:]))
+    logs, scale, at = np.zeros(forward.shape), np.zeros(forward.shape[1:]), 0
+    forward[0] = 1
+    for i, j, piece in _lattice(vocabulary, chars):
+        if i > at:
+            logs[i] = np.log(forward[i]) + scale
+            if i % RESCALED == 0:
+                scale = logs[i]
+                forward[i + 1 : i + vocabulary.longest] /= forward[i]
+                forward[i] = 1
+            at = i
+        p = table[piece]
+        if j == i + 1:
+            none = piece == vocabulary.size
+            p = np.where(none.reshape(-1, *[1] * (p.ndim - 1)), UNKNOWN, p)
+        forward[j] += forward[i] * p
+        if edges is not None:
+            edges.append((i, j, piece, p))
+    logs[n] = np.log(forward[n]) + scale
+    return logs
+
+
 def log_probabilities(vocabulary: Vocabulary, table: np.ndarray, runs: pa.Array) -> np.ndarray:
     """Log probability of each run in each language; ``table`` has a row for each piece, then one of zeros."""
     out = np.zeros((len(runs), table.shape[1]))
     for at, chars in _by_length(runs):
-        n = chars.shape[1]
-        forward = np.zeros((n + 1, len(at), table.shape[1]))
-        forward[0] = 1
-        for i, j, piece in _lattice(vocabulary, chars):
-            p = table[piece]
-            if j == i + 1:
-                p = np.where((piece == vocabulary.size)[:, None], UNKNOWN, p)
-            forward[j] += forward[i] * p
-        out[at] = np.log(forward[n])
+        out[at] = _forward(vocabulary, table, chars)[-1]
     return out
 
 
 def expected_counts(vocabulary: Vocabulary, table: np.ndarray, runs: pa.Array, weights: np.ndarray) -> np.ndarray:
-    """Expected number of uses of each piece, over all segmentations of the weighted runs; ``table`` is one language's."""
+    """Expected number of uses of each piece, over all segmentations of the weighted runs; ``table`` is one language's.
+
+    The backward pass carries the probability that a segmentation has a boundary at each position: an
+    edge's share of the forward sum at its end, times that end's probability.
+    """
     out = np.zeros(vocabulary.size + 1)
     for at, chars in _by_length(runs):
-        n = chars.shape[1]
-        forward, backward, edges = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at))), []
-        forward[0] = backward[n] = 1
-        for i, j, piece in _lattice(vocabulary, chars):
-            p = table[piece]
-            if j == i + 1:
-                p = np.where(piece == vocabulary.size, UNKNOWN, p)
-            forward[j] += forward[i] * p
-            edges.append((i, j, piece, p))
-        for i, j, _, p in reversed(edges):
-            backward[i] += p * backward[j]
-        per = weights[at] / forward[n]
-        for i, j, piece, p in edges:
-            out += np.bincount(piece, weights=forward[i] * p * backward[j] * per, minlength=vocabulary.size + 1)
+        edges: list = []
+        logs = _forward(vocabulary, table, chars, edges)
+        passed = np.zeros(logs.shape)
+        passed[-1] = 1
+        for i, j, piece, p in reversed(edges):
+            share = p * np.exp(logs[i] - logs[j]) * passed[j]
+            passed[i] += share
+            out += np.bincount(piece, weights=share * weights[at], minlength=vocabulary.size + 1)
     return out[:-1]
 
 
@@ -152,6 +169,8 @@ class LanguageModel:
     log_prior: np.ndarray
     table: np.ndarray
     vocabulary_path: str
+    #: Each language's mean log probability of a letter in the rows it was learned from.
+    per_letter: np.ndarray
 
 
 def fit(docs: DataFrame, vocabulary_path: str, per_language: int = 1500, rounds: int = 3, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> LanguageModel:
@@ -166,7 +185,7 @@ def fit(docs: DataFrame, vocabulary_path: str, per_language: int = 1500, rounds:
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], np.zeros(0), np.zeros((0, 0)), vocabulary_path)
+        return LanguageModel([], np.zeros(0), np.zeros((0, 0)), vocabulary_path, np.zeros(0))
     share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))))
     sample = known.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("langid")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
@@ -202,42 +221,63 @@ def fit(docs: DataFrame, vocabulary_path: str, per_language: int = 1500, rounds:
         counts = np.zeros((size, len(languages)))
         counts[sums["piece"].to_numpy(), sums["k"].to_numpy()] = sums["n"].to_numpy()
         table = np.vstack([(counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * size), np.zeros((1, len(languages)))])
+    held = spark.sparkContext.broadcast((languages, table))
+
+    def letters(batches):
+        vocabulary, (names, now) = public_vocabulary(vocabulary_path), held.value
+        for b in batches:
+            langs, n = np.array(b.column(0).to_pylist(), dtype=object), b.column(2).to_numpy(zero_copy_only=False).astype(float)
+            for k, name in enumerate(names):
+                mine = langs == name
+                runs = b.column(1).filter(pa.array(mine)).cast(pa.large_string())
+                logs = log_probabilities(vocabulary, now[:, k : k + 1], runs)[:, 0]
+                size = pc.utf8_length(runs).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([float(logs @ n[mine])]), pa.array([float(size @ n[mine])])], names=["k", "logs", "letters"])
+
+    per_letter = np.full(len(languages), -np.inf)
+    for r in counted.mapInArrow(letters, "k bigint, logs double, letters double").groupBy("k").agg(F.sum("logs").alias("logs"), F.sum("letters").alias("letters")).collect():
+        per_letter[r["k"]] = r["logs"] / r["letters"] if r["letters"] else -np.inf
     total = sum(sizes.values())
-    return LanguageModel(languages, np.log([sizes[k] / total for k in languages]), table, vocabulary_path)
+    return LanguageModel(languages, np.log([sizes[k] / total for k in languages]), table, vocabulary_path, per_letter)
 
 
 def predicted(text: Column, model: LanguageModel, spark) -> Column:
-    """A struct ``(lang, score)`` for each whole text.
+    """A struct ``(lang, score, below)`` for each whole text.
 
-    lang is the likeliest language, score its posterior probability (0 to 1). ``und`` with score 0
-    stands for a null text, one without any letter, or a model without languages. Ties go to the
-    language whose name sorts first.
+    lang is the likeliest language, score its posterior probability (0 to 1), below how much less
+    likely a letter of the text is than one of the rows the language was learned from, in nats.
+    ``und`` with score and below 0 stands for a null text, one without any letter, or a model
+    without languages. Ties go to the language whose name sorts first.
     """
     held = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang: string, score: double>")
+    @F.arrow_udf("struct<lang: string, score: double, below: double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = held.value
         names = np.array([*model.languages, "und"], dtype=object)
         vocabulary = public_vocabulary(model.vocabulary_path) if model.languages else None
         for column in batches:
-            langs, scores = [], []
+            langs, scores, belows = [], [], []
             for _, _, texts in chunks_of_text(column):
-                best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+                best, score, below = np.full(len(texts), len(names) - 1), np.zeros(len(texts)), np.zeros(len(texts))
                 if vocabulary:
                     words, index, counts = split_words(texts)
                     runs, of = letter_runs(words)
                     logs = log_probabilities(vocabulary, model.table, runs)
-                    per_word = np.stack([np.bincount(of, weights=w, minlength=len(words)) for w in (*logs.T, np.ones(len(of)))], axis=1)
+                    per_word = np.stack([np.bincount(of, weights=w, minlength=len(words)) for w in (*logs.T, pc.utf8_length(runs).to_numpy(zero_copy_only=False))], axis=1)
                     doc = np.repeat(np.arange(len(counts)), counts)
                     sums = np.stack([np.bincount(doc, weights=w[index], minlength=len(counts)) for w in per_word.T], axis=1)
                     joint = sums[:, :-1] + model.log_prior
                     shifted = np.exp(joint - joint.max(1, keepdims=True))
                     lettered = sums[:, -1] > 0
                     best = np.where(lettered, joint.argmax(1), best)
+                    likeliest = np.minimum(best, len(model.languages) - 1)
+                    below = np.where(lettered, model.per_letter[likeliest] - sums[np.arange(len(best)), likeliest] / np.maximum(sums[:, -1], 1), 0.0)
                     score = np.where(lettered, shifted.max(1) / shifted.sum(1), 0.0)
                 langs += names[best].tolist()
                 scores.append(score)
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["lang", "score"])
+                belows.append(below)
+            numbers = [pa.array(np.concatenate(x) if x else [], pa.float64()) for x in (scores, belows)]
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), *numbers], names=["lang", "score", "below"])
 
     return predict(text)
