@@ -11,9 +11,9 @@ def brute_lines(rows, threshold=0.8, least=5):
         gone = []
         for k, line in enumerate(t.split("\n")):
             words = frozenset(w for w in line.encode().lower().split())
-            if len(words) >= least:
-                if any(len(words & o) >= threshold * len(words | o) - 1e-9 for o in seen):
-                    gone.append(k)
+            if words and any(words == o or len(words) >= least <= len(o) and len(words & o) >= threshold * len(words | o) - 1e-9 for o in seen):
+                gone.append(k)
+            if words:
                 seen.append(words)
         out[i, len(t)] = gone
     return out
@@ -40,12 +40,18 @@ def test_lines_equal_brute_force(docs_of, edge_rows):
     for tries in (16, 1):  # one: many lines need the second, exact pass
         found = {}
         for r in line_dedup.duplicate_lines(docs_of(rows), tries=tries).collect():
-            text = next(len(t or "") for i, t in rows if i == r["doc_id"])
+            text = next(len(t or "") for i, t, *_ in rows if i == r["doc_id"])
             found[r["doc_id"], text] = r["dropped"]
         assert found == want
     assert sum(map(len, want.values())) > 50
 
 
+def test_every_row_of_a_repeated_document_is_told(docs_of):
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "x y\nx y"), (3, None)]
+    found = sorted((r["doc_id"], r["dropped"]) for r in line_dedup.duplicate_lines(docs_of(rows)).collect())
+    assert found == [(1, []), (1, []), (2, [1]), (3, [])]
+
+
 def test_texts_without_their_duplicate_lines(docs_of, edge_rows):
     docs = docs_of(edge_rows)
     kept = {r["doc_id"]: r["text"] for r in line_dedup.without_duplicate_lines(docs).collect()}

@@ -8,7 +8,8 @@ verified on the whole sets. A line goes when an earlier one matches it.
 
 For the decision one match is enough. A list that gives a line up to ``FEW`` earlier candidates sends
 them all to verification; of more, only the best of the nearest ``TRIES`` goes, by the bound on common
-words. A line for which all fail has those longer lists joined whole in a second, exact pass.
+words, and the owner tells that whole list too. A line for which all fail is joined to these lists in
+a second, exact pass.
 """
 
 from __future__ import annotations
@@ -16,26 +17,25 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import from_planes, mix64, planes, shuffle_width, staged
-from tidemark.llm.tokens import chunks_of_text, split_words
+from tidemark.llm.shared import from_planes, give_back, mix64, planes, shuffle_width, staged
+from tidemark.llm.tokens import chunks_of_text
+from tidemark.llm.wordkeys import line_word_keys, word_keys
 
 THRESHOLD = 0.8
 MIN_WORDS = 5
 TRIES = 16
 FEW = 4
 COUNTERS = 1 << 20
-#: Hash classes by which the second pass tells the words of open lists; a bit each, so 2 MB.
-LIST_CLASSES = 1 << 24
-#: Sizes of sets are told apart by powers of this; a step moves a hash class on by so many.
-SIZE_STEP, STEP_STRIDE = 1.25, 40_503
 DOCS_PER_OWNER = 2_000
-#: 64-bit words of a set's bitmap in the first pass, and in the second. Long lines fill a short bitmap, and a full one tells nothing.
-BITMAP, WIDE_BITMAP = 4, 8
+#: 64-bit words of a set's bitmap. Long lines fill a short bitmap, and a full one tells nothing.
+BITMAP = 4
+#: A set on one of so many lines, or more of them, counts as common.
+COMMON_LINES = 4096
+CHUNK_BYTES = 3_000_000
 
 POSTING = [("token", np.uint64), ("sig", np.uint64), ("size", np.uint32), ("pos", np.uint32), ("doc", np.int64), ("line", np.uint32), *((f"b{i}", np.uint64) for i in range(BITMAP))]
 NUMBERED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("sigs", pa.list_(pa.int64()))])
@@ -43,11 +43,9 @@ NUMBERED_DDL = "doc_id bigint, text_key bigint, sigs array<bigint>"
 #: A message goes to an owner (shard >= 0) with index rows, or passes it by with its block's documents.
 MESSAGE = pa.schema([("shard", pa.int64()), *((k, pa.binary()) for k, _ in POSTING), ("docs", pa.list_(pa.struct(NUMBERED)))])
 MESSAGE_DDL = "shard bigint, " + ", ".join(f"{k} binary" for k, _ in POSTING) + f", docs array<struct<{NUMBERED_DDL.replace(' ', ': ', 1).replace(', text_key ', ', text_key: ').replace(', sigs ', ', sigs: ')}>>"
-#: Of a posting, what the second pass needs besides the prefix and the wide bitmap.
-LISTED = ("token", "sig", "size", "doc", "line")
 PAIR = ["sig", "doc", "line", "other", "other_doc", "other_line", "token", "size"]
-FOUND = pa.schema([*((k, pa.int64()) for k in PAIR), ("more", pa.bool_()), *NUMBERED])
-FOUND_DDL = ", ".join(f"{k} bigint" for k in PAIR) + ", more boolean, " + NUMBERED_DDL
+FOUND = pa.schema([*((k, pa.int64()) for k in PAIR), ("more", pa.bool_()), ("bits", pa.list_(pa.int64())), *NUMBERED])
+FOUND_DDL = ", ".join(f"{k} bigint" for k in PAIR) + ", more boolean, bits array<bigint>, " + NUMBERED_DDL
 
 
 def least_overlap(total, threshold: float):
@@ -55,27 +53,30 @@ def least_overlap(total, threshold: float):
     return np.ceil(total * threshold / (1 + threshold) - 1e-9).astype(np.int64)
 
 
-def _lines(texts: pa.Array):
-    """The lines of the texts: ``(lines, text of each, number within its text)``."""
-    split = pc.split_pattern(texts, "\n")
-    n = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-    of = np.repeat(np.arange(len(n)), n)
-    return split.flatten(), of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+def _rank_of(counters: np.ndarray) -> np.ndarray:
+    """How common each hash class is, on a logarithmic scale below 4096."""
+    return np.minimum(4095, np.log2(counters + 1.0) * 127).astype(np.uint64)
 
 
-def _word_sets(lines: pa.Array, counters: np.ndarray | None):
-    """Distinct words of each line, rarest first: ``(line of each, word hash of each, set size of each line)``."""
-    words, index, counts = split_words(pc.ascii_lower(lines))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
-    order = np.argsort(hashes) if counters is None else np.lexsort((hashes, counters[hashes & np.uint64(COUNTERS - 1)]))
-    rank = np.empty(len(words), dtype=np.int64)
-    rank[order] = np.arange(len(words))
-    keys = np.sort(np.repeat(np.arange(len(counts), dtype=np.int64) << 32, counts) | rank[index])
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[1:] != keys[:-1]
-    keys = keys[new]
-    line = keys >> 32
-    return line, hashes[order][keys & 0xFFFFFFFF], np.bincount(line, minlength=len(counts))
+def _word_sets(keys: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray | None):
+    """Distinct words of each line, rarest first: ``(line of each, word, set size of each line)``.
+
+    One integer holds a line's number, its word's rank and half of the word's key, so that one sort
+    does; where two different words of a line share all that, the rows are sorted by the whole key.
+    """
+    common = np.zeros(len(keys), np.uint64) if rank is None else rank[keys & np.uint64(COUNTERS - 1)]
+    place = (line.astype(np.uint64) << np.uint64(44)) | (common << np.uint64(32)) | (keys >> np.uint64(32))
+    order = np.argsort(place)
+    place, sorted_keys = place[order], keys[order]
+    same = place[1:] == place[:-1]
+    if n_lines >= 1 << 20 or (same & (sorted_keys[1:] != sorted_keys[:-1])).any():
+        order = np.lexsort((keys, common, line))
+        sorted_keys = keys[order]
+        same = (sorted_keys[1:] == sorted_keys[:-1]) & (line[order][1:] == line[order][:-1])
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = ~same
+    line = line[order[new]]
+    return line, sorted_keys[new], np.bincount(line, minlength=n_lines)
 
 
 def _signatures(line: np.ndarray, token: np.ndarray, n_lines: int) -> np.ndarray:
@@ -106,14 +107,15 @@ def _ids(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
 
-def _indexed(lines: pa.Array, counters: np.ndarray):
-    """The word sets of lines: ``(line of each word, word, size, signature and bitmaps of each line)``."""
-    line, token, size = _word_sets(lines, counters)
-    return line, token, size, _signatures(line, token, len(size)), _bitmaps(line, token, len(size))
+def _indexed(texts: pa.Array, rank: np.ndarray):
+    """``((line of each word, word, size, signature and bitmaps of each line), text of each line, number of each line)``."""
+    keys, line, of, number = line_word_keys(texts)
+    line, token, size = _word_sets(keys, line, len(of), rank)
+    return (line, token, size, _signatures(line, token, len(size)), _bitmaps(line, token, len(size))), of, number
 
 
-def _postings(indexed, of: np.ndarray, number: np.ndarray, ids: np.ndarray, threshold: float, min_words: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The index rows of a chunk's lines, and the line of each; a set that the chunk has twice is posted for its first line."""
+def _postings(indexed, of: np.ndarray, number: np.ndarray, ids: np.ndarray, threshold: float, min_words: int) -> dict[str, np.ndarray]:
+    """The index rows of a chunk's lines; a set that the chunk has twice is posted for its first line."""
     line, token, size, sig, bitmaps = indexed
     prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
     order = np.lexsort((number, ids[of], sig))
@@ -126,7 +128,7 @@ def _postings(indexed, of: np.ndarray, number: np.ndarray, ids: np.ndarray, thre
     use = chosen[line] & (pos < prefix[line])
     line, token, pos = line[use], token[use], pos[use]
     values = (token, sig[line], size[line], pos, ids[of[line]], number[line], *(b[line] for b in bitmaps))
-    return {k: v.astype(t) for (k, t), v in zip(POSTING, values)}, line
+    return {k: v.astype(t) for (k, t), v in zip(POSTING, values)}
 
 
 def _shards_out(rows: dict[str, np.ndarray], shards: int) -> pa.RecordBatch:
@@ -137,7 +139,9 @@ def _shards_out(rows: dict[str, np.ndarray], shards: int) -> pa.RecordBatch:
     columns = [pa.array(there, pa.int64())]
     for k, _ in POSTING:
         v = rows[k][order]
-        columns.append(pa.array([planes(v[at[s] : at[s + 1]]) for s in there], pa.binary()))
+        # words, signatures and bitmaps are random bits; the others' high bytes are mostly zero
+        packed = planes if k in ("size", "pos", "doc", "line") else bytes
+        columns.append(pa.array([packed(v[at[s] : at[s + 1]]) for s in there], pa.binary()))
     return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(there), MESSAGE.field("docs").type)], schema=MESSAGE)
 
 
@@ -148,7 +152,8 @@ def _candidates(threshold: float, tries: int):
         if table["shard"][0].as_py() < 0:
             own = pa.Table.from_batches([pa.RecordBatch.from_struct_array(c.flatten()) for c in table["docs"].chunks])
             return pa.Table.from_arrays([*(pa.nulls(len(own), f.type) for f in FOUND if f.name not in own.column_names), *own.columns], schema=FOUND)
-        r = {k: np.concatenate([from_planes(x, t) for x in table[k].to_pylist()]) for k, t in POSTING}
+        unpacked = lambda k, x, t: from_planes(x, t) if k in ("size", "pos", "doc", "line") else np.frombuffer(x, t)
+        r = {k: np.concatenate([unpacked(k, x, t) for x in table[k].to_pylist()]) for k, t in POSTING}
         order = np.lexsort((r["line"], r["doc"], r["sig"], r["token"]))
         r = {k: v[order] for k, v in r.items()}
         new = np.ones(len(order), dtype=bool)
@@ -167,8 +172,8 @@ def _candidates(threshold: float, tries: int):
             a, b = active, active - k
             both = size[a] + size[b]
             need = least_overlap(both, threshold)
-            ok = np.minimum(pos[a], pos[b]) + np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
-            ok &= np.minimum(size[a], size[b]) >= np.ceil(threshold * np.maximum(size[a], size[b]) - 1e-9)
+            # some common word leaves each set as many words from its place on as the two must share
+            ok = np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
             a, b, both, need = a[ok], b[ok], both[ok], need[ok]
             apart = sum(np.bitwise_count(r[f"b{i}"][a] ^ r[f"b{i}"][b]).astype(np.int64) for i in range(BITMAP))
             most = (both - apart) // 2
@@ -186,11 +191,18 @@ def _candidates(threshold: float, tries: int):
         a, b = a[found[a] <= few], b[found[a] <= few]
         many = np.flatnonzero(found > few)
         a, b = np.concatenate([a, many]), np.concatenate([b, best[many]])
-        s = {k: v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64) for k, v in r.items()}
+        signed = lambda k, at: pa.array(r[k][at].view(np.int64) if r[k].dtype == np.uint64 else r[k][at].astype(np.int64))
+        columns = [signed("sig", a), signed("doc", a), signed("line", a), signed("sig", b), signed("doc", b), signed("line", b), signed("token", a), signed("size", a), pa.array(found[a] > few), pa.nulls(len(a), FOUND.field("bits").type)]
+        pairs = pa.Table.from_arrays([*columns, *(pa.nulls(len(a), f.type) for f in NUMBERED)], schema=FOUND)
+        # a list that has more candidates for a line than these goes along whole, for the second pass
+        at = np.flatnonzero(np.isin(token, token[many]))
+        bits = pa.array(list(np.stack([r[f"b{i}"][at].view(np.int64) for i in range(BITMAP)], axis=1)), FOUND.field("bits").type)
+        nothing = pa.nulls(len(at), pa.int64())
+        listed = [signed("sig", at), signed("doc", at), signed("line", at), nothing, nothing, nothing, signed("token", at), signed("size", at), pa.nulls(len(at), pa.bool_()), bits]
+        lists = pa.Table.from_arrays([*listed, *(pa.nulls(len(at), f.type) for f in NUMBERED)], schema=FOUND)
         del r, order, new, size, pos, best, bound, out
-        pa.default_memory_pool().release_unused()
-        columns = [s["sig"][a], s["doc"][a], s["line"][a], s["sig"][b], s["doc"][b], s["line"][b], s["token"][a], s["size"][a], found[a] > few]
-        return pa.Table.from_arrays([*map(pa.array, columns), *(pa.nulls(len(a), f.type) for f in NUMBERED)], schema=FOUND)
+        give_back()
+        return pa.concat_tables([pairs, lists])
 
     return run
 
@@ -201,9 +213,9 @@ def _count_words(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(COUNTERS, dtype=np.int64)
         for b in batches:
-            for _, _, texts in chunks_of_text(b.column(0)):
-                words, index, _ = split_words(pc.ascii_lower(texts))
-                total += np.bincount(_classes(words), weights=np.bincount(index, minlength=len(words)), minlength=COUNTERS).astype(np.int64)
+            for _, _, texts in chunks_of_text(b.column(0), CHUNK_BYTES):
+                total += np.bincount((word_keys(texts)[0] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(0, COUNTERS, 4096)), pa.array(list(total.reshape(-1, 4096)), pa.list_(pa.int64()))], names=["at", "n"])
 
     parts = docs.select("text").mapInArrow(run, "at bigint, n array<bigint>")
@@ -218,11 +230,6 @@ def _count_words(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _classes(words: pa.Array, classes: int = COUNTERS) -> np.ndarray:
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
-    return (hashes & np.uint64(classes - 1)).astype(np.int64)
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(sig, words)`` of the lines at the wanted addresses ``(doc, line, sig)``: sorted word hashes."""
     per_doc = wanted.groupBy("doc").agg(F.collect_set(F.struct("line", "sig")).alias("wanted"))
@@ -233,17 +240,21 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             numbers, sigs = b.column(1).flatten().field("line").to_numpy(), b.column(1).flatten().field("sig").to_numpy()
             n = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(n)
-            for first, to, texts in chunks_of_text(b.column(0)):
-                lines, of, number = _lines(texts)
-                base = np.searchsorted(of, np.arange(to - first))
+            for first, to, texts in chunks_of_text(b.column(0), CHUNK_BYTES):
+                keys, line, of, _ = line_word_keys(texts)
                 mine = slice(int(ends[first] - n[first]), int(ends[to - 1]))
                 doc = np.repeat(np.arange(to - first), n[first:to])
-                at = base[doc] + numbers[mine]
+                at = np.searchsorted(of, doc) + numbers[mine]
                 fits = numbers[mine] < np.bincount(of, minlength=to - first)[doc]
-                line, token, size = _word_sets(lines.take(pa.array(at[fits])), None)
-                right = _signatures(line, token, len(size)).view(np.int64) == sigs[mine][fits]
-                parts = np.split(token, np.cumsum(size)[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(sigs[mine][fits][right]), pa.array([parts[i].tobytes() for i in np.flatnonzero(right)], pa.binary())], names=["sig", "words"])
+                wanted = np.unique(at[fits])
+                use = np.isin(line, wanted)
+                line, token, size = _word_sets(keys[use], np.searchsorted(wanted, line[use]), len(wanted), None)
+                parts, own = np.split(token, np.cumsum(size)[:-1]), _signatures(line, token, len(size)).view(np.int64)
+                place = np.searchsorted(wanted, at[fits])
+                right = own[place] == sigs[mine][fits]
+                place = np.unique(place[right])
+                yield pa.RecordBatch.from_arrays([pa.array(own[place]), pa.array([parts[i].tobytes() for i in place], pa.binary())], names=["sig", "words"])
+        give_back()
 
     return rows.mapInArrow(run, "sig bigint, words binary").dropDuplicates(["sig"])
 
@@ -266,121 +277,87 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return both.select("sig", "a", "b").mapInArrow(run, "sig bigint").distinct()
 
 
-def _all_candidates(docs: DataFrame, lists: DataFrame, counters, threshold: float, min_words: int) -> DataFrame:
-    """Every earlier candidate of some lines in some lists ``(token, sig, size)``, by a join on the word.
-
-    Only lines with words of the lists' hash classes, a set of fixed size, are indexed again, and of
-    these only the postings whose set size can match one of the list's: a second set of classes has
-    each word together with the steps of SIZE_STEP that such sizes fall in.
-    """
-    own_class = F.col("token").bitwiseAND(F.lit(LIST_CLASSES - 1).cast("bigint"))
-    step = lambda size: F.floor(F.log(size) / F.lit(np.log(SIZE_STEP)))
-    near_sizes = F.sequence(step(F.col("size") * threshold) - 1, step(F.col("size") / threshold) + 1)  # a step more on each side, whatever the rounding
-    classes = lists.select("token", "size").distinct().select(own_class.alias("c"), F.explode(near_sizes).alias("step"))
-
-    def marked(found: DataFrame):
-        bits = np.zeros(LIST_CLASSES, dtype=bool)
-        bits[found.distinct().toArrow()["c"].to_numpy()] = True
-        return docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    by_word = marked(classes.select("c"))
-    by_size = marked(classes.select((F.col("c") + F.col("step") * STEP_STRIDE).bitwiseAND(F.lit(LIST_CLASSES - 1).cast("bigint")).alias("c")))
-
-    def run(batches):
-        mine, sized = np.unpackbits(by_word.value).astype(bool), np.unpackbits(by_size.value).astype(bool)
-        for b in batches:
-            for first, to, texts in chunks_of_text(b.column(1)):
-                lines, of, number = _lines(texts)
-                words, index, counts = split_words(pc.ascii_lower(lines))
-                hit = mine[_classes(words, LIST_CLASSES)][index]
-                near = np.unique(np.repeat(np.arange(len(counts)), counts)[hit])
-                indexed = _indexed(lines.take(pa.array(near)), counters.value)
-                wide = np.stack(_bitmaps(*indexed[:2], len(near), WIDE_BITMAP), axis=1).view(np.int64)
-                rows, at = _postings(indexed, of[near], number[near], _ids(b.column(0).slice(first, to - first)), threshold, min_words)
-                word = (rows["token"] & np.uint64(LIST_CLASSES - 1)).astype(np.int64)
-                steps = np.floor(np.log(np.maximum(1, rows["size"])) / np.log(SIZE_STEP)).astype(np.int64)
-                use = mine[word] & sized[(word + steps * STEP_STRIDE) & (LIST_CLASSES - 1)]
-                columns = [pa.array(v[use].view(np.int64) if v.dtype == np.uint64 else v[use].astype(np.int64)) for v in (rows[k] for k in LISTED)]
-                begins = np.flatnonzero(np.diff(at, prepend=-1))
-                prefixes = dict(zip(at[begins].tolist(), np.split(rows["token"].view(np.int64), begins[1:])))
-                columns += [pa.array([prefixes[i] for i in at[use].tolist()], pa.list_(pa.int64())), pa.array(list(wide[at[use]]), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*LISTED, "prefix", "wide"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{k} bigint" for k in LISTED) + ", prefix array<bigint>, wide array<bigint>")
-    rows = rows.join(lists.select("token").distinct(), "token", "left_semi")
-    # a set posted by several chunks counts where it comes first
-    rows = staged(rows.groupBy("token", "sig").agg(F.min(F.struct("doc", "line", "size", "prefix", "wide")).alias("r")).select("token", "sig", "r.*"), "line-lists")
-    open_lists = lists.groupBy("sig").agg(F.collect_set("token").alias("own"))
-    mine = rows.join(lists.select("token", "sig").distinct(), ["token", "sig"], "left_semi").drop("prefix").join(open_lists, "sig")
+def _all_candidates(lists: DataFrame, rest: DataFrame, threshold: float) -> DataFrame:
+    """Every earlier candidate of the lines in ``rest`` (token, sig), from the lists of these words, by a join on the word."""
+    rows = staged(lists.join(rest.select("token").distinct(), "token", "left_semi"), "line-lists")
+    mine = rows.join(rest.select("token", "sig").distinct(), ["token", "sig"], "left_semi")
     other = rows.select(*(F.col(k).alias(k if k == "token" else f"o_{k}") for k in rows.columns))
-    total, both = F.col("size") + F.col("o_size"), mine.join(other, "token").where("struct(o_doc, o_line) < struct(doc, line) and sig <> o_sig")
-    need = F.ceil(total * threshold / (1 + threshold) - 1e-9)
+    both = mine.join(other, "token").where("struct(o_doc, o_line) < struct(doc, line) and sig <> o_sig")
     both = both.where(F.least("size", "o_size") >= F.ceil(F.greatest("size", "o_size") * threshold - 1e-9))
-    apart = F.aggregate(F.zip_with("wide", "o_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    both = both.where(total - apart >= 2 * need)
-    both = both.where(F.array_min(F.array_intersect("own", "o_prefix")) == F.col("token"))  # a pair once, not in each list
-    return both.select("sig", "doc", "line", F.col("o_sig").alias("other"), F.col("o_doc").alias("other_doc"), F.col("o_line").alias("other_line"))
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("o_bits")[i])) for i in range(BITMAP)), F.lit(0))
+    total = F.col("size") + F.col("o_size")
+    both = both.where(total - apart >= 2 * F.ceil(total * threshold / (1 + threshold) - 1e-9))
+    return both.select("sig", "doc", "line", F.col("o_sig").alias("other"), F.col("o_doc").alias("other_doc"), F.col("o_line").alias("other_line")).distinct()
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS, tries: int = TRIES) -> DataFrame:
-    """``(doc_id, text_key, n_lines, dropped)``, one row per different (id, text): the numbers, from 0, of the lines to drop.
-
-    Lines are parted by ``\\n``; a line of at least ``min_words`` different words is dropped when an
-    earlier one, by id and then by place, has Jaccard similarity ``threshold`` or more of word sets
-    (a line dropped itself counts as earlier too). Shorter lines always stay. Defined results: null
-    text is one empty line; rows repeated in id and text are one document; null ids come first; an
-    empty table gives no rows; other columns are ignored.
+    """``(doc_id, text_key, n_lines, dropped)``, one row per input row: the numbers, from 0, of the lines to drop.
+
+    Lines are parted by ``\\n``. A line is dropped when an earlier one, by id and then by place, has
+    Jaccard similarity ``threshold`` or more of word sets (a line dropped itself counts as earlier
+    too); one of fewer than ``min_words`` different words only when an earlier one has the same set.
+    Lines without a word always stay. Sets are equal when their 64-bit keys and sizes are. Defined
+    results: null text is one empty line; rows repeated in id and text are one document, told once for each row;
+    null ids come first; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    counters = spark.sparkContext.broadcast(_count_words(docs))
+    counters = spark.sparkContext.broadcast(_rank_of(_count_words(docs)).astype(np.uint16))
     shards = max(shuffle_width(spark), docs.count() // DOCS_PER_OWNER)
 
     def post(batches):
-        part, serial = TaskContext.get().partitionId(), 0
+        part, serial, rank = TaskContext.get().partitionId(), 0, counters.value.astype(np.uint64)
         for b in batches:
-            for first, to, texts in chunks_of_text(b.column(1)):
-                lines, of, number = _lines(texts)
-                indexed = _indexed(lines, counters.value)
+            for first, to, texts in chunks_of_text(b.column(1), CHUNK_BYTES):
+                indexed, of, number = _indexed(texts, rank)
                 ids = b.column(0).slice(first, to - first)
-                yield _shards_out(_postings(indexed, of, number, _ids(ids), threshold, min_words)[0], shards)
+                yield _shards_out(_postings(indexed, of, number, _ids(ids), threshold, min_words), shards)
                 ends = np.cumsum(np.bincount(of, minlength=to - first))
-                sigs = np.where(indexed[2] >= min_words, indexed[3].view(np.int64), 0)
+                sigs = np.where(indexed[2] > 0, indexed[3].view(np.int64), 0)
                 listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(sigs))
                 docs_in = pa.StructArray.from_arrays([ids, b.column(2).slice(first, to - first), listed], fields=list(NUMBERED))
                 serial += 1
                 row = [pa.array([-1 - (part << 24) - serial]), *(pa.nulls(1, pa.binary()) for _ in POSTING), pa.ListArray.from_arrays(pa.array([0, len(docs_in)], pa.int32()), docs_in)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(row, MESSAGE)], schema=MESSAGE)
+        give_back()
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     found = staged(rows.mapInArrow(post, MESSAGE_DDL).groupBy("shard").applyInArrow(_candidates(threshold, tries), FOUND_DDL), "line-pairs")
-    numbered = found.where("sigs is not null").select("doc_id", "text_key", "sigs").dropDuplicates(["doc_id", "text_key"])
-    pairs = found.where("sig is not null")
+    numbered = found.where("sigs is not null").groupBy("doc_id", "text_key").agg(F.first("sigs").alias("sigs"), F.count("*").alias("times"))
+    pairs = found.where("other is not null")
     matched = staged(_verified(docs, pairs.select("sig", "doc", "line", "other", "other_doc", "other_line").distinct(), threshold), "line-matches")
-    rest = staged(pairs.where("more").select("token", "sig", "size").distinct().join(matched, "sig", "left_anti"), "line-rest")
+    rest = staged(pairs.where("more").select("token", "sig").distinct().join(matched, "sig", "left_anti"), "line-rest")
     if rest.take(1):
-        more = staged(_all_candidates(docs, rest, counters, threshold, min_words), "line-rest-pairs")
+        more = staged(_all_candidates(found.where("bits is not null").select("token", "sig", "size", "doc", "line", "bits"), rest, threshold), "line-rest-pairs")
         matched = matched.unionByName(_verified(docs, more, threshold)).distinct()
     lines = numbered.select("doc_id", "text_key", F.posexplode("sigs").alias("line", "sig")).where("sig <> 0")
     place = F.struct("doc_id", "text_key", "line")
     first = lines.groupBy("sig").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(matched.withColumn("matched", F.lit(True)), "sig", "left").where("n > 1 or matched")
-    drop = lines.join(first, "sig").where(F.col("matched") | ~F.col("first").eqNullSafe(place))
+    first = staged(first, "line-firsts")
+    # at most COMMON_LINES sets can be this common: they are broadcast, and no task gets all the places of one
+    total = numbered.agg(F.sum(F.size("sigs")).alias("n")).first()["n"] or 0
+    often = F.col("n") * COMMON_LINES >= total
+    told = lines.join(F.broadcast(first.where(often).withColumn("often", F.lit(True))), "sig", "left")
+    drop = told.where("often").drop("often").unionByName(told.where("often is null").select("doc_id", "text_key", "line", "sig").join(first.where(~often), "sig"))
+    drop = drop.where(F.col("matched") | ~F.col("first").eqNullSafe(place))
     dropped = drop.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
     dropped = dropped.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "dropped")
     out = numbered.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    out = out.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
     return out.select("doc_id", "text_key", F.size("sigs").cast("bigint").alias("n_lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
 def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the duplicate lines taken out of the text; documents of which no line is left go.
+    """``docs`` with the duplicate lines taken out of the text; documents of which no line with a word is left go.
 
-    A document that loses no line keeps its text as it was, null and empty ones too.
+    A document that loses no line keeps its text as it was, null and empty ones too. Of rows repeated
+    in id and text each is treated alike.
     """
-    found = duplicate_lines(docs, id_col, text_col, **options).where(F.size("dropped") > 0)
+    found = duplicate_lines(docs, id_col, text_col, **options).where(F.size("dropped") > 0).dropDuplicates(["doc_id", "text_key"])
     found = found.select(F.struct("doc_id", "text_key", "n_lines", "dropped").alias("_line_dedup_found"))
     f = F.col("_line_dedup_found")
     same = F.col(id_col).cast("bigint").eqNullSafe(f["doc_id"]) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == f["text_key"])
     joined = docs.join(found, same, "left")
     kept = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains(f["dropped"], i))
     text = F.when(f.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.where(f.isNull() | (F.size(f["dropped"]) < f["n_lines"])).withColumn(text_col, text).select(*docs.columns)
+    return joined.where(f.isNull() | (F.size(f["dropped"]) < f["n_lines"])).withColumn(text_col, text).where(f.isNull() | F.col(text_col).rlike(r"\S")).select(*docs.columns)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ LOWER = UPPER.lower()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder of this process is set once.
+    Where a session on one machine (tests) names none, a temporary folder of this process is set once. A
+    cluster's other machines could not read such a folder, so there a missing setting is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
@@ -24,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -39,6 +44,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns the memory that this Python worker has freed to the machine: workers outlive tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
