@@ -1,6 +1,7 @@
 """Packing and SentencePiece against the tokenizer itself and a plain Viterbi."""
 
 import functools
+import random
 import zlib
 
 import numpy as np
@@ -87,16 +88,29 @@ def viterbi(unit):
 
 
 def test_encoding_is_the_best_path_and_decodes(docs_of):
-    rows = [(1, "The quick  brown fox"), (2, None), (3, ""), (4, "naïve Straße 中 😀!"), (5, "a\n b\t\tc  "), (6, " lead"), (7, "x" * 300)]
-    found = {r["doc_id"]: r["ids"] for r in sentencepiece_lattice.encode(docs_of(rows), PIECES, block_bytes=20).collect()}
-    for i, t in rows[:6]:
-        want = [x for u in sentencepiece_lattice.UNIT.findall("▁" + (t or "").replace(" ", "▁")) for v in _parts(u) for x in viterbi(v)]
-        assert found[i] == want, (i, t)
+    rng = random.Random(9)
+    rows = [(1, "The quick  brown fox"), (2, None), (3, ""), (4, "naïve Straße 中 😀!"), (5, "a\n b\t\tc  "), (6, " lead"), (7, "x" * 300), (7, "x" * 300), (None, "no id"), (None, "no id")]
+    # units longer than a span: pieces that cross its ends, characters without a piece, and neither
+    rows += [(8, "and " + "".join(rng.choice("theinganderst") for _ in range(1500)) + " so"), (9, "".join(rng.choice("中文äចe") for _ in range(700))), (10, "e" * 512), (11, "tion" * 64 + " " + "tion" * 129)]
+    want = []
+    for i, t in rows:
+        ids = [x for u in _parts("▁" + (t or "").replace(" ", "▁")) for x in viterbi(u)]
+        want.append((str(i), len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), True, ids))
+    for list_bytes in (20, 10**6):
+        found = sentencepiece_lattice.encode(docs_of(rows), PIECES, list_bytes=list_bytes).collect()
+        assert sorted((str(r["doc_id"]), r["n_ids"], r["ids_crc32"], r["round_trip"], r["ids"]) for r in found) == sorted(want)
     back = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs_of(rows), PIECES), PIECES)
-    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in rows}
+    assert sorted((str(r["doc_id"]), r["text"]) for r in back.collect()) == sorted((str(i), t or "") for i, t in rows)
     assert sentencepiece_lattice.encode(docs_of(rows).limit(0), PIECES).count() == 0
 
 
+def test_decoding_keeps_every_row(spark):
+    ids = model()[0]["▁the"][0]
+    rows = [(1, [ids]), (1, [ids, model()[2] + ord("!")]), (None, []), (2, None), (3, [10**6, -1])]
+    found = sentencepiece_lattice.decode(spark.createDataFrame(rows, "doc_id bigint, ids array<int>"), PIECES)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in found.collect()) == [("1", "the"), ("1", "the!"), ("2", "None"), ("3", ""), ("None", "")]
+
+
 def _parts(unit):
     """Parts before each run of white space that follows other characters."""
     out, at = [], 0

@@ -43,7 +43,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.tokens import default_path
 
     found = encode(_table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"), with_ids=False)
-    return found.select("doc_id", "n_ids", "ids_crc32")
+    return found.select("doc_id", "n_ids", "ids_crc32", "round_trip")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

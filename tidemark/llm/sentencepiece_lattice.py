@@ -1,11 +1,15 @@
 """SentencePiece encoding and decoding as relations.
 
-A text is cut into units, each the white space before a word and the word, with U+2581 for a space.
-The units that a block of texts uses are listed once; their substrings of at most the longest
-piece's length are exploded and equi-joined to the piece table, which gives the edges of each unit's
-lattice; a character that is no piece gets an edge of its bytes' pieces. The edges are grouped by
-unit, and a fold over the positions keeps the best score and the edge that reached it; a second fold
-walks back. Blocks then read their texts' ids off the encoded units.
+A text is cut into units, each the white space before a word and the word; a space stands before each
+text. Every task lists the distinct units of its texts, and owners, a hash range of units each, list those
+of the whole table once. A unit's substrings of at most the longest piece's length are exploded and
+equi-joined to the piece table, which gives the edges of its lattice; a character that is no piece gets an
+edge of its bytes' pieces. The edges are grouped by unit, and a fold over the positions keeps the best score
+and the edge that reached it; a second fold walks back. Owners answer the tasks' lists in order, and each
+list's texts read their ids off the answers.
+
+A unit of more than SPAN characters is folded span by span; what a span hands on are the best scores of
+its last positions, as many as the longest piece is long, so no piece is kept from crossing into the next.
 
 The score of a segmentation is the sum of its pieces' scores, as in a unigram model. A BPE model's
 file has merge ranks for scores; ``piece_table`` turns rank r into -log(r + 10), a Zipf estimate of
@@ -15,25 +19,35 @@ may choose another one. Ties go to the edge with the earliest start.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import shuffle_width
+from tidemark.llm.shared import from_planes, give_back, planes, shuffle_width, staged
 from tidemark.llm.tokens import chunks_of_text, spread
+from tidemark.llm.wordkeys import SPACE_BYTES, bytes_of, segment_keys
 
 SPACE = "▁"
 BYTE_SCORE = -20.0
-BLOCK_BYTES = 4_000_000
-#: Longer units are cut into spans of so many characters, which bounds a lattice; pieces don't cross the cuts.
 SPAN = 256
-UNIT = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
+CHUNK_BYTES = 3_000_000
+#: A task begins a new list of units after so many bytes of text.
+LIST_BYTES = 48_000_000
+DOCS_PER_OWNER = 2_000
+
+BLOCK = pa.schema([("shard", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in ("units", "sizes", "index", "meta"))])
+BLOCK_DDL = "shard bigint, block bigint, units binary, sizes binary, index binary, meta binary"
+ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int64()), *((k, pa.binary()) for k in ("sizes", "ids", "exact"))])
+ANSWER_DDL = "block bigint, shard bigint, sizes binary, ids binary, exact binary"
+UNIT = pa.schema([("shard", pa.int64()), ("place", pa.int64()), ("unit", pa.string())])
+ENCODED = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()), ("ids", pa.list_(pa.int32()))])
+ENCODED_DDL = "doc_id bigint, n_ids bigint, ids_crc32 bigint, round_trip boolean, ids array<int>"
 
 
 def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
@@ -51,139 +65,282 @@ def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     return spark.createDataFrame(table), max(len(r[0]) for r in rows), first_byte
 
 
-def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All units of the texts in turn, and each text's number of them. A dummy space stands before each text."""
-    lists = [[u.replace(" ", SPACE) for u in UNIT.findall(" " + t)] for t in texts.to_pylist()] if pc.any(pc.match_substring(texts, "\0")).as_py() else None
-    if lists is None:
-        marked = pc.replace_substring_regex(pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), pc.replace_substring(texts, " ", SPACE), pa.scalar("", pa.large_string())), rf"([^\s\v{SPACE}])([\s\v{SPACE}])", "\\1\x00\\2")
-        split = pc.split_pattern(marked, "\0")
-    else:
-        split = pa.array(lists, pa.large_list(pa.large_string()))
-    units, counts = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = pc.utf8_length(units).to_numpy(zero_copy_only=False)
-    if len(sizes) and sizes.max() > SPAN:
-        spans = -(-sizes // SPAN)
-        units = pa.array([u[i : i + SPAN] for u in units.to_pylist() for i in range(0, len(u), SPAN)], pa.large_string())
-        counts = np.add.reduceat(spans, np.cumsum(counts) - counts)
-    return units, counts
+def _packed(raw: bytes) -> bytes:
+    return zstandard.compress(raw, 3)
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return zstandard.decompress(raw)
+
+
+def _strings(data: bytes, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
+
+
+def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All units of the texts in turn, their keys, and each text's number of them."""
+    spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+    data, offsets = bytes_of(spaced)
+    space = SPACE_BYTES[data]
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    begins[offsets[:-1]] = True
+    starts = np.flatnonzero(begins)
+    return _strings(data.tobytes(), np.diff(np.append(starts, len(data)))), segment_keys(data, starts), np.diff(np.searchsorted(starts, offsets))
+
+
+class _List:
+    """The distinct units of some texts, by key, and the texts' units as numbers among those listed so far."""
+
+    def __init__(self):
+        self.keys, self.at, self.units, self.index, self.docs, self.bytes = np.zeros(0, np.uint64), np.zeros(0, np.uint32), [], [], [], 0
+
+    def add(self, texts: pa.Array, ids: pa.Array) -> None:
+        units, keys, counts = _units(texts)
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = keys[1:] != keys[:-1]
+        distinct = keys[new]
+        found = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), dtype=bool)
+        inside = found < len(self.keys)
+        known[inside] = self.keys[found[inside]] == distinct[inside]
+        number = np.zeros(len(distinct), dtype=np.uint32)
+        number[known] = self.at[found[known]]
+        fresh = np.flatnonzero(~known)
+        number[fresh] = len(self.keys) + np.arange(len(fresh), dtype=np.uint32)
+        self.units.append(units.take(pa.array(order[new][fresh])))
+        self.keys = np.insert(self.keys, found[fresh], distinct[fresh])
+        self.at = np.insert(self.at, found[fresh], number[fresh])
+        of = np.empty(len(order), dtype=np.uint32)
+        of[order] = number[np.cumsum(new) - 1]
+        self.index.append(_packed(planes(of)))
+        no_id = pc.is_null(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.docs.append(np.stack([pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64), no_id, counts]))
+        self.bytes += len(units)
+
+    def rows(self, block: int, shards: int):
+        """The list as questions to its units' owners, and its texts for itself; units go in alphabetical order."""
+        units = pa.concat_arrays(self.units)
+        shard = np.empty(len(units), dtype=np.int64)
+        shard[self.at] = (((self.keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+        order = pc.sort_indices(pa.table({"s": shard, "u": units}), [("s", "ascending"), ("u", "ascending")]).to_numpy()
+        place = np.empty(len(order), dtype=np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        # the texts' numbers stand for places in that order
+        meta = np.concatenate(self.docs, axis=1)
+        index = b"".join(len(x).to_bytes(8, "little") + x for x in self.index)
+        yield -1, block, None, _packed(planes(place)), index, _packed(planes(meta.ravel()))
+        ends = np.searchsorted(shard[order], np.arange(shards + 1))
+        units = units.take(pa.array(order))
+        for s in np.flatnonzero(np.diff(ends)):
+            data, offsets = bytes_of(units.slice(ends[s], ends[s + 1] - ends[s]))
+            yield int(s), block, _packed(data.tobytes()), planes(np.diff(offsets).astype(np.uint32)), None, None
+
+
+def _blocks(shards: int, list_bytes: int):
+    def run(batches):
+        block, mine, size = TaskContext.get().partitionId() << 24, _List(), 0
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOCK)], schema=BLOCK)
+        for b in batches:
+            for first, to, texts in chunks_of_text(b.column(1), CHUNK_BYTES):
+                mine.add(texts, b.column(0).slice(first, to - first))
+                size += texts.nbytes
+                if size >= list_bytes:
+                    yield as_batch(mine.rows(block, shards))
+                    block, mine, size = block + 1, _List(), 0
+        if mine.docs:
+            yield as_batch(mine.rows(block, shards))
+        give_back()
 
+    return run
 
-def _blocks(block_bytes: int):
-    """A row for each block of texts: ``(block, parts)`` with its distinct units, its texts' units by number, its ids and counts, and what parts the units."""
 
-    def run(batches):
-        part, serial = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for first, to, texts in chunks_of_text(b.column(1), block_bytes):
-                units, counts = _units(texts)
-                coded = units.dictionary_encode()
-                ids = b.column(0).slice(first, to - first)
-                words = coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32)
-                meta = np.stack([pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.is_null(ids).to_numpy(zero_copy_only=False).astype(np.int64), counts])
-                listed = coded.dictionary.to_pylist()
-                used = set("".join(listed))
-                sep = next(c for c in map(chr, range(0xF0000, 0x10FFFD)) if c not in used)
-                parts = [sep.join(listed).encode(), words.view(np.uint8).reshape(-1, 4).T.tobytes(), meta.tobytes(), sep.encode()]
-                yield pa.RecordBatch.from_arrays([pa.array([(part << 24) + serial]), pa.array([parts], pa.list_(pa.binary()))], names=["block", "parts"])
-                serial += 1
+def _asked_units(table: pa.Table) -> pa.Array:
+    """The units that the rows of one shard ask for, in turn."""
+    return pa.concat_arrays([_strings(_unpacked(u), from_planes(s, np.uint32)) for u, s in zip(table["units"].to_pylist(), table["sizes"].to_pylist())])
+
+
+def _listed(table: pa.Table) -> pa.Table:
+    """Owner: the distinct units of its shard in alphabetical order, numbered."""
+    units = _asked_units(table).unique()
+    units = units.take(pc.array_sort_indices(units))
+    out = pa.Table.from_arrays([pa.array(np.full(len(units), table["shard"][0].as_py())), pa.array(np.arange(len(units))), units.cast(pa.string())], schema=UNIT)
+    give_back()
+    return out
+
+
+def _answered(asked: pa.Table, solved: pa.Table) -> pa.Table:
+    """Owner: each list's units of this shard as ids, in the order asked; whether decoding gives each unit back."""
+    if not asked.num_rows:
+        return ANSWER.empty_table()
+    solved = solved.sort_by("place")
+    ids = pa.concat_arrays(solved["ids"].chunks)
+    sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, starts = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+    exact = solved["exact"].combine_chunks().to_numpy(zero_copy_only=False)
+    units = _asked_units(asked)
+    at = pc.index_in(units, pc.array_take(units.unique(), pc.array_sort_indices(units.unique()))).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows, begin = [], 0
+    for block, shard, packed in zip(asked["block"].to_pylist(), asked["shard"].to_pylist(), asked["sizes"].to_pylist()):
+        n = len(packed) // 4
+        mine = at[begin : begin + n]
+        begin += n
+        rows.append((block, shard, planes(sizes[mine].astype(np.uint32)), _packed(planes(flat[spread(starts[mine], sizes[mine])].astype(np.uint32))), np.packbits(exact[mine]).tobytes()))
+    out = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ANSWER)], schema=ANSWER)
+    give_back()
+    return out
+
+
+def _reader(with_ids: bool):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        """The texts of one list, read off the answers to it."""
+        own = blocks.to_pylist()[0]
+        rows = answers.sort_by("shard").to_pylist()
+        sizes = np.concatenate([from_planes(r["sizes"], np.uint32) for r in rows]).astype(np.int64)
+        flat = np.concatenate([from_planes(_unpacked(r["ids"]), np.uint32) for r in rows]).astype("<u4")
+        exact = np.concatenate([np.unpackbits(np.frombuffer(r["exact"], np.uint8), count=len(r["sizes"]) // 4) for r in rows]).astype(bool)
+        starts = np.cumsum(sizes) - sizes
+        place = from_planes(_unpacked(own["sizes"]), np.uint32)
+        doc_ids, no_id, counts = from_planes(_unpacked(own["meta"]), np.int64).reshape(3, -1)
+        out, doc, at = [], 0, 0
+        while at < len(own["index"]):
+            n = int.from_bytes(own["index"][at : at + 8], "little")
+            words = place[from_planes(_unpacked(own["index"][at + 8 : at + 8 + n]), np.uint32)]
+            at, upto = at + 8 + n, 0
+            while upto < len(words):
+                some = words[upto : upto + counts[doc]]
+                ids = flat[spread(starts[some], sizes[some])]
+                out.append((None if no_id[doc] else doc_ids[doc], len(ids), zlib.crc32(ids.tobytes()), exact[some].all(), ids.astype(np.int32) if with_ids else None))
+                upto, doc = upto + counts[doc], doc + 1
+        table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ENCODED)], schema=ENCODED)
+        give_back()
+        return table
 
     return run
 
 
 def lattice_edges(units: DataFrame, keys: list[str], pieces: DataFrame, longest: int) -> DataFrame:
-    """``(keys, unit, from, to, id, score)``: the substrings of each unit that are pieces; id -1: a character by its bytes.
+    """``(keys, span, text, e)``: the substrings of each unit that are pieces, by the span they end in.
 
-    The piece table is broadcast: its size is the vocabulary's, whatever the input.
+    ``text`` is the span and as many characters before it as a piece may reach back. ``e`` is ``(to, size,
+    id, score)``; to counts from 1 within the span, id -1 is a character by its bytes. The piece table is
+    broadcast: its size is the vocabulary's, whatever the input.
     """
-    cut = units.select(*keys, "unit", F.length("unit").alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("from"))
-    cut = cut.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("from")))).alias("size"))
-    cut = cut.withColumn("piece", F.substring("unit", F.col("from") + 1, F.col("size")))
+    before = F.when(F.col("span") > 0, F.lit(longest - 1)).otherwise(F.lit(0))
+    cut = units.select(*keys, F.replace("unit", F.lit(" "), F.lit(SPACE)).alias("marked"), F.explode(F.sequence(F.lit(0), F.floor((F.length("unit") - 1) / SPAN).cast("int"))).alias("span"))
+    cut = cut.select(*keys, "span", before.alias("before"), F.substring("marked", F.col("span") * SPAN - before + 1, before + SPAN).alias("text"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("before"))).alias("to"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("to") + F.col("before")))).alias("size"))
+    cut = cut.withColumn("piece", F.substring("text", F.col("to") + F.col("before") - F.col("size") + 1, F.col("size")))
     joined = cut.join(F.broadcast(pieces), "piece", "left").where("id is not null or size = 1")
     score = F.coalesce("score", F.lit(BYTE_SCORE) * F.octet_length("piece"))
-    return joined.select(*keys, "unit", "from", (F.col("from") + F.col("size")).alias("to"), F.coalesce("id", F.lit(-1)).alias("id"), score.alias("score"))
+    edge = F.struct("to", "size", F.coalesce("id", F.lit(-1)).alias("id"), score.alias("score"))
+    return joined.select(*keys, "span", F.substring("text", F.col("before") + 1, F.lit(SPAN)).alias("text"), edge.alias("e"))
 
 
-def best_path(edges: Column, unit: Column, first_byte: int) -> Column:
-    """Viterbi over the positions of one lattice: the ids of the best path, by a fold and a walk back."""
-    n = F.length(unit)
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(0).alias("id")))
+def _span_scores(tail: Column, edges: Column, n: Column) -> Column:
+    """Viterbi over one span: ``tail``, the best of the positions before it, and that of each position in it."""
 
     def step(best: Column, at: Column) -> Column:
-        reach = F.transform(F.filter(edges, lambda e: e["to"] == at), lambda e: F.struct((F.get(best, e["from"])["score"] + e["score"]).alias("score"), (-e["from"]).alias("back"), e["id"].alias("id")))
+        here = F.filter(edges, lambda e: e["to"] == at)
+        reach = F.transform(here, lambda e: F.struct((F.get(best, F.size(best) - e["size"])["score"] + e["score"]).alias("score"), e["size"].alias("back"), e["id"].alias("id")))
         return F.array_append(best, F.array_max(reach))
 
-    best = F.aggregate(F.sequence(F.lit(1), n), start, step)
-    raw = lambda at: F.encode(F.substring(unit, at, F.lit(1)), "utf-8")
+    return F.aggregate(F.sequence(F.lit(1), n), tail, step)
+
+
+def _span_ids(best: Column, text: Column, first_byte: int, skip: Column) -> Column:
+    """Walks back over one span: ``(skip, out)``, how many positions before it the last edge leaps, and its ids."""
+    n = F.length(text)
+    raw = lambda at: F.encode(F.substring(text, at, F.lit(1)), "utf-8")
     as_bytes = lambda at: F.transform(F.sequence(F.lit(1), F.octet_length(raw(at))), lambda i: F.conv(F.hex(F.substring(raw(at), i, F.lit(1))), 16, 10).cast("int") + first_byte)
 
     def back(state: Column, at: Column) -> Column:
-        here = F.get(state["best"], at)
+        here = F.get(best, at - 1)
         ids = F.when(here["id"] >= 0, F.array(here["id"])).otherwise(as_bytes(at))
-        return F.when(state["at"] == at, F.struct(state["best"].alias("best"), (-here["back"]).alias("at"), F.concat(ids, state["out"]).alias("out"))).otherwise(state)
+        taken = F.struct((here["back"] - 1).alias("skip"), F.concat(ids, state["out"]).alias("out"))
+        return F.when(state["skip"] == 0, taken).otherwise(F.struct((state["skip"] - 1).alias("skip"), state["out"].alias("out")))
+
+    return F.aggregate(F.sequence(n, F.lit(1)), F.struct(skip.alias("skip"), F.array().cast("array<int>").alias("out")), back)
 
-    begin = F.struct(best.alias("best"), n.alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(F.sequence(n, F.lit(1)), begin, back, lambda s: s["out"])
+
+def _whole_path(spans: Column, longest: int, first_byte: int) -> Column:
+    """The ids of the best path over a unit's spans, each a struct ``(span, text, edges)``, in order."""
+    entry = lambda score: F.struct(F.lit(score).alias("score"), F.lit(0).alias("back"), F.lit(0).alias("id"))
+    begin = F.array(*(entry(float("-inf")) for _ in range(longest - 1)), entry(0.0))
+
+    def forward(state: Column, span: Column) -> Column:
+        best = _span_scores(state["tail"], span["edges"], F.length(span["text"]))
+        done = F.struct(span["text"].alias("text"), F.slice(best, longest + 1, F.length(span["text"])).alias("best"))
+        return F.struct(F.slice(best, -longest, longest).alias("tail"), F.array_append(state["done"], done).alias("done"))
+
+    none = F.array().cast("array<struct<text: string, best: array<struct<score: double, back: int, id: int>>>>")
+    done = F.aggregate(spans, F.struct(begin.alias("tail"), none.alias("done")), forward, lambda s: s["done"])
+
+    def backward(state: Column, span: Column) -> Column:
+        found = _span_ids(span["best"], span["text"], first_byte, state["skip"])
+        return F.struct(found["skip"].alias("skip"), F.array_append(state["out"], found["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<array<int>>").alias("out"))
+    return F.aggregate(F.reverse(done), start, backward, lambda s: F.flatten(F.reverse(s["out"])))
 
 
 def encode_units(units: DataFrame, keys: list[str], pieces: DataFrame, longest: int, first_byte: int) -> DataFrame:
     """``(keys, ids)`` for non-empty units; where rows are hash-partitioned by some of the keys, it shuffles nothing."""
-    edges = lattice_edges(units, keys, pieces, longest).groupBy(*keys, "unit").agg(F.collect_list(F.struct("from", "to", "id", "score")).alias("edges"))
-    return edges.select(*keys, best_path(F.col("edges"), F.col("unit"), first_byte).alias("ids"))
-
 
-def _reader(with_ids: bool, schema: pa.Schema):
-    def run(blocks: pa.Table, units: pa.Table) -> pa.Table:
-        units = units.sort_by("place")
-        listed = pa.concat_arrays(units["ids"].chunks) if units.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat = listed.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        sizes = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        out = []
-        for parts in blocks["parts"].to_pylist():
-            words = np.ascontiguousarray(np.frombuffer(parts[1], np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-            doc_ids, no_id, counts = np.frombuffer(parts[2], np.int64).reshape(3, -1)
-            at = 0
-            for doc, missing, n in zip(doc_ids.tolist(), no_id.tolist(), counts.tolist()):
-                some = words[at : at + n]
-                at += n
-                ids = flat[spread(starts[some], sizes[some])]
-                out.append((None if missing else doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids if with_ids else None))
-        columns = list(zip(*out)) or [(), (), (), ()]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    def spans(some: DataFrame) -> DataFrame:
+        return lattice_edges(some, keys, pieces, longest).groupBy(*keys, "span").agg(F.first("text").alias("text"), F.collect_list("e").alias("edges"))
 
-    return run
+    short = spans(units.where(F.length("unit") <= SPAN))
+    alone = F.array(F.struct("span", "text", "edges"))
+    long = spans(units.where(F.length("unit") > SPAN)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("span", "text", "edges"))).alias("spans"))
+    return short.select(*keys, _whole_path(alone, longest, first_byte).alias("ids")).unionByName(long.select(*keys, _whole_path(F.col("spans"), longest, first_byte).alias("ids")))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(doc_id, n_ids, ids_crc32, ids)``, one row per input row; ids is null unless asked for.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, list_bytes: int = LIST_BYTES) -> DataFrame:
+    """``(doc_id, n_ids, ids_crc32, round_trip, ids)``, one row per input row; ids is null unless asked for.
 
-    Whole texts, white space kept. Defined results: a null or empty text is one dummy space; repeated
-    rows come out as often as they come; null ids stay null; an empty table gives no rows; other
-    columns are ignored. Blocks are dealt out once, as rows of parts that both the lattice and the
-    reading use; all grouping and joining below is within a block, so nothing is shuffled again.
+    round_trip tells whether decoding the ids gives the text back; ids_crc32 is over the ids as unsigned
+    little-endian 32-bit integers. Whole texts, white space kept. Equal units are those of equal 64-bit keys within a
+    task's list, and of equal characters across lists. Defined results: a null or empty text is one dummy
+    space; repeated rows come out as often as they come; null ids stay null; an empty table gives no
+    rows; other columns are ignored. Memory of a task is bounded by one list (or the longest text) and by one owner's
+    units; owners grow in number with the rows.
     """
     spark = docs.sparkSession
     pieces, longest, first_byte = piece_table(spark, path)
+    shards = max(shuffle_width(spark), docs.count() // DOCS_PER_OWNER)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # many narrow partitions: one's lattices are grouped by a sort, which should stay in memory
-    blocks = rows.mapInArrow(_blocks(block_bytes), "block bigint, parts array<binary>").repartition(4 * shuffle_width(spark), "block")
-    text, sep = F.decode(F.col("parts")[0], "utf-8"), F.decode(F.col("parts")[3], "utf-8")
-    units = blocks.select("block", F.posexplode(F.split(text, sep)).alias("place", "unit"))
-    answers = encode_units(units, ["block", "place"], pieces, longest, first_byte).select(F.col("block").alias("for_block"), "place", "ids")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return blocks.groupBy("block").cogroup(answers.groupBy("for_block")).applyInArrow(_reader(with_ids, schema), "doc_id bigint, n_ids bigint, ids_crc32 bigint, ids array<int>")
-
-
-def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, text)`` from ``(doc_id, ids)``, by a join of the ids with the piece table.
-
-    Byte pieces give their bytes; the dummy space goes and U+2581 becomes a space. Unknown ids give
-    nothing. Ids are taken as they are listed, so ``doc_id`` should be unique here.
+    blocks = staged(rows.mapInArrow(_blocks(shards, list_bytes), BLOCK_DDL), "unit-lists")
+    asked = blocks.where("shard >= 0").select("shard", "block", "units", "sizes")
+    units = staged(asked.groupBy("shard").applyInArrow(_listed, "shard bigint, place bigint, unit string"), "units")
+    # a shard stays whole from here on: its lattices are grouped and its answers read without another shuffle
+    dealt = units.repartition(max(shuffle_width(spark), shards), "shard")
+    solved = encode_units(dealt, ["shard", "place", "unit"], pieces, longest, first_byte)
+    solved = decode(solved, path, "ids", "again", False).select("shard", "place", "ids", (F.col("again") == F.col("unit")).alias("exact"))
+    answers = asked.groupBy("shard").cogroup(solved.groupBy("shard")).applyInArrow(_answered, ANSWER_DDL)
+    own = blocks.where("shard < 0").select("block", "sizes", "index", "meta")
+    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reader(with_ids), ENCODED_DDL)
+
+
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text", drop_dummy: bool = True) -> DataFrame:
+    """``encoded`` with ``out_col``, the text of a list of ids: every row returns, whatever its id or ids; null ids give null.
+
+    A scalar subquery holds the piece table as one array, which each list is looked up in. Byte pieces
+    give their bytes, U+2581 becomes a space, unknown ids give nothing, and the dummy space goes if asked.
     """
-    pieces, _, first_byte = piece_table(encoded.sparkSession, path)
-    byte = encoded.sparkSession.range(256).select((F.col("id") + first_byte).cast("int").alias("id"), F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("raw"))
+    spark = encoded.sparkSession
+    pieces, _, first_byte = piece_table(spark, path)
+    byte = spark.range(256).select((F.col("id") + first_byte).cast("int").alias("id"), F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("raw"))
     table = pieces.select("id", F.encode("piece", "utf-8").alias("raw")).unionByName(byte)
-    listed = encoded.select(F.col(id_col).alias("doc_id"), F.posexplode("ids").alias("at", "id")).join(F.broadcast(table), "id")
-    raws = listed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("parts"))
-    text = F.decode(F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["raw"])), "utf-8")
-    return raws.select("doc_id", F.regexp_replace(F.regexp_replace(text, f"^{SPACE}", ""), SPACE, " ").alias("text"))
+    slots = spark.range(table.agg(F.max("id")).first()[0] + 1).select(F.col("id").cast("int").alias("id"))
+    listed = slots.join(table, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("raw", F.lit(b"")).alias("raw")))).alias("t")).select(F.col("t.raw"))
+    raws = F.transform(ids_col, lambda i: F.coalesce(F.get(F.col("_pieces"), i), F.lit(b"")))
+    text = F.decode(F.aggregate(raws, F.lit(b""), lambda a, r: F.concat(a, r)), "utf-8")
+    spaced = F.replace(text, F.lit(SPACE), F.lit(" "))
+    if drop_dummy:
+        spaced = F.when(spaced.startswith(" "), F.substr(spaced, F.lit(2))).otherwise(spaced)
+    return encoded.withColumn("_pieces", listed.scalar()).withColumn(out_col, spaced).drop("_pieces")
