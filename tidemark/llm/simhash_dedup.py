@@ -10,14 +10,16 @@ zero pivot and to a two-bit pivot tells how many of these two bits are set. k di
 the coordinates of at most k of the ``k + 3`` pivot groups, so a linked pair agrees on every
 coordinate of some three groups: each choice of three groups gives a join key.
 
-A key that many fingerprints share is not expanded into pairs. Its members go the neighbour way,
-which is exact for two bits and linear: each names itself and the 64 fingerprints one bit away, and
-all members that name the same fingerprint are linked to the smallest of them.
+The groups are as many as keep a key's expected number of unrelated members small, whatever the number
+of fingerprints. A key that many near copies share all the same is not expanded into pairs. Its members go
+the neighbour way, which is exact for two bits and linear: each names itself and the 64 fingerprints one
+bit away, and all members that name the same fingerprint are linked to the smallest of them.
 
 The pipeline's stage needs more: texts of shingle Jaccard 0.8 differ in 9.7 of 64 bits on average, a
-radius at which pivot keys discard next to nothing. ``similar_groups`` takes its candidates from a
-prefix filter over the shingles, which misses no such pair, discards those whose fingerprints are
-far apart, and links what the shingle sets themselves confirm.
+radius at which pivot keys tell next to nothing apart. ``similar_groups`` takes its candidates from BANDS
+keys of ROWS minima of the shingles each, which meet a pair of Jaccard 0.8 with probability
+1 - (1 - 0.8^ROWS)^BANDS = 0.999997; pairs whose distances to a pivot, or whose fingerprints, differ by
+more than FAR_BITS are discarded, and a pair is linked when the shingle sets themselves confirm it.
 """
 
 from __future__ import annotations
@@ -32,16 +34,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.llm.graph import components
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import give_back, mix64, shuffle_width, staged
+from tidemark.llm.tokens import chunks_of_text, spread
+from tidemark.llm.wordkeys import word_keys
 
 ZERO_PIVOT = 0
 PAIR_PIVOTS = tuple(3 << (2 * i) for i in range(32))
 SPREAD_PIVOTS = tuple(int(x) for x in np.random.default_rng(7).integers(0, 2**63, 15, dtype=np.int64))
 BUCKET_PAIRS = 64
+#: Unrelated fingerprints that may share a pivot key on average.
+KEY_MEMBERS = 4
 #: Least Jaccard similarity of shingle sets that ``similar_groups`` links.
 SIMILAR = 0.8
+CHUNK_BYTES = 1_500_000
 #: Candidates further apart are discarded; five standard deviations above the mean at Jaccard 0.8.
 FAR_BITS = 26
+#: Keys of a shingle set, and the minima that make one.
+BANDS, ROWS = 24, 4
+#: Fixed odd factors that give as many orders of the shingles as the keys need.
+FACTORS = np.random.default_rng(23).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bucket centres that a shingle set is compared to in a round of stars, and the rounds.
 CENTRES, STAR_ROUNDS = 4, 2
 
@@ -92,15 +103,28 @@ def distance_table(fp: Column) -> Column:
     return F.array(*(F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)).cast("bigint"))).cast("tinyint") for p in (ZERO_PIVOT, *PAIR_PIVOTS, *SPREAD_PIVOTS)))
 
 
-def _keys(table: Column, bits: int) -> Column:
-    """The join keys: for every three of ``bits + 3`` pivot groups, a hash of these coordinates against the zero pivot's."""
-    groups = np.array_split(np.arange(1, 33), bits + 3)
+def _groups(n: int, bits: int) -> int:
+    """How many pivot groups a key takes, of ``bits`` more: enough that few of ``n`` random fingerprints share one."""
+    chosen = 3
+    while chosen < 12 and n > KEY_MEMBERS * 2 ** (48 * chosen / (chosen + bits)):  # a two-bit pivot tells 1.5 bits
+        chosen += 1
+    return chosen
+
+
+def _keys(table: Column, bits: int, chosen: int = 3) -> Column:
+    """The join keys: for every ``chosen`` of ``bits`` more pivot groups, a hash of their coordinates against the zero pivot's."""
+    groups = np.array_split(np.arange(1, 33), bits + chosen)
     keys = []
-    for n, chosen in enumerate(combinations(groups, 3)):
-        keys.append(F.xxhash64(F.lit(n), *(table[int(i)] - table[0] for g in chosen for i in g)))
+    for n, some in enumerate(combinations(groups, chosen)):
+        keys.append(F.xxhash64(F.lit(n), *(table[int(i)] - table[0] for g in some for i in g)))
     return F.array(*keys)
 
 
+def _furthest(a: str, b: str) -> Column:
+    """The largest difference of two distance tables at any pivot."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda m, x: F.greatest(m, x))
+
+
 def links(fps: DataFrame, bits: int = 2, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """Edges ``(u, v)`` whose components are those of all pairs of distinct ``fp`` within ``bits`` bits.
 
@@ -110,14 +134,15 @@ def links(fps: DataFrame, bits: int = 2, bucket_pairs: int = BUCKET_PAIRS) -> Da
     """
     if bits != 2:
         raise ValueError("the neighbour way for large buckets is exact for two bits")
-    table = fps.select("fp", distance_table(F.col("fp")).alias("far"))
-    keyed = staged(table.select("fp", "far", F.explode(_keys(F.col("far"), bits)).alias("key")), "pivot-keys")
+    n = fps.count()
+    # dealt anew by the row: the keys of a fingerprint are many, and merged partitions would be few
+    table = fps.repartition(max(1, min(8 * shuffle_width(fps.sparkSession), n // 20_000)), "fp").select("fp", distance_table(F.col("fp")).alias("far"))
+    keyed = staged(table.select("fp", F.explode(_keys(F.col("far"), bits, _groups(n, bits))).alias("key")), "pivot-keys")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     met = staged(keyed.join(sizes, "key"), "pivot-buckets")
-    cold = met.where(F.col("members") <= bucket_pairs)
+    cold = met.where(F.col("members") <= bucket_pairs).withColumn("far", distance_table(F.col("fp")))
     a, b = cold.select("key", F.col("fp").alias("u"), F.col("far").alias("fu")), cold.select("key", F.col("fp").alias("v"), F.col("far").alias("fv"))
-    apart = F.aggregate(F.zip_with("fu", "fv", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda m, x: F.greatest(m, x))
-    pairs = a.join(b, "key").where("v < u").where(apart <= bits).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits).select("u", "v")
+    pairs = a.join(b, "key").where("v < u").where(_furthest("fu", "fv") <= bits).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits).select("u", "v")
     hot = met.where(F.col("members") > bucket_pairs).select("fp").distinct()
     flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i)).cast("bigint")) for i in range(64)))
     named = hot.select("fp", F.explode(flips).alias("near"))
@@ -143,25 +168,54 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def _sketching(width: int):
-    """``(doc_id, node, fp, size, prefix)``: node is a hash of the shingle set; prefix, its smallest hashes.
+def _shingle_keys(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key of each distinct word shingle of each text, sorted within the text, and each text's number of them.
 
-    Two sets of Jaccard SIMILAR or more share a hash among the ``size - ceil(SIMILAR * size) + 1``
-    smallest of each, since both are sorted by the same order.
+    A text of fewer than ``width`` words has one shingle, of all its words; one without words has none.
     """
+    words, counts = word_keys(texts)
+    starts = np.cumsum(counts) - counts
+    size = np.minimum(counts, width)
+    n = np.where(counts > 0, counts - size + 1, 0)
+    at = spread(starts, n)
+    keys = np.zeros(len(at), dtype=np.uint64)
+    for i in range(width):
+        inside = i < np.repeat(size, n)
+        keys = np.where(inside, mix64(keys, words[np.minimum(at + i, len(words) - 1)] + np.uint64(i)), keys)
+    of = np.repeat(np.arange(len(counts)), n)
+    order = np.lexsort((keys, of))
+    keys, of = keys[order], of[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+    return keys[new], np.bincount(of[new], minlength=len(counts))
+
+
+def _sketching(width: int):
+    """``(doc_id, node, fp, size, keys)``: node is a hash of the shingle set, fp its SimHash; keys are those of its minima."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for text in b.column(1):
-                h = _shingles(text.as_py(), width)
-                distinct = np.unique(h)
-                n = len(distinct)
-                prefix = distinct[: n - -(-n * 4 // 5) + 1] if n else distinct
-                rows.append((xxhash.xxh64_intdigest(distinct.tobytes()), _majority(h), n, prefix.view(np.int64)))
-            node, fp, size, prefix = zip(*rows) if rows else ((), (), (), ())
-            signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), signed(node), signed(fp), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "size", "prefix"])
+            for first, to, texts in chunks_of_text(b.column(1), CHUNK_BYTES):
+                shingles, n = _shingle_keys(texts, width)
+                full = np.flatnonzero(n > 0)
+                begins = (np.cumsum(n) - n)[full]
+                node, fp = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
+                minima = np.zeros((len(n), BANDS * ROWS), dtype=np.uint64)
+                if len(full):
+                    node[full] = mix64(np.add.reduceat(mix64(shingles, shingles), begins), n[full].astype(np.uint64))
+                    for bit in range(64):
+                        set_in = np.add.reduceat(((shingles >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), begins)
+                        fp[full] |= (2 * set_in > n[full]).astype(np.uint64) << np.uint64(bit)
+                    for k, factor in enumerate(FACTORS):
+                        turned = shingles * factor
+                        minima[full, k] = np.minimum.reduceat(turned ^ (turned >> np.uint64(29)), begins)
+                keys = np.zeros((len(n), BANDS), dtype=np.uint64)
+                for r in range(ROWS):
+                    keys = mix64(keys, minima[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64))
+                signed = lambda x: pa.array(x.view(np.int64))
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * BANDS + 1, BANDS), pa.int32()), signed(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, to - first), signed(node), signed(fp), pa.array(n, pa.int32()), listed], names=["doc_id", "node", "fp", "size", "keys"])
+        give_back()
 
     return run
 
@@ -169,9 +223,11 @@ def _sketching(width: int):
 def _sets(width: int):
     def run(batches):
         for b in batches:
-            sets = [np.unique(_shingles(t.as_py(), width)).tobytes() for t in b.column(0)]
-            nodes = np.array([xxhash.xxh64_intdigest(s) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, pa.binary())], names=["node", "hashes"])
+            for first, to, texts in chunks_of_text(b.column(1), CHUNK_BYTES):
+                shingles, n = _shingle_keys(texts, width)
+                parts = np.split(shingles, np.cumsum(n)[:-1])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, to - first), pa.array([p.tobytes() for p in parts], pa.binary())], names=["node", "hashes"])
+        give_back()
 
     return run
 
@@ -189,22 +245,26 @@ def _similar(batches):
 def _near(a: str, b: str) -> Column:
     """Whether two structs (fp, size) can be of sets of Jaccard SIMILAR or more."""
     sizes = [F.col(f"{x}.size") for x in (a, b)]
-    return (5 * F.least(*sizes) >= 4 * F.greatest(*sizes)) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= FAR_BITS)
+    pivots = (ZERO_PIVOT, *SPREAD_PIVOTS)
+    far = [F.array(*(F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.lit(_signed(p)).cast("bigint"))) for p in pivots)) for x in (a, b)]
+    near = (_furthest(*far) <= FAR_BITS) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= FAR_BITS)
+    return (5 * F.least(*sizes) >= 4 * F.greatest(*sizes)) & near
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``(node, root)`` of the components of all candidate pairs whose shingle sets have Jaccard SIMILAR or more.
+    """``(node, root)`` of the components of the candidate pairs whose shingle sets have Jaccard SIMILAR or more.
 
-    ``nodes`` has distinct ``node`` with ``fp``, ``size`` and ``prefix``. Members of a bucket (a shingle in
-    the prefix) are first compared to the centres of their buckets, which joins up large groups of near
-    copies by few comparisons. Then all pairs of a bucket whose members are still in different
-    components are compared; members of its commonest component aren't paired among themselves.
+    ``nodes`` has distinct ``node`` with ``fp``, ``size``, ``keys`` and the key ``t`` of a text, ``texts``
+    the texts by ``t``. Members of a bucket (a key) are first compared to the centres of their buckets, which joins up
+    large groups of near copies by few comparisons. Then the members of a bucket that are still in other
+    components than its commonest one are compared to the rest of the bucket.
     """
-    keyed = nodes.select(F.explode("prefix").alias("key"), F.struct("node", "fp", "size").alias("m"))
+    keyed = nodes.select(F.explode("keys").alias("key"), F.struct("node", "fp", "size").alias("m"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     met = staged(keyed.join(shared, "key"), "shingle-buckets")
     some = met.select(F.col("m.node").alias("node")).distinct()
-    rows = texts.mapInArrow(_sets(width), "node bigint, hashes binary").join(some, "node", "left_semi")
+    wanted = nodes.select("t", "node").join(some, "node", "left_semi")
+    rows = texts.join(wanted, "t").select("node", "text").mapInArrow(_sets(width), "node bigint, hashes binary")
     sets = staged(rows.groupBy("node").agg(F.first("hashes").alias("hashes")), "shingle-sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -243,10 +303,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as in ``near_duplicate_groups``.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = staged(rows.mapInArrow(_sketching(width), "doc_id bigint, node bigint, fp bigint, size int, prefix array<bigint>"), "sketches")
+    # a text's own key, to find one text for each set of shingles again without moving the others
+    named = rows.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text", "doc_id")
+    sketched = named.select(F.struct("doc_id", "t").alias("doc_id"), "text").mapInArrow(_sketching(width), "doc_id struct<doc_id: bigint, t: bigint>, node bigint, fp bigint, size int, keys array<bigint>")
+    sketched = staged(sketched.select("doc_id.*", "node", "fp", "size", "keys"), "sketches")
     firsts = sketched.groupBy("node").agg(F.min("doc_id").alias("first"))
-    nodes = sketched.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "size", "prefix")))
-    roots = similar_links(nodes, rows.select("text"), width)
+    nodes = sketched.groupBy("node").agg(F.first(F.struct("fp", "size", "keys")).alias("f"), F.min("t").alias("t")).select("node", "f.*", "t")
+    nodes = staged(nodes, "shingle-nodes")
+    roots = similar_links(nodes, named.select("t", "text"), width)
     rooted = staged(firsts.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "shingle-roots")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(smallest, "root").select("node", "component_id")
