@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as g
 from tidemark.functions import hashing, text
-from tidemark.operators import folds, models, privacy, semantics, sessions, snapshots, validation, vision
+from tidemark.operators import folds, models, names, privacy, semantics, sessions, snapshots, validation, vision
 from tidemark.plans import planner, prompts
 from tidemark.sources import pages
 
@@ -74,25 +74,11 @@ def test_header_inside_a_section_is_no_banner(spark):
     assert [r["role"] for r in found.where("tag = 'header'").orderBy("node").collect()] == ["banner", None]
 
 
-@pytest.mark.parametrize(
-    "html, tag, name, source",
-    [
-        ('<b id=x>One</b><b id=y>Two</b><button aria-labelledby="y x y nope">no</button>', "button", "Two One", "aria-labelledby"),
-        ("<button aria-label=' Go  now '>no</button>", "button", "Go now", "aria-label"),
-        ("<label for=q>Find</label><input id=q>", "input", "Find", "label"),
-        ("<label>Mail <input></label>", "input", "Mail", "label"),
-        ("<img alt=Tree>", "img", "Tree", "alt"),
-        ("<input type=submit>", "input", "Submit", "value"),
-        ("<a href=/x>Read <i>more</i></a>", "a", "Read more", "contents"),
-        ("<a href=/x title=Tip></a>", "a", "Tip", "title"),
-        ("<button aria-hidden=true>x</button>", "button", "", None),
-    ],
-)
-def test_accessible_names(spark, html, tag, name, source):
-    ids = nodes_of(spark, html)
-    named = semantics.accessible_names(ids).join(ids.select("page_id", "node", "tag"), ["page_id", "node"])
-    r = named.where(F.col("tag") == tag).first()
-    assert (r["name"], r["name_source"]) == (name, source)
+def test_names_stream_in_page_order_and_end_at_the_limits(spark):
+    many = spark.createDataFrame([(i, f"<button>b{i} <i>x</i></button>" * 3) for i in range(500)] + [(900, "<div>" * 10_000 + "<button>deep</button>")], "page_id bigint, html string")
+    rows = names.in_order(pages.nodes(many)).where("tag = 'button'").collect()
+    assert len(rows) == 1501 and all(r["name"] == f"b{r['page_id']} x" for r in rows if r["page_id"] < 900)
+    assert [r["status"] for r in rows if r["page_id"] == 900] == ["limited"]
 
 
 def test_references_and_labels(spark):

@@ -3,9 +3,9 @@
 import pytest
 
 import __spark_entry__
-from tidemark.plans import page_queries, table_queries
+from tidemark.plans import MODULES
 
-QUERIES, SQL = page_queries.QUERIES | table_queries.QUERIES, page_queries.SQL | table_queries.SQL
+QUERIES, SQL = ({k: v for m in MODULES for k, v in getattr(m, name).items()} for name in ("QUERIES", "SQL"))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_LABEL = 120
+# The characters that a label can't show, and those that are white space in any language.
+UNPRINTABLE = r"\x{0}-\x{1F}\x{7F}-\x{9F}\x{200B}-\x{200F}\x{2028}\x{2029}\x{202A}-\x{202E}\x{2060}\x{2066}-\x{2069}\x{FEFF}"
+WHITE = r"\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 ID_LIMIT = 80
 
 
@@ -15,10 +18,14 @@ def flat(text: Column) -> Column:
 
 
 def sanitize_label(text: Column, limit: int = MAX_LABEL) -> Column:
-    """One printable line: control, bidi and zero-width characters are spaces; cut by code points with an ellipsis."""
-    clean = F.regexp_replace(text, r"[\x{0}-\x{1F}\x{7F}-\x{9F}\x{AD}\x{61C}\x{200B}-\x{200F}\x{2028}-\x{202E}\x{2060}-\x{2069}\x{FEFF}]", " ")
-    line = F.trim(F.regexp_replace(clean, r"\s+", " "))
-    return F.when(F.length(line) > limit, F.concat(F.substring(line, 1, limit - 1), F.lit("…"))).otherwise(line)
+    """One printable line: control, bidi and zero-width characters are spaces.
+
+    A line of more than ``limit`` UTF-16 units is cut to as many characters less one, and an ellipsis.
+    """
+    clean = F.regexp_replace(text, rf"[{UNPRINTABLE}]", " ")
+    line = F.trim(F.regexp_replace(clean, rf"[{WHITE}]+", " "))
+    units = F.length(line) + F.length(F.regexp_replace(line, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return F.when(units > limit, F.concat(F.substring(line, 1, limit - 1), F.lit("…"))).otherwise(line)
 
 
 def quoted(text: Column) -> Column:

@@ -63,3 +63,68 @@ def keep_clear(entries: Column) -> Column:
     """Of an array of (outcome, value): the clear values, and how many were held back."""
     clear = F.filter(entries, lambda e: e["outcome"] == "clear")
     return F.struct(F.transform(clear, lambda e: e["value"]).alias("kept"), (F.size(entries) - F.size(clear)).alias("withheld"))
+
+
+def evidence_for(source: Column, told: Column) -> Column:
+    """Where a text was read: as told, else by OCR for what a detector saw, else from the page."""
+    return F.coalesce(told, F.when(source == "vision", "ocr").otherwise("dom_text"))
+
+
+def redacted_element(c: Column, index: Column) -> Column:
+    """``(outcome, reason, name, value_state, value, pii_class)`` of a raw element.
+
+    ``c`` has id, role, finite (its box is), name, has_value, value and input_type. An element without id or role, or
+    with a box that isn't finite, is withheld with a reason; one that claims a value and has none is invalid. A name
+    shows only if it is empty, a value never.
+    """
+    name, value = decide(c["name"], F.lit(None).cast("string"), F.lit(False)), decide(c["value"], c["input_type"], F.lit(True))
+    nothing = F.lit(None).cast("string")
+    shown = redacted_value(name, index)
+
+    def row(outcome: str, reason, text=nothing, state=nothing, told=nothing, kind=nothing) -> Column:
+        return F.struct(F.lit(outcome).alias("outcome"), reason.alias("reason"), text.alias("name"), state.alias("value_state"), told.alias("value"), kind.alias("pii_class"))
+
+    blank = lambda k: F.coalesce(c[k], F.lit("")) == ""
+    return (
+        F.when(blank("id") | blank("role"), row("withheld", F.lit("missing id or role")))
+        .when(~c["finite"], row("withheld", F.lit("non-finite bbox")))
+        .when(c["has_value"] & c["value"].isNull(), row("invalid", F.lit("no value")))
+        .when(~c["has_value"], row("ok", nothing, shown))
+        .when(c["value"] == "", row("ok", nothing, shown, F.lit("empty"), F.lit("")))
+        .otherwise(row("ok", nothing, shown, F.lit("redacted"), redacted_value(value, index), value["pii_class"]))
+    )
+
+
+def withheld_crop(document: Column) -> Column:
+    """A crop is always withheld, with one finding for its whole region."""
+    values = {"outcome": "withheld", "evidence": "ocr", "pii_class": "other", "detector": "stub", "decision": "withhold"}
+    return F.struct(*(F.lit(v).alias(k) for k, v in values.items()), document.alias("doc_id"), F.lit(1.0).alias("confidence"), F.lit(True).alias("synthetic"))
+
+
+def binding_key(task: Column, origin: Column, document: Column, targets: Column, operations: Column) -> Column:
+    """One text for bindings that allow the same, in whatever order they list it."""
+    return F.to_json(F.array(*(F.to_json(F.struct(x.alias("v"))) for x in (task, origin, document, F.array_sort(targets), F.array_sort(operations)))))
+
+
+def created_scopes(wanted: DataFrame, live: DataFrame) -> DataFrame:
+    """Adds outcome to wanted scopes (scope_id, task_id, tab_id): invalid without all three ids, refused while one of that id lives."""
+    there = live.select("scope_id").distinct().withColumn("_there", F.lit(True))
+    empty = F.lit(False)
+    for k in ("scope_id", "task_id", "tab_id"):
+        empty = empty | (F.coalesce(k, F.lit("")) == "")
+    out = wanted.join(there, "scope_id", "left")
+    return out.withColumn("outcome", F.when(empty, "invalid").when(F.col("_there"), "scope_already_exists").otherwise("ok")).drop("_there")
+
+
+def live_scopes(scopes: DataFrame, now: Column, idle: str, ended: DataFrame, closed: DataFrame) -> DataFrame:
+    """Scopes (scope_id, tab_id, last_activity) that were not ended, whose tab is open, and that were not idle for ``idle``."""
+    left = scopes.join(ended.select("scope_id"), "scope_id", "left_anti").join(closed.select("tab_id"), "tab_id", "left_anti")
+    return left.where(now < F.col("last_activity") + F.expr(f"interval {idle}"))
+
+
+def entry_counts(wanted: DataFrame, live: DataFrame, entries: DataFrame) -> DataFrame:
+    """Adds ``(has_scope, entries)`` to scope ids: what a scope that isn't there holds is 0."""
+    counted = entries.groupBy("scope_id").agg(F.count("*").alias("_n"))
+    there = live.select("scope_id", F.lit(True).alias("has_scope")).join(counted, "scope_id", "left")
+    out = wanted.join(there, "scope_id", "left")
+    return out.withColumn("has_scope", F.coalesce("has_scope", F.lit(False))).withColumn("entries", F.when(F.col("has_scope"), F.coalesce("_n", F.lit(0).cast("bigint"))).otherwise(0).cast("bigint")).drop("_n")

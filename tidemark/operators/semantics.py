@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +37,11 @@ def _lookup(values: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 
 
+# The native flags and aria states of a snapshot.
+STATE_FLAGS = {"disabled": "disabled", "checked": "checked", "selected": "selected", "multiple": "multiple", "required": "required", "readOnly": "readonly"}
+STATE_ARIA = ("expanded", "invalid", "checked", "selected", "required", "readonly", "disabled")
+
+
 def has(name: str) -> Column:
     return F.col("attrs")[name].isNotNull()
 
@@ -144,103 +148,35 @@ def label_targets(nodes: DataFrame) -> DataFrame:
     """``(page_id, target, labels)``: each labelled control and its labels in tree order."""
     labels = nodes.where("tag = 'label'")
     first = nodes.where(F.col("attrs")["id"].isNotNull()).groupBy("page_id", "context", F.col("attrs")["id"].alias("id")).agg(F.min("node").alias("target"))
-    by_id = labels.where(has("for")).select("page_id", "context", "node", F.col("attrs")["for"].alias("id")).join(first, ["page_id", "context", "id"]).select("page_id", "node", "target")
+    can = nodes.where(labelable()).select("page_id", F.col("node").alias("target"))
+    by_id = labels.where(has("for")).select("page_id", "context", "node", F.col("attrs")["for"].alias("id")).join(first, ["page_id", "context", "id"]).select("page_id", "node", "target").join(can, ["page_id", "target"], "left_semi").select("page_id", "node", "target")
     inner = nodes.where(labelable()).select("page_id", F.col("node").alias("target"), F.explode("path").alias("node"))
     nested = labels.where(~has("for")).select("page_id", "node").join(inner, ["page_id", "node"]).groupBy("page_id", "node").agg(F.min("target").alias("target"))
     return by_id.unionByName(nested).groupBy("page_id", "target").agg(F.sort_array(F.collect_list("node")).alias("labels"))
 
 
-def _name(node, by_id, children, labels, seen, follow):
-    """The name of one node and where it came from; the first rule that gives text wins."""
-    row, attrs = node, node["attrs"]
-    if row["tag"] == "#text":
-        return row["text"], "contents"
-    if not follow and (attrs.get("aria-hidden") == "true" or "hidden" in attrs):
-        return "", None
-    if not follow and attrs.get("aria-labelledby"):
-        ids = list(dict.fromkeys(attrs["aria-labelledby"].split()))
-        text = " ".join(_name(by_id[i], by_id, children, labels, seen | {row["node"]}, True)[0] for i in ids if i in by_id).split()
-        if text:
-            return " ".join(text), "aria-labelledby"
-    kind = (attrs.get("type") or "text").lower() if row["tag"] == "input" else None
-    if attrs.get("aria-label", "").strip():
-        return " ".join(attrs["aria-label"].split()), "aria-label"
-    if row["node"] in labels and row["node"] not in seen:
-        text = " ".join(" ".join(_content(x, by_id, children, labels, seen | {row["node"]}) for x in labels[row["node"]]).split())
-        if text:
-            return text, "label"
-    if (row["tag"] in ("img", "area") or kind == "image") and attrs.get("alt", "").strip():
-        return " ".join(attrs["alt"].split()), "alt"
-    if kind in ("button", "submit", "reset"):
-        text = " ".join(attrs.get("value", {"submit": "Submit", "reset": "Reset"}.get(kind, "")).split())
-        if text:
-            return text, "value"
-    if row["tag"] in ("fieldset", "figure", "table"):
-        part = {"fieldset": "legend", "figure": "figcaption", "table": "caption"}[row["tag"]]
-        own = next((c for c in children.get(row["node"], []) if c["tag"] == part), None)
-        text = " ".join(_content(own, by_id, children, labels, seen).split()) if own else ""
-        if text:
-            return text, "child"
-    if follow or row["role"] in NAMED_BY_CONTENT or row["role"] is None:
-        text = " ".join(_content(row, by_id, children, labels, seen).split())
-        if text:
-            return text, "contents"
-    title = " ".join(attrs.get("title", "").split())
-    return (title, "title") if title else ("", None)
-
-
-def _content(node, by_id, children, labels, seen):
-    if node["node"] in seen:
-        return ""
-    out = []
-    for c in children.get(node["node"], []):
-        text = c["text"] if c["tag"] == "#text" else _name(c, by_id, children, labels, seen | {node["node"]}, False)[0] or ""
-        out.append(text if c["tag"] in ("#text", "a", "b", "i", "em", "span", "strong", "small", "code") else f" {text} ")
-    return "".join(out)
-
-
-def accessible_names(nodes: DataFrame) -> DataFrame:
-    """``(page_id, node, role, name, name_source)`` of all elements.
-
-    Names refer to other nodes and recurse, so a page is named by one Python call over its rows; a
-    page is the unit that Spark deals out. Roles come from the built-in expressions above.
-    """
-    roles = with_roles(nodes).select("page_id", "node", "role")
-    rows = nodes.join(roles, ["page_id", "node"], "left").select("page_id", "node", "parent", "tag", "text", "role", F.to_json("attrs").alias("attrs"))
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        import json
-
-        page = page.sort_values("node")
-        items = [r._asdict() | {"attrs": json.loads(r.attrs) if r.attrs else {}} for r in page.itertuples(index=False)]
-        for r in items:
-            r["parent"] = None if pd.isna(r["parent"]) else int(r["parent"])
-            r["role"] = r["role"] if isinstance(r["role"], str) else None
-        children, by_id, labels = {}, {}, {}
-        by_node = {r["node"]: r for r in items}
-        for r in items:
-            children.setdefault(r["parent"], []).append(r)
-            if r["attrs"].get("id"):
-                by_id.setdefault(r["attrs"]["id"], r)
-        can = {r["node"] for r in items if r["tag"] in LABELABLE or (r["tag"] == "input" and r["attrs"].get("type") != "hidden")}
-        for r in (x for x in items if x["tag"] == "label"):
-            target = by_id.get(r["attrs"].get("for"))
-            if "for" not in r["attrs"]:
-                below = [r]
-                while below and target is None:
-                    x = below.pop(0)
-                    target = x if x["node"] in can else None
-                    below = children.get(x["node"], []) + below
-            if target is not None:
-                labels.setdefault(target["node"], []).append(r)
-        out = []
-        for r in by_node.values():
-            if r["tag"] != "#text":
-                name, source = _name(r, by_id, children, labels, frozenset(), False) if r["role"] not in NEVER_NAMED else ("", None)
-                out.append((r["page_id"], r["node"], r["role"], name, source))
-        return pd.DataFrame(out, columns=["page_id", "node", "role", "name", "name_source"])
-
-    return rows.groupBy("page_id").applyInPandas(run, "page_id bigint, node int, role string, name string, name_source string")
+def live_value(tag: Column, attrs: Column) -> Column:
+    """The value of an input, text area or select as its attribute tells it; a password is never read."""
+    kind = F.lower(F.coalesce(attrs["type"], F.lit("text")))
+    return F.when(tag.isin("input", "textarea", "select") & ~((tag == "input") & (kind == "password")), F.coalesce(attrs["value"], F.lit("")))
+
+
+def native_state(attrs: Column) -> Column:
+    """The state flags and aria states that are set, as one map."""
+    flags = F.filter(F.array(*(F.when(F.map_contains_key(attrs, a), F.struct(F.lit(k).alias("k"), F.lit("true").alias("v"))) for k, a in STATE_FLAGS.items())), lambda e: e.isNotNull())
+    aria = F.filter(F.array(*(F.when(attrs[f"aria-{k}"].isNotNull(), F.struct(F.lit(f"aria-{k}").alias("k"), attrs[f"aria-{k}"].alias("v"))) for k in STATE_ARIA)), lambda e: e.isNotNull())
+    return F.map_from_entries(F.concat(flags, aria))
+
+
+def snapshots(nodes: DataFrame) -> DataFrame:
+    """``(page_id, node, state, value, parent)`` of candidates: what a later scan is compared with; parent is an element."""
+    return candidates(nodes).select("page_id", "node", native_state(F.col("attrs")).alias("state"), live_value(F.col("tag"), F.col("attrs")).alias("value"), "parent")
+
+
+def snapshot_key(s: Column) -> Column:
+    """One text for equal snapshots: the state's entries in order, the value and the parent."""
+    state = F.array_sort(F.map_entries(s["state"]))
+    return F.to_json(F.struct(state.alias("state"), s["value"].alias("value"), s["parent"].alias("parent")), {"ignoreNullFields": "false"})
 
 
 def evidence(nodes: DataFrame) -> DataFrame:

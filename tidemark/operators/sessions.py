@@ -49,9 +49,9 @@ def replies(requests: DataFrame, answers: DataFrame, key: str, request_id: str,
     r = requests.select(F.col(key), F.col(at), F.col(request_id).alias("id"), F.lit(1).alias("is_request"))
     a = answers.select(F.col(key), F.col(at), F.col(request_id).alias("id"), F.lit(0).alias("is_request"))
     both = r.unionByName(a)
-    # range frame: strictly later instants only
-    later = W.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(1, W.unboundedFollowing)
-    reply = F.first(F.when(F.col("is_request") == 0, F.struct(F.col(at).alias("at"), "id")), ignorenulls=True).over(later)
+    # latest first, so the frame only grows: of the strictly later instants it met last the answer that comes first
+    later = W.partitionBy(key).orderBy(F.desc(F.unix_micros(F.col(at).cast("timestamp")))).rangeBetween(W.unboundedPreceding, -1)
+    reply = F.last(F.when(F.col("is_request") == 0, F.struct(F.col(at).alias("at"), "id")), ignorenulls=True).over(later)
     smallest = both.withColumn("reply", reply).where("is_request = 1")
     in_time = F.col("reply.at") <= F.col(at) + F.expr(f"interval {timeout}")
     return smallest.select(F.col(key), F.col("id").alias("request"), F.col(at).alias("asked"), F.when(in_time, F.col("reply.at")).alias("answered"))

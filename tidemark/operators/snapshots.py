@@ -21,6 +21,16 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]
     return both.withColumn("change", change).where("change is not null").select(*keys, "change", "before", "after")
 
 
+def order_key(change: Column, key: Column) -> Column:
+    """What changes are listed by: added and changed ones as a dictionary has them, case last, removed ones by their characters."""
+    return F.struct(F.when(change == "removed", key).otherwise(F.lower(key)).alias("by"), key.alias("key"))
+
+
+def ordered(changes: DataFrame, key: str) -> DataFrame:
+    """The changes in the order in which they are told: a range sort, so no task gets them all."""
+    return changes.orderBy("change", order_key(F.col("change"), F.col(key)))
+
+
 def apply(before: DataFrame, changes: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """The snapshot after ``changes``: rows they name go, and come back as they say."""
     kept = before.join(changes.select(*keys), keys, "left_anti").select(*keys, *values)

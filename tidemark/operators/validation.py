@@ -13,17 +13,23 @@ SAFE_INTEGER = 2**53 - 1
 ERRORS = [
     ("invalid_request", 400, False),
     ("unsupported_version", 400, False),
-    ("session_not_found", 404, False),
-    ("session_expired", 410, False),
-    ("resync_required", 409, True),
+    ("session_expired", 404, True),
+    ("unauthorized", 401, False),
     ("rate_limited", 429, True),
     ("unavailable", 503, True),
+    ("resync_required", 409, True),
 ]
 
 
 def parsed(raw: Column) -> Column:
-    """The JSON as a variant; null for text that is no JSON, has NaN or repeats a key."""
-    return F.try_parse_json(raw)
+    """The JSON as a variant; null for text that is no JSON, has NaN or repeats a key.
+
+    Spark's parser stops after the first value. Text with more after it is found out by reading it once
+    as an array's only item and once as an object's only value: no text closes both too early.
+    """
+    item = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
+    value = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}")))
+    return F.when(F.size(item) == 1, F.try_variant_get(value, "$.v", "variant"))
 
 
 def kind(value: Column) -> Column:
@@ -76,4 +82,27 @@ def error_rows(rejects: DataFrame, spark: SparkSession) -> DataFrame:
 def capped_body(raw: Column, limit: int = 5 * 1024 * 1024) -> Column:
     """Why a body is refused before it is read: too large, no UTF-8 or no JSON; null if it can be."""
     text = F.try_validate_utf8(raw.cast("string"))
-    return F.when(F.octet_length(raw) > limit, "too_large").when(text.isNull(), "not_utf8").when(F.try_parse_json(text).isNull(), "not_json")
+    return F.when(F.octet_length(raw) > limit, "too_large").when(text.isNull(), "not_utf8").when(parsed(text).isNull(), "not_json")
+
+
+def preference(value: Column) -> Column:
+    """A stored preference variant: a boolean as it is, anything else is off."""
+    return F.coalesce(F.when(kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean")), F.lit(False))
+
+
+def theme(value: Column) -> Column:
+    """A known theme, else the system's."""
+    return F.when(value.isin("light", "dark", "system"), value).otherwise("system")
+
+
+def image_code(width: Column, height: Column, region: Column) -> Column:
+    """Why an image and a region of it (x, y, w, h; null: the whole) can't be looked at, or null."""
+    whole = lambda v: v.isNotNull() & (v == F.floor(v)) & (v >= 1)
+    finite = F.lit(True)
+    for k in "xywh":
+        finite = finite & region[k].isNotNull() & ~F.isnan(region[k]) & (F.abs(region[k]) < F.lit(float("inf")))
+    inside = (region["x"] >= 0) & (region["y"] >= 0) & (region["x"] + region["w"] <= width) & (region["y"] + region["h"] <= height)
+    return (
+        F.when(~(whole(width) & whole(height)), "image dimensions").when(region.isNull(), None).when(~finite, "region not finite")
+        .when((region["w"] < 1) | (region["h"] < 1), "region without size").when(~inside, "region outside")
+    )

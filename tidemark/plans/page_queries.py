@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import fnv1a
 from tidemark.functions.text import flat
-from tidemark.operators import semantics
+from tidemark.operators import names, semantics
 from tidemark.sources import pages as scan
 from tidemark.sources.tables import table
 
@@ -69,8 +69,8 @@ def evidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accessible_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of all links and headings, by the full name rules."""
-    names = semantics.accessible_names(scan.nodes(table(spark, sf_dir, "pages")))
-    return names.where("role in ('link', 'heading')").groupBy("page_id", "role", "name_source").agg(F.count("*").alias("n"), F.sum(F.length("name")).cast("bigint").alias("n_chars"))
+    found = names.in_order(scan.nodes(table(spark, sf_dir, "pages")))
+    return found.where("role in ('link', 'heading')").groupBy("page_id", "role", "name_source").agg(F.count("*").alias("n"), F.sum(F.length("name")).cast("bigint").alias("n_chars"))
 
 
 def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +131,12 @@ SQL = {
     "evidence_counts": f"""
         with {_TAGS}, a as (select page_id, count(*) filter (where regexp_matches(raw, '^\\S+\\s+[^\\s/]')) as n_attributed from t where not closes group by page_id)
         select page_id, n_attributed, cast(length(trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '[\\t\\n\\f\\r ]+', ' ', 'g'))) as bigint) as n_chars from a join s using (page_id)""",
+    "accessible_names": f"""
+        with s as (select page_id, {_STRIP} as body from pages),
+        h as (select page_id, 'heading' as role, unnest(regexp_extract_all(body, '(?is)<h([1-6])\\b[^>]*>(.*?)</h[1-6]\\s*>', 2)) as inside from s
+            union all select page_id, 'link', unnest(regexp_extract_all(body, '(?is)<a\\b[^>]*\\bhref="[^"]*"[^>]*>(.*?)</a\\s*>', 1)) from s),
+        n as (select page_id, role, trim(regexp_replace(replace(replace(replace(regexp_replace(inside, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\\t\\n\\f\\r ]+', ' ', 'g')) as name from h)
+        select page_id, role, case when name = '' then 'none' else 'contents' end as name_source, count(*) as n, cast(sum(length(name)) as bigint) as n_chars from n group by all""",
     "fnv_hash": """
         select page_id, list_reduce(list_prepend(cast(2166136261 as bigint), list_transform(string_split(url, ''), lambda c: cast(ascii(c) as bigint))),
             lambda h, c: (xor(h, c) * cast(16777619 as bigint)) & cast(4294967295 as bigint)) as hash from pages""",

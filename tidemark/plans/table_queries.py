@@ -52,7 +52,7 @@ def redact_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _emails(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@")))
     return docs.select("source", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("pos", "value")).withColumn("pii_class", F.lit("email"))
 
 
@@ -102,8 +102,8 @@ def ttl_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ttl_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _sessions(spark, sf_dir, "12 hours")
-    now = e.agg(F.max("ts").alias("now"))
-    s = sessions.summary(e, "user_id", "ts", "12 hours", F.lit(now.first()["now"]))
+    newest = e.agg(F.max("ts").alias("now")).scalar()
+    s = sessions.summary(e, "user_id", "ts", "12 hours", newest)
     return s.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.count_if("expired").alias("n_expired"), F.max("events").alias("longest"))
 
 
@@ -207,12 +207,6 @@ def random_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", F.col("d")[0].alias("d1"), F.col("d")[1].alias("d2"), F.col("d")[2].alias("d3"))
 
 
-def fake_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("image").alias("frame"), (F.col("s_suppkey") % 800 + 100).alias("width"), (F.col("s_suppkey") % 600 + 100).alias("height"))
-    found = vision.detections(images)
-    return found.select("id", F.col("n").cast("bigint").alias("n"), F.col("item").cast("bigint").alias("item"), "x", "y", "w", "h", "class", "conf")
-
-
 def coverage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     status = F.when(F.col("n_chars") < 400, "empty").when(F.col("doc_id") % 5 == 0, "unavailable").otherwise("ok")
@@ -294,7 +288,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snapshot_diff, diff_summary, apply_diff_roundtrip, observation_baselines, redact_decision, intern_placeholders, intern_capacity, binding_dedup, last_five_turns, memory_lines, plan_steps, ttl_sessions, ttl_expiry,
-        companion_states, host_leases, host_states, validate_props, reject_codes, reply_correlation, timeouts, clip_boxes, box_predicates, round_out, compose_identity, placement_choice, box_hulls, random_draws, fake_detections,
+        companion_states, host_leases, host_states, validate_props, reject_codes, reply_correlation, timeouts, clip_boxes, box_predicates, round_out, compose_identity, placement_choice, box_hulls, random_draws,
         coverage_flags, ocr_confidence, linear_probe, planner_actions, missing_targets, catalog_search, element_lines, flat_labels, history_results, identity_rejects,
     )
 }
@@ -390,7 +384,7 @@ SQL = {
             when try_cast(json_extract_string(props, '$.k') as double) between 0 and 49 then 'ok' else 'out_of_range' end as code from events""",
     "reject_codes": """
         with c as (select case when value < 10 then 'rate_limited' when event_type = 'error' then 'unavailable' when event_id % 100 = 0 then 'session_expired' end as code from events)
-        select code, cast(case code when 'rate_limited' then 429 when 'unavailable' then 503 else 410 end as bigint) as status, code <> 'session_expired' as retryable, count(*) as n from c where code is not null group by code""",
+        select code, cast(case code when 'rate_limited' then 429 when 'unavailable' then 503 else 404 end as bigint) as status, true as retryable, count(*) as n from c where code is not null group by code""",
     "reply_correlation": f"with {_REPLIES} select user_id, request, asked, answered from m",
     "timeouts": f"with {_REPLIES} select user_id, count(*) as n, count(*) filter (where answered is null) as n_timed_out from m group by user_id",
     "clip_boxes": f"""

@@ -16,6 +16,9 @@ from pyspark.sql import Window as W
 
 IGNORED = ("script", "style", "template", "noscript")
 SECTIONS = ("article", "aside", "main", "nav", "section")
+# Which open elements a start tag ends, and the elements that keep it from ending any outside.
+IMPLIED = {"p": ("p",), "li": ("li",), "option": ("option",), "optgroup": ("option", "optgroup"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+WITHIN = {"p": ("div", "td", "li", "section", "article", "body"), "li": ("ul", "ol"), "option": ("select", "optgroup"), "optgroup": ("select",), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TAG = r"(?i)<(/?[a-z][a-z0-9]*\b[^>]*)>"
 
@@ -69,8 +72,8 @@ class _Walker(HTMLParser):
             return
         if self.mute:
             return
-        if tag == "p":
-            self._close("p", stop=("div", "td", "li", "section", "article", "body"))
+        for ended in IMPLIED.get(tag, ()):
+            self._close(ended, stop=WITHIN[tag])
         held = {k: v or "" for k, v in reversed(attrs)}
         node = self._row(tag, held, None)
         if tag == "iframe" and "srcdoc" in held:
