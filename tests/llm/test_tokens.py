@@ -66,13 +66,13 @@ def test_packing_of_documents_and_of_nothing(docs_of, edge_rows):
 @functools.cache
 def model():
     m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    score = {m.id_to_piece(i): (i, -float(np.log(10 - m.get_score(i)))) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
+    score = {m.id_to_piece(i): (i, -round(float(np.log(10 - m.get_score(i))) * 65536)) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
     return score, max(map(len, score)), m.piece_to_id("<0x00>")
 
 
 def viterbi(unit):
     score, longest, first_byte = model()
-    best = [(0.0, 0, [])]
+    best = [(0, 0, [])]
     for to in range(1, len(unit) + 1):
         reach = []
         for start in range(max(0, to - longest), to):
@@ -81,7 +81,7 @@ def viterbi(unit):
                 reach.append((best[start][0] + score[piece][1], -start, [score[piece][0]]))
             elif to - start == 1:
                 raw = piece.encode()
-                reach.append((best[start][0] - 20.0 * len(raw), -start, [first_byte + b for b in raw]))
+                reach.append((best[start][0] - 20 * 65536 * len(raw), -start, [first_byte + b for b in raw]))
         s, back, own = max(reach, key=lambda r: r[:2])
         best.append((s, back, best[-back][2] + own))
     return best[-1][2]

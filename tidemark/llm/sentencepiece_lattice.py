@@ -1,19 +1,20 @@
 """SentencePiece encoding and decoding as relations.
 
-A text is cut into units, each the white space before a word and the word; a space stands before each
-text. Every task lists the distinct units of its texts, and owners, a hash range of units each, list those
+A space stands before each text, and a text is cut into units wherever no piece could cross: between two
+characters that stand side by side in no piece of the model. So a unit is mostly the space before a word and
+the word, or a mark after it. Every task lists the distinct units of its texts, and owners, a hash range of units each, list those
 of the whole table once. A unit's substrings of at most the longest piece's length are exploded and
 equi-joined to the piece table, which gives the edges of its lattice; a character that is no piece gets an
-edge of its bytes' pieces. The edges are grouped by unit, and a fold over the positions keeps the best score
+edge of its bytes' pieces. The edges are grouped by unit, and a fold over the positions keeps the least cost
 and the edge that reached it; a second fold walks back. Owners answer the tasks' lists in order, and each
 list's texts read their ids off the answers.
 
-A unit of more than SPAN characters is folded span by span; what a span hands on are the best scores of
+A unit of more than SPAN characters is folded span by span; what a span hands on are the least costs of
 its last positions, as many as the longest piece is long, so no piece is kept from crossing into the next.
 
-The score of a segmentation is the sum of its pieces' scores, as in a unigram model. A BPE model's
-file has merge ranks for scores; ``piece_table`` turns rank r into -log(r + 10), a Zipf estimate of
-how likely the piece is. So the ids are the best segmentation into the model's pieces; BPE merging
+The cost of a segmentation is the sum of its pieces' costs, as in a unigram model. A BPE model's
+file has merge ranks for scores; ``piece_table`` turns rank r into log(r + 10), in steps of 1 / COSTS, as
+the piece's cost: a Zipf estimate of how likely it is. So the ids are the best segmentation into the model's pieces; BPE merging
 may choose another one. Ties go to the edge with the earliest start.
 """
 
@@ -31,10 +32,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import from_planes, give_back, planes, shuffle_width, staged
 from tidemark.llm.tokens import chunks_of_text, spread
-from tidemark.llm.wordkeys import SPACE_BYTES, bytes_of, segment_keys
+from tidemark.llm.wordkeys import bytes_of, segment_keys
 
 SPACE = "▁"
-BYTE_SCORE = -20.0
+#: Costs are whole numbers, so many to a unit of log probability; a byte costs as much as 20 units.
+COSTS = 1 << 16
+BYTE_COST = 20 * COSTS
+#: An edge is one number: where it ends in its span, its size, its cost, and its id or, if it has none, its character.
+TO, SIZE, COST, NO_PIECE = 1 << 52, 1 << 46, 1 << 22, 1 << 21
 SPAN = 256
 CHUNK_BYTES = 3_000_000
 #: A task begins a new list of units after so many bytes of text.
@@ -50,21 +55,34 @@ ENCODED = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32"
 ENCODED_DDL = "doc_id bigint, n_ids bigint, ids_crc32 bigint, round_trip boolean, ids array<int>"
 
 
-def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
-    """``(piece, id, score)`` of the model's ordinary pieces, the longest piece's length, the first byte piece's id."""
+def _pieces(path: str) -> tuple[list[tuple[str, int, float]], int]:
+    """``(piece, id, rank score)`` of the model's ordinary pieces, and the first byte piece's id."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
-    rows, first_byte = [], -1
-    for i in range(m.get_piece_size()):
-        if m.is_byte(i):
-            first_byte = i if first_byte < 0 else first_byte
-        elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
-            rows.append((m.id_to_piece(i), i, -float(np.log(10 - m.get_score(i)))))
-    table = pa.table({"piece": [r[0] for r in rows], "id": pa.array([r[1] for r in rows], pa.int32()), "score": [r[2] for r in rows]})
+    n = m.get_piece_size()
+    first_byte = next((i for i in range(n) if m.is_byte(i)), -1)
+    return [(m.id_to_piece(i), i, m.get_score(i)) for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))], first_byte
+
+
+def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
+    """``(piece, id, cost)`` of the model's ordinary pieces, the longest piece's length, the first byte piece's id."""
+    rows, first_byte = _pieces(path)
+    costs = [round(float(np.log(10 - score)) * COSTS) for _, _, score in rows]
+    table = pa.table({"piece": [r[0] for r in rows], "id": pa.array([r[1] for r in rows], pa.int32()), "cost": pa.array(costs, pa.int64())})
     return spark.createDataFrame(table), max(len(r[0]) for r in rows), first_byte
 
 
+def glued(path: str) -> np.ndarray:
+    """Which two characters some piece has side by side: a table by ASCII code, 128 for all others; U+2581 counts as a space."""
+    out = np.zeros((129, 129), dtype=bool)
+    out[128, 128] = True  # not told apart, so never cut
+    for piece, _, _ in _pieces(path)[0]:
+        codes = [min(ord(c), 128) if c != SPACE else 32 for c in piece]
+        out[codes[:-1], codes[1:]] = True
+    return out
+
+
 def _packed(raw: bytes) -> bytes:
     return zstandard.compress(raw, 3)
 
@@ -78,13 +96,16 @@ def _strings(data: bytes, sizes: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
 
 
-def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def _units(texts: pa.Array, together: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """All units of the texts in turn, their keys, and each text's number of them."""
     spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
     data, offsets = bytes_of(spaced)
-    space = SPACE_BYTES[data]
-    begins = space.copy()
-    begins[1:] &= ~space[:-1]
+    kind = np.minimum(data, 128)
+    mark = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)) if len(data) > 2 else np.zeros(0, np.int64)
+    for i in range(3):
+        kind[mark + i] = 32
+    begins = np.ones(len(data), dtype=bool)
+    begins[1:] = ~together[kind[:-1], kind[1:]] & ((data[1:] & 0xC0) != 0x80)
     begins[offsets[:-1]] = True
     starts = np.flatnonzero(begins)
     return _strings(data.tobytes(), np.diff(np.append(starts, len(data)))), segment_keys(data, starts), np.diff(np.searchsorted(starts, offsets))
@@ -93,11 +114,12 @@ def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 class _List:
     """The distinct units of some texts, by key, and the texts' units as numbers among those listed so far."""
 
-    def __init__(self):
+    def __init__(self, together: np.ndarray):
+        self.together = together
         self.keys, self.at, self.units, self.index, self.docs, self.bytes = np.zeros(0, np.uint64), np.zeros(0, np.uint32), [], [], [], 0
 
     def add(self, texts: pa.Array, ids: pa.Array) -> None:
-        units, keys, counts = _units(texts)
+        units, keys, counts = _units(texts, self.together)
         order = np.argsort(keys)
         keys = keys[order]
         new = np.ones(len(keys), dtype=bool)
@@ -140,9 +162,10 @@ class _List:
             yield int(s), block, _packed(data.tobytes()), planes(np.diff(offsets).astype(np.uint32)), None, None
 
 
-def _blocks(shards: int, list_bytes: int):
+def _blocks(path: str, shards: int, list_bytes: int):
     def run(batches):
-        block, mine, size = TaskContext.get().partitionId() << 24, _List(), 0
+        together = glued(path)
+        block, mine, size = TaskContext.get().partitionId() << 24, _List(together), 0
         as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOCK)], schema=BLOCK)
         for b in batches:
             for first, to, texts in chunks_of_text(b.column(1), CHUNK_BYTES):
@@ -150,7 +173,7 @@ def _blocks(shards: int, list_bytes: int):
                 size += texts.nbytes
                 if size >= list_bytes:
                     yield as_batch(mine.rows(block, shards))
-                    block, mine, size = block + 1, _List(), 0
+                    block, mine, size = block + 1, _List(together), 0
         if mine.docs:
             yield as_batch(mine.rows(block, shards))
         give_back()
@@ -180,9 +203,11 @@ def _answered(asked: pa.Table, solved: pa.Table) -> pa.Table:
     ids = pa.concat_arrays(solved["ids"].chunks)
     sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
     flat, starts = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
-    exact = solved["exact"].combine_chunks().to_numpy(zero_copy_only=False)
     units = _asked_units(asked)
-    at = pc.index_in(units, pc.array_take(units.unique(), pc.array_sort_indices(units.unique()))).to_numpy(zero_copy_only=False).astype(np.int64)
+    distinct = units.unique()
+    distinct = distinct.take(pc.array_sort_indices(distinct))
+    exact = pc.equal(solved["again"].combine_chunks().cast(pa.large_string()), distinct).to_numpy(zero_copy_only=False)
+    at = pc.index_in(units, distinct).to_numpy(zero_copy_only=False).astype(np.int64)
     rows, begin = [], 0
     for block, shard, packed in zip(asked["block"].to_pylist(), asked["shard"].to_pylist(), asked["sizes"].to_pylist()):
         n = len(packed) // 4
@@ -223,68 +248,86 @@ def _reader(with_ids: bool):
 
 
 def lattice_edges(units: DataFrame, keys: list[str], pieces: DataFrame, longest: int) -> DataFrame:
-    """``(keys, span, text, e)``: the substrings of each unit that are pieces, by the span they end in.
+    """``(keys, span, e)``: the substrings of each unit that are pieces, by the span they end in.
 
-    ``text`` is the span and as many characters before it as a piece may reach back. ``e`` is ``(to, size,
-    id, score)``; to counts from 1 within the span, id -1 is a character by its bytes. The piece table is
-    broadcast: its size is the vocabulary's, whatever the input.
+    ``e`` is one number, see TO; places count from 1 within the span. A span's substrings may begin as far
+    before it as a piece reaches. The piece table is broadcast: its size is the vocabulary's, whatever the input.
     """
     before = F.when(F.col("span") > 0, F.lit(longest - 1)).otherwise(F.lit(0))
     cut = units.select(*keys, F.replace("unit", F.lit(" "), F.lit(SPACE)).alias("marked"), F.explode(F.sequence(F.lit(0), F.floor((F.length("unit") - 1) / SPAN).cast("int"))).alias("span"))
     cut = cut.select(*keys, "span", before.alias("before"), F.substring("marked", F.col("span") * SPAN - before + 1, before + SPAN).alias("text"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("before"))).alias("to"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("to") + F.col("before")))).alias("size"))
-    cut = cut.withColumn("piece", F.substring("text", F.col("to") + F.col("before") - F.col("size") + 1, F.col("size")))
+    cut = cut.select(*keys, "span", "to", "size", F.substring("text", F.col("to") + F.col("before") - F.col("size") + 1, F.col("size")).alias("piece"))
     joined = cut.join(F.broadcast(pieces), "piece", "left").where("id is not null or size = 1")
-    score = F.coalesce("score", F.lit(BYTE_SCORE) * F.octet_length("piece"))
-    edge = F.struct("to", "size", F.coalesce("id", F.lit(-1)).alias("id"), score.alias("score"))
-    return joined.select(*keys, "span", F.substring("text", F.col("before") + 1, F.lit(SPAN)).alias("text"), edge.alias("e"))
+    edge = F.col("to").cast("bigint") * TO + F.col("size") * F.lit(SIZE) + F.coalesce(F.col("cost"), F.lit(BYTE_COST) * F.octet_length("piece")) * COST + F.coalesce(F.col("id"), F.lit(NO_PIECE) + F.ascii("piece"))
+    return joined.select(*keys, "span", edge.alias("e"))
+
+
+_STATE = "struct<cost: bigint, less: bigint, id: bigint>"
 
 
-def _span_scores(tail: Column, edges: Column, n: Column) -> Column:
-    """Viterbi over one span: ``tail``, the best of the positions before it, and that of each position in it."""
+def _bits(edge: Column, above: int, least: int) -> Column:
+    """The part of an edge's number between two of its factors."""
+    return F.shiftright(edge, least.bit_length() - 1).bitwiseAND(F.lit(above // least - 1).cast("bigint"))
+
+
+def _span_costs(tail: Column, edges: Column, n: Column) -> Column:
+    """Viterbi over one span: ``tail``, the best of the positions before it, and that of each position in it.
+
+    An entry is the least cost, then 64 less the last edge's size (of equal costs the longest edge is least), then its id.
+    """
 
     def step(best: Column, at: Column) -> Column:
-        here = F.filter(edges, lambda e: e["to"] == at)
-        reach = F.transform(here, lambda e: F.struct((F.get(best, F.size(best) - e["size"])["score"] + e["score"]).alias("score"), e["size"].alias("back"), e["id"].alias("id")))
-        return F.array_append(best, F.array_max(reach))
+        here = F.filter(edges, lambda e: F.shiftright(e, 52) == at)
+
+        def reach(e: Column) -> Column:
+            size = _bits(e, TO, SIZE)
+            cost = F.get(best, (F.size(best) - size).cast("int"))["cost"] + _bits(e, SIZE, COST)
+            return F.struct(cost.alias("cost"), (F.lit(64) - size).alias("less"), _bits(e, COST, 1).alias("id"))
 
-    return F.aggregate(F.sequence(F.lit(1), n), tail, step)
+        return F.array_append(best, F.array_min(F.transform(here, reach)))
 
+    return F.aggregate(F.sequence(F.lit(1).cast("bigint"), n), tail, step)
 
-def _span_ids(best: Column, text: Column, first_byte: int, skip: Column) -> Column:
+
+def _utf8(code: Column) -> Column:
+    """The bytes of a character, from its code."""
+    rest = lambda shift: F.shiftright(code, shift).bitwiseAND(F.lit(63)) + 128
+    several = F.when(code < 0x800, F.array(F.shiftright(code, 6) + 192, rest(0))).when(code < 0x10000, F.array(F.shiftright(code, 12) + 224, rest(6), rest(0))).otherwise(F.array(F.shiftright(code, 18) + 240, rest(12), rest(6), rest(0)))
+    return F.when(code < 0x80, F.array(code)).otherwise(several)
+
+
+def _span_ids(best: Column, first_byte: int, skip: Column) -> Column:
     """Walks back over one span: ``(skip, out)``, how many positions before it the last edge leaps, and its ids."""
-    n = F.length(text)
-    raw = lambda at: F.encode(F.substring(text, at, F.lit(1)), "utf-8")
-    as_bytes = lambda at: F.transform(F.sequence(F.lit(1), F.octet_length(raw(at))), lambda i: F.conv(F.hex(F.substring(raw(at), i, F.lit(1))), 16, 10).cast("int") + first_byte)
-
-    def back(state: Column, at: Column) -> Column:
-        here = F.get(best, at - 1)
-        ids = F.when(here["id"] >= 0, F.array(here["id"])).otherwise(as_bytes(at))
-        taken = F.struct((here["back"] - 1).alias("skip"), F.concat(ids, state["out"]).alias("out"))
+
+    def back(state: Column, here: Column) -> Column:
+        raw = F.transform(_utf8((here["id"] - NO_PIECE).cast("int")), lambda b: b + first_byte)
+        ids = F.when(here["id"] < NO_PIECE, F.array(here["id"].cast("int"))).otherwise(raw)
+        taken = F.struct((F.lit(63) - here["less"]).alias("skip"), F.concat(ids, state["out"]).alias("out"))
         return F.when(state["skip"] == 0, taken).otherwise(F.struct((state["skip"] - 1).alias("skip"), state["out"].alias("out")))
 
-    return F.aggregate(F.sequence(n, F.lit(1)), F.struct(skip.alias("skip"), F.array().cast("array<int>").alias("out")), back)
+    return F.aggregate(F.reverse(best), F.struct(skip.cast("bigint").alias("skip"), F.array().cast("array<int>").alias("out")), back)
 
 
 def _whole_path(spans: Column, longest: int, first_byte: int) -> Column:
-    """The ids of the best path over a unit's spans, each a struct ``(span, text, edges)``, in order."""
-    entry = lambda score: F.struct(F.lit(score).alias("score"), F.lit(0).alias("back"), F.lit(0).alias("id"))
-    begin = F.array(*(entry(float("-inf")) for _ in range(longest - 1)), entry(0.0))
+    """The ids of the best path over a unit's spans, each a struct ``(span, edges)``, in order."""
+    entry = lambda cost: F.struct(F.lit(cost).cast("bigint").alias("cost"), F.lit(0).cast("bigint").alias("less"), F.lit(0).cast("bigint").alias("id"))
+    begin = F.array(*(entry(1 << 60) for _ in range(longest - 1)), entry(0))
 
     def forward(state: Column, span: Column) -> Column:
-        best = _span_scores(state["tail"], span["edges"], F.length(span["text"]))
-        done = F.struct(span["text"].alias("text"), F.slice(best, longest + 1, F.length(span["text"])).alias("best"))
-        return F.struct(F.slice(best, -longest, longest).alias("tail"), F.array_append(state["done"], done).alias("done"))
+        n = F.shiftright(F.array_max(span["edges"]), 52)
+        best = _span_costs(state["tail"], span["edges"], n)
+        return F.struct(F.slice(best, -longest, longest).alias("tail"), F.array_append(state["done"], F.slice(best, F.lit(longest + 1), n.cast("int"))).alias("done"))
 
-    none = F.array().cast("array<struct<text: string, best: array<struct<score: double, back: int, id: int>>>>")
+    none = F.array().cast(f"array<array<{_STATE}>>")
     done = F.aggregate(spans, F.struct(begin.alias("tail"), none.alias("done")), forward, lambda s: s["done"])
 
-    def backward(state: Column, span: Column) -> Column:
-        found = _span_ids(span["best"], span["text"], first_byte, state["skip"])
+    def backward(state: Column, best: Column) -> Column:
+        found = _span_ids(best, first_byte, state["skip"])
         return F.struct(found["skip"].alias("skip"), F.array_append(state["out"], found["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<array<int>>").alias("out"))
+    start = F.struct(F.lit(0).cast("bigint").alias("skip"), F.array().cast("array<array<int>>").alias("out"))
     return F.aggregate(F.reverse(done), start, backward, lambda s: F.flatten(F.reverse(s["out"])))
 
 
@@ -292,11 +335,11 @@ def encode_units(units: DataFrame, keys: list[str], pieces: DataFrame, longest:
     """``(keys, ids)`` for non-empty units; where rows are hash-partitioned by some of the keys, it shuffles nothing."""
 
     def spans(some: DataFrame) -> DataFrame:
-        return lattice_edges(some, keys, pieces, longest).groupBy(*keys, "span").agg(F.first("text").alias("text"), F.collect_list("e").alias("edges"))
+        return lattice_edges(some, keys, pieces, longest).groupBy(*keys, "span").agg(F.collect_list("e").alias("edges"))
 
     short = spans(units.where(F.length("unit") <= SPAN))
-    alone = F.array(F.struct("span", "text", "edges"))
-    long = spans(units.where(F.length("unit") > SPAN)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("span", "text", "edges"))).alias("spans"))
+    alone = F.array(F.struct("span", "edges"))
+    long = spans(units.where(F.length("unit") > SPAN)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("span", "edges"))).alias("spans"))
     return short.select(*keys, _whole_path(alone, longest, first_byte).alias("ids")).unionByName(long.select(*keys, _whole_path(F.col("spans"), longest, first_byte).alias("ids")))
 
 
@@ -314,33 +357,36 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     pieces, longest, first_byte = piece_table(spark, path)
     shards = max(shuffle_width(spark), docs.count() // DOCS_PER_OWNER)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    blocks = staged(rows.mapInArrow(_blocks(shards, list_bytes), BLOCK_DDL), "unit-lists")
+    blocks = staged(rows.mapInArrow(_blocks(path, shards, list_bytes), BLOCK_DDL), "unit-lists")
     asked = blocks.where("shard >= 0").select("shard", "block", "units", "sizes")
     units = staged(asked.groupBy("shard").applyInArrow(_listed, "shard bigint, place bigint, unit string"), "units")
     # a shard stays whole from here on: its lattices are grouped and its answers read without another shuffle
     dealt = units.repartition(max(shuffle_width(spark), shards), "shard")
-    solved = encode_units(dealt, ["shard", "place", "unit"], pieces, longest, first_byte)
-    solved = decode(solved, path, "ids", "again", False).select("shard", "place", "ids", (F.col("again") == F.col("unit")).alias("exact"))
+    solved = encode_units(dealt, ["shard", "place"], pieces, longest, first_byte)
+    solved = decode(solved, path, "ids", "again", drop_dummy=False, keys=["shard", "place"])
     answers = asked.groupBy("shard").cogroup(solved.groupBy("shard")).applyInArrow(_answered, ANSWER_DDL)
     own = blocks.where("shard < 0").select("block", "sizes", "index", "meta")
     return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reader(with_ids), ENCODED_DDL)
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text", drop_dummy: bool = True) -> DataFrame:
-    """``encoded`` with ``out_col``, the text of a list of ids: every row returns, whatever its id or ids; null ids give null.
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text", drop_dummy: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """``encoded`` with ``out_col``, the text of a list of ids, by a join of the ids with the piece table.
 
-    A scalar subquery holds the piece table as one array, which each list is looked up in. Byte pieces
-    give their bytes, U+2581 becomes a space, unknown ids give nothing, and the dummy space goes if asked.
+    Every row returns, whatever its id or ids; null ids give null. Byte pieces give their bytes, U+2581
+    becomes a space, unknown ids give nothing, and the dummy space goes if asked. ``keys`` names columns
+    that tell rows apart, if there are such; else rows are numbered.
     """
     spark = encoded.sparkSession
     pieces, _, first_byte = piece_table(spark, path)
     byte = spark.range(256).select((F.col("id") + first_byte).cast("int").alias("id"), F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("raw"))
-    table = pieces.select("id", F.encode("piece", "utf-8").alias("raw")).unionByName(byte)
-    slots = spark.range(table.agg(F.max("id")).first()[0] + 1).select(F.col("id").cast("int").alias("id"))
-    listed = slots.join(table, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("raw", F.lit(b"")).alias("raw")))).alias("t")).select(F.col("t.raw"))
-    raws = F.transform(ids_col, lambda i: F.coalesce(F.get(F.col("_pieces"), i), F.lit(b"")))
-    text = F.decode(F.aggregate(raws, F.lit(b""), lambda a, r: F.concat(a, r)), "utf-8")
-    spaced = F.replace(text, F.lit(SPACE), F.lit(" "))
+    table = pieces.select("id", F.encode("piece", "utf-8").alias("raw")).unionByName(byte).select(F.col("id").alias("_id"), "raw")
+    own = keys or ["_row"]
+    rows = encoded if keys else encoded.withColumn("_row", F.monotonically_increasing_id())
+    listed = rows.select(*own, F.struct(*encoded.columns).alias("_kept"), F.posexplode_outer(ids_col).alias("_at", "_id"))
+    # the row itself goes along once, with its first id
+    listed = listed.withColumn("_kept", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_kept"))).join(F.broadcast(table), "_id", "left")
+    parts = listed.groupBy(*own).agg(F.first("_kept", ignorenulls=True).alias("_kept"), F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("_at", "raw")))).alias("_parts"))
+    text = F.replace(F.decode(F.aggregate("_parts", F.lit(b""), lambda a, p: F.concat(a, p["raw"])), "utf-8"), F.lit(SPACE), F.lit(" "))
     if drop_dummy:
-        spaced = F.when(spaced.startswith(" "), F.substr(spaced, F.lit(2))).otherwise(spaced)
-    return encoded.withColumn("_pieces", listed.scalar()).withColumn(out_col, spaced).drop("_pieces")
+        text = F.when(text.startswith(" "), F.substr(text, F.lit(2))).otherwise(text)
+    return parts.select("_kept.*", F.when(F.col("_kept")[ids_col].isNotNull(), text).alias(out_col))
