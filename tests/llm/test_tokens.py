@@ -53,6 +53,12 @@ def test_packing_is_gapless_and_tight(spark, docs_of, items_per_task, slack):
     assert len(bins) <= slack * -(-sum(r[3] for r in rows) // 100) + 1  # small tasks pack less tightly; production has 20,000 items in each
 
 
+def test_repeated_and_null_ids_spread_over_the_tasks(spark):
+    rows = [(None, 0, 0, 40, 7)] * 700 + [(5, 0, 0, 60, 7)] * 700
+    found = packing.pack(spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"), 100, 100).collect()
+    assert len(found) == 1400 and len({r["sequence_id"] for r in found}) <= 800
+
+
 def test_best_fit_takes_the_tightest_space():
     assert packing.best_fit([6, 5, 4, 3, 2], 10) == [[0, 2], [1, 3, 4]]
 

@@ -13,10 +13,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import give_back, staged
 from tidemark.llm.tokens import chunks_of_text, word_encoder
 
 END_ID = 1
@@ -25,8 +26,8 @@ ITEMS_PER_TASK = 20_000
 RECEIVERS = 64
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
-BIN = pa.schema([("open", pa.bool_()), ("total", pa.int64()), ("members", pa.list_(MEMBER))])
-BIN_DDL = "open boolean, total bigint, members array<struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint, offset: bigint>>"
+BIN = pa.schema([("open", pa.bool_()), ("salt", pa.int64()), ("total", pa.int64()), ("members", pa.list_(MEMBER))])
+BIN_DDL = "open boolean, salt bigint, total bigint, members array<struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint, offset: bigint>>"
 
 
 def token_pieces(docs: DataFrame, path: str, room: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -51,6 +52,7 @@ def token_pieces(docs: DataFrame, path: str, room: int, id_col: str = "doc_id",
                     arrays.append(pa.array([x.astype(np.int32) for x in cols[5]], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
@@ -94,10 +96,11 @@ def _packer(room: int, last: bool):
                 at += totals[i]
             packed.append((at, inside))
         packed.sort(key=lambda x: x[0])
+        part = TaskContext.get().partitionId() << 32
         up = 0 if last else sum(1 for k, (n, _) in enumerate(packed) if n < room and (2 * n <= room or k <= RECEIVERS))
         for at in range(0, len(packed), 2000):
             some = packed[at : at + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array([at + k < up for k in range(len(some))]), pa.array([n for n, _ in some], pa.int64()), pa.array([m for _, m in some], pa.list_(MEMBER))], schema=BIN)
+            yield pa.RecordBatch.from_arrays([pa.array([at + k < up for k in range(len(some))]), pa.array(np.arange(part + at, part + at + len(some))), pa.array([n for n, _ in some], pa.int64()), pa.array([m for _, m in some], pa.list_(MEMBER))], schema=BIN)
 
     return run
 
@@ -108,18 +111,19 @@ def pack(pieces: DataFrame, room: int, items_per_task: int = ITEMS_PER_TASK) ->
     ``pieces`` has doc_id, piece, start, length (1 to ``room``) and ids_crc32. Offsets are gapless
     from 0 and no sequence is longer than ``room``. An empty table gives no rows.
     """
-    pieces = staged(pieces, "pieces")
+    # rows are dealt by a number of their own, so that repeated and null ids don't meet in one task
+    pieces = staged(pieces.withColumn("salt", F.monotonically_increasing_id()), "pieces")
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("bigint").alias("offset"))
     full = pieces.where(F.col("length") == room).select(F.lit(False).alias("open"), F.col("length").alias("total"), F.array(member).alias("members"))
-    items = pieces.where(F.col("length") < room).select(F.col("length").alias("total"), F.array(member).alias("members"))
+    items = pieces.where(F.col("length") < room).select("salt", F.col("length").alias("total"), F.array(member).alias("members"))
     width = max(1, -(-items.count() // items_per_task))
-    done, salt = full, F.xxhash64(F.col("members")[0]["doc_id"], F.col("members")[0]["piece"])
+    done = full
     while True:
-        level = staged(items.repartition(width, salt).mapInArrow(_packer(room, width == 1), BIN_DDL), f"bins-{width}")
-        done = done.unionByName(level.where(~F.col("open")))
+        level = staged(items.repartition(width, "salt").select("total", "members").mapInArrow(_packer(room, width == 1), BIN_DDL), f"bins-{width}")
+        done = done.unionByName(level.where(~F.col("open")).drop("salt"))
         if width == 1:
             break
-        items, width = level.where("open").select("total", "members"), max(1, width // FAN_IN)
+        items, width = level.where("open").select("salt", "total", "members"), max(1, width // FAN_IN)
     numbered = done.withColumn("sequence_id", F.monotonically_increasing_id()).select("sequence_id", F.explode("members").alias("m"))
     return numbered.select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
 
