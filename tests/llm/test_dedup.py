@@ -27,6 +27,16 @@ def test_exact_groups(docs_of, edge_rows):
         assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in found.collect()) == brute_exact(rows)
 
 
+def test_keys_are_settled_across_batches():
+    import pyarrow as pa
+
+    rows = [(i, b"s", h, 0, p, 1) for i, (p, h) in enumerate([(0, 1), (0, 2), (0, 2), (0, 2), (0, 3), (1, 3), (1, 4), (1, 4)])]
+    table = pa.table(dict(zip(("doc_id", "sha", "h", "bucket", "page", "pages"), zip(*rows))))
+    for size in (1, 2, 3, 8):
+        found = [r for b in exact_dedup._settled(table.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+        assert [(r["doc_id"], r["met"]) for r in found] == list(enumerate([1, 3, 3, 3, 1, 1, 2, 2]))
+
+
 def test_directory_splits_until_buckets_fit(spark):
     entries = spark.range(4000).select(F.xxhash64("id").alias("h"))
     pointers, depth = exact_dedup.directory(spark, entries, bucket_entries=100)

@@ -4,10 +4,11 @@ The index keeps one entry per document (64-bit key of the normalised text, id, d
 each named by a prefix of the key. The directory starts with one bucket and doubles while a bucket
 is overfull, so a bucket is a range of keys that one owner task processes. A bucket that is still
 overfull at the deepest directory (many copies of one text) is chained over overflow pages, dealt by
-document, so that no task gets a hot group whole.
+row, so that no task gets a hot group whole.
 
-An owner walks its page in key order and chains the different texts met under one key, comparing
-bytes; heads of the chains of paged buckets are compared once more, by their bytes.
+Every entry goes to the owner of its page, who walks it in key order: a key met once is settled. For
+keys met again the texts are fetched, and the owner of a page chains the different texts met under one
+key, comparing bytes; heads of the chains of paged buckets are compared once more, by their bytes.
 """
 
 from __future__ import annotations
@@ -20,21 +21,26 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import ascii_lower, staged
 
-MAX_DEPTH = 16
+#: Leading bits of a key that the directory may tell apart at most: a million pointers, broadcast at 24 bytes each.
+MAX_DEPTH = 20
+#: The directory is told apart by so many bits more than its buckets need.
+SPARE_BITS = 4
 BUCKET_ENTRIES = 4096
 
 
 def directory(spark: SparkSession, entries: DataFrame, bucket_entries: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
     """The pointers ``(prefix, bucket, pages)`` and the global depth.
 
-    Works on a histogram of the key's first ``max_depth`` bits, 65,536 rows at most. A bucket holds
-    ``bucket_entries``, or a 2**15th of all if that is more, so the pointers stay within that bound.
+    Works on a histogram of the key's first bits: as many as the entries need and SPARE_BITS more,
+    ``max_depth`` at most. A bucket holds ``bucket_entries``; beyond what the deepest directory can
+    tell apart it holds more, in pages.
     """
+    max_depth = min(max_depth, max(1, int(entries.count() // bucket_entries).bit_length() + SPARE_BITS))
     rows = entries.groupBy(F.shiftrightunsigned("h", 64 - max_depth).alias("p")).agg(F.count("*").alias("n")).collect()
     counts = np.zeros(1 << max_depth, dtype=np.int64)
     for r in rows:
         counts[r["p"]] = r["n"]
-    room = max(bucket_entries, int(counts.sum()) >> (max_depth - 1))
+    room = bucket_entries
     depth = 0
     local = np.zeros(1, dtype=np.int64)  # local depth of the bucket behind each pointer
     while depth < max_depth:
@@ -58,6 +64,34 @@ def _bucket(depth: int, local: np.ndarray) -> np.ndarray:
     return at >> (depth - local) << (depth - local)
 
 
+def _settled(batches):
+    """Owner task: entries come ordered by page and key; how often its page has each one's key."""
+    names = ["doc_id", "sha", "h", "pages", "met"]
+    held: list[pa.RecordBatch] = []
+
+    def told(rows: pa.Table) -> pa.RecordBatch:
+        place = np.stack([rows[c].to_numpy() for c in ("bucket", "page", "h")], axis=1)
+        new = np.ones(len(place), dtype=bool)
+        new[1:] = (place[1:] != place[:-1]).any(axis=1)
+        met = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+        return pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in names[:-1]), pa.array(met)], names=names)
+
+    for b in batches:  # the last key of a batch may go on in the next: it waits
+        rows = pa.Table.from_batches([*held, b])
+        last = rows.slice(rows.num_rows - 1).to_pylist()[0] if rows.num_rows else None
+        if last is None:
+            continue
+        same = np.ones(rows.num_rows, dtype=bool)
+        for c in ("bucket", "page", "h"):
+            same &= rows[c].to_numpy() == last[c]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield told(rows.slice(0, cut))
+        held = rows.slice(cut).to_batches()
+    if held:
+        yield told(pa.Table.from_batches(held))
+
+
 def _chains(batches):
     """Owner task: rows come ordered by page and key; gives each row its chain slot, and each slot its head."""
     key, chain = None, []
@@ -104,12 +138,17 @@ def equal_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     entries = staged(rows.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), "index-entries")
     pointers, depth = directory(spark, entries, bucket_entries)
     prefix = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("bigint")
-    # a table of its own: both joins below then meet plain exchanges, whose hot keys Spark splits
-    repeated = staged(entries.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "index-repeated")
-    alone = entries.join(repeated, "h", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "sha")
+    numbered = F.coalesce("doc_id", F.monotonically_increasing_id())
+    page = F.pmod(F.xxhash64(numbered), F.col("pages")).alias("page")
+    dealt = entries.withColumn("prefix", prefix).join(F.broadcast(pointers), "prefix").select("doc_id", "sha", "h", "bucket", page, "pages")
+    owned = dealt.repartition("bucket", "page").sortWithinPartitions("bucket", "page", "h")
+    owned = staged(owned.mapInArrow(_settled, "doc_id bigint, sha binary, h bigint, pages bigint, met bigint"), "index-owned")
+    alone = owned.where("pages = 1 and met = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "sha")
+    # a table of its own: the join below then meets plain exchanges, whose hot keys Spark splits
+    repeated = staged(owned.where("pages > 1 or met > 1").select("h").distinct(), "index-repeated")
 
     met = rows.join(repeated, "h", "left_semi").withColumn("prefix", prefix).join(F.broadcast(pointers), "prefix")
-    met = met.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), "h", "bucket", F.pmod(F.xxhash64("doc_id"), F.col("pages")).alias("page"), "pages", F.col("norm").cast("binary").alias("text"))
+    met = met.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), "h", "bucket", page, "pages", F.col("norm").cast("binary").alias("text"))
     paged = met.repartition("bucket", "page").sortWithinPartitions("bucket", "page", "h")
     walked = staged(paged.mapInArrow(_chains, "kind tinyint, doc_id bigint, sha binary, h bigint, bucket bigint, page bigint, slot bigint, keep bigint, n bigint, head binary"), "index-chains")
     heads = walked.where("kind = 1").select("h", "page", "slot", "keep", "n", "head")
