@@ -5,6 +5,10 @@ vector costs more than the rest. Vectors of unit length are product-quantised to
 pair of dimensions, under a loss that weighs the parallel error by ETA; both the codes and the
 codebooks are chosen for that loss. A search scans the codes through a query's table of 16 partial
 products a subspace, then ranks the best ones by the exact cosine.
+
+Copies of a vector are one row of the index, with the smallest of their ids. Blocks of codes and slices of
+queries meet in tasks: a code is a few bytes, and only these are sent to each slice. The vectors themselves
+move once, to the few candidates that a query has left, by a join on the row's number.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from tidemark.llm.shared import staged
 CODES = 16
 THRESHOLD = 0.2
 SAMPLE = 8192
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
 RERANK = 128
 
 
@@ -111,20 +115,24 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return v.where(F.coalesce(finite, F.lit(False)) & F.exists("vec", lambda x: x != 0))
 
 
-def build_index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Quantiser | None, int]:
-    """The coded rows ``(vec_id, vec, code)``, the quantiser and the number of rows.
+def build_index(vectors: DataFrame, copies: int, sample: int = SAMPLE) -> tuple[DataFrame, Quantiser | None, int]:
+    """The coded rows ``(number, vec, ids, code)``, one for each different vector, the quantiser and the number of rows.
 
-    The quantiser is fitted on about ``sample`` rows, chosen by a hash of the id; every row is coded.
-    Rows whose dimension is not the one that most rows have take no part.
+    ids are the ``copies`` smallest ids of the vector. The quantiser is fitted on about ``sample`` rows, chosen
+    by a hash of the vector, and at most twice as many; every row is coded. Rows whose dimension is not the one that most rows have take
+    no part.
     """
     spark = vectors.sparkSession
     sizes = vectors.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
-        return vectors.select("vec_id", "vec", F.lit(None).cast("binary").alias("code")), None, 0
-    dims, n = sizes[0]["d"], sizes[0]["n"]
-    rows = vectors.where(F.size("vec") == dims)
-    chosen = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)) + 1)
-    taken = chosen.select("vec").toArrow()["vec"]
+        return vectors.select(F.col("vec_id").alias("number"), "vec", F.array("vec_id").alias("ids"), F.lit(None).cast("binary").alias("code")), None, 0
+    dims = sizes[0]["d"]
+    first = W.partitionBy("vec").orderBy("vec_id")
+    few = vectors.where(F.size("vec") == dims).distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= copies)
+    rows = staged(few.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("number"), "vec", "ids"), "ann-vectors")
+    n = rows.count()
+    share = F.pmod(F.xxhash64("vec", F.lit("ann")), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)) + 1
+    taken = rows.where(share).limit(2 * sample).select("vec").toArrow()["vec"]
     if not len(taken):
         taken = rows.limit(sample).select("vec").toArrow()["vec"]
     quantiser = fit_quantiser(_matrix(taken, dims))
@@ -137,70 +145,76 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Qu
             codes = q.encode(x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.uint8)
             even = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
             packed = even[:, ::2] | even[:, 1::2] << 4
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in packed], pa.binary())], names=["vec_id", "vec", "code"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in packed], pa.binary())], names=["number", "vec", "ids", "code"])
 
-    return staged(rows.mapInArrow(encode, "vec_id bigint, vec array<double>, code binary"), "ann-index"), quantiser, n
+    return staged(rows.mapInArrow(encode, "number bigint, vec array<double>, ids array<bigint>, code binary"), "ann-index"), quantiser, n
 
 
-def _searcher(quantiser: Quantiser, k: int, rerank: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+def _searcher(quantiser: Quantiser, rerank: int):
+    """One block of codes for one slice of queries: the ``rerank`` rows whose codes promise the largest products."""
+    schema = pa.schema([("query", pa.int64()), ("number", pa.int64()), ("guess", pa.float32())])
 
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         if not data.num_rows or not queries.num_rows:
             return schema.empty_table()
-        dims, n_books = quantiser.dims, len(quantiser.books)
-        data = data.sort_by("vec_id")
-        ids, x = data["vec_id"].to_numpy(), _matrix(data["vec"], dims)
-        # copies of a vector tie: the k + 1 with the smallest ids are enough, so a vector is scanned once
-        _, first, of = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, 8 * dims))).ravel(), return_index=True, return_inverse=True)
-        order = np.argsort(of, kind="stable")
-        rank = np.arange(len(of)) - np.searchsorted(of[order], of[order])
-        few = rank <= k
-        copies = np.full((len(first), k + 1), -1, dtype=np.int64)
-        copies[of[order][few], rank[few]] = order[few]
-        packed = np.frombuffer(b"".join(data["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[first]
-        codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(first), -1)[:, :n_books]
-        x, q_ids, q = x[first], queries["query_id"].to_numpy(), _matrix(queries["vec"], dims)
-        norms, q_norms = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-        tables = np.einsum("qsw,scw->sqc", quantiser.split(q / q_norms[:, None]), quantiser.books).astype(np.float32)
-        out = []
-        take = min(rerank, len(x))
-        for at in range(0, len(q), 256):
-            some = tables[:, at : at + 256]
-            sums = np.zeros((some.shape[1], len(x)), dtype=np.float32)
+        n_books, numbers = len(quantiser.books), data["number"].to_numpy()
+        packed = np.frombuffer(b"".join(data["code"].to_pylist()), np.uint8).reshape(len(numbers), -1)
+        codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(numbers), -1)[:, :n_books]
+        asked, q = queries["query"].to_numpy(), _matrix(queries["vec"], quantiser.dims)
+        tables = np.einsum("qsw,scw->sqc", quantiser.split(q / np.sqrt((q * q).sum(1, keepdims=True))), quantiser.books).astype(np.float32)
+        out, take = [], min(rerank, len(numbers))
+        for at in range(0, len(q), 128):
+            some = tables[:, at : at + 128]
+            sums = np.zeros((some.shape[1], len(numbers)), dtype=np.float32)
             for s in range(n_books):
                 sums += some[s][:, codes[:, s]]
-            best = np.argpartition(-sums, take - 1, axis=1)[:, :take] if take < len(x) else np.broadcast_to(np.arange(len(x)), sums.shape)
-            for r, cand in enumerate(best):
-                exact = (x[cand] * q[at + r]).sum(1) / (norms[cand] * q_norms[at + r])
-                rows = copies[cand]
-                there = (rows >= 0) & (ids[rows] != q_ids[at + r])
-                found, score = ids[rows[there]], np.broadcast_to(exact[:, None], rows.shape)[there]
-                top = np.lexsort((found, -score))[:k]
-                out.append((np.full(len(top), q_ids[at + r]), found[top], score[top]))
+            best = np.argpartition(-sums, take - 1, axis=1)[:, :take] if take < len(numbers) else np.broadcast_to(np.arange(len(numbers)), sums.shape)
+            out.append((np.repeat(asked[at : at + 128], take), numbers[best].ravel(), np.take_along_axis(sums, best, axis=1).ravel()))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
 
     return run
 
 
+def _exact(dims: int):
+    """The cosine of each candidate in double precision, for each of its copies."""
+
+    def run(batches):
+        for b in batches:
+            q, x = _matrix(b.column(1), dims), _matrix(b.column(2), dims)
+            score = (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(score)], names=["query_id", "ids", "score"])
+
+    return run
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK, block_rows: int = BLOCK_ROWS, slice_rows: int = 2048) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each query row, by cosine.
 
     Queries are the usable rows where ``is_query``, a condition on ``vec_id``, holds; candidates are
-    all usable rows but those with the query's id. Data go in blocks, queries in slices; each block
-    is scanned for each slice by one task, which keeps ``rerank`` different vectors a query for the
-    exact cosine in double precision. Ties go to the smaller id. Defined results: null, empty, zero
-    and non-finite vectors, null ids and vectors of a rare dimension take no part; repeated ids of a
-    query count once; fewer candidates than ``k`` are all returned; an empty table gives no rows.
+    all usable rows but those with the query's id. The codes go in blocks, queries in slices; each block
+    is scanned for each slice by one task. Of all blocks' finds a query keeps the ``rerank`` different vectors of
+    the largest estimates for the exact cosine in double precision. Ties go to the smaller id. Defined
+    results: null, empty, zero and non-finite vectors, null ids and vectors of a rare dimension take no
+    part; an id that several query rows have asks once, with the least of their vectors; fewer candidates than
+    ``k`` are all returned; an empty table gives no rows; other columns are ignored. Whole groups of equal
+    estimates beyond ``rerank`` may be left out, as for any estimate.
     """
-    index, quantiser, n = build_index(usable(vectors, id_col, vector_col))
+    found = usable(vectors, id_col, vector_col)
+    index, quantiser, n = build_index(found, k + 1)
     if quantiser is None:
-        return index.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
-    queries = index.where(is_query).select(F.col("vec_id").alias("query_id"), "vec").dropDuplicates(["query_id"])
+        return index.select(F.col("number").alias("query_id"), F.lit(1).alias("rank"), F.col("number").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
+    queries = found.where(is_query).where(F.size("vec") == quantiser.dims).groupBy(F.col("vec_id").alias("query")).agg(F.min("vec").alias("vec"))
+    queries = staged(queries, "ann-queries")
     blocks, slices = max(1, -(-n // block_rows)), max(1, -(-queries.count() // slice_rows))
     dealt = lambda c, m, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(m))
-    data = index.select("vec_id", "vec", "code", dealt("vec_id", blocks, "block").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    asked = queries.select("query_id", "vec", dealt("query_id", slices, "slice").cast("int").alias("slice"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
-    found = data.groupBy("block", "slice").cogroup(asked.groupBy("block", "slice")).applyInArrow(_searcher(quantiser, k, rerank), "query_id bigint, vec_id bigint, score double")
+    data = index.select("number", "code", dealt("number", blocks, "block").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    asked = queries.select("query", "vec", dealt("query", slices, "slice").cast("int").alias("slice"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
+    guessed = data.groupBy("block", "slice").cogroup(asked.groupBy("block", "slice")).applyInArrow(_searcher(quantiser, rerank), "query bigint, number bigint, guess float")
+    nearest = W.partitionBy("query").orderBy(F.desc("guess"), "number")
+    kept = guessed.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= rerank).select("query", "number")
+    both = kept.join(index.select("number", F.col("vec").alias("x"), "ids"), "number").join(queries, "query").select(F.col("query").alias("query_id"), "vec", "x", "ids")
+    scored = both.mapInArrow(_exact(quantiser.dims), "query_id bigint, ids array<bigint>, score double").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    # an id with several vectors counts by its nearest
+    scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return scored.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
