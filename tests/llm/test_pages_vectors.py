@@ -14,10 +14,27 @@ def test_blocks_join_inline_text_and_skip_markup():
     assert blocks("plain text")[0][0] == "plain text"
 
 
+def test_blocks_keep_embedded_text_and_what_follows():
+    assert [b[0] for b in blocks('<p>For <math><mi>x</mi><mo>=</mo><mn>2</mn></math> see <svg class="i"/> the <object data=a>fallback</object> text<p>next <video src=v>no video</video>')] == ["For x=2 see the fallback text", "next no video"]
+    assert [b[0] for b in blocks("<p>a<svg><g><svg><text>in</text></svg></g></svg>b</p><p>c")] == ["ainb", "c"]
+
+
+def test_pages_of_any_length_are_grouped_and_read(spark):
+    sizes = [3, 5000, 1, 40, 40, 4096, 7]
+    found = html_main.groups(sizes, 4096)
+    assert sorted(i for g in found for i in g) == list(range(7)) and all(len(g) == 1 or len(g) * max(sizes[i] for i in g) <= 4096 for g in found)
+    long = "<article>" + "".join(f"<p>word{i} more words here</p>" for i in range(50_000)) + "</article>"
+    pages = [(1, long), (2, "<article><h1>Title</h1><p>Some words of the text.</p></article>"), (2, "<article><h1>Title</h1><p>Some words of the text.</p></article>"), (3, "<nav><a href=/>Home</a></nav>")]
+    df = spark.createDataFrame(pages, "page_id bigint, html string").withColumn("text", F.lit("clash")).withColumn("t", F.lit(1))
+    texts = [(r["page_id"], r["x"]) for r in df.select("page_id", html_main.main_text(F.col("html"), spark).alias("x")).collect()]
+    assert len(texts) == 4 and texts[1] == texts[2]
+    whole = next(t for i, t in texts if i == 1)
+    assert set(whole.split("\n\n")) <= {f"word{i} more words here" for i in range(50_000)}
+
+
 def test_net_labels_unseen_pages():
     pages, labels = html_main.training_set(120, seed=99)
-    x, mask = html_main.features(pages)
-    p = html_main.train().probabilities(x, mask)
+    p = html_main.train().probabilities(pages)
     right = sum(int((p[t, k] >= 0.5) == y) for k, own in enumerate(labels) for t, y in enumerate(own))
     assert right / sum(map(len, labels)) > 0.97
 
@@ -30,7 +47,7 @@ def test_gradient_matches_finite_differences():
         y[: len(own), k] = own
 
     def loss():
-        p = np.clip(net.probabilities(x, mask), 1e-7, 1 - 1e-7)
+        p = np.clip(net.probabilities(pages), 1e-7, 1 - 1e-7)
         return float((-(y * np.log(p) + (1 - y) * np.log(1 - p)) * mask[..., 0]).sum() / mask.sum())
 
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
@@ -77,6 +94,12 @@ def test_recall_ties_and_unusable_vectors(spark):
     assert ann.search(df.where("vec_id < 3"), F.col("vec_id") % 50 == 0).count() == 2
 
 
+def test_repeated_query_ids_ask_once_with_the_least_vector(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [3.0, 0.1]), (3, [3.0, 0.1])]
+    found = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0, k=2).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"])] == [(0, 1, 1), (0, 2, 2)]
+
+
 def test_recall_of_the_query(spark):
     found = queries.op10_nearest_neighbours(spark, "/root/testdata/sf0.1").collect()
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()

@@ -16,8 +16,10 @@ WORDS = re.compile(r"[a-z]+")
 
 # Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object canvas audio video".split())
+RAW = frozenset("script style title textarea noscript template iframe".split())
 INLINE = frozenset(
+    "svg g text tspan defs use path circle ellipse line rect polygon polyline symbol math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mspace mstyle semantics annotation "
+    "object canvas audio video picture "
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
 )
@@ -79,7 +81,7 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], float]]:
             if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
-        elif tag in RAW:
+        elif tag in RAW:  # up to its end tag, whatever stands between
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
         elif tag not in VOID and not m["rest"].endswith("/"):

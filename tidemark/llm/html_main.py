@@ -18,6 +18,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.html_blocks import blocks
+from tidemark.llm.shared import give_back
 from tidemark.llm.tokens import split_words
 
 PATH_SLOTS, WORD_SLOTS, MEASURES = 512, 32, 6
@@ -26,6 +27,8 @@ HIDDEN = 16
 TRAINING_PAGES = 800
 EPOCHS = 16
 PAGES_AT_ONCE = 256
+#: Positions, with padding, that the net reads at once; a page of more blocks goes alone.
+POSITIONS = 4096
 
 _PATHS: dict[tuple[str, ...], np.ndarray] = {}
 
@@ -41,25 +44,44 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return _PATHS[path]
 
 
-def features(pages: list[list[tuple[str, tuple[str, ...], float]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs ``(position, page, feature)`` and the mask of the positions that are blocks."""
-    longest = max(map(len, pages), default=0)
-    x, mask = np.zeros((longest, len(pages), INPUTS), dtype=np.float32), np.zeros((longest, len(pages), 1), dtype=np.float32)
-    flat = [(t, p, b) for p, page in enumerate(pages) for t, b in enumerate(page)]
-    if not flat:
-        return x, mask
-    t, p = np.array([f[0] for f in flat]), np.array([f[1] for f in flat])
+def _vectors(flat: list[tuple[int, int, tuple]], length: np.ndarray) -> np.ndarray:
+    """The input of each block ``(position, page, block)``; length is its page's number of blocks."""
+    t = np.array([f[0] for f in flat])
     words, index, counts = split_words(pc.utf8_lower(pa.array([f[2][0] for f in flat], pa.large_string())))
     slots = np.fromiter((zlib.crc32(w.encode()) % WORD_SLOTS for w in words.to_pylist()), dtype=np.int64, count=len(words))
     bag = np.bincount(np.repeat(np.arange(len(flat)), counts) * WORD_SLOTS + slots[index], minlength=len(flat) * WORD_SLOTS).reshape(-1, WORD_SLOTS)
     sizes = np.array([len(f[2][0]) for f in flat])
-    length = np.array([len(page) for page in pages])[p]
     measures = np.stack([np.log1p(sizes) / 8, np.log1p(counts) / 6, [f[2][2] for f in flat], t / length, 1 / length, [len(f[2][1]) / 20 for f in flat]], axis=1)
-    x[t, p] = np.concatenate([np.stack([_path_vector(f[2][1]) for f in flat]), bag / np.maximum(1, counts)[:, None], measures], axis=1)
-    mask[t, p] = 1
+    return np.concatenate([np.stack([_path_vector(f[2][1]) for f in flat]), bag / np.maximum(1, counts)[:, None], measures], axis=1, dtype=np.float32)
+
+
+def _flat(pages: list[list]) -> tuple[list[tuple], np.ndarray]:
+    flat = [(t, p, b) for p, page in enumerate(pages) for t, b in enumerate(page)]
+    return flat, np.array([len(page) for page in pages])[np.array([f[1] for f in flat], dtype=np.int64)]
+
+
+def features(pages: list[list[tuple[str, tuple[str, ...], float]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs ``(position, page, feature)`` and the mask of the positions that are blocks."""
+    longest = max(map(len, pages), default=0)
+    x, mask = np.zeros((longest, len(pages), INPUTS), dtype=np.float32), np.zeros((longest, len(pages), 1), dtype=np.float32)
+    flat, length = _flat(pages)
+    if flat:
+        t, p = np.array([f[0] for f in flat]), np.array([f[1] for f in flat])
+        x[t, p], mask[t, p] = _vectors(flat, length), 1
     return x, mask
 
 
+def groups(sizes: list[int], most: int) -> list[list[int]]:
+    """Pages by number of blocks, in groups that take up to ``most`` positions once padded; a longer page goes alone."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(sizes)), key=lambda i: sizes[i]):
+        if out and (len(out[-1]) + 1) * sizes[i] <= most:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -77,12 +99,11 @@ class Labeller:
         self.w["o"] = (rng.standard_normal(2 * HIDDEN) * 0.3).astype(np.float32)
         self.w["oc"] = np.zeros(1, dtype=np.float32)
 
-    def _pass(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool):
-        """One way over the sequences: the states, and what the gradient needs."""
-        order = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
-        z_all = x @ self.w[f"{d}x"] + self.w[f"{d}c"]
-        h = np.zeros((x.shape[1], HIDDEN), dtype=np.float32)
-        c, states, trace = h, np.zeros((*x.shape[:2], HIDDEN), dtype=np.float32), []
+    def _pass(self, d: str, z_all: np.ndarray, mask: np.ndarray, keep: bool):
+        """One way over the sequences, from the inputs' share in the gates: the states, and what the gradient needs."""
+        order = range(len(z_all)) if d == "f" else range(len(z_all) - 1, -1, -1)
+        h = np.zeros((z_all.shape[1], HIDDEN), dtype=np.float32)
+        c, states, trace = h, np.zeros((*z_all.shape[:2], HIDDEN), dtype=np.float32), []
         for t in order:
             z = z_all[t] + h @ self.w[f"{d}h"]
             i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
@@ -96,12 +117,26 @@ class Labeller:
             states[t] = h
         return states, trace
 
-    def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._pass("f", x, mask, False)[0], self._pass("b", x, mask, False)[0]], axis=2)
+    def _gates(self, d: str, x: np.ndarray) -> np.ndarray:
+        return x @ self.w[f"{d}x"] + self.w[f"{d}c"]
+
+    def probabilities(self, pages: list[list]) -> np.ndarray:
+        """``(position, page)``: how likely each block is article. Blocks become vectors some at a time; only their gates are kept."""
+        longest = max(map(len, pages), default=0)
+        z = {d: np.zeros((longest, len(pages), 4 * HIDDEN), dtype=np.float32) for d in ("f", "b")}
+        mask = np.zeros((longest, len(pages), 1), dtype=np.float32)
+        flat, length = _flat(pages)
+        for at in range(0, len(flat), POSITIONS):
+            some = flat[at : at + POSITIONS]
+            x, t, p = _vectors(some, length[at : at + POSITIONS]), np.array([f[0] for f in some]), np.array([f[1] for f in some])
+            mask[t, p] = 1
+            for d in z:
+                z[d][t, p] = self._gates(d, x)
+        both = np.concatenate([self._pass(d, z[d], mask, False)[0] for d in ("f", "b")], axis=2)
         return _sigmoid(both @ self.w["o"] + self.w["oc"])
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        ways = {d: self._pass(d, x, mask, True) for d in ("f", "b")}
+        ways = {d: self._pass(d, self._gates(d, x), mask, True) for d in ("f", "b")}
         both = np.concatenate([ways["f"][0], ways["b"][0]], axis=2)
         error = (_sigmoid(both @ self.w["o"] + self.w["oc"]) - y) * mask[..., 0] / mask.sum()
         out = {"o": (both * error[..., None]).sum((0, 1)), "oc": error.sum(keepdims=True)[0]}
@@ -287,8 +322,9 @@ def train(pages: int = TRAINING_PAGES, epochs: int = EPOCHS) -> Labeller:
 def main_text(html: Column, spark: SparkSession, model: Labeller | None = None) -> Column:
     """The main text of each page: its article blocks in page order, joined by two newlines.
 
-    Reads the whole page; null, empty or blank html, and pages without article, give an empty text.
-    Pages of many lengths share a batch sorted by length, so memory follows the longest page.
+    Reads the whole page; null, empty or blank html, and pages without article, give an empty text. Each
+    row is read by itself, so repeated pages give the same text again. Memory follows the longest page:
+    its blocks, and a few hundred bytes for each.
     """
     held = spark.sparkContext.broadcast(model or train())
 
@@ -300,12 +336,12 @@ def main_text(html: Column, spark: SparkSession, model: Labeller | None = None)
             for first in range(0, len(column), PAGES_AT_ONCE):
                 pages = [blocks(v.as_py()) for v in column.slice(first, PAGES_AT_ONCE)]
                 texts = [""] * len(pages)
-                order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
-                for some in np.array_split(order, max(1, len(order) // 32)):
-                    p = net.probabilities(*features([pages[i] for i in some]))
+                for some in groups(list(map(len, pages)), POSITIONS):
+                    p = net.probabilities([pages[i] for i in some])
                     for k, i in enumerate(some):
                         texts[i] = "\n\n".join(b[0] for b, x in zip(pages[i], p[:, k]) if x >= 0.5)
                 out += texts
             yield pa.array(out, pa.string())
+            give_back()
 
     return extract(html)
