@@ -1,6 +1,12 @@
 """Line dedup and licence scans against brute force."""
 
+import math
 import random
+import re
+import textwrap
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from tidemark.llm import licences, line_dedup
 
@@ -72,3 +78,57 @@ def test_licences_and_their_inheritance(spark):
     assert found["src/q.py"] == ("MIT", "inherited", "src") == found["src/w.py"]
     assert found["other/z.py"] == (None, "none", None) == found[""]
     assert licences.licences(df.limit(0)).count() == 0
+
+
+def dense(rows, threshold=licences.THRESHOLD):
+    """Every part of every text against every template, by whole vectors."""
+    words_of = lambda t: re.sub(r"[^\w.]+|_|\.(\s|$)|[.]{2,}", " ", t.lower()).split()
+    names = [n for n, texts in licences.TEMPLATES.items() for _ in texts]
+    templates = [Counter(words_of(t)) for texts in licences.TEMPLATES.values() for t in texts]
+    lines = [line for _, _, t in rows for line in (t or "").split("\n")]
+    known = {w for t in templates for w in t}
+    df = Counter(w for line in lines for w in set(words_of(line)))
+    total = len(lines) + len(templates) + 1
+    idf = lambda w: math.log(total / (df[w] + sum(w in t for t in templates))) if w in known else math.log(total)
+    norm = lambda c: math.sqrt(sum((n * idf(w)) ** 2 for w, n in c.items()))
+    out = []
+    for i, _, text in rows:
+        split = (text or "").split("\n")
+        full = [bool(words_of(x)) for x in split]
+        parts, run = [[k] for k in range(len(split)) if full[k]], []
+        for k in [*range(len(split)), None]:
+            if k is not None and full[k]:
+                run.append(k)
+            else:
+                parts, run = parts + ([run] if len(run) > 1 else []), []
+        head = []
+        for k, line in enumerate(split):
+            if not re.match(licences.COMMENT, line, re.I):
+                break
+            head += [k] if full[k] else []
+        parts += [p for p in (head, [k for k in range(len(split)) if full[k]]) if len(p) > 1]
+        best = (0.0, None)
+        for part in parts:
+            c = Counter(w for k in part for w in words_of(split[k]))
+            for name, t in zip(names, templates):
+                cosine = sum(n * t[w] * idf(w) ** 2 for w, n in c.items()) / (norm(c) * norm(t))
+                if cosine >= threshold and cosine > best[0] + 1e-12:
+                    best = (cosine, name)
+        out.append((str(i), str(best[1]), round(best[0], 9)))
+    return out
+
+
+def test_licences_equal_dense_vectors(spark):
+    mit = "\n".join(["MIT License", "", "Copyright (c) 2020 Some One", "", *licences._MIT.split("\n"), "", licences._MIT_END, "", *licences._MIT_AS_IS.split("\n")])
+    gpl = "\n".join(f"# {x}" for x in textwrap.wrap(licences._gnu("General Public License", "3")[1], 60)) + "\nimport os\nprint(1)"
+    rows = [
+        (1, "a/LICENSE", mit), (2, "a/x.py", gpl), (3, "a/b/c.py", "/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n */\nint x;"), (4, "b/y", "all rights\nreserved here"), (5, "b/z", None), (6, "b/z", ""),
+        (7, "c/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991"), (8, "c/d/e/f.c", "word " * 4000), (9, "d", "SPDX-License-Identifier: BSD-2-Clause"), (10, "d", "// SPDX-License-Identifier: Zlib\n// more words of another kind entirely"), (11, "e", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"),
+        (12, "f/g", "x y"), (12, "f/g", "x y"), (None, None, licences._BSD),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, text string").withColumn("score", F.lit(1)).withColumn("file", F.lit("clash"))
+    found = licences.licences(df).collect()
+    own = [(str(r["doc_id"]), str(r["licence"] if r["origin"] == "own" else None), round(r["score"], 9)) for r in found]
+    assert sorted(own) == sorted(dense(rows))
+    told = {r["doc_id"]: r["licence"] for r in found}
+    assert [told[k] for k in (1, 2, 3, 7, 8, 9, 11)] == ["MIT", "GPL-3.0", "Apache-2.0", "GPL-2.0", "GPL-2.0", "BSD-2-Clause", "Apache-2.0"]

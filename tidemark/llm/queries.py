@@ -57,9 +57,12 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.licences import licences
 
     docs = _table(spark, sf_dir, "documents")
-    # documents have no paths: a source is a tree with a directory for every thousand and every ten ids
+    # documents have no paths: a source is a tree of one to three levels, and every fiftieth file is named as a licence file
     folder = lambda n: F.floor(F.col("doc_id") / n).cast("string")
-    return licences(docs.withColumn("path", F.concat_ws("/", "source", folder(1000), folder(10), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))))
+    depth = F.pmod(F.col("doc_id"), F.lit(3))
+    name = F.when(F.pmod(F.col("doc_id"), F.lit(50)) == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", folder(1000), F.when(depth > 0, folder(100)), F.when(depth > 1, folder(10)), name)
+    return licences(docs.withColumn("path", path))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
