@@ -41,7 +41,37 @@ def test_forward_pass_sums_all_segmentations():
     assert np.allclose(got, want)
     weights = np.array([1.0, 2.0, 0.0, 3.0])
     counts = langid.expected_counts(vocabulary, table[:, 0], runs, weights)
-    assert counts.sum() > 0 and (counts >= 0).all()
+    for p in kept:  # how often each piece stands in the segmentations, by their probability
+        at = vocabulary.find(np.array([langid._hash_of(p)], dtype=np.uint64))[0]
+        want = sum(w * sum(x * parts.count(p) for x, parts in listed) / sum(x for x, _ in listed) for r, w in zip(runs, weights) for listed in ([*listings("▁" + r.as_py(), kept)],))
+        assert abs(counts[at] - want) < 1e-9, p
+
+
+def listings(text, pieces):
+    """The probability and the pieces of each segmentation."""
+    if not text:
+        yield 1.0, []
+    for k in range(1, len(text) + 1):
+        p = pieces.get(text[:k], langid.UNKNOWN if k == 1 else 0)
+        if p:
+            yield from ((p * x, [text[:k], *parts]) for x, parts in listings(text[k:], pieces))
+
+
+def test_runs_of_any_length_are_scored_whole():
+    pieces = {"▁": 0.1, "a": 0.2, "b": 0.1, "ab": 0.3, "bab": 0.07}
+    vocabulary = langid.Vocabulary([*pieces])
+    kept = {p: vocabulary.find(np.array([langid._hash_of(p)], dtype=np.uint64))[0] for p in pieces}
+    table = np.zeros((vocabulary.size + 1, 1))
+    for p, at in kept.items():
+        table[at] = pieces[p] if at < vocabulary.size else 0
+    runs = ["ab", "a" * 39 + "b" * 3, "ba" * 25, "abbab" * 40, "xa" * 60, "abab" * 1000, "b" * 41, "aab" * 17]
+    got = langid.log_probabilities(vocabulary, table, pa.array(runs, pa.large_string()))[:, 0]
+    for run, found in zip(runs, got):
+        text, logs = "▁" + run, [0.0]
+        for j in range(1, len(run) + 2):
+            reach = [logs[i] + math.log(pieces[text[i:j]] if kept.get(text[i:j], vocabulary.size) < vocabulary.size else langid.UNKNOWN) for i in range(max(0, j - 3), j) if j == i + 1 or kept.get(text[i:j], vocabulary.size) < vocabulary.size]
+            logs.append(max(reach) + math.log(sum(math.exp(x - max(reach)) for x in reach)))
+        assert abs(found - logs[-1]) < 1e-6 * abs(logs[-1]) + 1e-9, len(run)
 
 
 def test_long_unknown_runs_stay_in_range(spark, docs_of):

@@ -17,11 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import give_back, staged
 from tidemark.llm.tokens import chunks_of_text, split_words
 
-#: Runs of letters are scored in spans of at most so many characters, which bounds a lattice.
-SPAN = 40
+#: Runs of up to so many letters are scored with others of just their length, longer ones with others up to LONGER times theirs.
+EXACT, LONGER = 40, 1.25
+#: Of the sampled rows, runs of more letters than this teach nothing; a documented bound of the fit. Prediction reads any.
+TAUGHT = 200
 #: The forward pass brings its sums back to one at every so many positions, so they stay in range.
 RESCALED = 8
 #: Probability of a character that the vocabulary has no piece for, in every language.
@@ -76,27 +78,31 @@ def public_vocabulary(path: str) -> Vocabulary:
 
 
 def letter_runs(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The lower-case runs of letters in each word, in spans of at most SPAN, and the word each is in."""
+    """The lower-case runs of letters in each word, and the word each is in."""
     split = pc.split_pattern(pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(words), r"\P{L}+", " "), " "), " ")
     runs, of = split.flatten(), np.repeat(np.arange(len(words)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
-    sizes = pc.utf8_length(runs).to_numpy(zero_copy_only=False)
-    keep = sizes > 0
-    if not keep.all():
-        runs, of, sizes = runs.filter(pa.array(keep)), of[keep], sizes[keep]
-    if len(sizes) and sizes.max() > SPAN:
-        spans = [(r[i : i + SPAN], k) for r, k in zip(runs.to_pylist(), of.tolist()) for i in range(0, len(r), SPAN)]
-        runs, of = pa.array([s for s, _ in spans], pa.large_string()), np.array([k for _, k in spans], dtype=np.int64)
-    return runs, of
-
-
-def _by_length(runs: pa.Array):
-    """``(numbers of the runs, their characters after a word boundary, one row each)`` for each length."""
-    sizes = pc.utf8_length(runs).to_numpy(zero_copy_only=False)
-    for n in np.unique(sizes):
-        for at in np.array_split(np.flatnonzero(sizes == n), max(1, int((sizes == n).sum()) // 50_000)):
-            text = "".join(runs.take(pa.array(at)).to_pylist())
-            chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).reshape(-1, n)
-            yield at, np.concatenate([np.full((len(at), 1), ord(BOUNDARY), dtype=np.uint32), chars], axis=1)
+    keep = pc.utf8_length(runs).to_numpy(zero_copy_only=False) > 0
+    return (runs, of) if keep.all() else (runs.filter(pa.array(keep)), of[keep])
+
+
+def _by_length(runs: pa.Array, most: int = 2_000_000):
+    """``(numbers of the runs, their lengths, their characters after a word boundary, one row each)`` for runs of like length.
+
+    Rows are filled up with zeros, which are no letter, to the longest; ``most`` bounds the characters at once, but for one run.
+    """
+    sizes = pc.utf8_length(runs).to_numpy(zero_copy_only=False).astype(np.int64)
+    kind = np.where(sizes <= EXACT, sizes, EXACT + 1 + np.floor(np.log(np.maximum(sizes, 1) / EXACT) / np.log(LONGER)).astype(np.int64))
+    for k in np.unique(kind):
+        mine = np.flatnonzero(kind == k)
+        step = max(1, most // int(sizes[mine].max()))
+        for first in range(0, len(mine), step):
+            at = mine[first : first + step]
+            n = sizes[at]
+            codes = np.frombuffer("".join(runs.take(pa.array(at)).to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+            chars = np.zeros((len(at), int(n.max()) + 1), dtype=np.uint32)
+            chars[:, 0] = ord(BOUNDARY)
+            chars[np.repeat(np.arange(len(at)), n), np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n) + 1] = codes
+            yield at, n, chars
 
 
 def _lattice(vocabulary: Vocabulary, chars: np.ndarray):
@@ -111,36 +117,56 @@ def _lattice(vocabulary: Vocabulary, chars: np.ndarray):
                 yield i, j, vocabulary.find(h)
 
 
-def _forward(vocabulary: Vocabulary, table: np.ndarray, chars: np.ndarray, edges: list | None = None) -> np.ndarray:
-    """The logs of the forward sums at each position, run and further axis of ``table``; takes the edges down if asked."""
-    n = chars.shape[1]
-    forward = np.zeros((n + 1, len(chars), *table.shape[1:]))
-    logs, scale, at = np.zeros(forward.shape), np.zeros(forward.shape[1:]), 0
-    forward[0] = 1
+def _forward(vocabulary: Vocabulary, table: np.ndarray, chars: np.ndarray, edges: list | None = None, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The logs of the forward sums of each run and further axis of ``table``.
+
+    Without ``wanted`` those of all positions; the edges are taken down if asked. With it, only those at
+    each run's own position: then no more than the longest piece's length of sums is held, whatever the run.
+    """
+    n, reach = chars.shape[1], vocabulary.longest + 1
+    shape = (len(chars), *table.shape[1:])
+    ring = np.zeros((reach, *shape))
+    every = np.zeros((n + 1, *shape)) if wanted is None else None
+    out, scale, at = np.zeros(shape), np.zeros(shape), 0
+    ring[0] = 1
+
+    def settle(i: int) -> None:
+        """Position i gets no more: takes down its log and, now and then, brings the sums back to one."""
+        nonlocal scale
+        here = ring[i % reach]
+        logs = np.log(here) + scale
+        if every is not None:
+            every[i] = logs
+        else:
+            done = wanted == i
+            out[done] = logs[done]
+        if i % RESCALED == 0:
+            scale = logs
+            for j in range(1, reach):
+                ring[(i + j) % reach] /= here
+            here[:] = 1
+
     for i, j, piece in _lattice(vocabulary, chars):
         if i > at:
-            logs[i] = np.log(forward[i]) + scale
-            if i % RESCALED == 0:
-                scale = logs[i]
-                forward[i + 1 : i + vocabulary.longest] /= forward[i]
-                forward[i] = 1
+            ring[at % reach] = 0  # the slot is position at + reach's from now on
+            settle(i)
             at = i
         p = table[piece]
         if j == i + 1:
             none = piece == vocabulary.size
             p = np.where(none.reshape(-1, *[1] * (p.ndim - 1)), UNKNOWN, p)
-        forward[j] += forward[i] * p
+        ring[j % reach] += ring[i % reach] * p
         if edges is not None:
             edges.append((i, j, piece, p))
-    logs[n] = np.log(forward[n]) + scale
-    return logs
+    settle(n)
+    return out if every is None else every
 
 
 def log_probabilities(vocabulary: Vocabulary, table: np.ndarray, runs: pa.Array) -> np.ndarray:
     """Log probability of each run in each language; ``table`` has a row for each piece, then one of zeros."""
     out = np.zeros((len(runs), table.shape[1]))
-    for at, chars in _by_length(runs):
-        out[at] = _forward(vocabulary, table, chars)[-1]
+    for at, sizes, chars in _by_length(runs):
+        out[at] = _forward(vocabulary, table, chars, wanted=sizes + 1)
     return out
 
 
@@ -148,14 +174,17 @@ def expected_counts(vocabulary: Vocabulary, table: np.ndarray, runs: pa.Array, w
     """Expected number of uses of each piece, over all segmentations of the weighted runs; ``table`` is one language's.
 
     The backward pass carries the probability that a segmentation has a boundary at each position: an
-    edge's share of the forward sum at its end, times that end's probability.
+    edge's share of the forward sum at its end, times that end's probability. Runs of more than TAUGHT
+    letters are left out.
     """
     out = np.zeros(vocabulary.size + 1)
-    for at, chars in _by_length(runs):
+    taught = pc.utf8_length(runs).to_numpy(zero_copy_only=False) <= TAUGHT
+    runs, weights = runs.filter(pa.array(taught)), weights[taught]
+    for at, sizes, chars in _by_length(runs, most=200_000):
         edges: list = []
         logs = _forward(vocabulary, table, chars, edges)
         passed = np.zeros(logs.shape)
-        passed[-1] = 1
+        passed[sizes + 1, np.arange(len(at))] = 1
         for i, j, piece, p in reversed(edges):
             share = p * np.exp(logs[i] - logs[j]) * passed[j]
             passed[i] += share
@@ -233,6 +262,7 @@ def fit(docs: DataFrame, vocabulary_path: str, per_language: int = 1500, rounds:
                 logs = log_probabilities(vocabulary, now[:, k : k + 1], runs)[:, 0]
                 size = pc.utf8_length(runs).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([float(logs @ n[mine])]), pa.array([float(size @ n[mine])])], names=["k", "logs", "letters"])
+        give_back()
 
     per_letter = np.full(len(languages), -np.inf)
     for r in counted.mapInArrow(letters, "k bigint, logs double, letters double").groupBy("k").agg(F.sum("logs").alias("logs"), F.sum("letters").alias("letters")).collect():
@@ -279,5 +309,6 @@ def predicted(text: Column, model: LanguageModel, spark) -> Column:
                 belows.append(below)
             numbers = [pa.array(np.concatenate(x) if x else [], pa.float64()) for x in (scores, belows)]
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), *numbers], names=["lang", "score", "below"])
+            give_back()
 
     return predict(text)
