@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import from_planes, give_back, planes, shuffle_width, staged
+from tidemark.llm.shared import bucketed, from_planes, give_back, planes, shuffle_width
 from tidemark.llm.tokens import chunks_of_text, spread
 from tidemark.llm.wordkeys import bytes_of, segment_keys
 
@@ -144,22 +144,44 @@ class _List:
         self.bytes += len(units)
 
     def rows(self, block: int, shards: int):
-        """The list as questions to its units' owners, and its texts for itself; units go in alphabetical order."""
+        """The list as questions to its units' owners, and its texts for itself; units go in alphabetical order.
+
+        The texts' units are told by rank of frequency: a byte for the commonest, more for the others.
+        """
         units = pa.concat_arrays(self.units)
         shard = np.empty(len(units), dtype=np.int64)
         shard[self.at] = (((self.keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
         order = pc.sort_indices(pa.table({"s": shard, "u": units}), [("s", "ascending"), ("u", "ascending")]).to_numpy()
         place = np.empty(len(order), dtype=np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        # the texts' numbers stand for places in that order
+        used = np.zeros(len(units), dtype=np.int64)
+        for x in self.index:
+            used += np.bincount(from_planes(_unpacked(x), np.uint32), minlength=len(units))
+        by_use = np.argsort(-used, kind="stable")
+        rank = np.empty(len(units), dtype=np.uint32)
+        rank[by_use] = np.arange(len(units), dtype=np.uint32)
+        index = b"".join(_ranks_out(rank[from_planes(_unpacked(x), np.uint32)]) for x in self.index)
         meta = np.concatenate(self.docs, axis=1)
-        index = b"".join(len(x).to_bytes(8, "little") + x for x in self.index)
-        yield -1, block, None, _packed(planes(place)), index, _packed(planes(meta.ravel()))
+        yield -1, block, None, _packed(planes(place[by_use])), index, _packed(planes(meta.ravel()))
         ends = np.searchsorted(shard[order], np.arange(shards + 1))
         units = units.take(pa.array(order))
         for s in np.flatnonzero(np.diff(ends)):
             data, offsets = bytes_of(units.slice(ends[s], ends[s + 1] - ends[s]))
-            yield int(s), block, _packed(data.tobytes()), planes(np.diff(offsets).astype(np.uint32)), None, None
+            yield int(s), block, _packed(data.tobytes()), _packed(planes(np.diff(offsets).astype(np.uint32))), None, None
+
+
+def _ranks_out(rank: np.ndarray) -> bytes:
+    """The lengths of two parts, then each packed: a byte for every rank, and what goes beyond a byte."""
+    parts = [_packed(np.minimum(rank, 255).astype(np.uint8).tobytes()), _packed(planes(rank[rank >= 255] - np.uint32(255)))]
+    return b"".join(len(p).to_bytes(8, "little") for p in parts) + b"".join(parts)
+
+
+def _ranks_in(raw: bytes, at: int) -> tuple[np.ndarray, int]:
+    """The ranks that begin at a place, and where they end."""
+    low, high = (int.from_bytes(raw[at + i : at + i + 8], "little") for i in (0, 8))
+    rank = np.frombuffer(_unpacked(raw[at + 16 : at + 16 + low]), np.uint8).astype(np.uint32)
+    rank[rank == 255] += from_planes(_unpacked(raw[at + 16 + low : at + 16 + low + high]), np.uint32)
+    return rank, at + 16 + low + high
 
 
 def _blocks(path: str, shards: int, list_bytes: int):
@@ -183,7 +205,7 @@ def _blocks(path: str, shards: int, list_bytes: int):
 
 def _asked_units(table: pa.Table) -> pa.Array:
     """The units that the rows of one shard ask for, in turn."""
-    return pa.concat_arrays([_strings(_unpacked(u), from_planes(s, np.uint32)) for u, s in zip(table["units"].to_pylist(), table["sizes"].to_pylist())])
+    return pa.concat_arrays([_strings(_unpacked(u), from_planes(_unpacked(s), np.uint32)) for u, s in zip(table["units"].to_pylist(), table["sizes"].to_pylist())])
 
 
 def _listed(table: pa.Table) -> pa.Table:
@@ -210,7 +232,7 @@ def _answered(asked: pa.Table, solved: pa.Table) -> pa.Table:
     at = pc.index_in(units, distinct).to_numpy(zero_copy_only=False).astype(np.int64)
     rows, begin = [], 0
     for block, shard, packed in zip(asked["block"].to_pylist(), asked["shard"].to_pylist(), asked["sizes"].to_pylist()):
-        n = len(packed) // 4
+        n = len(_unpacked(packed)) // 4
         mine = at[begin : begin + n]
         begin += n
         rows.append((block, shard, planes(sizes[mine].astype(np.uint32)), _packed(planes(flat[spread(starts[mine], sizes[mine])].astype(np.uint32))), np.packbits(exact[mine]).tobytes()))
@@ -232,9 +254,8 @@ def _reader(with_ids: bool):
         doc_ids, no_id, counts = from_planes(_unpacked(own["meta"]), np.int64).reshape(3, -1)
         out, doc, at = [], 0, 0
         while at < len(own["index"]):
-            n = int.from_bytes(own["index"][at : at + 8], "little")
-            words = place[from_planes(_unpacked(own["index"][at + 8 : at + 8 + n]), np.uint32)]
-            at, upto = at + 8 + n, 0
+            rank, at = _ranks_in(own["index"], at)
+            words, upto = place[rank], 0
             while upto < len(words):
                 some = words[upto : upto + counts[doc]]
                 ids = flat[spread(starts[some], sizes[some])]
@@ -333,14 +354,9 @@ def _whole_path(spans: Column, longest: int, first_byte: int) -> Column:
 
 def encode_units(units: DataFrame, keys: list[str], pieces: DataFrame, longest: int, first_byte: int) -> DataFrame:
     """``(keys, ids)`` for non-empty units; where rows are hash-partitioned by some of the keys, it shuffles nothing."""
-
-    def spans(some: DataFrame) -> DataFrame:
-        return lattice_edges(some, keys, pieces, longest).groupBy(*keys, "span").agg(F.collect_list("e").alias("edges"))
-
-    short = spans(units.where(F.length("unit") <= SPAN))
-    alone = F.array(F.struct("span", "edges"))
-    long = spans(units.where(F.length("unit") > SPAN)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("span", "edges"))).alias("spans"))
-    return short.select(*keys, _whole_path(alone, longest, first_byte).alias("ids")).unionByName(long.select(*keys, _whole_path(F.col("spans"), longest, first_byte).alias("ids")))
+    spans = lattice_edges(units, keys, pieces, longest).groupBy(*keys, "span").agg(F.collect_list("e").alias("edges"))
+    whole = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("span", "edges"))).alias("spans"))
+    return whole.select(*keys, _whole_path(F.col("spans"), longest, first_byte).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, list_bytes: int = LIST_BYTES) -> DataFrame:
@@ -357,12 +373,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     pieces, longest, first_byte = piece_table(spark, path)
     shards = max(shuffle_width(spark), docs.count() // DOCS_PER_OWNER)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    blocks = staged(rows.mapInArrow(_blocks(path, shards, list_bytes), BLOCK_DDL), "unit-lists")
-    asked = blocks.where("shard >= 0").select("shard", "block", "units", "sizes")
-    units = staged(asked.groupBy("shard").applyInArrow(_listed, "shard bigint, place bigint, unit string"), "units")
+    blocks = bucketed(rows.mapInArrow(_blocks(path, shards, list_bytes), BLOCK_DDL), "unit-lists", "block")
+    width = max(shuffle_width(spark), shards)
     # a shard stays whole from here on: its lattices are grouped and its answers read without another shuffle
-    dealt = units.repartition(max(shuffle_width(spark), shards), "shard")
-    solved = encode_units(dealt, ["shard", "place"], pieces, longest, first_byte)
+    asked = blocks.where("shard >= 0").select("shard", "block", "units", "sizes").repartition(width, "shard")
+    units = asked.groupBy("shard").applyInArrow(_listed, "shard bigint, place bigint, unit string").repartition(width, "shard")
+    solved = encode_units(units, ["shard", "place"], pieces, longest, first_byte)
     solved = decode(solved, path, "ids", "again", drop_dummy=False, keys=["shard", "place"])
     answers = asked.groupBy("shard").cogroup(solved.groupBy("shard")).applyInArrow(_answered, ANSWER_DDL)
     own = blocks.where("shard < 0").select("block", "sizes", "index", "meta")
@@ -389,4 +405,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     text = F.replace(F.decode(F.aggregate("_parts", F.lit(b""), lambda a, p: F.concat(a, p["raw"])), "utf-8"), F.lit(SPACE), F.lit(" "))
     if drop_dummy:
         text = F.when(text.startswith(" "), F.substr(text, F.lit(2))).otherwise(text)
-    return parts.select("_kept.*", F.when(F.col("_kept")[ids_col].isNotNull(), text).alias(out_col))
+    return parts.select(*own, *(F.col("_kept")[c].alias(c) for c in encoded.columns if c not in own), F.when(F.col("_kept")[ids_col].isNotNull(), text).alias(out_col)).select(*encoded.columns, out_col)

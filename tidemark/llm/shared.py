@@ -44,6 +44,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``staged``, in buckets by a column: grouping or joining the table by it later moves none of its rows."""
+    spark = df.sparkSession
+    unique = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.option("path", f"{shared_dir(spark)}/tidemark/{unique}").option("compression", "zstd").format("parquet").bucketBy(shuffle_width(spark), key).saveAsTable(f"tidemark_{unique}")
+    return spark.table(f"tidemark_{unique}")
+
+
 def give_back() -> None:
     """Returns the memory that this Python worker has freed to the machine: workers outlive tasks and stages."""
     pa.default_memory_pool().release_unused()
