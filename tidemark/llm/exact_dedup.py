@@ -24,8 +24,8 @@ from tidemark.llm.shared import ascii_lower, staged
 #: Leading bits of a key that the directory may tell apart at most: a million pointers, broadcast at 24 bytes each.
 MAX_DEPTH = 20
 #: The directory is told apart by so many bits more than its buckets need.
-SPARE_BITS = 4
-BUCKET_ENTRIES = 4096
+SPARE_BITS = 2
+BUCKET_ENTRIES = 512
 
 
 def directory(spark: SparkSession, entries: DataFrame, bucket_entries: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
