@@ -295,6 +295,22 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return roots
 
 
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """``(doc_id, t, root)``, one row per input row: a key of its text, and of the group that links of SIMILAR or more reach."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # a text's own key, to find one text for each set of shingles again without moving the others
+    named = rows.select(_text_key(F.col("text")).alias("t"), "text", "doc_id")
+    sketched = named.select(F.struct("doc_id", "t").alias("doc_id"), "text").mapInArrow(_sketching(width), "doc_id struct<doc_id: bigint, t: bigint>, node bigint, fp bigint, size int, keys array<bigint>")
+    sketched = staged(sketched.select("doc_id.*", "node", "fp", "size", "keys"), "sketches")
+    nodes = sketched.groupBy("node").agg(F.first(F.struct("fp", "size", "keys")).alias("f"), F.min("t").alias("t")).select("node", "f.*", "t")
+    roots = similar_links(staged(nodes, "shingle-nodes"), named.select("t", "text"), width)
+    return staged(sketched.select("doc_id", "t", "node").join(roots, "node", "left").select("doc_id", "t", F.coalesce("root", "node").alias("root")), "shingle-roots")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """``(doc_id, component_id)``, one row per input row.
 
@@ -302,19 +318,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the same shingles are one, wordless and null ones too; ids that are null or repeated are dealt with
     as in ``near_duplicate_groups``.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # a text's own key, to find one text for each set of shingles again without moving the others
-    named = rows.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text", "doc_id")
-    sketched = named.select(F.struct("doc_id", "t").alias("doc_id"), "text").mapInArrow(_sketching(width), "doc_id struct<doc_id: bigint, t: bigint>, node bigint, fp bigint, size int, keys array<bigint>")
-    sketched = staged(sketched.select("doc_id.*", "node", "fp", "size", "keys"), "sketches")
-    firsts = sketched.groupBy("node").agg(F.min("doc_id").alias("first"))
-    nodes = sketched.groupBy("node").agg(F.first(F.struct("fp", "size", "keys")).alias("f"), F.min("t").alias("t")).select("node", "f.*", "t")
-    nodes = staged(nodes, "shingle-nodes")
-    roots = similar_links(nodes, named.select("t", "text"), width)
-    rooted = staged(firsts.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "shingle-roots")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("node", "component_id")
-    return sketched.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
+    rows = similar_rows(docs, id_col, text_col, width)
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """``docs`` with one row of every group that ``similar_rows`` tells: that of the smallest id, rows without one last.
+
+    Of rows repeated in id and text one stays. Only what goes, and the few repeated rows, are shuffled by key.
+    """
+    rows = similar_rows(docs, id_col, text_col, width)
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")).alias("b")).select("root", F.col("b.doc_id").alias("doc_id"), F.col("b.t").alias("t"))
+    kinds = rows.groupBy("root", "doc_id", "t").agg(F.count("*").alias("times"))
+    told = staged(kinds.join(best.select("root", F.col("doc_id").alias("_b"), F.col("t").alias("_t")), "root").select("doc_id", "t", "times", (F.col("doc_id").eqNullSafe(F.col("_b")) & (F.col("t") == F.col("_t"))).alias("stays")), "shingle-kinds")
+    keyed = docs.withColumn("_near_key", F.struct(F.col(id_col).cast("bigint").alias("doc_id"), _text_key(F.col(text_col).cast("string")).alias("t")))
+    named = lambda some: some.select(F.struct("doc_id", "t").alias("_near_key")).distinct()
+    left = keyed.join(named(told.where("not stays")), "_near_key", "left_anti")
+    often = named(told.where("stays and times > 1"))
+    once = left.join(often, "_near_key", "left_anti").unionByName(left.join(often, "_near_key", "left_semi").dropDuplicates(["_near_key"]))
+    return once.select(*docs.columns)
 
 
 def fingerprint_hex(fp: Column) -> Column:
