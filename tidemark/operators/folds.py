@@ -15,6 +15,10 @@ HOST = {
     ("active", "RELEASE"): "releasing", ("ready", "RELEASE"): "releasing", ("releasing", "IDLE_TIMEOUT"): "idle", ("active", "ACQUIRE"): "active", ("releasing", "ACQUIRE"): "active",
 }
 
+HOST_STATES = ("idle", "starting", "ready", "active", "releasing", "disposed")
+#: Events, or maps, that are put together in one row, and how often: a key has STRETCH ** LEVELS events at most.
+STRETCH, LEVELS = 4096, 3
+
 MACHINE = "struct<state: string, generation: bigint, task: string, old_generation: bigint, old_task: string, capture: boolean, approval: boolean, action: boolean, reason: string, rejected: string>"
 
 
@@ -94,8 +98,20 @@ def host_step(state: Column, event: Column) -> Column:
 
 
 def host(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The host's final state for each key; events have event."""
-    return fold(events, key, order, ["event"], F.lit("idle"), lambda s, e: host_step(s, e["event"]))
+    """The host's final state for each key; events have event.
+
+    The states are few, so an event is a map from each state to the next, and maps can be put together
+    stretch by stretch: STRETCH events of a key make one map, as many of these the next, LEVELS times. No row
+    or task gathers more of a key than that, however many events it has.
+    """
+    numbered = events.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order)) - 1)
+    moved = numbered.select(*key, "_n", F.array(*(host_step(F.lit(s), F.col("event")) for s in HOST_STATES)).alias("_map"))
+    after = F.create_map(*(F.lit(x) for i, s in enumerate(HOST_STATES) for x in (s, i)))
+    for _ in range(LEVELS):
+        stretches = moved.groupBy(*key, F.floor(F.col("_n") / STRETCH).alias("_s")).agg(F.array_sort(F.collect_list(F.struct("_n", "_map"))).alias("_maps"))
+        put = F.aggregate("_maps", F.array(*map(F.lit, HOST_STATES)), lambda now, m: F.transform(now, lambda s: F.get(m["_map"], after[s])))
+        moved = stretches.select(*key, F.col("_s").alias("_n"), put.alias("_map"))
+    return moved.select(*key, F.get("_map", F.lit(0)).alias("state"))
 
 
 def leases(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:

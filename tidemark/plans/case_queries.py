@@ -44,6 +44,20 @@ NAMED = [
     (31, "<div>" * 200 + "<button>deep</button>" + "</div>" * 200, "button", None, "", "none", "", "none", None),
 ]
 
+# (page, html, role, its source) of each page's first element, and of its last.
+ROLED = [
+    (1, "<a>x</a>", None, "none"), (2, "<a href=/x>x</a>", "link", "implicit"), (3, "<h3>x</h3>", "heading", "implicit"), (4, "<img alt=''>", "presentation", "implicit"), (5, "<img>", "img", "implicit"), (6, "<img alt='' title=t>", "img", "implicit"), (7, "<select></select>", "combobox", "implicit"),
+    (8, "<select multiple></select>", "listbox", "implicit"), (9, "<select size=3></select>", "listbox", "implicit"), (10, "<input type=search>", "searchbox", "implicit"), (11, "<input list=x>", "combobox", "implicit"), (12, "<input type=number>", "spinbutton", "implicit"), (13, "<input type=range>", "slider", "implicit"),
+    (14, "<input type=checkbox>", "checkbox", "implicit"), (15, "<input type=hidden>", None, "none"), (16, "<section>x</section>", None, "none"), (17, "<section aria-label=x>x</section>", "region", "implicit"), (18, "<form title=t></form>", "form", "implicit"), (19, "<th scope=row>x</th>", "rowheader", "implicit"),
+    (20, "<th>x</th>", "columnheader", "implicit"), (21, "<header>x</header>", "banner", "implicit"), (22, "<article><header>x</header></article>", None, "none"), (23, "<div role='foo button'>x</div>", "button", "explicit"), (24, "<button role=none>x</button>", "button", "implicit"), (25, "<div role=none>x</div>", "none", "explicit"),
+    (26, "<div role=presentation aria-label=x>x</div>", None, "none"), (27, "<textarea></textarea>", "textbox", "implicit"), (28, "<nav>x</nav>", "navigation", "implicit"), (29, "<input type=submit>", "button", "implicit"), (30, "<li role=option>x</li>", "option", "explicit"),
+]
+# (page, html, reasons of its last element)
+REASONED = [
+    (1, "<button>x</button>", "native-control"), (2, "<div role=alert>x</div>", "role,context"), (3, "<div contenteditable>x</div>", "editable"), (4, "<div contenteditable=false>x</div>", None), (5, "<div tabindex=-1>x</div>", "tabindex"), (6, "<h2>x</h2>", "context"), (7, "<p aria-live=polite>x</p>", "context"), (8, "<p aria-live=off>x</p>", None),
+    (9, "<iframe></iframe>", "frame"), (10, "<div style='color:red; cursor: pointer'>x</div>", "pointer"), (11, "<a style='cursor:pointer'>x</a>", "native-control"), (12, "<summary tabindex=0 role=button>x</summary>", "native-control,role,tabindex"), (13, "<div>x</div>", None), (14, "<template><button>x</button></template>", None), (15, "<div contenteditable=PLAINTEXT-ONLY>x</div>", "editable"),
+]
+
 # Elements, frames, ids, labels and hidden parts of small pages.
 PAGES = [
     (1, "<div id=a><p id=b>one</p><p>two</p></div><p class=c aria-live=polite>three</p>"),
@@ -68,6 +82,19 @@ def name_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("page_id", "role", "name", "name_source", "description", "description_source", "fallback", "status")
 
 
+def role_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The role of the last element of each page, and where it comes from."""
+    found = semantics.with_roles(scan.nodes(frame(spark, PAGE, [r[:2] for r in ROLED])))
+    last = found.groupBy("page_id").agg(F.max_by(F.struct("role", "role_source"), "node").alias("r"))
+    return last.select("page_id", "r.role", F.col("r.role_source").alias("source"))
+
+
+def reason_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why elements are candidates: pages without any don't come out."""
+    found = semantics.candidates(scan.nodes(frame(spark, PAGE, [r[:2] for r in REASONED])))
+    return found.groupBy("page_id").agg(F.max(F.array_join("reasons", ",")).alias("reasons"))
+
+
 def page_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many nodes are at or below the first element of each page."""
     roots = frame(spark, "page_id bigint, root int", [(p, 0) for p, _ in PAGES])
@@ -136,6 +163,8 @@ SQL = {
         "page_id bigint, role string, name string, name_source string, description string, description_source string, fallback string, status string",
         [(r[0], *r[3:], "complete" if r[3] else "limited") for r in NAMED],
     ),
+    "role_cases": _rows("page_id bigint, role string, source string", [(i, role, source) for i, _, role, source in ROLED]),
+    "reason_cases": _rows("page_id bigint, reasons string", [(i, why) for i, _, why in REASONED if why]),
     "page_subtrees": _rows("page_id bigint, n bigint", [(1, 5), (2, 2), (3, 1), (4, 5), (5, 1)]),
     "covering_roots": _rows("page_id bigint, root bigint", [(1, 0), (1, 5), (4, 1)]),
     "frame_access": _rows("page_id bigint, access string, n bigint", [(3, "same-origin", 1), (3, "unloaded", 1), (3, "opaque", 1)]),

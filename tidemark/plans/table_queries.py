@@ -182,12 +182,12 @@ def round_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("l_orderkey", "l_linenumber", "r.x", "r.y", "r.w", "r.h")
 
 
-def compose_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A map composed with its inverse is the identity, within rounding."""
-    t = g.affine(F.col("l_quantity") / 8, F.col("l_linenumber") / 4, F.col("l_discount"), F.col("l_tax"))
-    c = table(spark, sf_dir, "lineitem").withColumn("c", g.compose(t, g.invert(t)))
-    near = (F.abs(F.col("c.sx") - 1) < 1e-9) & (F.abs(F.col("c.sy") - 1) < 1e-9) & (F.abs(F.col("c.tx")) < 1e-9) & (F.abs(F.col("c.ty")) < 1e-9)
-    return c.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.count_if(near).alias("n_identity"))
+def composed_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two maps composed, the inverse of the first, and whether it undoes it."""
+    t, u = g.affine(F.col("l_quantity") / 8, F.col("l_linenumber") / 4, F.col("l_discount"), F.col("l_tax")), g.affine(F.lit(2), F.lit(0.5), F.col("l_quantity"), F.lit(-1))
+    c = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", g.compose(t, u).alias("c"), g.invert(t).alias("i"), g.compose(t, g.invert(t)).alias("e"))
+    near = (F.abs(F.col("e.sx") - 1) < 1e-9) & (F.abs(F.col("e.ty")) < 1e-9)
+    return c.select("l_orderkey", "l_linenumber", *(F.round(F.col(f"c.{k}"), 9).alias(k) for k in ("sx", "sy", "tx", "ty")), F.round("i.sx", 9).alias("isx"), (F.round("i.ty", 9) + 0.0).alias("ity"), near.alias("undone"))
 
 
 def placement_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +288,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snapshot_diff, diff_summary, apply_diff_roundtrip, observation_baselines, redact_decision, intern_placeholders, intern_capacity, binding_dedup, last_five_turns, memory_lines, plan_steps, ttl_sessions, ttl_expiry,
-        companion_states, host_leases, host_states, validate_props, reject_codes, reply_correlation, timeouts, clip_boxes, box_predicates, round_out, compose_identity, placement_choice, box_hulls, random_draws,
+        companion_states, host_leases, host_states, validate_props, reject_codes, reply_correlation, timeouts, clip_boxes, box_predicates, round_out, composed_maps, placement_choice, box_hulls, random_draws,
         coverage_flags, ocr_confidence, linear_probe, planner_actions, missing_targets, catalog_search, element_lines, flat_labels, history_results, identity_rejects,
     )
 }
@@ -395,7 +395,8 @@ SQL = {
         with {_BOX}, m as (select l_orderkey, l_linenumber, x * 0.5 + 1 as x, y * 0.25 - 3 as y, w * 0.5 as w, h * 0.25 as h from b),
         r as (select *, floor(x) as fx, floor(y) as fy, case when w = 0 then floor(x) else ceil(x + w) end as r, case when h = 0 then floor(y) else ceil(y + h) end as t from m)
         select l_orderkey, l_linenumber, fx as x, fy as y, r - fx as w, t - fy as h from r""",
-    "compose_identity": "select l_linenumber, count(*) as n, count(*) as n_identity from lineitem group by l_linenumber",
+    "composed_maps": """
+        select l_orderkey, l_linenumber, round(l_quantity / 8 * 2, 9) as sx, round(l_linenumber / 4 * 0.5, 9) as sy, round(l_discount * 2 + l_quantity, 9) as tx, round(l_tax * 0.5 - 1, 9) as ty, round(8 / l_quantity, 9) as isx, round(-l_tax / (l_linenumber / 4), 9) + 0.0 as ity, true as undone from lineitem""",
     "placement_choice": f"""
         with {_BOX}, t as (select x, y * 4 as y, w, h from b),
         p as (select *, least(greatest(x + (w - 12) / 2, 4), 44) as cx, y + h + 6 as below, y - 14 as above, x + w + 6 as beside, least(greatest(y + (h - 8) / 2 - 0.5, 4), 28) as cy from t),
