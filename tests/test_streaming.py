@@ -45,3 +45,15 @@ def test_placeholders_equal_the_batch(spark, tmp_path):
     got = {(r["pii_class"], r["value"]): r["placeholder"] for r in spark.table("interned_values").collect()}
     want = {(r["pii_class"], r["value"]): r["placeholder"] for r in privacy.intern(df, ["scope"], "pii_class", "value", ["seq"], entries=10).collect()}
     assert got == want
+
+
+def test_replies_match_once_and_in_time(spark, tmp_path):
+    t = datetime(2026, 1, 1)
+    asked = [("a", "p", t), ("b", "p", t), ("c", "p", t + timedelta(seconds=5)), ("d", "q", t)]
+    answers = [("a", "p", t + timedelta(seconds=2)), ("a", "p", t + timedelta(seconds=3)), ("b", "p", t + timedelta(seconds=9)), ("c", "p", t + timedelta(seconds=5)), ("d", "p", t + timedelta(seconds=1))]
+    in_files(spark, asked, "id string, peer string, asked timestamp", tmp_path / "asked", 1)
+    in_files(spark, answers, "id string, peer string, answered timestamp", tmp_path / "answers", 1)
+    requests = state.events_stream(spark, str(tmp_path / "asked"), "id string, peer string, asked timestamp")
+    replies = state.events_stream(spark, str(tmp_path / "answers"), "id string, peer string, answered timestamp")
+    state.to_table(state.matched_replies(requests, replies, "5 seconds"), "matched_replies", str(tmp_path / "c"))
+    assert [r["id"] for r in spark.table("matched_replies").collect()] == ["a"]

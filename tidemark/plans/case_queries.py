@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import sanitize_label
 from tidemark.operators import names, semantics, snapshots
 from tidemark.sources import pages as scan
 from tidemark.sources.inline import common_table, frame
@@ -82,6 +83,15 @@ def name_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("page_id", "role", "name", "name_source", "description", "description_source", "fallback", "status")
 
 
+# (id, label, what is shown)
+LABELS = [(1, "a\u202eb\u200bc", "a b c"), (2, "x" * 121, "x" * 119 + "…"), (3, "😀" * 60 + "y", "😀" * 60 + "y…"), (4, "\u00a0 a\u3000b\t", "a b"), (5, "a\u00adb", "a\u00adb"), (6, "é" * 120, "é" * 120), (7, "\u2066\ufeff", ""), (8, "😀" * 200, "😀" * 119 + "…"), (9, "a\u2028b\u0085c", "a b c")]
+
+
+def label_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with bidi, zero-width and wide characters as they are shown."""
+    return frame(spark, "id bigint, label string", [r[:2] for r in LABELS]).select("id", sanitize_label(F.col("label")).alias("shown"))
+
+
 def role_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The role of the last element of each page, and where it comes from."""
     found = semantics.with_roles(scan.nodes(frame(spark, PAGE, [r[:2] for r in ROLED])))
@@ -163,6 +173,7 @@ SQL = {
         "page_id bigint, role string, name string, name_source string, description string, description_source string, fallback string, status string",
         [(r[0], *r[3:], "complete" if r[3] else "limited") for r in NAMED],
     ),
+    "label_cases": _rows("id bigint, shown string", [(i, shown) for i, _, shown in LABELS]),
     "role_cases": _rows("page_id bigint, role string, source string", [(i, role, source) for i, _, role, source in ROLED]),
     "reason_cases": _rows("page_id bigint, reasons string", [(i, why) for i, _, why in REASONED if why]),
     "page_subtrees": _rows("page_id bigint, n bigint", [(1, 5), (2, 2), (3, 1), (4, 5), (5, 1)]),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.functions.geometry import is_valid_box
-from tidemark.operators import messages, privacy, sessions, store, validation, vision
+from tidemark.operators import catalog, messages, privacy, sessions, store, validation, vision
 from tidemark.operators.models import first_working
 from tidemark.plans import planner, prompts
 from tidemark.sources.inline import common_table, frame
@@ -338,6 +338,16 @@ def last_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id").agg(F.count("answered").alias("n_answered"), F.max(F.unix_micros(F.col("answered").cast("timestamp")) - F.unix_micros(F.col("asked").cast("timestamp"))).alias("latest"))
 
 
+SEARCH = "search bigint, term string, category string, only_available boolean"
+SEARCHES = [(1, "  RED ", "all", False), (2, "red", "Brand#11", True), (3, "", "all", True), (4, "no such thing", "all", False), (5, "part 1", "Brand#12", False)]
+
+
+def catalog_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches over the parts by name, with brands as categories; parts larger than ten are available."""
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("category"), (F.col("p_size") > 10).alias("available"))
+    return catalog.searched(p, frame(spark, SEARCH, SEARCHES))
+
+
 def _json(path: str) -> str:
     return f"json_type(j, '$.{path}')"
 
@@ -511,6 +521,9 @@ SQL = {
     "region_results": """
         with r as (select l_orderkey, l_returnflag = 'R' as face, case when l_linestatus = 'O' then 'ok' when l_linenumber > 5 then 'unavailable' else 'empty' end as status, l_linenumber - 1 as items, l_partkey % 11 = 0 as synthetic from lineitem)
         select l_orderkey, count(*) as results, cast(sum(items) as bigint) as items, bool_or(face and items > 0) as any_face, bool_and(not synthetic and status in ('ok', 'empty')) as all_covered, bool_or(status = 'unavailable') as any_restricted from r group by l_orderkey""",
+    "catalog_results": f"""
+        with {common_table("r", SEARCH, SEARCHES)}, f as (select search, count(p_name) as n from r left join part on contains(lower(p_name), lower(trim(term))) and (category = 'all' or p_brand = category) and (not only_available or p_size > 10) group by search)
+        select search, n, n || case when n = 1 then ' result' else ' results' end as shown from f""",
     "last_replies": """
         with v as (select user_id, event_id, ts from events where event_type = 'view'), r as (select v.user_id, v.event_id, v.ts, min(c.ts) as first from v left join (select user_id, ts from events where event_type = 'click') c on c.user_id = v.user_id and c.ts > v.ts group by all)
         select user_id, count(*) filter (where first <= ts + interval 1 day) as n_answered, max(epoch_us(first) - epoch_us(ts)) filter (where first <= ts + interval 1 day) as latest from r group by user_id""",

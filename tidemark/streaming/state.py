@@ -99,7 +99,9 @@ def matched_replies(requests: DataFrame, answers: DataFrame, timeout: str, laten
     r = requests.withWatermark("asked", lateness)
     a = answers.select(F.col("id").alias("_id"), F.col("peer").alias("_peer"), "answered").withWatermark("answered", lateness)
     on = (F.col("id") == F.col("_id")) & (F.col("peer") == F.col("_peer")) & (F.col("answered") > F.col("asked")) & (F.col("answered") <= F.col("asked") + F.expr(f"interval {timeout}"))
-    return r.join(a, on).drop("_id", "_peer").dropDuplicatesWithinWatermark(["id"])
+    # one event time goes on: that of the request; the answer's is from here on a plain instant
+    both = r.join(a, on).drop("_id", "_peer").withColumn("answered", F.col("answered") + F.expr("interval 0 seconds"))
+    return both.dropDuplicatesWithinWatermark(["id"])
 
 
 def to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"):
