@@ -13,6 +13,7 @@ move once, to the few candidates that a query has left, by a join on the row's n
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,8 @@ CODES = 16
 THRESHOLD = 0.2
 SAMPLE = 8192
 BLOCK_ROWS = 16_384
-RERANK = 128
+#: A query keeps this many candidates for the exact ranking, times the fourth root of the number of vectors; LEAST_RERANK at least.
+RERANK, LEAST_RERANK = 8.5, 64
 
 
 @dataclass
@@ -187,13 +189,13 @@ def _exact(dims: int):
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK, block_rows: int = BLOCK_ROWS, slice_rows: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int | None = None, block_rows: int = BLOCK_ROWS, slice_rows: int = 2048) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each query row, by cosine.
 
     Queries are the usable rows where ``is_query``, a condition on ``vec_id``, holds; candidates are
     all usable rows but those with the query's id. The codes go in blocks, queries in slices; each block
     is scanned for each slice by one task. Of all blocks' finds a query keeps the ``rerank`` different vectors of
-    the largest estimates for the exact cosine in double precision. Ties go to the smaller id. Defined
+    the largest estimates for the exact cosine in double precision; see RERANK. Ties go to the smaller id. Defined
     results: null, empty, zero and non-finite vectors, null ids and vectors of a rare dimension take no
     part; an id that several query rows have asks once, with the least of their vectors; fewer candidates than
     ``k`` are all returned; an empty table gives no rows; other columns are ignored. Whole groups of equal
@@ -205,6 +207,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         return index.select(F.col("number").alias("query_id"), F.lit(1).alias("rank"), F.col("number").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
     queries = found.where(is_query).where(F.size("vec") == quantiser.dims).groupBy(F.col("vec_id").alias("query")).agg(F.min("vec").alias("vec"))
     queries = staged(queries, "ann-queries")
+    rerank = rerank or max(LEAST_RERANK, math.ceil(RERANK * n**0.25))
     blocks, slices = max(1, -(-n // block_rows)), max(1, -(-queries.count() // slice_rows))
     dealt = lambda c, m, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(m))
     data = index.select("number", "code", dealt("number", blocks, "block").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
