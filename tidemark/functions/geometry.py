@@ -110,25 +110,22 @@ def capture_code(c: Column) -> Column:
     ``c`` has id, scroll_x, scroll_y, layout_w, layout_h, visual_w, visual_h, offset_x, offset_y, scale,
     ratio, zoom, image_w, image_h and viewport (layout or visual). The device's pixel ratio is checked, never used.
     """
-    missing = F.lit(False)
-    for k in ("id", "scroll_x", "layout_w", "visual_w", "image_w"):
-        missing = missing | c[k].isNull()
-    wrong = F.length(c["id"]) == 0
-    for k in ("scroll_x", "scroll_y", "offset_x", "offset_y"):
-        wrong = wrong | ~is_finite(c[k])
-    for k in ("layout_w", "layout_h", "visual_w", "visual_h", "scale", "ratio", "zoom"):
-        wrong = wrong | ~is_finite(c[k]) | (c[k] <= 0)
-    wrong = wrong | ~_whole(c["image_w"]) | ~_whole(c["image_h"])
+    missing = F.greatest(*(c[k].isNull() for k in ("id", "scroll_x", "layout_w", "visual_w", "image_w")))
+    free, positive = (F.array(*(c[k] for k in names.split())) for names in ("scroll_x scroll_y offset_x offset_y", "layout_w layout_h visual_w visual_h scale ratio zoom image_w image_h"))
+    wrong = (F.length(c["id"]) == 0) | F.exists(free, lambda x: ~is_finite(x)) | F.exists(positive, lambda x: ~is_finite(x) | (x <= 0)) | (c["image_w"] != F.floor(c["image_w"])) | (c["image_h"] != F.floor(c["image_h"]))
     return F.when(missing, "missing_metadata").when(wrong, "invalid_geometry").when(~F.coalesce(c["viewport"].isin("layout", "visual"), F.lit(False)), "missing_metadata")
 
 
-def page_to_image(c: Column) -> Column:
-    """A capture's map from page to image: minus the scroll, then by the image's size over the captured viewport's."""
+def page_to_image(c: Column, good: Column) -> Column:
+    """A capture's map from page to image: minus the scroll, then by the image's size over the captured viewport's.
+
+    ``good`` tells that ``capture_code`` found nothing wrong; a column of its own is checked once, not for every part of the map.
+    """
     visual = c["viewport"] == "visual"
     sx, sy = (c[f"image_{k}"] / F.when(visual, c[f"visual_{k}"]).otherwise(c[f"layout_{k}"]) for k in "wh")
     to_view = affine(F.lit(1), F.lit(1), -c["scroll_x"], -c["scroll_y"])
     to_image = affine(sx, sy, F.when(visual, -c["offset_x"] * sx).otherwise(0.0), F.when(visual, -c["offset_y"] * sy).otherwise(0.0))
-    return F.when(capture_code(c).isNull(), compose(to_view, to_image))
+    return F.when(good, compose(to_view, to_image))
 
 
 def is_current(document: Column, observation: Column, now_document: Column, now_observation: Column) -> Column:

@@ -21,18 +21,21 @@ def _captures(spark, sf_dir):
         F.when(F.col("q") != 13, F.concat(F.lit("c"), F.col("l_linenumber").cast("string"))).alias("id"), F.col("q").alias("scroll_x"), F.col("d").alias("scroll_y"), F.lit(1280.0).alias("layout_w"), F.lit(640.0).alias("layout_h"), (F.lit(320.0) * F.col("n")).alias("visual_w"), F.lit(160.0).alias("visual_h"), F.col("t").alias("offset_x"), F.col("n").alias("offset_y"),
         F.when(F.col("q") % 9 == 0, 0.0).otherwise(2.0).alias("scale"), F.lit(1.5).alias("ratio"), F.lit(1.0).alias("zoom"), F.when(F.col("q") == 7, 640.5).otherwise(640.0).alias("image_w"), F.lit(320.0).alias("image_h"), F.when(F.col("q") == 11, "other").when(F.col("l_linenumber") % 2 == 0, "visual").otherwise("layout").alias("viewport"),
     )
-    return _lines(spark, sf_dir).withColumn("c", c)
+    # a generator keeps its result: without one the optimiser would put each map's expression wherever a part of it is used
+    told = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "q", "n", "d", "t", F.explode(F.array(c)).alias("c"))
+    told = told.select("*", F.explode(F.array(g.capture_code(F.col("c")))).alias("code"))
+    return told.select("*", F.explode(F.array(g.page_to_image(F.col("c"), F.col("code").isNull()))).alias("m"))
 
 
 def capture_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each capture's map from page to image, or why there is none."""
-    m = _captures(spark, sf_dir).select("l_orderkey", "l_linenumber", F.coalesce(g.capture_code(F.col("c")), F.lit("ok")).alias("code"), g.page_to_image(F.col("c")).alias("m"))
-    return m.select("l_orderkey", "l_linenumber", "code", "m.sx", "m.sy", "m.tx", "m.ty")
+    m = _captures(spark, sf_dir)
+    return m.select("l_orderkey", "l_linenumber", F.coalesce("code", F.lit("ok")).alias("code"), "m.sx", "m.sy", "m.tx", "m.ty")
 
 
 def mapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page's point (100, 200) and the box (q, n, d, t) by each capture's map."""
-    m = _captures(spark, sf_dir).withColumn("m", g.page_to_image(F.col("c"))).where("m is not null")
+    m = _captures(spark, sf_dir).where("code is null")
     p = m.select("l_orderkey", "l_linenumber", g.map_point(F.col("m"), F.lit(100.0), F.lit(200.0)).alias("p"), g.map_box(F.col("m"), g.box(F.col("q"), F.col("n"), F.col("d"), F.col("t"))).alias("b"))
     return p.select("l_orderkey", "l_linenumber", "p.x", "p.y", F.col("b.x").alias("bx"), F.col("b.w").alias("bw"))
 
