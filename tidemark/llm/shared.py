@@ -41,14 +41,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _goes_with_the_session(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _goes_with_the_session(spark: SparkSession, path: str) -> None:
+    """Has the file system delete a folder when the driver ends; until then every table read from it stands."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """As ``staged``, in buckets by a column: grouping or joining the table by it later moves none of its rows."""
     spark = df.sparkSession
     unique = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.write.option("path", f"{shared_dir(spark)}/tidemark/{unique}").option("compression", "zstd").format("parquet").bucketBy(shuffle_width(spark), key).saveAsTable(f"tidemark_{unique}")
+    path = f"{shared_dir(spark)}/tidemark/{unique}"
+    df.write.option("path", path).option("compression", "zstd").format("parquet").bucketBy(shuffle_width(spark), key).saveAsTable(f"tidemark_{unique}")
+    _goes_with_the_session(spark, path)
     return spark.table(f"tidemark_{unique}")
 
 
