@@ -16,7 +16,12 @@ RISKS = ("low", "medium", "high")
 RESULTS = ("ok", "failed", "mismatch", "unknown")
 REASONS = ("target_missing", "target_changed", "stale_observation", "binding_denied", "unsupported_control", "expectation_failed", "timeout", "cancelled", "permission_denied", "egress_blocked", "execution_error")
 MODES = ("ask", "guide", "agent", "background")
-COMMAND_KEYS = "advance_on amount citations clear_first direction field items key ms option options question say shapes style summary tab target targets text to_element type until url".split()
+# The variants of a command and the fields of each, besides its type.
+COMMANDS = {
+    "click": "target", "type": "target text clear_first", "select": "target option", "scroll_amount": "direction amount", "scroll_target": "to_element", "press_key": "key", "wait_duration": "ms", "wait_until": "until", "navigate": "url", "extract": "target field",
+    "ask_user": "question options", "escalate": "targets question", "done": "summary", "point": "target say style advance_on", "annotate": "shapes say", "say": "text", "answer": "text citations", "switch_tab": "tab", "report": "summary items",
+}
+COMMAND_KEYS = sorted({"type", *(k for fields in COMMANDS.values() for k in fields.split())})
 MOST_SECONDS = 1800
 
 
@@ -100,6 +105,13 @@ def prompt_context(records: DataFrame) -> DataFrame:
     return good.select("session_id", "task_id", F.trim("task_version").cast("bigint").alias("task_version"), "task_text", domains.alias("allowed_domains"), "mode", (F.col("read_only") == "1").alias("read_only"), decoded(F.col("history")).alias("history"))
 
 
+def variants(commands: DataFrame) -> DataFrame:
+    """Adds fits to commands (variants as ``command``): the kinds of command whose fields hold all of its keys, by name."""
+    keys = F.map_keys(F.try_variant_get("command", "$", "map<string,variant>"))
+    fits = [F.when(F.size(F.array_except(keys, F.array(*map(F.lit, ["type", *fields.split()])))) == 0, name) for name, fields in sorted(COMMANDS.items())]
+    return commands.withColumn("fits", F.array_compact(F.array(*fits)))
+
+
 def settings_ok(seconds: Column, body_bytes: Column) -> Column:
     return F.coalesce(seconds.between(1, MOST_SECONDS) & (body_bytes >= 1), F.lit(False))
 

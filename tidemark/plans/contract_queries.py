@@ -187,6 +187,16 @@ def command_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, SCALAR, COMMANDS).select("id", prompts.action_command(validation.parsed(F.col("raw"))).alias("line"))
 
 
+KEYED = [(1, '{"type": "click", "target": "e1"}'), (2, '{"type": "x"}'), (3, '{"summary": "s"}'), (4, '{"type": "say", "text": "t", "citations": []}'), (5, '{"target": 1, "url": 2}')]
+
+
+def command_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many kinds of command take all keys of each, and whether any kind knows every key."""
+    told = store.variants(frame(spark, SCALAR, KEYED).withColumn("command", validation.parsed(F.col("raw"))))
+    keys = F.map_keys(F.try_variant_get("command", "$", "map<string,variant>"))
+    return told.select("id", F.size("fits").cast("bigint").alias("n_kinds"), F.get("fits", F.lit(0)).alias("first"), (F.size(F.array_except(keys, F.array(*map(F.lit, store.COMMAND_KEYS)))) == 0).alias("known"))
+
+
 REFERENCE_COMMANDS = [
     (1, '{"type": "click", "target": "e1"}'), (2, '{"type": "annotate", "targets": ["e2", "e1", 5, "e2"], "shapes": [{"element": "e3"}, {"to_element": "e4", "x": {"appear": "e5"}}]}'), (3, '{"type": "wait", "until": {"appear": {"element_id": "e6"}, "disappear": "v7"}}'),
     (4, '{"type": "done"}'), (5, '{"target": 5, "targets": "e8", "list": [[{"target": "e9"}]]}'),
@@ -489,6 +499,9 @@ SQL = {
         with {common_table("r", "id bigint, shown string", [(1, "null"), (2, "true"), (3, "20"), (4, "20"), (5, "2.5"), (6, '"a b"'), (7, '"quote and é"'), (8, "[1, true, null]"), (9, '{"a": [1, 2], "b": 1}'), (10, "[]"), (11, "{}"), (12, '[{"k": null, "z": "x, y"}]')])} select * from r""",
     "command_lines": f"""
         with {common_table("r", "id bigint, line string", [(1, 'type="click" target="e1"'), (2, 'type="type" clear_first=true target="e2" text="hi there"'), (3, 'type="wait" ms=250'), (4, 'b=[1, 2] "odd key"=1'), (5, 'type="say" say=null')])} select * from r""",
+    "command_variants": f"""
+        with {common_table("r", SCALAR, KEYED)}, {common_table("v", "name string, fields array<string>", [(n, ["type", *f.split()]) for n, f in store.COMMANDS.items()])}, k as (select id, json_keys(raw) as ks from r), u as (select list(distinct f) as known from (select unnest(fields) as f from v))
+        select id, count(name) as n_kinds, min(name) as first, any_value(list_has_all(known, ks)) as known from k cross join u left join v on list_has_all(fields, ks) group by id""",
     "command_element_ids": f"""
         with {common_table("r", "id bigint, ids string", [(1, "e1"), (2, "e1,e2,e3,e4,e5"), (3, "e6,v7"), (4, ""), (5, "e9")])} select * from r""",
     "script_element_ids": "select * from (values ('t_profile_upd', 'e_email,e_save'), ('t_search_demo', 'e_result,e_search')) t(task_id, ids)",
