@@ -12,7 +12,7 @@ def brute(rows, least=0.93):
     for a in ok:
         for b in ok:
             if a != b and rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]):
-                u, v = (np.array(rows[k][1], float) for k in (a, b))
+                u, v = (np.array(rows[k][1], float) / max(map(abs, rows[k][1])) for k in (a, b))
                 if u @ v / np.linalg.norm(u) / np.linalg.norm(v) >= least:
                     near[a].append(b)
     out = []
