@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns whose names the operators use themselves.
-CLASH = ("fp", "key", "h", "lang", "n", "page", "sig", "held", "block", "token", "_id", "_key", "members", "score")
+CLASH = ("fp", "key", "h", "lang", "n", "page", "sig", "held", "block", "token", "_id", "_key", "members", "score", "_language", "_line_dedup_found", "_near_key", "number", "kept")
 
 
 @pytest.fixture(scope="session")

@@ -61,6 +61,14 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(f"tidemark_{unique}")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def give_back() -> None:
     """Returns the memory that this Python worker has freed to the machine: workers outlive tasks and stages."""
     pa.default_memory_pool().release_unused()

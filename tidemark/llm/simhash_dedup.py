@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.llm.graph import components
-from tidemark.llm.shared import give_back, mix64, shuffle_width, staged
+from tidemark.llm.shared import free_name, give_back, mix64, shuffle_width, staged
 from tidemark.llm.tokens import chunks_of_text, spread
 from tidemark.llm.wordkeys import word_keys
 
@@ -331,11 +331,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")).alias("b")).select("root", F.col("b.doc_id").alias("doc_id"), F.col("b.t").alias("t"))
     kinds = rows.groupBy("root", "doc_id", "t").agg(F.count("*").alias("times"))
     told = staged(kinds.join(best.select("root", F.col("doc_id").alias("_b"), F.col("t").alias("_t")), "root").select("doc_id", "t", "times", (F.col("doc_id").eqNullSafe(F.col("_b")) & (F.col("t") == F.col("_t"))).alias("stays")), "shingle-kinds")
-    keyed = docs.withColumn("_near_key", F.struct(F.col(id_col).cast("bigint").alias("doc_id"), _text_key(F.col(text_col).cast("string")).alias("t")))
-    named = lambda some: some.select(F.struct("doc_id", "t").alias("_near_key")).distinct()
-    left = keyed.join(named(told.where("not stays")), "_near_key", "left_anti")
+    own = free_name(docs, "_near_key")
+    keyed = docs.withColumn(own, F.struct(F.col(id_col).cast("bigint").alias("doc_id"), _text_key(F.col(text_col).cast("string")).alias("t")))
+    named = lambda some: some.select(F.struct("doc_id", "t").alias(own)).distinct()
+    left = keyed.join(named(told.where("not stays")), own, "left_anti")
     often = named(told.where("stays and times > 1"))
-    once = left.join(often, "_near_key", "left_anti").unionByName(left.join(often, "_near_key", "left_semi").dropDuplicates(["_near_key"]))
+    once = left.join(often, own, "left_anti").unionByName(left.join(often, own, "left_semi").dropDuplicates([own]))
     return once.select(*docs.columns)
 
 
