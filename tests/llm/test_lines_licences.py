@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from tidemark.llm import licences, line_dedup
 
 
-def brute_lines(rows, threshold=0.8, least=5):
+def brute_lines(rows, threshold=0.8):
     seen, out = [], {}
     for i, t in sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
         gone = []
         for k, line in enumerate(t.split("\n")):
             words = frozenset(w for w in line.encode().lower().split())
-            if words and any(words == o or len(words) >= least <= len(o) and len(words & o) >= threshold * len(words | o) - 1e-9 for o in seen):
+            if words and any(words == o or len(words & o) >= threshold * len(words | o) - 1e-9 for o in seen):
                 gone.append(k)
             if words:
                 seen.append(words)
@@ -52,6 +52,15 @@ def test_lines_equal_brute_force(docs_of, edge_rows):
     assert sum(map(len, want.values())) > 50
 
 
+def test_lines_of_few_words_match_as_the_threshold_says(docs_of):
+    """Four words are four fifths of five; three are less of four."""
+    assert [line_dedup.least_words(t) for t in (0.5, 0.75, 0.8, 0.9)] == [1, 3, 4, 9]
+    lines = ["alpha beta gamma delta", "alpha beta gamma delta epsilon", "one two three", "one two three four", "four three two one", "a b c d e", "d c b a", "p q r s t u", "p q r s t u v", "p q r"]
+    rows = [(i, t) for i, t in enumerate(lines)] + [(100 + i, f"word{i % 7} x y z" + " w" * (i % 2) + f" v{i % 5}" * (i % 3)) for i in range(60)]
+    found = {(r["doc_id"], len(dict(rows)[r["doc_id"]])): r["dropped"] for r in line_dedup.duplicate_lines(docs_of(rows)).collect()}
+    assert found == brute_lines(rows) and found[1, len(lines[1])] == [0] == found[6, 7] and found[3, 18] == []
+
+
 def test_every_row_of_a_repeated_document_is_told(docs_of):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "x y\nx y"), (3, None)]
     found = sorted((r["doc_id"], r["dropped"]) for r in line_dedup.duplicate_lines(docs_of(rows)).collect())

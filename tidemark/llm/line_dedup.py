@@ -21,12 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import from_planes, give_back, mix64, planes, shuffle_width, staged
+from tidemark.llm.shared import free_name, from_planes, give_back, mix64, planes, shuffle_width, staged
 from tidemark.llm.tokens import chunks_of_text
 from tidemark.llm.wordkeys import line_word_keys, word_keys
 
 THRESHOLD = 0.8
-MIN_WORDS = 5
 TRIES = 16
 FEW = 4
 COUNTERS = 1 << 20
@@ -48,6 +47,11 @@ FOUND = pa.schema([*((k, pa.int64()) for k in PAIR), ("more", pa.bool_()), ("bit
 FOUND_DDL = ", ".join(f"{k} bigint" for k in PAIR) + ", more boolean, bits array<bigint>, " + NUMBERED_DDL
 
 
+def least_words(threshold: float) -> int:
+    """The fewest words of a set that a different set can match: n words against the same and one more."""
+    return max(1, int(np.ceil(threshold / (1 - threshold) - 1e-9))) if threshold < 1 else 1
+
+
 def least_overlap(total, threshold: float):
     """The fewest common words with which sets of ``total`` words together reach the threshold."""
     return np.ceil(total * threshold / (1 + threshold) - 1e-9).astype(np.int64)
@@ -290,17 +294,19 @@ def _all_candidates(lists: DataFrame, rest: DataFrame, threshold: float) -> Data
     return both.select("sig", "doc", "line", F.col("o_sig").alias("other"), F.col("o_doc").alias("other_doc"), F.col("o_line").alias("other_line")).distinct()
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS, tries: int = TRIES) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int | None = None, tries: int = TRIES) -> DataFrame:
     """``(doc_id, text_key, n_lines, dropped)``, one row per input row: the numbers, from 0, of the lines to drop.
 
     Lines are parted by ``\\n``. A line is dropped when an earlier one, by id and then by place, has
     Jaccard similarity ``threshold`` or more of word sets (a line dropped itself counts as earlier
-    too); one of fewer than ``min_words`` different words only when an earlier one has the same set.
+    too). ``min_words`` leaves shorter lines to equal sets alone; by default it is the fewest with which the
+    threshold can be met at all (4 at 0.8), so none is lost.
     Lines without a word always stay. Sets are equal when their 64-bit keys and sizes are. Defined
     results: null text is one empty line; rows repeated in id and text are one document, told once for each row;
     null ids come first; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    min_words = least_words(threshold) if min_words is None else min_words
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counters = spark.sparkContext.broadcast(_rank_of(_count_words(docs)).astype(np.uint16))
     shards = max(shuffle_width(spark), docs.count() // DOCS_PER_OWNER)
@@ -354,8 +360,9 @@ def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
     in id and text each is treated alike.
     """
     found = duplicate_lines(docs, id_col, text_col, **options).where(F.size("dropped") > 0).dropDuplicates(["doc_id", "text_key"])
-    found = found.select(F.struct("doc_id", "text_key", "n_lines", "dropped").alias("_line_dedup_found"))
-    f = F.col("_line_dedup_found")
+    own = free_name(docs, "_line_dedup_found")
+    found = found.select(F.struct("doc_id", "text_key", "n_lines", "dropped").alias(own))
+    f = F.col(own)
     same = F.col(id_col).cast("bigint").eqNullSafe(f["doc_id"]) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == f["text_key"])
     joined = docs.join(found, same, "left")
     kept = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains(f["dropped"], i))
