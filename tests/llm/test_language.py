@@ -153,3 +153,21 @@ def test_scores_equal_brute_force(docs_of, edge_rows):
 def test_the_model_beats_the_base_on_held_out_texts(spark):
     r = queries.op9_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r["s"] > r["b"]
+
+
+def test_long_runs_teach_as_their_segmentations_say(monkeypatch):
+    """Edges made anew in stretches give the counts that edges kept from the forward pass give."""
+    vocabulary = langid.Vocabulary([langid.BOUNDARY, "a", "b", "ab", "ba", "aba", langid.BOUNDARY + "a"])
+    rng = np.random.default_rng(2)
+    table = np.append(rng.dirichlet(np.ones(vocabulary.size)), 0.0)
+    runs, weights = pa.array(["ab" * 300, "aab" * 150 + "x", "abba" * 90, "ab"], pa.large_string()), np.array([1.0, 2.0, 3.0, 4.0])
+    at_once = langid.expected_counts(vocabulary, table, runs, weights)
+    for size in (7, 64, 5000):
+        monkeypatch.setattr(langid, "AT_ONCE", size)
+        assert np.allclose(langid.expected_counts(vocabulary, table, runs, weights), at_once, rtol=1e-9)
+    assert at_once.sum() > 600
+
+
+def test_marks_stay_on_their_letters():
+    runs, of = langid.letter_runs(pa.array(["हिन्दी", "a\u0301b", "\u0301", "x-y"], pa.large_string()))
+    assert runs.to_pylist() == ["हिन्दी", "a\u0301b", "x", "y"] and of.tolist() == [0, 1, 3, 3]

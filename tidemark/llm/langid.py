@@ -22,8 +22,8 @@ from tidemark.llm.tokens import chunks_of_text, split_words
 
 #: Runs of up to so many letters are scored with others of just their length, longer ones with others up to LONGER times theirs.
 EXACT, LONGER = 40, 1.25
-#: Of the sampled rows, runs of more letters than this teach nothing; a documented bound of the fit. Prediction reads any.
-TAUGHT = 200
+#: A fit keeps the edges of runs of up to so many letters from its forward pass, and makes those of longer ones anew, as many at once.
+AT_ONCE = 200
 #: The forward pass brings its sums back to one at every so many positions, so they stay in range.
 RESCALED = 8
 #: Probability of a character that the vocabulary has no piece for, in every language.
@@ -78,10 +78,10 @@ def public_vocabulary(path: str) -> Vocabulary:
 
 
 def letter_runs(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The lower-case runs of letters in each word, and the word each is in."""
-    split = pc.split_pattern(pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(words), r"\P{L}+", " "), " "), " ")
+    """The lower-case runs of letters, with the marks on them, in each word, and the word each is in."""
+    split = pc.split_pattern(pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(words), r"[^\p{L}\p{M}]+", " "), " "), " ")
     runs, of = split.flatten(), np.repeat(np.arange(len(words)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
-    keep = pc.utf8_length(runs).to_numpy(zero_copy_only=False) > 0
+    keep = pc.match_substring_regex(runs, r"\p{L}").to_numpy(zero_copy_only=False)
     return (runs, of) if keep.all() else (runs.filter(pa.array(keep)), of[keep])
 
 
@@ -105,18 +105,24 @@ def _by_length(runs: pa.Array, most: int = 2_000_000):
             yield at, n, chars
 
 
-def _lattice(vocabulary: Vocabulary, chars: np.ndarray):
-    """``(start, end, piece of each row)`` for every stretch of positions that a piece can cover."""
+def _lattice(vocabulary: Vocabulary, chars: np.ndarray, first: int = 0, last: int | None = None):
+    """``(start, end, piece of each row)`` for every stretch of positions that a piece can cover, starting from ``first`` to before ``last``."""
     n = chars.shape[1]
     codes = chars.astype(np.uint64) + np.uint64(1)
     with np.errstate(over="ignore"):
-        for i in range(n):
+        for i in range(first, n if last is None else last):
             h = np.zeros(len(chars), dtype=np.uint64)
             for j in range(i + 1, min(n, i + vocabulary.longest) + 1):
                 h = (h + codes[:, j - 1]) * np.uint64(_MULTIPLIER)
                 yield i, j, vocabulary.find(h)
 
 
+def _weights(vocabulary: Vocabulary, table: np.ndarray, start: int, end: int, piece: np.ndarray) -> np.ndarray:
+    """The pieces' probabilities; a single letter that is no piece has that of the unknown."""
+    p = table[piece]
+    return np.where((piece == vocabulary.size).reshape(-1, *[1] * (p.ndim - 1)), UNKNOWN, p) if end == start + 1 else p
+
+
 def _forward(vocabulary: Vocabulary, table: np.ndarray, chars: np.ndarray, edges: list | None = None, wanted: np.ndarray | None = None) -> np.ndarray:
     """The logs of the forward sums of each run and further axis of ``table``.
 
@@ -151,10 +157,7 @@ def _forward(vocabulary: Vocabulary, table: np.ndarray, chars: np.ndarray, edges
             ring[at % reach] = 0  # the slot is position at + reach's from now on
             settle(i)
             at = i
-        p = table[piece]
-        if j == i + 1:
-            none = piece == vocabulary.size
-            p = np.where(none.reshape(-1, *[1] * (p.ndim - 1)), UNKNOWN, p)
+        p = _weights(vocabulary, table, i, j, piece)
         ring[j % reach] += ring[i % reach] * p
         if edges is not None:
             edges.append((i, j, piece, p))
@@ -174,21 +177,30 @@ def expected_counts(vocabulary: Vocabulary, table: np.ndarray, runs: pa.Array, w
     """Expected number of uses of each piece, over all segmentations of the weighted runs; ``table`` is one language's.
 
     The backward pass carries the probability that a segmentation has a boundary at each position: an
-    edge's share of the forward sum at its end, times that end's probability. Runs of more than TAUGHT
-    letters are left out.
+    edge's share of the forward sum at its end, times that end's probability. The edges of runs of up to AT_ONCE
+    letters are kept from the forward pass; of longer ones they are made anew, a stretch at a time from the end.
     """
     out = np.zeros(vocabulary.size + 1)
-    taught = pc.utf8_length(runs).to_numpy(zero_copy_only=False) <= TAUGHT
-    runs, weights = runs.filter(pa.array(taught)), weights[taught]
     for at, sizes, chars in _by_length(runs, most=200_000):
-        edges: list = []
+        n = chars.shape[1]
+        edges: list | None = [] if n <= AT_ONCE + 1 else None
         logs = _forward(vocabulary, table, chars, edges)
         passed = np.zeros(logs.shape)
         passed[sizes + 1, np.arange(len(at))] = 1
-        for i, j, piece, p in reversed(edges):
-            share = p * np.exp(logs[i] - logs[j]) * passed[j]
-            passed[i] += share
-            out += np.bincount(piece, weights=share * weights[at], minlength=vocabulary.size + 1)
+
+        def back(some: list) -> None:
+            for i, j, piece, p in reversed(some):
+                with np.errstate(invalid="ignore"):
+                    share = np.where(passed[j] > 0, p * np.exp(logs[i] - logs[j]) * passed[j], 0.0)
+                passed[i] += share
+                np.add.at(out, piece, share * weights[at])
+
+        if edges is not None:
+            back(edges)
+        else:
+            for last in range(n, 0, -AT_ONCE):
+                some = _lattice(vocabulary, chars, max(0, last - AT_ONCE), last)
+                back([(i, j, piece, _weights(vocabulary, table, i, j, piece)) for i, j, piece in some])
     return out[:-1]
 
 
@@ -205,9 +217,10 @@ class LanguageModel:
 def fit(docs: DataFrame, vocabulary_path: str, per_language: int = 1500, rounds: int = 3, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> LanguageModel:
     """Fits the pieces' probabilities on labelled rows.
 
-    Takes about ``per_language`` rows of each language, chosen by a hash of the id, with their whole
-    texts; languages' priors come from all rows. The counts of a round are summed in Spark; a row
-    for each language and piece reaches the driver. Rows without language or text teach nothing.
+    Takes about ``per_language`` rows of each language, chosen by a hash of id and text, with their whole
+    texts and runs of any length; languages' priors come from all rows. The counts of a round are summed in Spark; a row
+    for each language and piece reaches the driver. Rows without language or text teach nothing; repeated rows are
+    taken or left together; an empty table gives a model without languages.
     """
     spark = docs.sparkSession
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -216,7 +229,7 @@ def fit(docs: DataFrame, vocabulary_path: str, per_language: int = 1500, rounds:
     if not languages:
         return LanguageModel([], np.zeros(0), np.zeros((0, 0)), vocabulary_path, np.zeros(0))
     share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))))
-    sample = known.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("langid")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    sample = known.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("text"), F.lit("langid")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
     def runs_of(batches):
         for b in batches:
