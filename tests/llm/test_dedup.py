@@ -48,9 +48,25 @@ def test_directory_splits_until_buckets_fit(spark):
 def test_colliding_keys_are_told_apart_by_their_bytes():
     import pyarrow as pa
 
-    cols = {"doc_id": [1, 2, 3], "sha": [b"a", b"b", b"a"], "h": [7, 7, 7], "bucket": [0, 0, 0], "page": [0, 0, 0], "pages": [1, 1, 1], "text": [b"x", b"y", b"x"]}
+    cols = {"doc_id": [1, 2, 3], "number": [10, 11, 12], "sha": [b"a", b"b", b"a"], "h": [7, 7, 7], "bucket": [0, 0, 0], "page": [0, 0, 0], "pages": [1, 1, 1], "text": [b"x", b"y", b"x"]}
     rows = [r for b in exact_dedup._chains([pa.RecordBatch.from_pydict(cols)]) for r in b.to_pylist()]
-    assert [(r["keep"], r["n"]) for r in rows if r["kind"] == 1] == [(3, 2), (2, 1)]
+    assert [(r["keep"], r["keep_number"], r["n"]) for r in rows if r["kind"] == 1] == [(3, 12, 2), (2, 11, 1)]
+
+
+def test_one_row_of_each_group_is_kept_whatever_the_ids(docs_of):
+    rows = [(None, "no id"), (None, "No id"), (7, "same row"), (7, "same row"), (3, "Same row"), (None, "same row"), (9, "alone"), (None, "alone too"), *[(5, "hot")] * 300, *[(None, "hot")] * 300]
+    for entries in (4, 512):
+        found = exact_dedup.equal_text_groups(docs_of(rows), bucket_entries=entries).where("kept").collect()
+        assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"]) for r in found) == [("5", "5", 600), ("7", "7", 4), ("9", "9", 1), ("None", "None", 1), ("None", "None", 2)]
+
+
+def test_repeated_rows_spread_over_the_pages(docs_of, spark, monkeypatch):
+    kept = {}
+    real = exact_dedup.staged
+    monkeypatch.setattr(exact_dedup, "staged", lambda df, name: kept.setdefault(name, real(df, name)))
+    assert exact_dedup.equal_text_groups(docs_of([(1, "one row")] * 2000), bucket_entries=100).where("kept").count() == 1
+    pages = [r["count"] for r in kept["index-chains"].where("kind = 0").groupBy("page").count().collect()]
+    assert len(pages) == 20 and max(pages) < 200
 
 
 def brute_fingerprint(text, width=3):

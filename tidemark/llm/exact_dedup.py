@@ -93,30 +93,34 @@ def _settled(batches):
 
 
 def _chains(batches):
-    """Owner task: rows come ordered by page and key; gives each row its chain slot, and each slot its head."""
+    """Owner task: rows come ordered by page and key; gives each row its chain slot, and each slot its head.
+
+    A head names the row that stays of its page: the first one of the largest id, or of none if no row has an id.
+    """
     key, chain = None, []
-    names = ["kind", "doc_id", "sha", "h", "bucket", "page", "slot", "keep", "n", "head"]
-    kinds = [pa.int8(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["kind", "doc_id", "number", "sha", "h", "bucket", "page", "slot", "keep", "keep_number", "n", "head"]
+    kinds = [pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def heads():
-        return [(1, None, None, key[2], key[0], key[1], k, keep, n, text if paged else None) for k, (text, keep, n, paged) in enumerate(chain)] if key else []
+        return [(1, None, None, None, key[2], key[0], key[1], k, keep, number, n, text if paged else None) for k, (text, keep, number, n, paged) in enumerate(chain)] if key else []
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     for b in batches:
         out = []
-        for doc, sha, h, bucket, page, pages, text in zip(*(b.column(i).to_pylist() for i in range(7))):
+        for doc, number, sha, h, bucket, page, pages, text in zip(*(b.column(i).to_pylist() for i in range(8))):
             if key != (bucket, page, h):
                 out += heads()
                 key, chain = (bucket, page, h), []
             slot = next((k for k, c in enumerate(chain) if c[0] == text), len(chain))
             if slot == len(chain):
-                chain.append([text, doc, 0, pages > 1])
+                chain.append([text, doc, number, 0, pages > 1])
             c = chain[slot]
-            c[1] = max((x for x in (c[1], doc) if x is not None), default=None)
-            c[2] += 1
-            out.append((0, doc, sha, h, bucket, page, slot, None, None, None))
+            if doc is not None and (c[1] is None or doc > c[1]):
+                c[1:3] = doc, number
+            c[3] += 1
+            out.append((0, doc, number, sha, h, bucket, page, slot, None, None, None, None))
         if out:
             yield batch(out)
     if key:
@@ -124,37 +128,40 @@ def _chains(batches):
 
 
 def equal_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
-    """``(doc_id, keep_id, group_size, text_sha256)``, one row per input row.
+    """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row per input row.
 
     Texts are equal when identical after lower-casing A-Z; keep_id is the largest id of the equal
-    ones. Whole texts are hashed, and compared where a key repeats. Defined results: null text
-    counts as empty; repeated rows each come out and each count in group_size; a row with a null id
-    keeps it, and never is the one that stays while its group has an id; an empty table gives no
-    rows; other columns are ignored.
+    ones, and of each group exactly one row is ``kept``: one with that id. Whole texts are hashed, and compared where a
+    key repeats. Defined results: null text counts as empty; repeated rows each come out and each count in group_size,
+    and one of them at most is kept; a row with a null id is the one that stays only while its group has no id; an
+    empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), ascii_lower(F.col(text_col).cast("string")).alias("norm"))
     rows = rows.withColumn("h", F.xxhash64("norm"))
-    entries = staged(rows.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), "index-entries")
+    entries = staged(rows.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), F.monotonically_increasing_id().alias("number")), "index-entries")
     pointers, depth = directory(spark, entries, bucket_entries)
     prefix = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("bigint")
-    numbered = F.coalesce("doc_id", F.monotonically_increasing_id())
-    page = F.pmod(F.xxhash64(numbered), F.col("pages")).alias("page")
+    # rows are dealt to pages by a number that is written with them: repeated and null ids spread, and a task that is run again deals alike
+    page = F.pmod(F.xxhash64("number"), F.col("pages")).alias("page")
     dealt = entries.withColumn("prefix", prefix).join(F.broadcast(pointers), "prefix").select("doc_id", "sha", "h", "bucket", page, "pages")
     owned = dealt.repartition("bucket", "page").sortWithinPartitions("bucket", "page", "h")
     owned = staged(owned.mapInArrow(_settled, "doc_id bigint, sha binary, h bigint, pages bigint, met bigint"), "index-owned")
-    alone = owned.where("pages = 1 and met = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "sha")
+    alone = owned.where("pages = 1 and met = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "sha")
     # a table of its own: the join below then meets plain exchanges, whose hot keys Spark splits
     repeated = staged(owned.where("pages > 1 or met > 1").select("h").distinct(), "index-repeated")
 
-    met = rows.join(repeated, "h", "left_semi").withColumn("prefix", prefix).join(F.broadcast(pointers), "prefix")
-    met = met.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), "h", "bucket", page, "pages", F.col("norm").cast("binary").alias("text"))
+    met = staged(rows.join(repeated, "h", "left_semi").select("doc_id", "h", "norm", F.monotonically_increasing_id().alias("number")), "index-met")
+    met = met.withColumn("prefix", prefix).join(F.broadcast(pointers), "prefix")
+    met = met.select("doc_id", "number", F.unhex(F.sha2("norm", 256)).alias("sha"), "h", "bucket", page, "pages", F.col("norm").cast("binary").alias("text"))
     paged = met.repartition("bucket", "page").sortWithinPartitions("bucket", "page", "h")
-    walked = staged(paged.mapInArrow(_chains, "kind tinyint, doc_id bigint, sha binary, h bigint, bucket bigint, page bigint, slot bigint, keep bigint, n bigint, head binary"), "index-chains")
-    heads = walked.where("kind = 1").select("h", "page", "slot", "keep", "n", "head")
-    own = heads.where("head is null").select("h", "page", "slot", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"))
+    walked = staged(paged.mapInArrow(_chains, "kind tinyint, doc_id bigint, number bigint, sha binary, h bigint, bucket bigint, page bigint, slot bigint, keep bigint, keep_number bigint, n bigint, head binary"), "index-chains")
+    heads = walked.where("kind = 1").select("h", "page", "slot", "keep", "keep_number", "n", "head")
+    own = heads.where("head is null").select("h", "page", "slot", F.col("keep").alias("keep_id"), F.col("keep_number").alias("stays"), F.col("n").alias("group_size"))
     shared = heads.where("head is not null")
-    merged = shared.groupBy("h", "head").agg(F.max("keep").alias("keep_id"), F.sum("n").alias("group_size"))
-    across = shared.join(merged, ["h", "head"]).select("h", "page", "slot", "keep_id", "group_size")
-    members = walked.where("kind = 0").join(own.unionByName(across), ["h", "page", "slot"])
-    return alone.unionByName(members.select("doc_id", "keep_id", "group_size", "sha")).select("doc_id", "keep_id", "group_size", F.lower(F.hex("sha")).alias("text_sha256"))
+    # a null id comes below all others
+    merged = shared.groupBy("h", "head").agg(F.max(F.struct("keep", "keep_number")).alias("k"), F.sum("n").alias("group_size"))
+    across = shared.join(merged, ["h", "head"]).select("h", "page", "slot", F.col("k.keep").alias("keep_id"), F.col("k.keep_number").alias("stays"), "group_size")
+    members = walked.where("kind = 0").join(own.unionByName(across), ["h", "page", "slot"]).withColumn("kept", F.col("number") == F.col("stays"))
+    columns = ["doc_id", "keep_id", "group_size", "kept"]
+    return alone.unionByName(members.select(*columns, "sha")).select(*columns, F.lower(F.hex("sha")).alias("text_sha256"))

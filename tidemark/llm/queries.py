@@ -35,7 +35,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.exact_dedup import equal_text_groups
 
     found = equal_text_groups(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ SQL: dict[str, str] = {
     "op2_exact_dedup": """
         with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
         g as (select t, max(doc_id) as keep_id, count(*) as group_size from n group by t)
-        select doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) as kept, sha256(n.t) as text_sha256
+        select doc_id, keep_id, group_size, row_number() over (partition by n.t order by doc_id desc nulls last) = 1 as kept, sha256(n.t) as text_sha256
         from n join g on n.t = g.t
     """,
     "op11_source_divergence": r"""
