@@ -17,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,6 +136,15 @@ def _postings(indexed, of: np.ndarray, number: np.ndarray, ids: np.ndarray, thre
     return {k: v.astype(t) for (k, t), v in zip(POSTING, values)}
 
 
+def _packing(column: str):
+    """How a column's numbers are written and read: words and signatures are random bits, the high bytes of others mostly zero, and bitmaps hold few bits."""
+    if column in ("token", "sig"):
+        return bytes, np.frombuffer
+    if column in ("size", "pos", "doc", "line"):
+        return planes, from_planes
+    return (lambda x: zstandard.compress(planes(x), 1)), (lambda x, kind: from_planes(zstandard.decompress(x), kind))
+
+
 def _shards_out(rows: dict[str, np.ndarray], shards: int) -> pa.RecordBatch:
     shard = (rows["token"] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
     order = np.argsort(shard, kind="stable")
@@ -143,8 +153,7 @@ def _shards_out(rows: dict[str, np.ndarray], shards: int) -> pa.RecordBatch:
     columns = [pa.array(there, pa.int64())]
     for k, _ in POSTING:
         v = rows[k][order]
-        # words, signatures and bitmaps are random bits; the others' high bytes are mostly zero
-        packed = planes if k in ("size", "pos", "doc", "line") else bytes
+        packed = _packing(k)[0]
         columns.append(pa.array([packed(v[at[s] : at[s + 1]]) for s in there], pa.binary()))
     return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(there), MESSAGE.field("docs").type)], schema=MESSAGE)
 
@@ -156,8 +165,7 @@ def _candidates(threshold: float, tries: int):
         if table["shard"][0].as_py() < 0:
             own = pa.Table.from_batches([pa.RecordBatch.from_struct_array(c.flatten()) for c in table["docs"].chunks])
             return pa.Table.from_arrays([*(pa.nulls(len(own), f.type) for f in FOUND if f.name not in own.column_names), *own.columns], schema=FOUND)
-        unpacked = lambda k, x, t: from_planes(x, t) if k in ("size", "pos", "doc", "line") else np.frombuffer(x, t)
-        r = {k: np.concatenate([unpacked(k, x, t) for x in table[k].to_pylist()]) for k, t in POSTING}
+        r = {k: np.concatenate([_packing(k)[1](x, t) for x in table[k].to_pylist()]) for k, t in POSTING}
         order = np.lexsort((r["line"], r["doc"], r["sig"], r["token"]))
         r = {k: v[order] for k, v in r.items()}
         new = np.ones(len(order), dtype=bool)
