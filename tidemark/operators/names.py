@@ -3,7 +3,10 @@
 A name may rest on nodes anywhere in its page, so a page's rows go through one Python helper together.
 The rows need no shuffle for that: ``pages.nodes`` gives a page's nodes one after the other, roles are
 built-in expressions beside them, and ``in_order`` reads whole pages off that stream. A node that would
-take too deep a walk, too much text or too many visits is ``limited``, and says nothing else.
+take too deep a walk, too much text, too many visits or an index of too large a document is ``limited``, and says nothing else.
+
+Names follow the tree that is shown: a shadow host has its shadow root's children, a slot the nodes assigned to it. Ids
+and labels belong to one document or shadow root each.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.pages import SHADOW
 from tidemark.operators.semantics import LABELABLE, NAMED_BY_CONTENT, NEVER_NAMED, explicit_role, implicit_role
 
-DEEPEST, MOST_VISITS, LONGEST = 128, 20_000, 4_096
+DEEPEST, MOST_VISITS, LONGEST, MOST_NODES = 128, 20_000, 8_192, 100_000
 # HTML elements that stand in a line of text, that never speak, and that a child names.
-INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em i img input ins kbd label map mark object output q s samp select small span strong sub sup svg textarea time u var button meter progress".split())
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em i img input ins kbd label map mark object output q s samp select slot small span strong sub sup svg textarea time u var button meter progress".split())
 SILENT = ("script", "style", "template", "noscript")
 NAMING_CHILD = {"svg": "title", "fieldset": "legend", "table": "caption", "figure": "figcaption"}
 NATIVE_VALUES = {"button": "", "submit": "Submit", "reset": "Reset"}
@@ -45,13 +49,20 @@ def _tokens(text: str | None) -> list[str]:
 class Page:
     """One page's nodes, with what names need to find: children, ids and labels of each frame context."""
 
-    def __init__(self, rows: list[dict]):
+    def __init__(self, rows: list[dict], longest: int = LONGEST, most_nodes: int = MOST_NODES):
+        self.longest, self.most_nodes = longest, most_nodes
+        self.sizes: dict[int, int] = {}
+        self.shadows: dict[int, int] = {}
         self.rows = {r["node"]: r for r in rows}
         self.children: dict[int | None, list[int]] = {}
         self.ids: dict[tuple[int, str], int] = {}
         self.labels: dict[int, list[int]] = {}
         self.own_hidden: dict[int, bool] = {}
         for r in rows:
+            self.sizes[r["context"]] = self.sizes.get(r["context"], 0) + 1
+            if r["tag"] == SHADOW:
+                self.shadows[r["parent"]] = r["node"]
+                continue
             self.children.setdefault(r["parent"], []).append(r["node"])
             if r["attrs"].get("id"):
                 self.ids.setdefault((r["context"], r["attrs"]["id"]), r["node"])
@@ -73,8 +84,32 @@ class Page:
                 self.labels.setdefault(target, []).append(label)
         for found in self.labels.values():
             found.sort()
+        self.assigned = self._assigned(rows) if self.shadows else {}
         self.visits = 0
 
+    def _assigned(self, rows: list[dict]) -> dict[int, list[int]]:
+        """Each slot's nodes: its host's children of its name, if it is the first of that name."""
+        hosts = {self.rows[shadow]["context"]: host for host, shadow in self.shadows.items()}
+        slots: dict[tuple[int, str], int] = {}
+        for r in rows:
+            if r["tag"] == "slot" and r["context"] in hosts:
+                slots.setdefault((hosts[r["context"]], r["attrs"].get("name", "")), r["node"])
+        out: dict[int, list[int]] = {}
+        for host in self.shadows:
+            for c in self.children.get(host, []):
+                if (slot := slots.get((host, self.rows[c]["attrs"].get("slot", "")))) is not None:
+                    out.setdefault(slot, []).append(c)
+        return out
+
+    def shown(self, node: int) -> list[int]:
+        """The children that a node is shown with."""
+        return self.assigned.get(node) or self.children.get(self.shadows.get(node, node), [])
+
+    def indexed(self, node: int) -> None:
+        """Ids and labels of a document of too many nodes aren't looked up."""
+        if self.sizes[self.rows[node]["context"]] > self.most_nodes:
+            raise Limited
+
     def kind(self, node: int) -> str:
         """The type of an input; empty for other elements."""
         r = self.rows[node]
@@ -89,7 +124,7 @@ class Page:
             raise Limited
 
     def text(self, text: str) -> str:
-        if len(text) > LONGEST:
+        if len(text) > self.longest:
             raise Limited
         return text
 
@@ -114,12 +149,14 @@ class Page:
 
     def references(self, node: int, attribute: str) -> list[int]:
         """The nodes that an attribute names, within the node's own frame."""
-        context = self.rows[node]["context"]
-        return [self.ids[context, i] for i in _tokens(self.attr(node, attribute)) if (context, i) in self.ids]
+        context, wanted = self.rows[node]["context"], _tokens(self.attr(node, attribute))
+        if wanted:
+            self.indexed(node)
+        return [self.ids[context, i] for i in wanted if (context, i) in self.ids]
 
     def content(self, node: int, seen: set[int], shown: bool, referred: bool, depth: int, target: int) -> str:
         out = ""
-        for c in self.children.get(node, []):
+        for c in self.shown(node):
             r = self.rows[c]
             self.visit(depth)
             if r["tag"] == "#text":
@@ -176,7 +213,10 @@ class Page:
         return (text, "aria-label") if text and self.rows[node]["tag"] != "slot" else None
 
     def _label(self, node, seen, shown, referred, inside, depth, target):
-        if not self.labelable(node) or node not in self.labels:
+        if not self.labelable(node):
+            return None
+        self.indexed(node)
+        if node not in self.labels:
             return None
         parts = [self.name(x, seen, self.hidden(x), referred, True, depth + 1, target)[0] for x in self.labels[node]]
         return _one_line(self.text(" ".join(parts))), "label"
@@ -266,24 +306,25 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]
         yield page, rows
 
 
-def in_order(nodes: DataFrame) -> DataFrame:
+def in_order(nodes: DataFrame, longest: int = LONGEST, most_nodes: int = MOST_NODES) -> DataFrame:
     """``accessible_names`` of nodes that come page by page, as ``pages.nodes`` gives them: nothing is shuffled."""
     told = nodes.withColumn("role", F.when(F.col("tag") != "#text", F.coalesce(explicit_role(), implicit_role())))
 
     def run(batches):
         for page, rows in _pages(batches):
-            held = Page(rows)
-            out = [(page, n, r["tag"], *((None,) if found[-1] == "limited" else (r["role"],)), *found) for n, r in held.rows.items() if r["tag"] != "#text" for found in (held.told(n),)]
+            held = Page(rows, longest, most_nodes)
+            out = [(page, n, r["tag"], *((None,) if found[-1] == "limited" else (r["role"],)), *found) for n, r in held.rows.items() if not r["tag"].startswith("#") for found in (held.told(n),)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), NAME)], schema=NAME)
 
     return told.select("page_id", "node", "parent", "tag", "attrs", "path", "text", "context", "role").mapInArrow(run, NAME_DDL)
 
 
-def accessible_names(nodes: DataFrame) -> DataFrame:
+def accessible_names(nodes: DataFrame, longest: int = LONGEST, most_nodes: int = MOST_NODES) -> DataFrame:
     """``(page_id, node, tag, role, name, name_source, description, description_source, fallback, fallback_source, status)`` of all elements.
 
     Takes nodes in any order: a page's are brought together and sorted first. status is complete or
-    limited; a limited element has no role, name or description.
+    limited; a limited element has no role, name or description. ``longest`` bounds a text, ``most_nodes`` a
+    document or shadow root whose ids and labels are looked up.
     """
-    return in_order(nodes.repartition("page_id").sortWithinPartitions("page_id", "node"))
+    return in_order(nodes.repartition("page_id").sortWithinPartitions("page_id", "node"), longest, most_nodes)

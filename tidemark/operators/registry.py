@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.geometry import intersects_viewport, is_finite, is_renderable
+from tidemark.sources.tables import written
 
-#: Rounds of pointer doubling: contexts nested 2 ** NESTED deep at most, far more than browsers allow.
-NESTED = 6
 # The size of the box at a pointer, and what hides a target.
 
 POINTER_SIZE = 1.0
@@ -17,15 +16,26 @@ NOT_DRAWN = ("hidden", "collapse")
 
 
 def current_contexts(contexts: DataFrame, key: str, parent: str, attached: str) -> DataFrame:
-    """The contexts that are attached and whose ancestors all are; an unknown parent counts as detached.
+    """The contexts that are attached and whose ancestors all are, however deep.
 
-    Every round joins a context to the one its link has reached so far, so links double in length.
+    An unknown parent counts as detached, and so does a loop, which has no top. Every round joins a context that is still
+    open to the one its link has reached so far, so links double in length; it ends when no context is open, or when a
+    round settles none (what is left then hangs on loops). Rounds grow with the logarithm of the depth, and
+    each is written to the shared folder, so plans stay as they are. Rows of a repeated key are the same context, which is
+    attached if all of them are; a null key is no context.
     """
-    now = contexts.select(key, F.col(parent).alias("_up"), F.col(attached).alias("_good"))
-    for _ in range(NESTED):
-        above = now.select(F.col(key).alias("_up"), F.col("_up").alias("_next"), F.col("_good").alias("_above"))
-        now = now.join(above, "_up", "left").select(key, F.col("_next").alias("_up"), (F.col("_good") & (F.col("_up").isNull() | F.coalesce("_above", F.lit(False)))).alias("_good"))
-    return contexts.join(now.where("_good and _up is null").select(key), key, "left_semi")
+    spark = contexts.sparkSession
+    rows = contexts.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(parent).alias("_up"), F.min(F.coalesce(F.col(attached), F.lit(False))).alias("_good"))
+    told = F.when(~F.col("_good"), "detached").when(F.col("_up").isNull(), "current").otherwise("open")
+    now, left = written(rows.select(key, F.when(told == "open", F.col("_up")).alias("_up"), told.alias("_told")), "contexts"), None
+    while True:
+        still = now.where("_told = 'open'").count()
+        if not still or still == left:
+            return contexts.join(now.where("_told = 'current'").select(key), key, "left_semi")
+        left = still
+        above = now.select(F.col(key).alias("_up"), F.col("_up").alias("_next"), F.col("_told").alias("_above"))
+        moved = now.where("_told = 'open'").join(above, "_up", "left").select(key, F.col("_next").alias("_up"), F.coalesce("_above", F.lit("detached")).alias("_told"))
+        now = written(now.where("_told <> 'open'").unionByName(moved), "contexts")
 
 
 def roots(found: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -113,6 +113,14 @@ def contexts_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.current_contexts(frame(spark, CONTEXT, CONTEXTS), "ctx", "parent", "attached").select("ctx")
 
 
+def context_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as frames, each in the one before it: chains of 5,000, some broken somewhere, every third closed to a loop, and frames beside them."""
+    e = table(spark, sf_dir, "events")
+    parent = F.when(F.col("event_id") % 5000 == 0, F.when(F.floor(F.col("event_id") / 5000) % 3 == 2, F.col("event_id") + 4999)).when(F.col("event_id") % 7 == 6, F.col("event_id") - 6).otherwise(F.col("event_id") - 1)
+    contexts = e.select(F.col("event_id").alias("ctx"), parent.alias("parent"), (F.col("event_id") % 3989 != 3988).alias("attached"))
+    return registry.current_contexts(contexts, "ctx", "parent", "attached").select("ctx")
+
+
 def first_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's event types as roots, once, as first found."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
@@ -259,6 +267,11 @@ SQL = {
         select id, case when id = 6 then 'hidden' when seen then 'ok' else 'missing' end as status, case when id < 6 and seen then x / s end as x, case when id < 6 and seen then y / s end as y, cast(case when id < 6 and seen then 1 end as double) as w from k""",
     "contexts_current": f"""
         with recursive {common_table("r", CONTEXT, CONTEXTS)}, m as (select ctx from r where parent is null and attached union all select r.ctx from r join m on r.parent = m.ctx where r.attached) select ctx from m""",
+    "context_chains": """
+        with recursive e as (select event_id as ctx, event_id // 5000 as chain, case when event_id % 5000 > 0 and event_id % 7 = 6 then event_id - 6 when event_id % 5000 > 0 then event_id - 1 end as parent, event_id % 3989 <> 3988 as attached from events),
+        -- frames with a frame in them are those of the chain's line; what hangs beside it hangs on one of them
+        walk as (select ctx, 0 as depth from e where parent is null and chain % 3 <> 2 and attached union all select e.ctx, depth + 1 from walk join e on e.parent = walk.ctx where e.attached)
+        select ctx from walk""",
     "first_roots": "select user_id, event_type, event_id from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1",
     "registered_ids": f"with {_REGISTRY} select doc, node, id from r",
     "resolutions": f"""

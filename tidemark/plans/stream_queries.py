@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.contract_queries import _OPERATIONS, _operations
-from tidemark.sources.tables import table
+from tidemark.sources.tables import shared_folder, table
 from tidemark.streaming import incremental, runs, session_store
 
 TTL_SECONDS = 2 * 24 * 3600
@@ -20,7 +20,7 @@ SLICES = 3
 
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     operations = _operations(spark, sf_dir).select("user_id", "ts", "event_id", "op", "action_id")
-    folder = runs.stream_dir(spark, "session-store")
+    folder = shared_folder(spark, "session-store")
     runs.in_slices(operations, "ts", SLICES, f"{folder}/operations")
     told = runs.finished(spark, f"{folder}/operations", session_store.OPERATIONS, lambda s: session_store.sessions(s, TTL_SECONDS), folder)
     return told, folder
@@ -109,7 +109,7 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = runs.stream_dir(spark, "incremental")
+    folder = shared_folder(spark, "incremental")
     records = page_records(spark, sf_dir)
     for first, last in ((0, 1), (2, 2), (3, BATCHES + 1)):  # batch by batch, the first two and the last ones together
         records.where(F.col("batch").between(first, last)).coalesce(1).write.mode("append").parquet(f"{folder}/records")
