@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.contract_queries import _OPERATIONS, _operations
 from tidemark.sources.tables import shared_folder, table
-from tidemark.streaming import incremental, runs, session_store
+from tidemark.streaming import hosts, incremental, runs, session_store, state
 
 TTL_SECONDS = 2 * 24 * 3600
 SLICES = 3
@@ -181,3 +181,77 @@ SQL |= {
                 from waiting w where w.b = 3 and w.seq < 29000000 group by all) q on q.page_id = m.page_id where not m.commits""",
     "incremental_changes": f"with {_FULL_PASSES} select page_id, observation, node, change, name, disabled from differences",
 }
+
+
+# --- hosts, frames, sessions and replies -----------------------------------------------------------------------------
+IDLE_SECONDS, FRAME, SESSION_SECONDS = 6 * 3600, "2 hours", 12 * 3600
+
+
+def _micros(found: DataFrame, *columns: str) -> DataFrame:
+    """Instants as microseconds of the epoch: the same number in every engine and time zone."""
+    return found.withColumns({c: F.unix_micros(c) for c in columns})
+
+
+def _in_time(spark: SparkSession, rows: DataFrame, schema: str, name: str, of: Callable[[DataFrame], DataFrame], slices: int = 2) -> DataFrame:
+    folder = shared_folder(spark, name)
+    runs.in_slices(rows, "ts", slices, f"{folder}/rows")
+    return runs.finished(spark, f"{folder}/rows", schema, of, folder)
+
+
+def idle_unloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and signups as leases that are taken, clicks and purchases as leases that are given back."""
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type").isin("view", "signup"), "ACQUIRE").when(F.col("event_type").isin("click", "purchase"), "RELEASE").otherwise("OTHER")
+    rows = e.select("user_id", "ts", "event_id", kind.alias("event"))
+    return _micros(_in_time(spark, rows, hosts.LEASES, "idle-hosts", lambda s: hosts.idle_unloads(s, IDLE_SECONDS)), "released_at", "unloaded_at")
+
+
+def coalesced_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests for frames of two hours. Every fiftieth comes to a second run of the stream, when its frame has been served."""
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    folder = shared_folder(spark, "frames")
+    for late in (False, True):
+        rows.where((F.col("event_id") % 50 == 7) == late).coalesce(1).write.mode("append").parquet(f"{folder}/rows")
+        served = runs.finished(spark, f"{folder}/rows", "user_id bigint, ts timestamp, event_id bigint", lambda s: hosts.coalesced_frames(s, FRAME), folder)
+    return _micros(served, "frame")
+
+
+def closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that have ended by the last event, from a stream."""
+    rows = table(spark, sf_dir, "events").select("user_id", "ts")
+    return _micros(_in_time(spark, rows, "user_id bigint, ts timestamp", "sessions", lambda s: state.sliding_sessions(s, SESSION_SECONDS)), "started", "touched")
+
+
+def correlated_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as requests; most have an answer of the same id within seconds, some two, some from another peer, some too late."""
+    e = table(spark, sf_dir, "events").where("event_type = 'view'")
+    asked = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("peer"), F.col("ts").alias("asked"))
+    answered = e.where("event_id % 3 > 0").select(F.col("event_id").alias("id"), (F.col("user_id") + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).alias("peer"), (F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 90)).alias("answered"))
+    answered = answered.unionByName(answered.where("id % 5 = 0"))
+    folder = shared_folder(spark, "replies")
+    asked.coalesce(1).write.parquet(f"{folder}/asked")
+    answered.coalesce(1).write.parquet(f"{folder}/answered")
+    other = lambda: spark.readStream.schema("id bigint, peer bigint, answered timestamp").parquet(f"{folder}/answered")
+    found = runs.finished(spark, f"{folder}/asked", "id bigint, peer bigint, asked timestamp", lambda s: state.matched_replies(s, other(), "60 seconds"), folder)
+    return _micros(found.select("id", "peer", "asked", "answered"), "asked", "answered")
+
+
+QUERIES |= {"idle_unloads": idle_unloads, "coalesced_frames": coalesced_frames, "closed_sessions": closed_sessions, "correlated_replies": correlated_replies}
+SQL |= {
+    "idle_unloads": f"""
+        with e as (select user_id, ts, event_id, case when event_type in ('view', 'signup') then 1 when event_type in ('click', 'purchase') then -1 else 0 end as d from events),
+        t as (select *, sum(d) over w as t from e window w as (partition by user_id order by ts, event_id rows unbounded preceding)),
+        l as (select *, t - least(min(t) over (partition by user_id order by ts, event_id rows unbounded preceding), 0) as leases from t),
+        r as (select *, coalesce(lag(leases) over w, 0) as before, first_value(case when d = 1 then ts end ignore nulls) over (partition by user_id order by ts, event_id rows between 1 following and unbounded following) as taken from l window w as (partition by user_id order by ts, event_id)),
+        u as (select user_id, ts as released_at, ts + interval {IDLE_SECONDS} second as unloaded_at from r where d = -1 and leases = 0 and before > 0 and coalesce(taken >= ts + interval {IDLE_SECONDS} second, true))
+        select user_id, row_number() over (partition by user_id order by released_at) - 1 as generation, epoch_us(released_at) as released_at, epoch_us(unloaded_at) as unloaded_at from u where unloaded_at <= (select max(ts) from events)""",
+    "coalesced_frames": """
+        with e as (select user_id, time_bucket(interval 2 hour, ts) as frame, event_id % 50 = 7 as late from events), m as (select max(ts) as seen from events where event_id % 50 <> 7), n as (select max(ts) as seen from events)
+        select epoch_us(frame) as frame, count(distinct user_id) as subscribers, count(*)::bigint as requests from e, m where not (late and frame + interval 2 hour <= m.seen) and frame + interval 2 hour <= (select seen from n) group by frame""",
+    "closed_sessions": f"""
+        with e as (select user_id, ts, coalesce(ts >= lag(ts) over w + interval {SESSION_SECONDS} second, true) as fresh from events window w as (partition by user_id order by ts)),
+        s as (select user_id, ts, sum(case when fresh then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as k from e), g as (select user_id, k, min(ts) as started, max(ts) as touched, count(*) as events from s group by all)
+        select user_id, epoch_us(started) as started, epoch_us(touched) as touched, events from g where touched + interval {SESSION_SECONDS} second <= (select max(ts) from events)""",
+    "correlated_replies": """
+        select event_id as id, user_id as peer, epoch_us(ts) as asked, epoch_us(ts + to_seconds(event_id % 90)) as answered from events where event_type = 'view' and event_id % 3 > 0 and event_id % 7 > 0 and event_id % 90 between 1 and 60""",
+}
