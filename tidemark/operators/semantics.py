@@ -179,8 +179,14 @@ def snapshot_key(s: Column) -> Column:
     return F.to_json(F.struct(state.alias("state"), s["value"].alias("value"), s["parent"].alias("parent")), {"ignoreNullFields": "false"})
 
 
+def in_language_order(entries: Column) -> Column:
+    """The entries of a map of texts, by their keys as an English dictionary orders them."""
+    keyed = F.transform(F.map_entries(entries), lambda e: F.struct(F.collate(e["key"], "en").alias("by"), e["key"].alias("key"), e["value"].alias("value")))
+    return F.transform(F.array_sort(keyed), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+
+
 def evidence(nodes: DataFrame) -> DataFrame:
     """``(page_id, node, kind, text, attrs)``: text rows, and element rows that have attributes."""
     text = nodes.where("tag = '#text'").select("page_id", "node", F.lit("text").alias("kind"), flat(F.col("text")).alias("text"), F.lit(None).cast("array<struct<key:string,value:string>>").alias("attrs"))
-    attrs = nodes.where((F.col("tag") != "#text") & (F.size("attrs") > 0)).select("page_id", "node", F.lit("attributes").alias("kind"), F.lit(None).cast("string").alias("text"), F.array_sort(F.map_entries("attrs")).alias("attrs"))
+    attrs = nodes.where((F.col("tag") != "#text") & (F.size("attrs") > 0)).select("page_id", "node", F.lit("attributes").alias("kind"), F.lit(None).cast("string").alias("text"), in_language_order(F.col("attrs")).alias("attrs"))
     return text.where("text <> ''").unionByName(attrs)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 FULL_EVERY = 20
+#: The collation of lists that people read.
+LANGUAGE = "en"
 
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -22,8 +24,14 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]
 
 
 def order_key(change: Column, key: Column) -> Column:
-    """What changes are listed by: added and changed ones as a dictionary has them, case last, removed ones by their characters."""
-    return F.struct(F.when(change == "removed", key).otherwise(F.lower(key)).alias("by"), key.alias("key"))
+    """What changes are listed by: added and changed ones as an English dictionary has them, removed ones by their characters."""
+    return F.struct(F.collate(F.when(change != "removed", key), LANGUAGE).alias("by"), key.alias("key"))
+
+
+def positions(changes: DataFrame, within: list[str], key: str) -> DataFrame:
+    """Adds each change's position, from 1, among those of its kind in ``within``."""
+    order = W.partitionBy(*within, "change").orderBy(order_key(F.col("change"), F.col(key)))
+    return changes.withColumn("position", F.row_number().over(order).cast("bigint"))
 
 
 def ordered(changes: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as g
-from tidemark.operators import folds, registry, snapshots
+from tidemark.operators import folds, registry, semantics, snapshots
 from tidemark.sources.inline import common_table, frame
 from tidemark.sources.tables import table
 
@@ -216,6 +216,26 @@ def ordered_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("change").agg(F.count("*").alias("n"), F.min("k")["key"].alias("first"), F.max("k")["key"].alias("last"))
 
 
+def _words_said(spark, sf_dir):
+    """Each conversation's different words in its even and in its odd turns, case and accents kept, and how often they come."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))).alias("word"))
+    return c.groupBy("conv_id", (F.col("turn") % 2).alias("side"), "word").agg(F.count("*").alias("n"))
+
+
+def collated_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the odd turns of a conversation change in the words of the even ones, each with its position in the list."""
+    words = _words_said(spark, sf_dir)
+    sides = [words.where(F.col("side") == k).select("conv_id", "word", "n") for k in (0, 1)]
+    told = snapshots.positions(snapshots.diff(*sides, ["conv_id", "word"], ["n"]), ["conv_id"], "word")
+    return told.select("conv_id", "change", "word", "position")
+
+
+def collated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's words and counts as a map, its entries in a dictionary's order."""
+    words = _words_said(spark, sf_dir).where("side = 0").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("word", F.col("n").cast("string")))).alias("m"))
+    return words.select("conv_id", F.array_join(F.transform(semantics.in_language_order(F.col("m")), lambda e: F.concat_ws("=", e["key"], e["value"])), " ").alias("entries"))
+
+
 def _capture_events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     kinds = F.create_map(*(F.lit(x) for kv in {"signup": "task-started", "view": "audio-capture-confirmed", "click": "thinking", "purchase": "task-finished", "error": "audio-capture-ended"}.items() for x in kv))
@@ -238,6 +258,7 @@ _TWO = "floor({} * 100 + 0.5) / 100"
 _REGISTRY = """
     f as (select user_id as doc, event_type as node, min({'ts': ts, 'id': event_id}) as first from events group by all),
     r as (select doc, node, 'e' || row_number() over (partition by doc order by first, node) as id, doc % 7 as generation, (doc + length(node)) % 5 > 0 as valid from f)"""
+_SAID = "w as (select conv_id, turn % 2 as side, word, count(*) as n from (select conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as word from conversations) group by all)"
 _HOLDS = "len(scopes) = len(now) and scopes = now"
 
 SQL = {
@@ -296,6 +317,11 @@ SQL = {
         with b as (select c_name, c_mktsegment as s from customer where c_custkey % 9 <> 0), a as (select c_name, case when c_custkey % 5 = 0 then 'MOVED' else c_mktsegment end as s from customer where c_custkey % 8 <> 0),
         d as (select coalesce(a.c_name, b.c_name) as name, case when b.c_name is null then 'added' when a.c_name is null then 'removed' when a.s <> b.s then 'changed' end as change from a full join b using (c_name))
         select change, count(*) as n, min(name) as first, max(name) as last from d where change is not null group by change""",
+    "collated_changes": f"""
+        with {_SAID}, b as (select * from w where side = 0), a as (select * from w where side = 1),
+        d as (select coalesce(a.conv_id, b.conv_id) as conv_id, coalesce(a.word, b.word) as word, case when b.word is null then 'added' when a.word is null then 'removed' when a.n <> b.n then 'changed' end as change from a full join b on a.conv_id = b.conv_id and a.word = b.word)
+        select conv_id, change, word, row_number() over (partition by conv_id, change order by case when change <> 'removed' then icu_sort_key(word, 'en') end, word) as position from d where change is not null""",
+    "collated_entries": f"with {_SAID} select conv_id, string_agg(word || '=' || n, ' ' order by icu_sort_key(word, 'en'), word) as entries from w where side = 0 group by conv_id",
     "late_capture_stops": """
         with e as (select user_id, event_id, event_type from events where event_id % 20 < 6), s as (select user_id, max(event_id) filter (where event_type = 'view') as on_at, max(event_id) filter (where event_type = 'error') as off_at from e group by user_id),
         f as (select s.*, max(event_id) filter (where event_type = 'view') as v from s join e using (user_id) group by all)
