@@ -17,7 +17,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +31,7 @@ FEW = 4
 COUNTERS = 1 << 20
 DOCS_PER_OWNER = 2_000
 #: 64-bit words of a set's bitmap. Long lines fill a short bitmap, and a full one tells nothing.
-BITMAP = 4
+BITMAP = 2
 #: A set on one of so many lines, or more of them, counts as common.
 COMMON_LINES = 4096
 CHUNK_BYTES = 3_000_000
@@ -137,12 +136,8 @@ def _postings(indexed, of: np.ndarray, number: np.ndarray, ids: np.ndarray, thre
 
 
 def _packing(column: str):
-    """How a column's numbers are written and read: words and signatures are random bits, the high bytes of others mostly zero, and bitmaps hold few bits."""
-    if column in ("token", "sig"):
-        return bytes, np.frombuffer
-    if column in ("size", "pos", "doc", "line"):
-        return planes, from_planes
-    return (lambda x: zstandard.compress(planes(x), 1)), (lambda x, kind: from_planes(zstandard.decompress(x), kind))
+    """How a column's numbers are written and read: words, signatures and bitmaps are random bits, the high bytes of the others mostly zero."""
+    return (planes, from_planes) if column in ("size", "pos", "doc", "line") else (bytes, np.frombuffer)
 
 
 def _shards_out(rows: dict[str, np.ndarray], shards: int) -> pa.RecordBatch:
