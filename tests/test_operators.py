@@ -281,3 +281,16 @@ def test_probe_and_confidence(spark):
     words = F.array(F.array(F.lit(1000), F.lit(0)), F.array(F.lit(1000)))
     r = one(spark, models.linear_probe(x).alias("y"), vision.line_confidence(words).alias("c"))
     assert r["y"] == [3.0, 6.0, 9.0, 12.0] and r["c"] == 667
+
+
+def test_companion_in_order_is_the_companion_of_gathered_events(spark):
+    """All event names, old and repeated runs and tasks, for some users with few and one with very many events."""
+    from tidemark.operators import folds
+
+    kinds = F.array(*(F.lit(k) for k in (*folds.KNOWN, "nonsense")))
+    roll = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
+    events = spark.range(60_000).select("id", F.when(F.col("id") < 20_000, 0).otherwise(F.col("id") % 4000).alias("user"), F.get(kinds, roll("k", 12).cast("int")).alias("type"), F.when(roll("g", 40) > 0, F.floor(F.col("id") / 7000) + roll("r", 3) - 1).cast("bigint").alias("generation"), F.concat(F.lit("t"), roll("t", 2).cast("string")).alias("task"))
+    want = {r["user"]: tuple(r) for r in folds.companion(events, ["user"], ["id"]).collect()}
+    found = {r["user"]: tuple(r) for r in folds.companion_in_order(events, "user", ["id"]).collect()}
+    assert found == want and len({t[1:4] for t in want.values()}) > 20
+    assert folds.companion_in_order(events.limit(0), "user", ["id"]).count() == 0

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # The companion's event names, and the host's transition table.
 TERMINAL = ("task-finished", "task-cancelled", "host-lost")
@@ -26,7 +29,7 @@ def fold(events: DataFrame, key: list[str], order: list[str], fields: list[str],
     """``(key, state)``: ``step(state, event)`` over each key's events in order.
 
     Events of a key are gathered as sorted structs and folded inside the JVM. A key's events must fit
-    in a row; keys without such a bound belong to the streaming form, which keeps the state only.
+    in a row; keys without such a bound belong to ``companion_in_order``, which keeps the machine only.
     """
     listed = events.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias("events"))
     return listed.select(*key, F.aggregate("events", start, step).alias("state"))
@@ -90,6 +93,86 @@ def companion(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return fold(events, key, order, ["type", "generation", "task"], companion_start(), companion_step).select(*key, "state.*")
 
 
+class Companion:
+    """The companion's machine for one key, event after event; see ``companion_step``."""
+
+    __slots__ = ("state", "generation", "task", "old_generation", "old_task", "capture", "approval", "action", "reason", "rejected")
+
+    def __init__(self):
+        self.state, self.reason = "idle", "no provider connected"
+        self.generation = self.task = self.old_generation = self.old_task = self.rejected = None
+        self.capture = self.approval = self.action = False
+
+    def _why_not(self, kind, generation, task) -> str | None:
+        if kind not in KNOWN or generation is None or not task:
+            return "unknown-event"
+        live = self.generation is not None
+        known, last = (self.generation, self.task) if live else (self.old_generation, self.old_task)
+        if known is None or generation > known:
+            return None
+        if generation < known:
+            return "stale-generation"
+        if live:
+            return None if task == last else "stale-task"
+        return "stale-generation" if task == last else "stale-task"
+
+    def _shown(self, kind) -> str:
+        if kind == "approval-requested" or self.approval:
+            return "needs-approval"
+        if kind == "acting" or self.action:
+            return "acting"
+        return "thinking" if kind in ("thinking", "task-started") else "listening" if self.capture else "idle"
+
+    def hear(self, kind, generation, task) -> None:
+        why = self._why_not(kind, generation, task)
+        if why in ("stale-generation", "stale-task") and kind in CAPTURE_STOPS and self.capture:
+            self.capture, self.reason, self.rejected = False, kind, None
+            self.state = self._shown(kind)
+        elif why is not None:
+            self.rejected = why
+        elif kind in TERMINAL:
+            self.capture = kind == "task-finished" and self.capture
+            self.state = "listening" if self.capture else "idle"
+            if self.generation is not None:
+                self.old_generation, self.old_task = self.generation, self.task
+            self.generation = self.task = self.rejected = None
+            self.approval, self.action, self.reason = False, False, kind
+        else:
+            self.capture = kind == "audio-capture-confirmed" or (self.capture and kind not in CAPTURE_STOPS)
+            self.approval = kind == "approval-requested" or (self.approval and kind not in ("approval-resolved", "task-started"))
+            self.action = kind == "acting" or (self.action and kind not in ("thinking", "task-started"))
+            self.state, self.generation, self.task, self.reason, self.rejected = self._shown(kind), generation, task, kind, None
+
+
+def companion_in_order(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """As ``companion``, for keys of any number of events: a key's events pass in order, and only its machine is held.
+
+    Events are dealt by key and sorted, which spills; no row and no list gathers them.
+    """
+    names = list(Companion.__slots__)
+    kind = events.schema[key].dataType
+
+    def run(batches):
+        now, machine = None, None
+        for b in batches:
+            done = []
+            for k, *event in zip(*(c.to_pylist() for c in b.columns[:4])):
+                if machine is None or k != now:
+                    if machine is not None:
+                        done.append((now, *(getattr(machine, n) for n in names)))
+                    now, machine = k, Companion()
+                machine.hear(*event)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done), schema)], schema=schema)
+        if machine is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((now, *(getattr(machine, n) for n in names)), schema)], schema=schema)
+
+    told = T.StructType([T.StructField(key, kind), *(T.StructField(n, T.LongType() if "generation" in n else T.BooleanType() if n in ("capture", "approval", "action") else T.StringType()) for n in names)])
+    schema = to_arrow_schema(told)
+    rows = events.select(key, "type", F.col("generation").cast("bigint").alias("generation"), "task", *(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)))
+    return rows.repartition(key).sortWithinPartitions(key, *(f"_o{i}" for i in range(len(order)))).mapInArrow(run, told)
+
+
 def host_step(state: Column, event: Column) -> Column:
     """The host's next state; an event that has no transition changes nothing."""
     moves = F.create_map(*(F.lit(x) for (a, b), to in HOST.items() for x in (f"{a} {b}", to)))
@@ -102,9 +185,11 @@ def host(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
     The states are few, so an event is a map from each state to the next, and maps can be put together
     stretch by stretch: STRETCH events of a key make one map, as many of these the next, LEVELS times. No row
-    or task gathers more of a key than that, however many events it has.
+    gathers more of a key than that; numbering a key's events is a sort of them in one task, which spills. A key of
+    more than STRETCH ** LEVELS events raises an error.
     """
-    numbered = events.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order)) - 1)
+    number = F.count("*").over(W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - 1
+    numbered = events.withColumn("_n", F.when(number < STRETCH**LEVELS, number).otherwise(F.raise_error(F.lit("a key has too many events"))))
     moved = numbered.select(*key, "_n", F.array(*(host_step(F.lit(s), F.col("event")) for s in HOST_STATES)).alias("_map"))
     after = F.create_map(*(F.lit(x) for i, s in enumerate(HOST_STATES) for x in (s, i)))
     for _ in range(LEVELS):

@@ -119,6 +119,12 @@ def companion_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "state", "generation", "old_generation", "action", "reason", "rejected")
 
 
+def companion_states_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``companion_states`` by the form for keys of any length."""
+    found = folds.companion_in_order(_companion_events(spark, sf_dir), "user_id", ["ts", "event_id"])
+    return found.select("user_id", "state", "generation", "old_generation", "action", "reason", "rejected")
+
+
 def host_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type").isin("view", "signup"), "ACQUIRE").when(F.col("event_type").isin("click", "purchase"), "RELEASE").otherwise("ERROR")
@@ -288,7 +294,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snapshot_diff, diff_summary, apply_diff_roundtrip, observation_baselines, redact_decision, intern_placeholders, intern_capacity, binding_dedup, last_five_turns, memory_lines, plan_steps, ttl_sessions, ttl_expiry,
-        companion_states, host_leases, host_states, validate_props, reject_codes, reply_correlation, timeouts, clip_boxes, box_predicates, round_out, composed_maps, placement_choice, box_hulls, random_draws,
+        companion_states, companion_states_in_order, host_leases, host_states, validate_props, reject_codes, reply_correlation, timeouts, clip_boxes, box_predicates, round_out, composed_maps, placement_choice, box_hulls, random_draws,
         coverage_flags, ocr_confidence, linear_probe, planner_actions, missing_targets, catalog_search, element_lines, flat_labels, history_results, identity_rejects,
     )
 }
@@ -435,3 +441,4 @@ SQL = {
         with c as (select conv_id, cast(turn % 3 as varchar) as task_id from conversations), k as (select conv_id, '0' as task_id, case when conv_id % 5 = 0 then 2 else 1 end as task_version from conversations where turn = 0 and conv_id % 4 <> 0)
         select case when k.conv_id is null then 'session_not_found' when c.task_id <> k.task_id then 'task_mismatch' when k.task_version <> 1 then 'task_version_mismatch' else 'ok' end as code, count(*) as n from c left join k using (conv_id) group by code""",
 }
+SQL["companion_states_in_order"] = SQL["companion_states"]
