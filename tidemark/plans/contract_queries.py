@@ -10,7 +10,7 @@ from tidemark.functions.geometry import is_valid_box
 from tidemark.operators import catalog, messages, privacy, sessions, store, validation, vision
 from tidemark.operators.models import first_working
 from tidemark.plans import planner, prompts
-from tidemark.sources.inline import common_table, frame
+from tidemark.sources.inline import common_table, dealt, dealt_table, frame
 from tidemark.sources.tables import table
 
 PAYLOAD = "id bigint, operation string, direction string, payload string"
@@ -29,7 +29,7 @@ PAYLOADS = [
 
 def operation_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each payload keeps the rules of its operation and direction."""
-    rows = frame(spark, PAYLOAD, PAYLOADS)
+    rows = dealt(table(spark, sf_dir, "events"), PAYLOAD, PAYLOADS)
     return rows.select("id", messages.payload_ok(F.col("operation"), F.col("direction"), validation.parsed(F.col("payload"))).alias("ok"))
 
 
@@ -46,42 +46,44 @@ ENVELOPES = [
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, MESSAGE, ENVELOPES).select("id", messages.is_envelope(validation.parsed(F.col("body"))).alias("ok"))
+    return dealt(table(spark, sf_dir, "events"), MESSAGE, ENVELOPES).select("id", messages.is_envelope(validation.parsed(F.col("body"))).alias("ok"))
 
 
 ENDPOINT = "context string, tab bigint, frame bigint"
+_ENDPOINTS_FROM = {"tab": "tab + e_user % 2"}
 ENDPOINTS = [("content", 1, None), ("content", 1, 0), ("content", 1, 2), ("content", 2, None), ("ui", None, None), ("ui", None, 0), ("worker", None, None), ("worker", 1, None)]
 
 
 def endpoint_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each endpoint, how many of the listed ones are the same: those that join on the normalised triple."""
-    told = frame(spark, ENDPOINT, ENDPOINTS).select(F.struct("context", "tab", "frame").alias("e"))
-    both = told.select(F.col("e").alias("a")).join(told.select(F.col("e").alias("b")), F.col("a.context") == F.col("b.context"))
+    """For each listed endpoint, how many events' endpoints are the same: those that join on the normalised triple."""
+    told = frame(spark, ENDPOINT, ENDPOINTS).select(F.struct("context", "tab", "frame").alias("a"))
+    met = dealt(table(spark, sf_dir, "events"), ENDPOINT, ENDPOINTS, **_ENDPOINTS_FROM).select(F.struct("context", "tab", "frame").alias("b"))
+    both = met.join(told, F.col("a.context") == F.col("b.context"))
     both = both.where(messages.matches_endpoint(F.col("a"), F.col("b")))
     return both.groupBy("a.context", "a.tab", "a.frame").agg(F.count("*").alias("n"))
 
 
 ERROR = "id bigint, code string, body string"
 ERROR_ROWS = [
-    (1, "session_expired", '{"session_id": "s_1", "task_id": "t_1", "task_version": 2, "seq": 3, "text": "secret"}'), (2, "unavailable", '{"session_id": "s 1", "seq": 3}'), (3, "rate_limited", "{}"), (4, "resync_required", '{"session_id": "s_1", "task_id": null}'),
+    (1, "session_expired", '{"session_id": "s_{u}", "task_id": "t_1", "task_version": 2, "seq": {u}, "text": "{t}"}'), (2, "unavailable", '{"session_id": "s 1", "seq": 3}'), (3, "rate_limited", "{}"), (4, "resync_required", '{"session_id": "s_1", "task_id": null}'),
     (5, "unauthorized", '{"task_version": 0}'), (6, "invalid_request", '{"task_version": 1.0, "seq": true}'), (7, "unsupported_version", '{"seq": 9007199254740991}'),
 ]
 
 
 def error_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status and body of each error: correlation that breaks the contract is left out, and so is all other content."""
-    told = frame(spark, ERROR, ERROR_ROWS).withColumn("e", messages.error_body(F.col("code"), messages.correlation(validation.parsed(F.col("body")))))
+    told = dealt(table(spark, sf_dir, "events"), ERROR, ERROR_ROWS).withColumn("e", messages.error_body(F.col("code"), messages.correlation(validation.parsed(F.col("body")))))
     return told.select("id", "e.status", "e.body")
 
 
 VERSIONS = [
-    (1, '{"protocol": "1.0", "session_id": "s_1", "seq": 0}'), (2, '{"protocol": "2.0", "session_id": "s_1", "seq": 0}'), (3, '{"protocol": 1.0, "session_id": "s_1", "seq": 0}'), (4, '{"protocol": "1.0", "session_id": "_1", "seq": 0}'), (5, '{"protocol": "1.0", "session_id": "s_1", "seq": 1.5}'),
-    (6, '{"protocol": "1.0", "session_id": "s_1", "seq": 4.0}'), (7, '{"protocol": "1.0", "session_id": "s_1"}'), (8, '{"session_id": "s_1", "seq": 0}'), (9, "{"), (10, '{"protocol": "1.0", "session_id": 5, "seq": 0}'),
+    (1, '{"protocol": "1.0", "session_id": "s_{u}", "seq": 0}'), (2, '{"protocol": "2.0", "session_id": "s_1", "seq": 0}'), (3, '{"protocol": 1.0, "session_id": "s_1", "seq": 0}'), (4, '{"protocol": "1.0", "session_id": "_1", "seq": 0}'), (5, '{"protocol": "1.0", "session_id": "s_{u}", "seq": 1.5}'),
+    (6, '{"protocol": "1.0", "session_id": "s_{u}", "seq": 4.0}'), (7, '{"protocol": "1.0", "session_id": "s_{u}"}'), (8, '{"session_id": "s_1", "seq": 0}'), (9, "{"), (10, '{"protocol": "1.0", "session_id": 5, "seq": 0}'),
 ]
 
 
 def envelope_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, MESSAGE, VERSIONS).select("id", F.coalesce(validation.envelope_code(validation.parsed(F.col("body"))), F.lit("ok")).alias("code"))
+    return dealt(table(spark, sf_dir, "events"), MESSAGE, VERSIONS).select("id", F.coalesce(validation.envelope_code(validation.parsed(F.col("body"))), F.lit("ok")).alias("code"))
 
 
 def body_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,23 +94,24 @@ def body_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HISTORY = "id bigint, raw string"
-_STEP = '{"action_id": "a_1", "plan_step": 1, "seq": 2, "doc_id": "d1", "observation_id": 3, "action": {"type": "click", "target": "e1"}, "consequential": false, "risk": "low"'
+_STEP = '{"action_id": "a_{u}", "plan_step": 1, "seq": 2, "doc_id": "d{u}", "observation_id": 3, "action": {"type": "click", "target": "e1"}, "consequential": false, "risk": "low"'
 HISTORIES = [
     (1, None), (2, "[]"), (3, f"[{_STEP}}}]"), (4, f'[{_STEP}, "result": {{"status": "ok", "page_changed": true}}}}]'), (5, f'[{_STEP}, "result": {{"status": "ok", "page_changed": 1}}}}]'), (6, f'[{_STEP}, "result": {{"status": "failed", "page_changed": false, "reason": "timeout"}}}}, {_STEP}}}]'),
     (7, f'[{_STEP}, "result": {{"status": "failed", "page_changed": false, "reason": "boredom"}}}}]'), (8, f'[{_STEP}, "expect": {{"appear": "e2"}}, "result": null}}]'), (9, f'[{_STEP}, "expect": []}}]'), (10, f"[{_STEP}}}, 5]"), (11, f"{_STEP}}}"), (12, "[{}]"), (13, "["), (14, "[1]"),
-    (15, f'[{_STEP.replace(chr(34) + "seq" + chr(34) + ": 2", chr(34) + "seq" + chr(34) + ": 2.0")}}}]'), (16, f'[{_STEP.replace("low", "huge")}}}]'), (17, f'[{_STEP.replace("target", "aim")}}}]'), (18, f'[{_STEP.replace("a_1", "a 1")}}}]'), (19, f'[{_STEP.replace("false", "0")}}}]'),
+    (15, f'[{_STEP.replace(chr(34) + "seq" + chr(34) + ": 2", chr(34) + "seq" + chr(34) + ": 2.0")}}}]'), (16, f'[{_STEP.replace("low", "huge")}}}]'), (17, f'[{_STEP.replace("target", "aim")}}}]'), (18, f'[{_STEP.replace("a_{u}", "a {u}")}}}]'), (19, f'[{_STEP.replace("false", "0")}}}]'),
 ]
 
 
 def history_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stored memory: whether its list can be read, how many steps it has if every one is right, and the last outcome."""
-    told = frame(spark, HISTORY, HISTORIES).withColumn("h", store.decoded(F.col("raw")))
+    told = dealt(table(spark, sf_dir, "events"), HISTORY, HISTORIES).withColumn("h", store.decoded(F.col("raw")))
     last = F.element_at("h", -1)
     return told.select("id", store.entries(F.col("raw")).isNotNull().alias("listed"), F.when(F.col("h").isNotNull(), F.size("h")).cast("bigint").alias("steps"), F.when(F.size("h") > 0, prompts.outcome(last["result"])).alias("outcome"), store.stored(F.col("h")).alias("stored"))
 
 
 RECORD = "session_id string, task_id string, task_version string, created_at string, task_text string, allowed_domains string, mode string, read_only string, doc_id string, last_action_id string, seq string, observation_id string, plan_step string, history string"
-_RECORD = ("t_1", "3", "1.5", "Buy", '["a.test", "b.test"]', "agent", "0", None, None, None, None, None, None)
+_RECORD = ("t_{u}", "3", "1.5", "Buy {t}", '["a.test", "b.test"]', "agent", "0", None, None, None, None, None, None)
+_RECORDS_FROM = {"session_id": "concat('s', cast(e_id as varchar(20)))"}
 RECORDS = [("s1", *_RECORD)] + [
     (f"s{i + 2}", *(v if k == at else old for k, old in enumerate(_RECORD)))
     for i, (at, v) in enumerate([(0, None), (0, "t 1"), (1, "x"), (2, "soon"), (4, "[1]"), (4, "a.test"), (5, "drive"), (6, "yes"), (6, "1"), (7, "d 1"), (7, "d1"), (8, ""), (8, "-"), (9, "4.0"), (9, "4"), (10, "5"), (11, "z"), (12, "["), (12, f"[{_STEP}}}]"), (3, ""), (3, None)])
@@ -117,7 +120,7 @@ RECORDS = [("s1", *_RECORD)] + [
 
 def session_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored sessions that can be read, as prompt contexts."""
-    got = store.prompt_context(frame(spark, RECORD, RECORDS))
+    got = store.prompt_context(dealt(table(spark, sf_dir, "events"), RECORD, RECORDS, **_RECORDS_FROM))
     return got.select("session_id", "task_id", "task_version", "task_text", F.array_join("allowed_domains", ",").alias("domains"), "mode", "read_only", F.size("history").cast("bigint").alias("steps"))
 
 
@@ -150,7 +153,7 @@ KNOWN_SESSIONS = [("s1", "t1", 1), ("s2", "t2", 5)]
 
 
 def step_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = store.step_gate(frame(spark, REQUEST, REQUESTS), frame(spark, KNOWN, KNOWN_SESSIONS))
+    told = store.step_gate(dealt(table(spark, sf_dir, "events"), REQUEST, REQUESTS), frame(spark, KNOWN, KNOWN_SESSIONS))
     return told.select("id", F.coalesce("code", F.lit("ok")).alias("code"))
 
 
@@ -163,28 +166,37 @@ def bounded_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 IMAGE = "id bigint, width double, height double, x double, y double, w double, h double"
+_IMAGES_FROM = {"width": "width * (1 + e_user % 3)", "w": "w + e_user % 2"}
 IMAGES = [(1, 10.0, 10.0, None, None, None, None), (2, 10.5, 10.0, None, None, None, None), (3, 0.0, 10.0, None, None, None, None), (4, 10.0, 10.0, 0.0, 0.0, 2.5, 2.5), (5, 10.0, 10.0, 0.0, 0.0, 0.5, 2.0), (6, 10.0, 10.0, 8.0, 8.0, 2.0, 2.0), (7, 10.0, 10.0, 8.5, 8.0, 2.0, 2.0), (8, 10.0, 10.0, -1.0, 0.0, 2.0, 2.0), (9, 10.0, 10.0, float("inf"), 0.0, 2.0, 2.0), (10, 10.0, 10.0, float("nan"), 0.0, 2.0, 2.0)]
 
 
 def image_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = frame(spark, IMAGE, IMAGES)
+    i = dealt(table(spark, sf_dir, "events"), IMAGE, IMAGES, **_IMAGES_FROM)
     region = F.when(F.col("x").isNotNull(), F.struct("x", "y", "w", "h"))
     return i.select("id", F.coalesce(validation.image_code(F.col("width"), F.col("height"), region), F.lit("ok")).alias("code"))
 
 
 SCALAR = "id bigint, raw string"
-SCALARS = [(1, "null"), (2, "true"), (3, "20"), (4, "20.0"), (5, "2.5"), (6, '"a b"'), (7, '"quote and é"'), (8, "[1, true, null]"), (9, '{"b": 1, "a": [1, 2]}'), (10, "[]"), (11, "{}"), (12, '[{"z": "x, y", "k": null}]')]
+
+
+#: Values as events hold them: numbers, texts, objects and lists.
+_SCALAR_OF = "case event_id % 5 when 0 then cast(cast(value as decimal(12,2)) as varchar(20)) when 1 then '\"' || event_type || ' é\"' when 2 then props when 3 then '[' || cast(user_id as varchar(20)) || ',true,null]' else '{\"z\":\"' || event_type || '\",\"a\":[' || cast(user_id as varchar(20)) || ',2]}' end"
+_COMMAND_OF = "'{\"target\":\"e' || cast(user_id as varchar(20)) || '\",\"type\":\"' || event_type || '\",\"ms\":' || cast(event_id as varchar(20)) || '.0,\"on\":' || case when event_id % 2 = 0 then 'true' else 'null' end || '}'"
+_NAMING_OF = "'{\"type\":\"annotate\",\"targets\":[\"e' || cast(user_id as varchar(20)) || '\",5],\"shapes\":[{\"element\":\"e' || cast(event_id % 9 as varchar(20)) || '\"},{\"to_element\":\"' || event_type || '\",\"x\":{\"appear\":\"v' || cast(event_id as varchar(20)) || '\"}}],\"list\":[[{\"target\":\"e' || cast(event_id % 5 as varchar(20)) || '\"}]],\"element\":7}'"
+
+
+def _commands(spark, sf_dir, expression: str):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(expression).alias("raw"))
 
 
 def command_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, SCALAR, SCALARS).select("id", prompts.scalar(validation.parsed(F.col("raw"))).alias("shown"))
+    return _commands(spark, sf_dir, _SCALAR_OF).select("id", prompts.scalar(validation.parsed(F.col("raw"))).alias("shown"))
 
 
-COMMANDS = [(1, '{"target": "e1", "type": "click"}'), (2, '{"type": "type", "text": "hi there", "clear_first": true, "target": "e2"}'), (3, '{"type": "wait", "ms": 250.0}'), (4, '{"odd key": 1, "b": [1, 2]}'), (5, '{"type": "say", "say": null}')]
 
 
 def command_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, SCALAR, COMMANDS).select("id", prompts.action_command(validation.parsed(F.col("raw"))).alias("line"))
+    return _commands(spark, sf_dir, _COMMAND_OF).select("id", prompts.action_command(validation.parsed(F.col("raw"))).alias("line"))
 
 
 KEYED = [(1, '{"type": "click", "target": "e1"}'), (2, '{"type": "x"}'), (3, '{"summary": "s"}'), (4, '{"type": "say", "text": "t", "citations": []}'), (5, '{"target": 1, "url": 2}')]
@@ -192,20 +204,14 @@ KEYED = [(1, '{"type": "click", "target": "e1"}'), (2, '{"type": "x"}'), (3, '{"
 
 def command_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many kinds of command take all keys of each, and whether any kind knows every key."""
-    told = store.variants(frame(spark, SCALAR, KEYED).withColumn("command", validation.parsed(F.col("raw"))))
+    told = store.variants(dealt(table(spark, sf_dir, "events"), SCALAR, KEYED).withColumn("command", validation.parsed(F.col("raw"))))
     keys = F.map_keys(F.try_variant_get("command", "$", "map<string,variant>"))
     return told.select("id", F.size("fits").cast("bigint").alias("n_kinds"), F.get("fits", F.lit(0)).alias("first"), (F.size(F.array_except(keys, F.array(*map(F.lit, store.COMMAND_KEYS)))) == 0).alias("known"))
 
 
-REFERENCE_COMMANDS = [
-    (1, '{"type": "click", "target": "e1"}'), (2, '{"type": "annotate", "targets": ["e2", "e1", 5, "e2"], "shapes": [{"element": "e3"}, {"to_element": "e4", "x": {"appear": "e5"}}]}'), (3, '{"type": "wait", "until": {"appear": {"element_id": "e6"}, "disappear": "v7"}}'),
-    (4, '{"type": "done"}'), (5, '{"target": 5, "targets": "e8", "list": [[{"target": "e9"}]]}'),
-]
-
-
 def command_element_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The element ids that commands name, at any depth."""
-    return frame(spark, SCALAR, REFERENCE_COMMANDS).select("id", F.array_join(messages.element_ids(validation.parsed(F.col("raw"))), ",").alias("ids"))
+    return _commands(spark, sf_dir, _NAMING_OF).select("id", F.array_join(messages.element_ids(validation.parsed(F.col("raw"))), ",").alias("ids"))
 
 
 def script_element_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +255,7 @@ FAILURES = [(1, "ValueError"), (2, "bad name"), (3, "_X9"), (4, "9x"), (5, ""),
 
 
 def failure_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, NAME, FAILURES).select("id", prompts.failure_reason(F.col("name")).alias("reason"))
+    return dealt(table(spark, sf_dir, "events"), NAME, FAILURES).select("id", prompts.failure_reason(F.col("name")).alias("reason"))
 
 
 def key_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +265,7 @@ def key_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RAW = "id bigint, element string, role string, name string, w double, has_value boolean, value string, input_type string, src string, told string"
+_RAWS_FROM = {"w": "w + e_user"}
 RAWS = [
     (1, "e1", "button", "Go", 5.0, False, None, None, "dom", None), (2, "", "button", "Go", 5.0, False, None, None, "dom", None), (3, "e1", None, "Go", 5.0, False, None, None, "vision", None), (4, "e1", "button", "", 5.0, False, None, None, "vision", "dom_text"), (5, "e1", "textbox", "", 5.0, True, "", "email", "dom", None),
     (6, "e1", "textbox", "Mail", 5.0, True, "x@y.test", "email", "dom", None), (7, "e1", "textbox", "", 5.0, True, "hunter2", "password", "dom", None), (8, "e1", "textbox", "", 5.0, True, "free", "text", "dom", None), (9, "e1", "textbox", "", 5.0, True, None, "tel", "dom", None), (10, "e1", "textbox", "", float("nan"), True, "5", "tel", "dom", None),
@@ -267,7 +274,7 @@ RAWS = [
 
 
 def redacted_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = frame(spark, RAW, RAWS)
+    r = dealt(table(spark, sf_dir, "events"), RAW, RAWS, **_RAWS_FROM)
     box = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("w").alias("w"), F.lit(1.0).alias("h"))
     c = F.struct(F.col("element").alias("id"), "role", is_valid_box(box).alias("finite"), "name", "has_value", "value", "input_type")
     found = r.select("id", privacy.redacted_element(c, F.lit(1)).alias("r"), privacy.evidence_for(F.col("src"), F.col("told")).alias("evidence"))
@@ -289,12 +296,13 @@ def withheld_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BINDING = "id bigint, task string, origin string, doc string, targets array<string>, operations array<string>"
+_BINDINGS_FROM = {"task": "concat(task, cast(e_user as varchar(20)))"}
 BINDINGS = [(1, "t", "o", "d", ["e1", "e2"], ["type"]), (2, "t", "o", "d", ["e2", "e1"], ["type"]), (3, "t", "o", "d", ["e1"], ["type"]), (4, "t", "o", "d2", ["e1", "e2"], ["type"]), (5, "t", "o", "d", ["e1", "e2"], ["type", "click"]), (6, "t", "o", "d", ["e2", "e1"], ["click", "type"])]
 
 
 def binding_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest binding that allows the same as each."""
-    b = frame(spark, BINDING, BINDINGS).withColumn("key", privacy.binding_key(*(F.col(k) for k in ("task", "origin", "doc", "targets", "operations"))))
+    b = dealt(table(spark, sf_dir, "events"), BINDING, BINDINGS, **_BINDINGS_FROM).withColumn("key", privacy.binding_key(*(F.col(k) for k in ("task", "origin", "doc", "targets", "operations"))))
     return b.join(b.groupBy("key").agg(F.min("id").alias("first")), "key").select("id", "first")
 
 
@@ -426,7 +434,7 @@ _LIVE = """
 
 SQL = {
     "operation_payloads": f"""
-        with {common_table("r", PAYLOAD, PAYLOADS)}, {_PARSED.format(raw="payload")}
+        with {dealt_table("r", PAYLOAD, PAYLOADS)}, {_PARSED.format(raw="payload")}
         select id, case when coalesce(json_type(j), 'NULL') <> 'OBJECT' then false
             when operation = 'ping' then {_num("timestamp")} and {_opt("echo", _str("echo"))} and (direction = 'request' or {_in("context", messages.CONTEXTS)})
             when operation in {messages.INFERENCE} then case when direction = 'request' then {_IMAGE} else {_RESULT} end
@@ -438,14 +446,15 @@ SQL = {
             when operation = 'host:status' then direction = 'request' or ({_str("state")} and {_num("generation")} and {_num("activeLeases")} and {_in("browser", messages.BROWSERS)})
             else true end as ok from p""",
     "envelopes": f"""
-        with {common_table("r", MESSAGE, ENVELOPES)}, {_PARSED.format(raw="body")}
+        with {dealt_table("r", MESSAGE, ENVELOPES)}, {_PARSED.format(raw="body")}
         select id, coalesce(json_type(j) = 'OBJECT' and {_word("id")} and {_word("operation")} and {_in("type", messages.TYPES)} and {_num("timestamp")} and {_endpoint("source")} and {_endpoint("destination")}
             and (json_extract_string(j, '$.type') <> 'error' or ({_in("error.code", messages.BUS_CODES)} and {_str("error.message")})), false) as ok from p""",
     "endpoint_matches": f"""
-        with {common_table("r", ENDPOINT, ENDPOINTS)}, n as (select *, case when context = 'content' then coalesce(frame, 0) else frame end as f from r)
-        select a.context, a.tab, a.frame, count(*) as n from n a join n b on a.context = b.context and a.tab is not distinct from b.tab and a.f is not distinct from b.f group by all""",
+        with {common_table("r", ENDPOINT, ENDPOINTS)}, {dealt_table("e", ENDPOINT, ENDPOINTS, **_ENDPOINTS_FROM)},
+        n as (select *, case when context = 'content' then coalesce(frame, 0) else frame end as f from r), m as (select *, case when context = 'content' then coalesce(frame, 0) else frame end as f from e)
+        select a.context, a.tab, a.frame, count(*) as n from n a join m b on a.context = b.context and a.tab is not distinct from b.tab and a.f is not distinct from b.f group by all""",
     "error_bodies": f"""
-        with {common_table("r", ERROR, ERROR_ROWS)}, {_PARSED.format(raw="body")},
+        with {dealt_table("r", ERROR, ERROR_ROWS)}, {_PARSED.format(raw="body")},
         k as (select *, (coalesce(json_type(j, '$.session_id'), 'NULL') = 'NULL' or (json_type(j, '$.session_id') = 'VARCHAR' and regexp_full_match(json_extract_string(j, '$.session_id'), '[A-Za-z0-9][A-Za-z0-9_-]{{0,79}}')))
             and (coalesce(json_type(j, '$.task_id'), 'NULL') = 'NULL' or (json_type(j, '$.task_id') = 'VARCHAR' and regexp_full_match(json_extract_string(j, '$.task_id'), '[A-Za-z0-9][A-Za-z0-9_-]{{0,79}}')))
             and (json_type(j, '$.task_version') is null or ({_num("task_version")} and cast(json_extract(j, '$.task_version') as double) >= 1)) and (json_type(j, '$.seq') is null or coalesce({_num("seq")} and try_cast(json_extract_string(j, '$.seq') as double) >= 1, false)) as good from p)
@@ -453,14 +462,14 @@ SQL = {
             '{{"protocol":"1.0"' || case when good then coalesce(',"session_id":"' || json_extract_string(j, '$.session_id') || '"', '') || coalesce(',"task_id":"' || json_extract_string(j, '$.task_id') || '"', '') || coalesce(',"task_version":' || json_extract_string(j, '$.task_version'), '')
             || coalesce(',"seq":' || json_extract_string(j, '$.seq'), '') else '' end || ',"code":"' || code || '","retryable":' || case when code in ('session_expired', 'rate_limited', 'unavailable', 'resync_required') then 'true' else 'false' end || '}}' as body from k""",
     "envelope_codes": f"""
-        with {common_table("r", MESSAGE, VERSIONS)}, {_PARSED.format(raw="body")}
+        with {dealt_table("r", MESSAGE, VERSIONS)}, {_PARSED.format(raw="body")}
         select id, case when j is null then 'invalid_request' when {_str("protocol")} and json_extract_string(j, '$.protocol') <> '1.0' then 'unsupported_version'
             when {_str("protocol")} and {_str("session_id")} and regexp_full_match(json_extract_string(j, '$.session_id'), '[A-Za-z0-9][A-Za-z0-9_-]{{0,79}}') and {_num("seq")} and cast(json_extract(j, '$.seq') as double) = floor(cast(json_extract(j, '$.seq') as double)) then 'ok' else 'invalid_request' end as code from p""",
     "body_codes": """
         with b as (select event_id, case when event_id % 7 = 0 then props || '}' else props end as raw from events)
         select event_id, case when strlen(raw) > 9 then 'too_large' when not json_valid(raw) then 'not_json' else 'ok' end as code from b""",
     "history_decode": f"""
-        with {common_table("r", HISTORY, HISTORIES)}, {_PARSED.format(raw="raw")}, l as (select *, raw is null or coalesce(json_type(j) = 'ARRAY', false) as is_list, case when json_type(j) = 'ARRAY' then json_extract(j, '$[*]') else [] end as es from p),
+        with {dealt_table("r", HISTORY, HISTORIES)}, {_PARSED.format(raw="raw")}, l as (select *, raw is null or coalesce(json_type(j) = 'ARRAY', false) as is_list, case when json_type(j) = 'ARRAY' then json_extract(j, '$[*]') else [] end as es from p),
         t as (select *, is_list and len(list_filter(es, lambda e: json_type(e) = 'OBJECT')) = len(es) as listed, is_list and len(list_filter(es, lambda e: {_STEP_OK})) = len(es) as good from l), u as (select *, es[-1] as e from t)
         select id, listed, case when good then len(es) end as steps, case when good and len(es) > 0 then case when coalesce(json_type(e, '$.result'), 'NULL') = 'NULL' then 'pending' else json_extract_string(e, '$.result.status') || ' page_changed=' || json_extract_string(e, '$.result.page_changed')
             || coalesce(' reason=' || json_extract_string(e, '$.result.reason'), '') end end as outcome,
@@ -469,7 +478,7 @@ SQL = {
             || case when coalesce(json_type(e, '$.expect'), 'NULL') = 'OBJECT' then ',"expect":' || cast(json_extract(e, '$.expect') as varchar) else '' end
             || case when coalesce(json_type(e, '$.result'), 'NULL') = 'OBJECT' then ',"result":{{"status":"' || json_extract_string(e, '$.result.status') || '","page_changed":' || json_extract_string(e, '$.result.page_changed') || coalesce(',"reason":"' || json_extract_string(e, '$.result.reason') || '"', '') || '}}' else '' end || '}}'), ',') || ']' end as stored from u""",
     "session_records": f"""
-        with {common_table("r", RECORD, RECORDS)}, p as (select *, case when json_valid(allowed_domains) then cast(allowed_domains as json) end as d, case when json_valid(history) then cast(history as json) end as h from r)
+        with {dealt_table("r", RECORD, RECORDS, **_RECORDS_FROM)}, p as (select *, case when json_valid(allowed_domains) then cast(allowed_domains as json) end as d, case when json_valid(history) then cast(history as json) end as h from r)
         select session_id, task_id, cast(task_version as bigint) as task_version, task_text, array_to_string(cast(d as varchar[]), ',') as domains, mode, read_only = '1' as read_only, coalesce(json_array_length(h), 0)::bigint as steps from p
         where task_id is not null and regexp_full_match(task_id, '[A-Za-z0-9][A-Za-z0-9_-]*') and try_cast(task_version as bigint) is not null and try_cast(created_at as double) is not null and task_text is not null and json_type(d) = 'ARRAY'
             and len(list_filter(json_extract(d, '$[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0 and mode in ('ask', 'guide', 'agent', 'background') and read_only in ('0', '1') and coalesce(regexp_full_match(doc_id, '[A-Za-z0-9][A-Za-z0-9_-]*'), true)
@@ -486,24 +495,25 @@ SQL = {
             from m join n on n.user_id = m.user_id and n.i = m.i + 1, lateral (select m.live and coalesce(n.ts < m.seen + interval 2 day, false) as ok, n.op = 'feedback' and coalesce(n.act = m.last, false) as hit) x)
         select event_id, user_id, op, status, steps as plan_step, least(steps, 5) as remembered from m where i > 0""",
     "step_requests": f"""
-        with {common_table("r", REQUEST, REQUESTS)}, {common_table("k", KNOWN, KNOWN_SESSIONS)}
+        with {dealt_table("r", REQUEST, REQUESTS)}, {common_table("k", KNOWN, KNOWN_SESSIONS)}
         select r.id, case when not regexp_full_match(path_id, '[A-Za-z0-9][A-Za-z0-9_-]*') then 'invalid_request' when k.session_id is null then 'session_expired' when r.session_id is distinct from path_id or r.task_id <> k.task_id or r.task_version <> k.task_version then 'invalid_request'
             when kind <> 'full' then 'resync_required' else 'ok' end as code from r left join k on k.session_id = path_id""",
     "bounded_settings": """
         select p_brand, case when p_size % 3 = 0 then 'dark' else 'system' end as theme, count(*) filter (where p_size * 60 between 1 and 1800 and p_partkey > 2) as n_ok, count(*) filter (where p_partkey % 4 = 0) as n_on from part group by all""",
     "image_inputs": f"""
-        with {common_table("r", IMAGE, IMAGES)}
+        with {dealt_table("r", IMAGE, IMAGES, **_IMAGES_FROM)}
         select id, case when width < 1 or height < 1 or width <> floor(width) or height <> floor(height) then 'image dimensions' when x is null then 'ok' when isinf(x) or isnan(x) then 'region not finite' when w < 1 or h < 1 then 'region without size'
             when x < 0 or y < 0 or x + w > width or y + h > height then 'region outside' else 'ok' end as code from r""",
-    "command_scalars": f"""
-        with {common_table("r", "id bigint, shown string", [(1, "null"), (2, "true"), (3, "20"), (4, "20"), (5, "2.5"), (6, '"a b"'), (7, '"quote and é"'), (8, "[1, true, null]"), (9, '{"a": [1, 2], "b": 1}'), (10, "[]"), (11, "{}"), (12, '[{"k": null, "z": "x, y"}]')])} select * from r""",
-    "command_lines": f"""
-        with {common_table("r", "id bigint, line string", [(1, 'type="click" target="e1"'), (2, 'type="type" clear_first=true target="e2" text="hi there"'), (3, 'type="wait" ms=250'), (4, 'b=[1, 2] "odd key"=1'), (5, 'type="say" say=null')])} select * from r""",
+    "command_scalars": """
+        select event_id as id, case event_id % 5 when 0 then case when value = floor(value) then cast(cast(value as bigint) as varchar) else cast(value as varchar) end when 1 then '"' || event_type || ' é"' when 2 then replace(json(props)::varchar, ':', ': ')
+            when 3 then '[' || user_id || ', true, null]' else '{"a": [' || user_id || ', 2], "z": "' || event_type || '"}' end as shown from events""",
+    "command_lines": """
+        select event_id as id, 'type="' || event_type || '" ms=' || event_id || ' on=' || case when event_id % 2 = 0 then 'true' else 'null' end || ' target="e' || user_id || '"' as line from events""",
     "command_variants": f"""
-        with {common_table("r", SCALAR, KEYED)}, {common_table("v", "name string, fields array<string>", [(n, ["type", *f.split()]) for n, f in store.COMMANDS.items()])}, k as (select id, json_keys(raw) as ks from r), u as (select list(distinct f) as known from (select unnest(fields) as f from v))
+        with {dealt_table("r", SCALAR, KEYED)}, {common_table("v", "name string, fields array<string>", [(n, ["type", *f.split()]) for n, f in store.COMMANDS.items()])}, k as (select id, json_keys(raw) as ks from r), u as (select list(distinct f) as known from (select unnest(fields) as f from v))
         select id, count(name) as n_kinds, min(name) as first, any_value(list_has_all(known, ks)) as known from k cross join u left join v on list_has_all(fields, ks) group by id""",
-    "command_element_ids": f"""
-        with {common_table("r", "id bigint, ids string", [(1, "e1"), (2, "e1,e2,e3,e4,e5"), (3, "e6,v7"), (4, ""), (5, "e9")])} select * from r""",
+    "command_element_ids": """
+        select event_id as id, array_to_string(list_sort(list_distinct(['e' || user_id, 'e' || event_id % 9, event_type, 'v' || event_id, 'e' || event_id % 5])), ',') as ids from events""",
     "script_element_ids": "select * from (values ('t_profile_upd', 'e_email,e_save'), ('t_search_demo', 'e_result,e_search')) t(task_id, ids)",
     "screen_sections": f"with {_SCREEN} select conv_id, section from s",
     "prompt_messages": f"""
@@ -512,12 +522,12 @@ SQL = {
             || array_to_string(list_transform(kept, lambda x, i: i || ') ' || x.role || ' -> pending'), chr(10)) || chr(10) || section || chr(10) || '== INSTRUCTION ==' || chr(10) || 'Return exactly one next action.' as content from k)
         select conv_id, case when conv_id % 5 > 0 then 'system,user' end as roles, cast(case when conv_id % 5 > 0 then 2 end as bigint) as n, case when conv_id % 5 > 0 then content end as content from u""",
     "failure_reasons": f"""
-        with {common_table("r", NAME, FAILURES)} select id, 'stage=prompt detail=' || case when regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*') and length(name) <= 64 then name else 'exception' end as reason from r""",
+        with {dealt_table("r", NAME, FAILURES)} select id, 'stage=prompt detail=' || case when regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*') and length(name) <= 64 then name else 'exception' end as reason from r""",
     "key_texts": """
         select p_partkey, 'd' || p_size || '/e' || p_partkey as anchor, p_brand || '@d' || p_size || '#wasm' as session, regexp_full_match(p_name, '[A-Za-z0-9][A-Za-z0-9_-]*') and length(p_name) <= 80 as opaque,
             case when regexp_full_match(p_brand, '[A-Za-z_][A-Za-z0-9_]*') then p_brand else '"' || p_brand || '"' end as token from part""",
     "redacted_elements": f"""
-        with {common_table("r", RAW, RAWS)}, g as (select *, case when coalesce(element, '') = '' or coalesce(role, '') = '' then 'missing id or role' when isnan(w) then 'non-finite bbox' end as why, has_value and value is null as broken from r)
+        with {dealt_table("r", RAW, RAWS, **_RAWS_FROM)}, g as (select *, case when coalesce(element, '') = '' or coalesce(role, '') = '' then 'missing id or role' when isnan(w) then 'non-finite bbox' end as why, has_value and value is null as broken from r)
         select id, case when why is not null then 'withheld' when broken then 'invalid' else 'ok' end as outcome, case when why is null and broken then 'no value' else why end as reason, case when why is null and not broken then case when coalesce(name, '') = '' then '' else '{{{{TEXT_WITHHELD}}}}' end end as name,
             case when why is null and has_value and value is not null then case when value = '' then 'empty' else 'redacted' end end as value_state,
             case when why is null and has_value and value is not null then case when value = '' then '' when input_type = 'password' then '{{{{SECRET}}}}' when input_type = 'email' then '{{{{EMAIL_1}}}}' when input_type = 'tel' then '{{{{PHONE_1}}}}' else '{{{{TEXT_WITHHELD}}}}' end end as value,
@@ -525,7 +535,7 @@ SQL = {
     "kept_texts": "select conv_id, count(*) filter (where turn % 3 = 0 or coalesce(text, '') = '') as n_kept, count(*) filter (where turn % 3 <> 0 and coalesce(text, '') <> '') as n_withheld from conversations group by conv_id",
     "withheld_crops": "select 'd' || doc_id as doc, 'withheld' as outcome, 'ocr' as evidence, 'other' as pii_class, 'withhold' as decision, cast(1 as double) as confidence, true as synthetic from documents",
     "binding_keys": f"""
-        with {common_table("r", BINDING, BINDINGS)}, s as (select *, list_sort(targets) as t, list_sort(operations) as o from r) select a.id, min(b.id) as first from s a join s b on (a.task, a.origin, a.doc, a.t, a.o) = (b.task, b.origin, b.doc, b.t, b.o) group by a.id""",
+        with {dealt_table("r", BINDING, BINDINGS, **_BINDINGS_FROM)}, s as (select *, list_sort(targets) as t, list_sort(operations) as o from r) select a.id, min(b.id) as first from s a join s b on (a.task, a.origin, a.doc, a.t, a.o) = (b.task, b.origin, b.doc, b.t, b.o) group by a.id""",
     "live_scopes": f"""
         with {_LIVE}, e as (select user_id, count(distinct event_type) as n from events group by user_id) select s.scope_id, l.scope_id is not null as has_scope, cast(case when l.scope_id is null then 0 else n end as bigint) as entries from s join e on user_id = c_custkey left join l using (scope_id)""",
     "created_scopes": f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as g
 from tidemark.operators import folds, registry, semantics, snapshots
-from tidemark.sources.inline import common_table, frame
+from tidemark.sources.inline import common_table, dealt, dealt_table, frame
 from tidemark.sources.tables import table
 
 
@@ -55,6 +55,7 @@ def current_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINK = "id bigint, pos bigint, child string, parent string, scroll double, origin double, inset double, a double, b double, perspective boolean"
+_LINKS_FROM = {"origin": "origin + e_user", "id": "e_id"}
 LINKS = [
     (1, 0, "f1", "top", 10.0, 100.0, 2.0, 1.0, 0.0, False), (2, 0, "f2", "f1", 5.0, 20.0, 1.0, 0.5, 0.0, False), (2, 1, "f1", "top", 10.0, 100.0, 2.0, 2.0, 0.0, False), (3, 0, "f2", "f9", 5.0, 20.0, 1.0, 0.5, 0.0, False), (3, 1, "f1", "top", 10.0, 100.0, 2.0, 2.0, 0.0, False),
     (4, 0, "f1", "top", 10.0, 100.0, 2.0, 1.0, 0.3, False), (5, 0, "f1", "top", 10.0, 100.0, 2.0, 1.0, 0.0, True), (6, 0, "f1", "f1", 0.0, 0.0, 0.0, 1.0, 0.0, False), (6, 1, "f1", "top", 0.0, 0.0, 0.0, 1.0, 0.0, False), (7, 0, "top", "top", 0.0, 0.0, 0.0, 1.0, 0.0, False), (8, 0, "f1", "top", 0.0, 0.0, -1.0, 1.0, 0.0, False), (9, 0, "f1", "top", 0.0, 0.0, 0.0, 0.0, 0.0, False),
@@ -64,7 +65,7 @@ LINKS = [
 def frame_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of frames into the top page, which is scrolled by (7, 3); both axes have the same measures."""
     link = F.struct("pos", "child", "parent", F.col("scroll").alias("scroll_x"), F.col("scroll").alias("scroll_y"), F.col("origin").alias("origin_x"), F.col("origin").alias("origin_y"), F.col("inset").alias("inset_x"), F.col("inset").alias("inset_y"), "a", "b", F.lit(0.0).alias("c"), F.col("a").alias("d"), "perspective")
-    chains = frame(spark, LINK, LINKS).groupBy("id").agg(F.array_sort(F.collect_list(link)).alias("links"))
+    chains = dealt(table(spark, sf_dir, "events"), LINK, LINKS, **_LINKS_FROM).groupBy("id").agg(F.array_sort(F.collect_list(link)).alias("links"))
     m = chains.select("id", g.frame_chain(F.col("links"), F.lit("top"), F.lit(7.0), F.lit(3.0)).alias("m"))
     return m.select("id", F.coalesce("m.code", F.lit("ok")).alias("code"), "m.map.sx", "m.map.tx", "m.map.ty")
 
@@ -72,16 +73,17 @@ def frame_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simple_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same chains folded as plain maps: those that are gapless and have no repeats."""
     link = F.struct("pos", F.col("child").alias("frame"), "parent", g.affine(F.col("a"), F.col("a"), F.col("origin"), F.col("scroll")).alias("map"))
-    chains = frame(spark, LINK, LINKS).groupBy("id").agg(F.array_sort(F.collect_list(link)).alias("links"))
+    chains = dealt(table(spark, sf_dir, "events"), LINK, LINKS, **_LINKS_FROM).groupBy("id").agg(F.array_sort(F.collect_list(link)).alias("links"))
     return chains.select("id", g.frame_to_page(F.col("links")).alias("m")).select("id", "m.sx", "m.tx", "m.ty")
 
 
 SPACE = "id bigint, kind string, name string, doc string, observation double, sx double, tx double"
+_SPACES_FROM = {"tx": "tx - e_user", "observation": "observation + e_user % 2"}
 SPACES = [(1, "page", "a", "d", 1.0, 1.0, 0.0), (2, "moon", "a", "d", 1.0, 1.0, 0.0), (3, "crop", "", "d", 1.0, 0.5, -3.0), (4, "image", "a", "d", 0.0, 0.0, 0.0), (5, "frame", "a", "d", 1.5, -1.0, 0.0), (6, "viewport", "a", None, 2.0, 2.0, float("inf")), (7, "viewport", "a", "d", 9007199254740992.0, float("nan"), 0.0)]
 
 
 def space_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = frame(spark, SPACE, SPACES)
+    s = dealt(table(spark, sf_dir, "events"), SPACE, SPACES, **_SPACES_FROM)
     rect = g.is_rect(g.box(F.col("tx"), F.col("tx"), F.col("sx"), F.col("sx")))
     return s.select("id", g.is_space(F.col("kind"), F.col("name"), F.col("doc"), F.col("observation")).alias("space"), g.is_affine(g.affine(F.col("sx"), F.lit(1), F.col("tx"), F.lit(0))).alias("map"), rect.alias("rect"))
 
@@ -94,13 +96,14 @@ def drawn_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POINTER = "id bigint, x double, y double, scale double"
+_POINTERS_FROM = {"x": "x + e_user", "scale": "scale + e_user % 4"}
 POINTERS = [(1, 10.0, 20.0, 2.0), (2, 10.0, 20.0, 0.0), (3, 10.0, 20.0, None), (4, float("nan"), 20.0, 2.0), (5, 10.0, float("inf"), 2.0), (6, -5.0, 1.0, 0.5)]
 
 
 def pointer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = frame(spark, POINTER, POINTERS).withColumn("p", registry.pointer_sample(F.col("x"), F.col("y"), F.col("scale")))
+    p = dealt(table(spark, sf_dir, "events"), POINTER, POINTERS, **_POINTERS_FROM).withColumn("p", registry.pointer_sample(F.col("x"), F.col("y"), F.col("scale")))
     nowhere = F.struct(F.lit("hidden").alias("status"), F.lit(None).cast("struct<x: double, y: double, w: double, h: double>").alias("rect"))
-    r = p.select("id", registry.companion_resolution(F.when(F.col("id") == 6, "e1").otherwise("pointer"), F.col("p"), nowhere, "pointer").alias("r"))
+    r = p.select("id", registry.companion_resolution(F.when(F.col("case_no") == 6, "e1").otherwise("pointer"), F.col("p"), nowhere, "pointer").alias("r"))
     return r.select("id", "r.status", "r.rect.x", "r.rect.y", "r.rect.w")
 
 
@@ -110,7 +113,9 @@ CONTEXTS = [(0, None, True), (1, 0, True), (2, 1, False), (3, 2, True), (4, 3, T
 
 def contexts_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames that are attached all the way up."""
-    return registry.current_contexts(frame(spark, CONTEXT, CONTEXTS), "ctx", "parent", "attached").select("ctx")
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    own = users.join(F.broadcast(frame(spark, CONTEXT, CONTEXTS)), F.lit(True)).select((F.col("user_id") * 1000 + F.col("ctx")).alias("ctx"), (F.col("user_id") * 1000 + F.col("parent")).alias("parent"), (F.col("attached") & ((F.col("user_id") + F.col("ctx")) % 41 > 0)).alias("attached"))
+    return registry.current_contexts(own, "ctx", "parent", "attached").select("ctx")
 
 
 def context_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +160,7 @@ def walked_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCOPE = "id string, scopes array<string>, now array<string>, used array<string>"
+_SCOPES_FROM = {"id": "concat(id, '_', cast(e_id as varchar(20)))"}
 SCOPES = [("e1", ["top:1"], ["top:1"], ["top"]), ("e2", ["f1:2", "top:1"], ["f1:2", "top:1"], ["f1", "top"]), ("e3", ["f2:1", "top:1"], ["f2:2", "top:1"], ["f2", "top"]), ("e4", ["f3:1", "top:1"], ["top:1"], ["f3", "top"]), ("e5", ["f4:1"], None, ["f4"]), ("e6", ["s1:1", "f5:1", "top:1"], ["s1:1", "f5:1", "top:1"], ["f5", "top"])]
 DOCUMENT = "document string"
 DOCUMENTS = [("top",), ("f1",), ("f2",), ("f3",), ("f4",), ("f5",)]
@@ -162,7 +168,7 @@ DOCUMENTS = [("top",), ("f1",), ("f2",), ("f3",), ("f4",), ("f5",)]
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a sweep leaves: elements whose scopes hold, and the documents that these use."""
-    kept, documents = registry.swept(frame(spark, SCOPE, SCOPES), frame(spark, DOCUMENT, DOCUMENTS), "top")
+    kept, documents = registry.swept(dealt(table(spark, sf_dir, "events"), SCOPE, SCOPES, **_SCOPES_FROM), frame(spark, DOCUMENT, DOCUMENTS), "top")
     return kept.select(F.lit("element").alias("kind"), "id").unionByName(documents.select(F.lit("document").alias("kind"), F.col("document").alias("id")))
 
 
@@ -194,6 +200,7 @@ def pass_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ANCHOR = "id bigint, disposed boolean, element_id string, resolution string, connected boolean, same_document boolean, display string, visibility string, doc string, w double, x double"
+_ANCHORS_FROM = {"x": "x - e_user % 20", "w": "w * (e_user % 3)"}
 ANCHORS = [
     (1, False, "e1", "ok", True, True, "block", "visible", "d", 10.0, 5.0), (2, True, "e1", "ok", True, True, "block", "visible", "d", 10.0, 5.0), (3, False, "v1", "ok", True, True, "block", "visible", "d", 10.0, 5.0), (4, False, "e1", "stale", True, True, "block", "visible", "d", 10.0, 5.0), (5, False, "e1", "missing", True, True, None, None, "d", 10.0, 5.0),
     (6, False, "e1", "disposed", True, True, None, None, "d", 10.0, 5.0), (7, False, "e1", "ok", False, True, "block", "visible", "d", 10.0, 5.0), (8, False, "e1", "ok", True, False, "block", "visible", "d", 10.0, 5.0), (9, False, "e1", "ok", True, True, "none", "visible", "d", 10.0, 5.0), (10, False, "e1", "ok", True, True, "block", "collapse", "d", 10.0, 5.0),
@@ -203,7 +210,7 @@ ANCHORS = [
 
 def annotation_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each anchor resolves, and what its annotation shows on a screen of 100 by 100."""
-    a = frame(spark, ANCHOR, ANCHORS).withColumn("resolved", registry.anchor_resolution(F.struct("disposed", "element_id", "resolution", "connected", "same_document", "display", "visibility")))
+    a = dealt(table(spark, sf_dir, "events"), ANCHOR, ANCHORS, **_ANCHORS_FROM).withColumn("resolved", registry.anchor_resolution(F.struct("disposed", "element_id", "resolution", "connected", "same_document", "display", "visibility")))
     rect = g.box(F.col("x"), F.lit(0), F.col("w"), F.lit(5))
     return a.select("id", "resolved", registry.annotation_status(F.col("doc"), F.lit("d"), F.col("resolved"), rect, F.lit(100.0), F.lit(100.0)).alias("status"))
 
@@ -273,10 +280,10 @@ SQL = {
     "frame_maps": f"""
         with {common_table("r", "id bigint, code string, sx double, tx double, ty double", [(1, "ok", 1.0, 99.0, 95.0), (2, "ok", 1.0, 147.0, 143.0), (3, "missing_metadata", None, None, None), (4, "unsupported_transform", None, None, None), (5, "unsupported_transform", None, None, None), (6, "invalid_geometry", None, None, None), (7, "invalid_geometry", None, None, None), (8, "invalid_geometry", None, None, None), (9, "unsupported_transform", None, None, None)])} select * from r""",
     "simple_frames": f"""
-        with {common_table("r", LINK, LINKS)}, a as (select * from r where pos = 0), b as (select * from r where pos = 1), c as (select a.id, b.id is null or (a.parent = b.child and a.child <> b.child) as good, a.a * coalesce(b.a, 1) as sx, a.origin * coalesce(b.a, 1) + coalesce(b.origin, 0) as tx, a.scroll * coalesce(b.a, 1) + coalesce(b.scroll, 0) as ty from a left join b on a.id = b.id)
+        with {dealt_table("r", LINK, LINKS, **_LINKS_FROM)}, a as (select * from r where pos = 0), b as (select * from r where pos = 1), c as (select a.id, b.id is null or (a.parent = b.child and a.child <> b.child) as good, a.a * coalesce(b.a, 1) as sx, a.origin * coalesce(b.a, 1) + coalesce(b.origin, 0) as tx, a.scroll * coalesce(b.a, 1) + coalesce(b.scroll, 0) as ty from a left join b on a.id = b.id)
         select id, case when good then sx end as sx, case when good then tx end as tx, case when good then ty end as ty from c""",
     "space_rules": f"""
-        with {common_table("r", SPACE, SPACES)}
+        with {dealt_table("r", SPACE, SPACES, **_SPACES_FROM)}
         select id, coalesce(kind in ('page', 'viewport', 'image', 'crop', 'frame') and name <> '' and doc <> '' and observation >= 1 and observation <= 9007199254740991 and observation = floor(observation), false) as space,
             isfinite(sx) and isfinite(tx) and sx > 0 as map, isfinite(sx) and isfinite(tx) and sx >= 0 as rect from r""",
     "drawn_shapes": f"""
@@ -284,10 +291,10 @@ SQL = {
         select l_orderkey, l_linenumber, {_TWO.format("(x - 4)")} as ring_x, {_TWO.format("greatest(w + 8, 1)")} as ring_w, {_TWO.format("(y + h + 2)")} as line_y, {_TWO.format("greatest(w, 1)")} as line_w, {_TWO.format("greatest(h + 16, 1)")} as spot_h,
             {_TWO.format("greatest(sqrt(q * q + n * n * 16), 18)")} as length, {_TWO.format("degrees(atan2(n * 4, -q))")} as angle, cast(least(greatest(trunc(i), 1), 999) as bigint) as badge, round(1 - (1 - p) * (1 - p) * (1 - p), 6) as eased from b""",
     "pointer_places": f"""
-        with {common_table("r", POINTER, POINTERS)}, k as (select *, isfinite(x) and isfinite(y) as seen, case when coalesce(scale, 1) > 0 then coalesce(scale, 1) else 1 end as s from r)
-        select id, case when id = 6 then 'hidden' when seen then 'ok' else 'missing' end as status, case when id < 6 and seen then x / s end as x, case when id < 6 and seen then y / s end as y, cast(case when id < 6 and seen then 1 end as double) as w from k""",
+        with {dealt_table("r", POINTER, POINTERS, **_POINTERS_FROM)}, k as (select *, isfinite(x) and isfinite(y) as seen, case when coalesce(scale, 1) > 0 then coalesce(scale, 1) else 1 end as s from r)
+        select id, case when case_no = 6 then 'hidden' when seen then 'ok' else 'missing' end as status, case when case_no < 6 and seen then x / s end as x, case when case_no < 6 and seen then y / s end as y, cast(case when case_no < 6 and seen then 1 end as double) as w from k""",
     "contexts_current": f"""
-        with recursive {common_table("r", CONTEXT, CONTEXTS)}, m as (select ctx from r where parent is null and attached union all select r.ctx from r join m on r.parent = m.ctx where r.attached) select ctx from m""",
+        with recursive {common_table("c", CONTEXT, CONTEXTS)}, r as (select user_id * 1000 + ctx as ctx, user_id * 1000 + parent as parent, attached and (user_id + ctx) % 41 > 0 as attached from c, (select distinct user_id from events)), m as (select ctx from r where parent is null and attached union all select r.ctx from r join m on r.parent = m.ctx where r.attached) select ctx from m""",
     "context_chains": """
         with recursive e as (select event_id as ctx, event_id // 5000 as chain, case when event_id % 5000 > 0 and event_id % 7 = 6 then event_id - 6 when event_id % 5000 > 0 then event_id - 1 end as parent, event_id % 3989 <> 3988 as attached from events),
         -- frames with a frame in them are those of the chain's line; what hangs beside it hangs on one of them
@@ -301,7 +308,7 @@ SQL = {
     "walked_targets": f"""
         with {_REGISTRY} select distinct r.doc, r.node, id, upper(r.node) as role from r join events e on e.user_id = r.doc and e.event_type = r.node where valid and event_id % 10 <> 0 and r.node <> 'error'""",
     "sweep": f"""
-        with {common_table("r", SCOPE, SCOPES)}, {common_table("d", DOCUMENT, DOCUMENTS)}, k as (select * from r where {_HOLDS}), u as (select distinct unnest(used) as document from k)
+        with {dealt_table("r", SCOPE, SCOPES, **_SCOPES_FROM)}, {common_table("d", DOCUMENT, DOCUMENTS)}, k as (select * from r where {_HOLDS}), u as (select distinct unnest(used) as document from k)
         select 'element' as kind, id from k union all select 'document', document from d where document = 'top' or document in (select document from u)""",
     "route_generations": "select event_id, cast(sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as bigint) as generation from events",
     "relevant_records": "select distinct l_orderkey from lineitem where l_partkey % 3 <> 0",
@@ -310,7 +317,7 @@ SQL = {
         select p_partkey as node from part where p_size < 3 union select node from c union select p_partkey from part where p_size = 7 and p_brand in (select p_brand from part join c on node = p_partkey)""",
     "pass_metrics": "select l_orderkey, cast(sum(cast(l_quantity as bigint)) as bigint) as units, count(*) as chunks, cast(sum(l_linenumber) as bigint) as active_ms, cast(max(l_linenumber) as bigint) as longest_ms from lineitem group by l_orderkey",
     "annotation_statuses": f"""
-        with {common_table("r", ANCHOR, ANCHORS)}, k as (select *, case when disposed then 'stale' when starts_with(element_id, 'v') then 'unsupported' when resolution = 'disposed' then 'stale' when resolution <> 'ok' then resolution when not connected then 'missing'
+        with {dealt_table("r", ANCHOR, ANCHORS, **_ANCHORS_FROM)}, k as (select *, case when disposed then 'stale' when starts_with(element_id, 'v') then 'unsupported' when resolution = 'disposed' then 'stale' when resolution <> 'ok' then resolution when not connected then 'missing'
             when not same_document then 'unsupported' when display = 'none' or visibility in ('hidden', 'collapse') then 'hidden' else 'ok' end as resolved from r)
         select id, resolved, case when doc <> 'd' then 'stale' when resolved <> 'ok' then resolved when isnan(w) or w <= 0 then 'hidden' when x >= 100 or x + w <= 0 then 'offscreen' else 'visible' end as status from k""",
     "ordered_diff": """
