@@ -1,14 +1,17 @@
-"""Queries over made-up pages that hold what the driver's pages lack; their SQL is the rows that must come out."""
+"""Queries over what the table's pages lack: every page is dealt one of some small pages, with words of its title in it."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import sanitize_label
 from tidemark.operators import names, semantics, snapshots
 from tidemark.sources import pages as scan
-from tidemark.sources.inline import common_table, frame
+from tidemark.sources.inline import common_table, dealt, dealt_table, frame
+from tidemark.sources.tables import table
 
 # (page, html, tag of the element told of, role, name, source, description, source, fallback)
 NAMED = [
@@ -69,15 +72,49 @@ PAGES = [
     (6, ""),
 ]
 PAGE = "page_id bigint, html string"
+PAGES = [(p, h.replace(">one<", ">{t}<").replace(">L1<", ">{t}<")) for p, h in PAGES]
+
+#: A page's title as plain words, in both engines; the pattern of all replacements is global in one of them by default.
+_TITLE = "coalesce(nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '[^A-Za-z0-9]+', ' '{})), ''), 'x')"
+
+
+def _titled(row: tuple) -> tuple:
+    """A case whose told name has a word that stands once in its page: the title takes the word's place in both."""
+    for word in sorted(re.findall(r"\b[A-Za-z]{2,}\b", row[4]), key=len, reverse=True):
+        if len(re.findall(rf"(?<!=)\b{word}\b", row[1])) == len(re.findall(word, row[1])) == row[4].count(word) == 1:
+            return (row[0], re.sub(rf"\b{word}\b", "{t}", row[1]), *row[2:4], row[4].replace(word, "{t}"), *row[5:])
+    return row
+
+
+NAMED = [_titled(r) for r in NAMED]
+
+
+def _case(n: int):
+    return F.col("page_id") % n + 1
+
+
+def _dealt_pages(spark, sf_dir, rows: list[tuple], ddl: str = PAGE) -> DataFrame:
+    """Every page of the table with one of the listed ones in place of its html, in turn."""
+    cases = frame(spark, ddl, rows).withColumnsRenamed({"page_id": "case_no", "html": "listed"})
+    told = table(spark, sf_dir, "pages").select("page_id", F.expr(_TITLE.format("")).alias("t"))
+    both = told.join(F.broadcast(cases), _case(len(rows)) == F.col("case_no"))
+    return both.withColumn("html", F.expr("replace(listed, '{t}', t)")).drop("listed", "t")
+
+
+def _by_case(spark, sf_dir, ddl: str, rows: list[tuple]) -> DataFrame:
+    """Rows listed for a case (``page_id``) as rows of every page that was dealt it."""
+    cases = frame(spark, ddl, rows).withColumnRenamed("page_id", "case_no")
+    told = table(spark, sf_dir, "pages").select("page_id", _case(len(PAGES)).alias("case_no"))
+    return told.join(F.broadcast(cases), "case_no").drop("case_no")
 
 
-def _nodes(spark):
-    return scan.nodes(frame(spark, PAGE, PAGES))
+def _nodes(spark, sf_dir):
+    return scan.nodes(_dealt_pages(spark, sf_dir, PAGES))
 
 
 def name_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The names, descriptions and fallbacks of one element of each page."""
-    pages = frame(spark, "page_id bigint, html string, tag string", [r[:3] for r in NAMED])
+    pages = _dealt_pages(spark, sf_dir, [r[:3] for r in NAMED], "page_id bigint, html string, tag string")
     found = names.accessible_names(scan.nodes(pages)).join(pages.select("page_id", F.col("tag").alias("wanted")), "page_id").where("tag = wanted")
     first = found.groupBy("page_id").agg(F.min_by(F.struct(*(c for c in names.NAME.names if c not in ("page_id", "node", "tag"))), "node").alias("r")).select("page_id", "r.*")
     return first.select("page_id", "role", "name", "name_source", "description", "description_source", "fallback", "status")
@@ -89,63 +126,63 @@ LABELS = [(1, "a\u202eb\u200bc", "a b c"), (2, "x" * 121, "x" * 119 + "…"), (3
 
 def label_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with bidi, zero-width and wide characters as they are shown."""
-    return frame(spark, "id bigint, label string", [r[:2] for r in LABELS]).select("id", sanitize_label(F.col("label")).alias("shown"))
+    return dealt(table(spark, sf_dir, "events"), "id bigint, label string", [r[:2] for r in LABELS]).select("id", sanitize_label(F.col("label")).alias("shown"))
 
 
 def role_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The role of the last element of each page, and where it comes from."""
-    found = semantics.with_roles(scan.nodes(frame(spark, PAGE, [r[:2] for r in ROLED])))
+    found = semantics.with_roles(scan.nodes(_dealt_pages(spark, sf_dir, [r[:2] for r in ROLED])))
     last = found.groupBy("page_id").agg(F.max_by(F.struct("role", "role_source"), "node").alias("r"))
     return last.select("page_id", "r.role", F.col("r.role_source").alias("source"))
 
 
 def reason_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why elements are candidates: pages without any don't come out."""
-    found = semantics.candidates(scan.nodes(frame(spark, PAGE, [r[:2] for r in REASONED])))
+    found = semantics.candidates(scan.nodes(_dealt_pages(spark, sf_dir, [r[:2] for r in REASONED])))
     return found.groupBy("page_id").agg(F.max(F.array_join("reasons", ",")).alias("reasons"))
 
 
 def page_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many nodes are at or below the first element of each page."""
-    roots = frame(spark, "page_id bigint, root int", [(p, 0) for p, _ in PAGES])
-    return scan.subtree(_nodes(spark), roots).groupBy("page_id").agg(F.count("*").alias("n"))
+    roots = table(spark, sf_dir, "pages").select("page_id", F.lit(0).alias("root"))
+    return scan.subtree(_nodes(spark, sf_dir), roots).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 def covering_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of some roots those that no other contains."""
-    roots = frame(spark, "page_id bigint, root int", [(1, 0), (1, 1), (1, 5), (4, 1), (4, 3)])
-    return scan.covering(roots, _nodes(spark)).select("page_id", F.col("root").cast("bigint").alias("root"))
+    roots = _by_case(spark, sf_dir, "page_id bigint, root int", [(1, 0), (1, 1), (1, 5), (4, 1), (4, 3)])
+    return scan.covering(roots, _nodes(spark, sf_dir)).select("page_id", F.col("root").cast("bigint").alias("root"))
 
 
 def frame_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.frames(_nodes(spark)).groupBy("page_id", "access").agg(F.count("*").alias("n"))
+    return scan.frames(_nodes(spark, sf_dir)).groupBy("page_id", "access").agg(F.count("*").alias("n"))
 
 
 def node_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts and sorted attributes of the first two pages."""
-    e = semantics.evidence(_nodes(spark).where("page_id < 3"))
+    e = semantics.evidence(_nodes(spark, sf_dir).where(_case(len(PAGES)) < 3))
     shown = F.array_join(F.transform("attrs", lambda a: F.concat(a["key"], F.lit("="), a["value"])), ";")
     return e.select("page_id", F.col("node").cast("bigint").alias("node"), "kind", F.coalesce("text", shown).alias("told"))
 
 
 def id_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = semantics.references(_nodes(spark))
+    r = semantics.references(_nodes(spark, sf_dir))
     return r.select("page_id", F.col("pos").cast("bigint").alias("pos"), "id", F.col("target").isNotNull().alias("found"))
 
 
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _nodes(spark)
+    n = _nodes(spark, sf_dir)
     t = semantics.label_targets(n).join(n.select("page_id", F.col("node").alias("target"), "tag"), ["page_id", "target"])
     return t.select("page_id", "tag", F.size("labels").cast("bigint").alias("n_labels"))
 
 
 def hidden_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semantics.hidden_nodes(_nodes(spark)).groupBy("page_id").agg(F.count("*").alias("n"))
+    return semantics.hidden_nodes(_nodes(spark, sf_dir)).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 def candidate_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State, value and key of the candidates of one page, and why each is one; a password's value is never read."""
-    n = _nodes(spark).where("page_id = 5")
+    n = _nodes(spark, sf_dir).where(_case(len(PAGES)) == 5)
     s = semantics.snapshots(n).join(semantics.candidates(n).select("page_id", "node", "tag", F.array_join("reasons", ",").alias("reasons"), semantics.labelable().alias("labelable")), ["page_id", "node"])
     state = F.array_join(F.transform(F.array_sort(F.map_entries("state")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return s.select(F.col("node").cast("bigint").alias("node"), "tag", "reasons", F.coalesce("labelable", F.lit(False)).alias("labelable"), state.alias("state"), "value", F.length(semantics.snapshot_key(F.struct("state", "value", "parent"))).cast("bigint").alias("key_length"))
@@ -153,44 +190,50 @@ def candidate_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dirty_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cached nodes that a changed node contains or on which they depend."""
-    cached = frame(spark, "page_id bigint, node int, path array<int>, depends_on array<int>", [(1, 1, [0, 1], None), (1, 3, [0, 3], [5]), (1, 5, [5], None), (2, 4, [4], [9]), (2, 9, [9], [])])
-    dirty = frame(spark, "page_id bigint, root int", [(1, 5), (2, 4), (3, 0)])
+    cached = _by_case(spark, sf_dir, "page_id bigint, node int, path array<int>, depends_on array<int>", [(1, 1, [0, 1], None), (1, 3, [0, 3], [5]), (1, 5, [5], None), (2, 4, [4], [9]), (2, 9, [9], [])])
+    dirty = _by_case(spark, sf_dir, "page_id bigint, root int", [(1, 5), (2, 4), (3, 0)])
     return snapshots.affected(cached, dirty).select("page_id", F.col("node").cast("bigint").alias("node"))
 
 
 def element_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The role that each page's elements go by: generic where they have none."""
-    r = semantics.with_roles(_nodes(spark)).select("page_id", semantics.element_role(F.col("role"), F.col("page_id") != 4).alias("role"))
+    r = semantics.with_roles(_nodes(spark, sf_dir)).select("page_id", semantics.element_role(F.col("role"), _case(len(PAGES)) != 4).alias("role"))
     return r.groupBy("page_id", "role").agg(F.count("*").alias("n"))
 
 
-def _rows(ddl: str, rows: list[tuple]) -> str:
-    return f"with {common_table('r', ddl, rows)} select * from r"
+def _rows(ddl: str, rows: list[tuple], cases: int = len(PAGES), named: bool = True) -> str:
+    """What must come out for each case, for every page that is dealt it, with the page's title in it."""
+    columns = [tuple(c.strip().split(" ", 1)) for c in ddl.split(",")]
+    told = ", ".join(f"replace({c}, '{{t}}', t) as {c}" if k == "string" else c for c, k in columns if c != "page_id")
+    number = "p.page_id, " if named else ""
+    return f"with {common_table('r', ddl, rows)}, p as (select page_id, {_TITLE.format(', ' + chr(39) + 'g' + chr(39))} as t from pages) select {number}{told} from p join r on r.page_id = p.page_id % {cases} + 1"
 
 
 SQL = {
     "name_cases": _rows(
         "page_id bigint, role string, name string, name_source string, description string, description_source string, fallback string, status string",
         [(r[0], *r[3:], "complete" if r[3] else "limited") for r in NAMED],
+        len(NAMED),
     ),
-    "label_cases": _rows("id bigint, shown string", [(i, shown) for i, _, shown in LABELS]),
-    "role_cases": _rows("page_id bigint, role string, source string", [(i, role, source) for i, _, role, source in ROLED]),
-    "reason_cases": _rows("page_id bigint, reasons string", [(i, why) for i, _, why in REASONED if why]),
+    "label_cases": f"with {dealt_table('r', 'id bigint, shown string', [(i, shown) for i, _, shown in LABELS])} select id, shown from r",
+    "role_cases": _rows("page_id bigint, role string, source string", [(i, role, source) for i, _, role, source in ROLED], len(ROLED)),
+    "reason_cases": _rows("page_id bigint, reasons string", [(i, why) for i, _, why in REASONED if why], len(REASONED)),
     "page_subtrees": _rows("page_id bigint, n bigint", [(1, 5), (2, 2), (3, 1), (4, 5), (5, 1)]),
     "covering_roots": _rows("page_id bigint, root bigint", [(1, 0), (1, 5), (4, 1)]),
     "frame_access": _rows("page_id bigint, access string, n bigint", [(3, "same-origin", 1), (3, "unloaded", 1), (3, "opaque", 1)]),
     "node_evidence": _rows(
         "page_id bigint, node bigint, kind string, told string",
-        [(1, 0, "attributes", "id=a"), (1, 1, "attributes", "id=b"), (1, 2, "text", "one"), (1, 4, "text", "two"), (1, 5, "attributes", "aria-live=polite;class=c"), (1, 6, "text", "three"),
-         (2, 0, "attributes", "for=q"), (2, 1, "text", "L1"), (2, 3, "text", "L2"), (2, 5, "text", "b"), (2, 6, "attributes", "id=q;type=hidden"), (2, 7, "attributes", "id=q2"), (2, 8, "attributes", "aria-labelledby=q2 none q2 q"), (2, 9, "text", "t")],
+        [(1, 0, "attributes", "id=a"), (1, 1, "attributes", "id=b"), (1, 2, "text", "{t}"), (1, 4, "text", "two"), (1, 5, "attributes", "aria-live=polite;class=c"), (1, 6, "text", "three"),
+         (2, 0, "attributes", "for=q"), (2, 1, "text", "{t}"), (2, 3, "text", "L2"), (2, 5, "text", "b"), (2, 6, "attributes", "id=q;type=hidden"), (2, 7, "attributes", "id=q2"), (2, 8, "attributes", "aria-labelledby=q2 none q2 q"), (2, 9, "text", "t")],
     ),
     "id_references": _rows("page_id bigint, pos bigint, id string, found boolean", [(2, 0, "q2", True), (2, 1, "none", False), (2, 2, "q", True)]),
     "label_counts": _rows("page_id bigint, tag string, n_labels bigint", [(2, "button", 1)]),
     "hidden_counts": _rows("page_id bigint, n bigint", [(4, 7)]),
     "candidate_snapshots": _rows(
-        "node bigint, tag string, reasons string, labelable boolean, state string, value string, key_length bigint",
-        [(0, "input", "native-control", True, "aria-expanded=true;checked=true", "v", 109), (1, "input", "native-control", True, "required=true", None, 72), (2, "select", "native-control", True, "multiple=true", "z", 71),
-         (3, "span", "tabindex", False, "", None, 39), (5, "div", "editable", False, "", None, 39)],
+        "page_id bigint, node bigint, tag string, reasons string, labelable boolean, state string, value string, key_length bigint",
+        [(5, 0, "input", "native-control", True, "aria-expanded=true;checked=true", "v", 109), (5, 1, "input", "native-control", True, "required=true", None, 72), (5, 2, "select", "native-control", True, "multiple=true", "z", 71),
+         (5, 3, "span", "tabindex", False, "", None, 39), (5, 5, "div", "editable", False, "", None, 39)],
+        named=False,
     ),
     "dirty_dependents": _rows("page_id bigint, node bigint", [(1, 3), (1, 5), (2, 4)]),
     "element_roles": _rows(

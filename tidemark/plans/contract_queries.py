@@ -215,7 +215,9 @@ def command_element_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def script_element_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planner.referenced_ids(planner.scripts(spark)).select("task_id", F.array_join("ids", ",").alias("ids"))
+    """The element ids of the script that each event's task follows."""
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "t_profile_upd").otherwise("t_search_demo").alias("task_id"))
+    return e.join(F.broadcast(planner.referenced_ids(planner.scripts(spark))), "task_id").select("event_id", "task_id", F.array_join("ids", ",").alias("ids"))
 
 
 def _screens(spark, sf_dir):
@@ -338,7 +340,7 @@ ATTEMPTS = [(1, True, True, True), (2, False, True, True), (3, False, False, Fal
 
 def first_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
     tried = F.array(*(F.struct(F.lit(k).alias("name"), F.coalesce(k, F.lit(False)).alias("ok")) for k in ("webgpu", "wasm", "cpu")))
-    return frame(spark, ATTEMPT, ATTEMPTS).select("id", first_working(tried).alias("backend"))
+    return dealt(table(spark, sf_dir, "events"), ATTEMPT, ATTEMPTS).select("id", first_working(tried).alias("backend"))
 
 
 def region_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -514,7 +516,7 @@ SQL = {
         select id, count(name) as n_kinds, min(name) as first, any_value(list_has_all(known, ks)) as known from k cross join u left join v on list_has_all(fields, ks) group by id""",
     "command_element_ids": """
         select event_id as id, array_to_string(list_sort(list_distinct(['e' || user_id, 'e' || event_id % 9, event_type, 'v' || event_id, 'e' || event_id % 5])), ',') as ids from events""",
-    "script_element_ids": "select * from (values ('t_profile_upd', 'e_email,e_save'), ('t_search_demo', 'e_result,e_search')) t(task_id, ids)",
+    "script_element_ids": "select event_id, task_id, ids from events join (values (0, 't_profile_upd', 'e_email,e_save'), (1, 't_search_demo', 'e_result,e_search')) t(k, task_id, ids) on k = event_id % 2",
     "screen_sections": f"with {_SCREEN} select conv_id, section from s",
     "prompt_messages": f"""
         with {_SCREEN}, k as (select *, t[greatest(1, n - 4):n] as kept from s),
@@ -540,7 +542,7 @@ SQL = {
         with {_LIVE}, e as (select user_id, count(distinct event_type) as n from events group by user_id) select s.scope_id, l.scope_id is not null as has_scope, cast(case when l.scope_id is null then 0 else n end as bigint) as entries from s join e on user_id = c_custkey left join l using (scope_id)""",
     "created_scopes": f"""
         with {_LIVE} select case when c_custkey % 7 = 0 then 'invalid' when l.scope_id is not null then 'scope_already_exists' else 'ok' end as outcome, count(*) as n from customer left join l on l.scope_id = cast(c_custkey as varchar) group by all""",
-    "first_backends": f"with {common_table('r', ATTEMPT, ATTEMPTS)} select id, case when coalesce(webgpu, false) then 'webgpu' when wasm then 'wasm' when cpu then 'cpu' end as backend from r",
+    "first_backends": f"with {dealt_table('r', ATTEMPT, ATTEMPTS)} select id, case when coalesce(webgpu, false) then 'webgpu' when wasm then 'wasm' when cpu then 'cpu' end as backend from r",
     "region_results": """
         with r as (select l_orderkey, l_returnflag = 'R' as face, case when l_linestatus = 'O' then 'ok' when l_linenumber > 5 then 'unavailable' else 'empty' end as status, l_linenumber - 1 as items, l_partkey % 11 = 0 as synthetic from lineitem)
         select l_orderkey, count(*) as results, cast(sum(items) as bigint) as items, bool_or(face and items > 0) as any_face, bool_and(not synthetic and status in ('ok', 'empty')) as all_covered, bool_or(status = 'unavailable') as any_restricted from r group by l_orderkey""",

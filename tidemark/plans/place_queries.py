@@ -278,7 +278,10 @@ SQL = {
         with now as (select l_orderkey, min(l_returnflag) as doc, min(l_quantity) as obs from lineitem where l_linenumber = 1 group by l_orderkey)
         select l.l_orderkey, count(*) filter (where l_returnflag = doc and l_quantity = obs) as n_current, count(*) as n from lineitem l left join now using (l_orderkey) group by l.l_orderkey""",
     "frame_maps": f"""
-        with {common_table("r", "id bigint, code string, sx double, tx double, ty double", [(1, "ok", 1.0, 99.0, 95.0), (2, "ok", 1.0, 147.0, 143.0), (3, "missing_metadata", None, None, None), (4, "unsupported_transform", None, None, None), (5, "unsupported_transform", None, None, None), (6, "invalid_geometry", None, None, None), (7, "invalid_geometry", None, None, None), (8, "invalid_geometry", None, None, None), (9, "unsupported_transform", None, None, None)])} select * from r""",
+        with {common_table("r", "id bigint, code string, sx double, tx double, ty double", [(1, "ok", 1.0, 99.0, 95.0), (2, "ok", 1.0, 147.0, 143.0), (3, "missing_metadata", None, None, None), (4, "unsupported_transform", None, None, None), (5, "unsupported_transform", None, None, None), (6, "invalid_geometry", None, None, None), (7, "invalid_geometry", None, None, None), (8, "invalid_geometry", None, None, None), (9, "unsupported_transform", None, None, None)])},
+        -- a chain's origins move by the user's number, the outer frame of the second one is twice as large
+        e as (select event_id, user_id * case event_id % 9 when 0 then 1 when 1 then 3 end as moved, event_id % 9 + 1 as case_no from events)
+        select event_id as id, code, sx, tx + moved as tx, ty + moved as ty from e join r on r.id = case_no""",
     "simple_frames": f"""
         with {dealt_table("r", LINK, LINKS, **_LINKS_FROM)}, a as (select * from r where pos = 0), b as (select * from r where pos = 1), c as (select a.id, b.id is null or (a.parent = b.child and a.child <> b.child) as good, a.a * coalesce(b.a, 1) as sx, a.origin * coalesce(b.a, 1) + coalesce(b.origin, 0) as tx, a.scroll * coalesce(b.a, 1) + coalesce(b.scroll, 0) as ty from a left join b on a.id = b.id)
         select id, case when good then sx end as sx, case when good then tx end as tx, case when good then ty end as ty from c""",
