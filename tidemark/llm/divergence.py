@@ -270,7 +270,10 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, lang_co
     blocks = kept.select("lang", "block").distinct()
     asked = staged(each.join(whole, "lang").join(blocks, "lang", "left").select("lang", F.coalesce("block", F.lit(-1)).alias("block"), "source", "total", "lang_total", F.coalesce("v", F.lit(0)).alias("v")), "divergence-groups")
     parts = kept.select("lang", "block", "term", "sources", "ns").groupBy("lang", "block").cogroup(asked.groupBy("lang", "block")).applyInArrow(_distances(top, cells), "part string, lang string, source string, item string, value bigint")
-    # a pair has a row for each block, a term is in one block only
-    summed = parts.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    ranked = summed.withColumn("rank", F.row_number().over(W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= top)).select("lang", "source", "part", "item", "value", "rank")
+    parts = staged(parts, "divergence-parts")
+    rank = F.row_number().over(W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
+    # a pair has a row for each block; a term is in one block only, and tasks keep their own best before they are dealt
+    pairs = parts.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", rank)
+    terms = parts.where("part = 'term'").withColumn("rank", rank).where(F.col("rank") <= top)
+    columns = ["lang", "source", "part", "item", "value", "rank"]
+    return pairs.select(*columns).unionByName(terms.select(*columns))
