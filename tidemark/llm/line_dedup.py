@@ -17,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ FEW = 4
 COUNTERS = 1 << 20
 DOCS_PER_OWNER = 2_000
 #: 64-bit words of a set's bitmap. Long lines fill a short bitmap, and a full one tells nothing.
-BITMAP = 2
+BITMAP = 4
 #: A set on one of so many lines, or more of them, counts as common.
 COMMON_LINES = 4096
 CHUNK_BYTES = 3_000_000
@@ -42,6 +43,8 @@ NUMBERED_DDL = "doc_id bigint, text_key bigint, sigs array<bigint>"
 #: A message goes to an owner (shard >= 0) with index rows, or passes it by with its block's documents.
 MESSAGE = pa.schema([("shard", pa.int64()), *((k, pa.binary()) for k, _ in POSTING), ("docs", pa.list_(pa.struct(NUMBERED)))])
 MESSAGE_DDL = "shard bigint, " + ", ".join(f"{k} binary" for k, _ in POSTING) + f", docs array<struct<{NUMBERED_DDL.replace(' ', ': ', 1).replace(', text_key ', ', text_key: ').replace(', sigs ', ', sigs: ')}>>"
+#: One of each for a worker: making them costs more than packing a message.
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 PAIR = ["sig", "doc", "line", "other", "other_doc", "other_line", "token", "size"]
 FOUND = pa.schema([*((k, pa.int64()) for k in PAIR), ("more", pa.bool_()), ("bits", pa.list_(pa.int64())), *NUMBERED])
 FOUND_DDL = ", ".join(f"{k} bigint" for k in PAIR) + ", more boolean, bits array<bigint>, " + NUMBERED_DDL
@@ -136,8 +139,12 @@ def _postings(indexed, of: np.ndarray, number: np.ndarray, ids: np.ndarray, thre
 
 
 def _packing(column: str):
-    """How a column's numbers are written and read: words, signatures and bitmaps are random bits, the high bytes of the others mostly zero."""
-    return (planes, from_planes) if column in ("size", "pos", "doc", "line") else (bytes, np.frombuffer)
+    """How a column's numbers are written and read: words and signatures are random bits, the high bytes of others mostly zero, and bitmaps hold few bits."""
+    if column in ("token", "sig"):
+        return bytes, np.frombuffer
+    if column in ("size", "pos", "doc", "line"):
+        return planes, from_planes
+    return (lambda x: _PACK.compress(planes(x))), (lambda x, kind: from_planes(_UNPACK.decompress(x), kind))
 
 
 def _shards_out(rows: dict[str, np.ndarray], shards: int) -> pa.RecordBatch:
