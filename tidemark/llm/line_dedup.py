@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import free_name, from_planes, give_back, mix64, planes, shuffle_width, staged
+from tidemark.llm.shared import drop_shuffles, free_name, from_planes, give_back, mix64, planes, shuffle_width, staged
 from tidemark.llm.tokens import chunks_of_text
 from tidemark.llm.wordkeys import line_word_keys, word_keys
 
@@ -339,6 +339,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     found = staged(rows.mapInArrow(post, MESSAGE_DDL).groupBy("shard").applyInArrow(_candidates(threshold, tries), FOUND_DDL), "line-pairs")
+    drop_shuffles(spark)  # the index rows: they are the largest there are, and stand in the written table
     numbered = found.where("sigs is not null").groupBy("doc_id", "text_key").agg(F.first("sigs").alias("sigs"), F.count("*").alias("times"))
     pairs = found.where("other is not null")
     matched = staged(_verified(docs, pairs.select("sig", "doc", "line", "other", "other_doc", "other_line").distinct(), threshold), "line-matches")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -61,6 +62,12 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(f"tidemark_{unique}")
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: shuffle files of plans that nothing refers to any more are deleted then, and not before."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have yet, whatever its case."""
     taken = {c.lower() for c in df.columns}
