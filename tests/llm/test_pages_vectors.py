@@ -100,6 +100,18 @@ def test_repeated_query_ids_ask_once_with_the_least_vector(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"])] == [(0, 1, 1), (0, 2, 2)]
 
 
+def test_crowded_and_shifted_vectors_are_all_found(spark):
+    rng = np.random.default_rng(5)
+    crowd = rng.standard_normal(24) + 1e-3 * rng.standard_normal((900, 24))
+    shifted = 40 + rng.standard_normal((900, 24))
+    few = 1e-6 * rng.standard_normal((60, 24)) - np.eye(24)[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.permutation(np.concatenate([crowd, shifted, few, 3 * crowd[:90]])))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 50 == 0, block_rows=700, slice_rows=20).collect()}
+    want = {(q, v) for q, _, v, _ in brute(rows, 5)}
+    assert len(got) == len(want) and len(got & want) / len(want) > 0.99
+
+
 def test_recall_of_the_query(spark):
     found = queries.op10_nearest_neighbours(spark, "/root/testdata/sf0.1").collect()
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()

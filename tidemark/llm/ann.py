@@ -4,11 +4,11 @@ For the largest inner products, the part of a vector's quantisation error that i
 vector costs more than the rest. Vectors of unit length are product-quantised to four bits for each
 pair of dimensions, under a loss that weighs the parallel error by ETA; both the codes and the
 codebooks are chosen for that loss. A search scans the codes through a query's table of 16 partial
-products a subspace, then ranks the best ones by the exact cosine.
+products a subspace, computes the exact cosine of the best ones, then that of every row that its code's
+errors along and across the vector don't rule out: what is found doesn't hang on how well the codebooks fit.
 
-Copies of a vector are one row of the index, with the smallest of their ids. Blocks of codes and slices of
-queries meet in tasks: a code is a few bytes, and only these are sent to each slice. The vectors themselves
-move once, to the few candidates that a query has left, by a join on the row's number.
+Copies of a vector are one row of the index, with the smallest of their ids. Blocks of the index and slices of
+queries meet in tasks, each of which hands on a query's k nearest.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ from tidemark.llm.shared import staged
 CODES = 16
 THRESHOLD = 0.2
 SAMPLE = 8192
-BLOCK_ROWS = 16_384
-#: A query keeps this many candidates for the exact ranking, times the fourth root of the number of vectors; LEAST_RERANK at least.
-RERANK, LEAST_RERANK = 8.5, 64
+BLOCK_ROWS, SLICE_ROWS, QUERIES_AT_ONCE = 16_384, 8192, 128
+#: Rows of a block whose cosines a query computes before the bounds; they decide the time alone.
+FIRST = 32
+#: More than the sums of codes in single precision can be off.
+SLACK = 1e-4
 
 
 @dataclass
@@ -44,6 +46,9 @@ class Quantiser:
         padded[:, : self.dims] = unit
         return padded.reshape(len(unit), -1, self.width)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return self.books[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)[:, : self.dims]
+
     def encode(self, unit: np.ndarray, rounds: int = 3) -> np.ndarray:
         """The code of each subspace; coordinate descent on the whole vector's loss."""
         parts = self.split(unit)
@@ -118,7 +123,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def build_index(vectors: DataFrame, copies: int, sample: int = SAMPLE) -> tuple[DataFrame, Quantiser | None, int]:
-    """The coded rows ``(number, vec, ids, code)``, one for each different vector, the quantiser and the number of rows.
+    """The coded rows ``(number, vec, ids, code, along, across)``, one for each different vector, the quantiser and the number of rows.
 
     ids are the ``copies`` smallest ids of the vector. The quantiser is fitted on about ``sample`` rows, chosen
     by a hash of the vector, and at most twice as many; every row is coded. Rows whose dimension is not the one that most rows have take
@@ -144,62 +149,97 @@ def build_index(vectors: DataFrame, copies: int, sample: int = SAMPLE) -> tuple[
         q = held.value
         for b in batches:
             x = _matrix(b.column(1), dims)
-            codes = q.encode(x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.uint8)
+            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+            codes = q.encode(unit).astype(np.uint8)
+            along, across = _bounds(unit, q.decode(codes))
             even = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
             packed = even[:, ::2] | even[:, 1::2] << 4
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in packed], pa.binary())], names=["number", "vec", "ids", "code"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(along), pa.array(across)], names=["number", "vec", "ids", "code", "along", "across"])
+
+    return staged(rows.mapInArrow(encode, "number bigint, vec array<double>, ids array<bigint>, code binary, along double, across double"), "ann-index"), quantiser, n
+
+
+def _bounds(unit: np.ndarray, decoded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a code loses of each unit vector: the error along the vector, and the length of the error across it."""
+    error = unit - decoded
+    along = (error * unit).sum(1)
+    return along, np.sqrt(((error - along[:, None] * unit) ** 2).sum(1))
 
-    return staged(rows.mapInArrow(encode, "number bigint, vec array<double>, ids array<bigint>, code binary"), "ann-index"), quantiser, n
 
+def _best(ids: list, scores: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
+    """The ``k`` nearest different ids of some rows, without ``own``; ties go to the smaller id. An id with several vectors counts by its nearest."""
+    found: dict[int, float] = {}
+    order = np.argsort(-scores, kind="stable")
+    at = 0
+    while at < len(order) and len(found) < k:
+        end = at + 1
+        while end < len(order) and scores[order[end]] == scores[order[at]]:
+            end += 1
+        for i in sorted({i for row in order[at:end] for i in ids[row]}):
+            if i != own and len(found) < k:
+                found.setdefault(i, float(scores[order[at]]))
+        at = end
+    return list(found.items())
 
-def _searcher(quantiser: Quantiser, rerank: int):
-    """One block of codes for one slice of queries: the ``rerank`` rows whose codes promise the largest products."""
-    schema = pa.schema([("query", pa.int64()), ("number", pa.int64()), ("guess", pa.float32())])
+
+def _searcher(quantiser: Quantiser, k: int, first: int):
+    """One block of codes for one slice of queries: the ``k`` nearest ids in the block, by exact cosine.
+
+    The ``first`` rows by the codes give a cosine t that k ids reach. Let a row x have the code's product g, its
+    error a along x and p across it: a cosine c with q keeps |(1 - a) c - g| <= p sqrt(1 - c*c), so that a row with
+    g + p sqrt(1 - t*t) < (1 - a) t lies below t. All other rows are computed, too: no row is left out by its estimate.
+    """
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         if not data.num_rows or not queries.num_rows:
             return schema.empty_table()
-        n_books, numbers = len(quantiser.books), data["number"].to_numpy()
-        packed = np.frombuffer(b"".join(data["code"].to_pylist()), np.uint8).reshape(len(numbers), -1)
-        codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(numbers), -1)[:, :n_books]
+        n_books, n = len(quantiser.books), data.num_rows
+        packed = np.frombuffer(b"".join(data["code"].to_pylist()), np.uint8).reshape(n, -1)
+        codes = np.ascontiguousarray(np.stack([packed & 15, packed >> 4], axis=2).reshape(n, -1)[:, :n_books].T)
+        x, ids = _matrix(data["vec"], quantiser.dims), data["ids"].to_pylist()
+        lengths, along, across = np.sqrt((x * x).sum(1)), data["along"].to_numpy(), data["across"].to_numpy()
         asked, q = queries["query"].to_numpy(), _matrix(queries["vec"], quantiser.dims)
-        tables = np.einsum("qsw,scw->sqc", quantiser.split(q / np.sqrt((q * q).sum(1, keepdims=True))), quantiser.books).astype(np.float32)
-        out, take = [], min(rerank, len(numbers))
-        for at in range(0, len(q), 128):
-            some = tables[:, at : at + 128]
-            sums = np.zeros((some.shape[1], len(numbers)), dtype=np.float32)
-            for s in range(n_books):
-                sums += some[s][:, codes[:, s]]
-            best = np.argpartition(-sums, take - 1, axis=1)[:, :take] if take < len(numbers) else np.broadcast_to(np.arange(len(numbers)), sums.shape)
-            out.append((np.repeat(asked[at : at + 128], take), numbers[best].ravel(), np.take_along_axis(sums, best, axis=1).ravel()))
-        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
-
-    return run
+        out, take = [], min(first, n)
 
+        def cosines(some: np.ndarray, one: np.ndarray) -> np.ndarray:
+            return (x[some] * one).sum(1) / (lengths[some] * np.sqrt((one * one).sum()))
 
-def _exact(dims: int):
-    """The cosine of each candidate in double precision, for each of its copies."""
-
-    def run(batches):
-        for b in batches:
-            q, x = _matrix(b.column(1), dims), _matrix(b.column(2), dims)
-            score = (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(score)], names=["query_id", "ids", "score"])
+        for at in range(0, len(q), QUERIES_AT_ONCE):
+            some = q[at : at + QUERIES_AT_ONCE]
+            tables = np.einsum("qsw,scw->sqc", quantiser.split(some / np.sqrt((some * some).sum(1, keepdims=True))), quantiser.books).astype(np.float32)
+            sums = np.zeros((len(some), n), dtype=np.float32)
+            for s in range(n_books):
+                sums += tables[s][:, codes[s]]
+            near = np.argpartition(-sums, take - 1, axis=1)[:, :take] if take < n else np.broadcast_to(np.arange(n), sums.shape)
+            for one, own, guess, rows in zip(some, asked[at : at + QUERIES_AT_ONCE].tolist(), sums, near):
+                scores = cosines(rows, one)
+                best = _best([ids[r] for r in rows], scores, own, k)
+                if take < n:
+                    t = best[-1][1] if len(best) == k else -np.inf
+                    # the root falls with t from 0 on; below that it is 1 at most
+                    open_ = guess + across * math.sqrt(1 - min(max(t, 0.0), 1.0) ** 2) + along * t >= t - SLACK if np.isfinite(t) else np.ones(n, bool)
+                    open_[rows] = False
+                    rest = np.flatnonzero(open_)
+                    more = cosines(rest, one)
+                    rest, more = rest[more >= t], more[more >= t]
+                    best = _best([ids[r] for r in rows] + [ids[r] for r in rest], np.concatenate([scores, more]), own, k)
+                out.extend((own, i, score) for i, score in best)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int | None = None, block_rows: int = BLOCK_ROWS, slice_rows: int = 2048) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each query row, by cosine.
+def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", first: int = FIRST, block_rows: int = BLOCK_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the ``k`` nearest of each query row, by cosine.
 
     Queries are the usable rows where ``is_query``, a condition on ``vec_id``, holds; candidates are
-    all usable rows but those with the query's id. The codes go in blocks, queries in slices; each block
-    is scanned for each slice by one task. Of all blocks' finds a query keeps the ``rerank`` different vectors of
-    the largest estimates for the exact cosine in double precision; see RERANK. Ties go to the smaller id. Defined
-    results: null, empty, zero and non-finite vectors, null ids and vectors of a rare dimension take no
+    all usable rows but those with the query's id. The index goes in blocks, queries in slices; each block
+    is scanned for each slice by one task, which computes the exact cosine in double precision of ``first`` rows and of
+    all rows that their codes can't rule out: ``first`` and the codebooks decide the time, never the result. Ties go to the
+    smaller id. Defined results: null, empty, zero and non-finite vectors, null ids and vectors of a rare dimension take no
     part; an id that several query rows have asks once, with the least of their vectors; fewer candidates than
-    ``k`` are all returned; an empty table gives no rows; other columns are ignored. Whole groups of equal
-    estimates beyond ``rerank`` may be left out, as for any estimate.
+    ``k`` are all returned; an empty table gives no rows; other columns are ignored.
     """
     found = usable(vectors, id_col, vector_col)
     index, quantiser, n = build_index(found, k + 1)
@@ -207,16 +247,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         return index.select(F.col("number").alias("query_id"), F.lit(1).alias("rank"), F.col("number").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
     queries = found.where(is_query).where(F.size("vec") == quantiser.dims).groupBy(F.col("vec_id").alias("query")).agg(F.min("vec").alias("vec"))
     queries = staged(queries, "ann-queries")
-    rerank = rerank or max(LEAST_RERANK, math.ceil(RERANK * n**0.25))
     blocks, slices = max(1, -(-n // block_rows)), max(1, -(-queries.count() // slice_rows))
     dealt = lambda c, m, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(m))
-    data = index.select("number", "code", dealt("number", blocks, "block").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    data = index.select("vec", "ids", "code", "along", "across", dealt("number", blocks, "block").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
     asked = queries.select("query", "vec", dealt("query", slices, "slice").cast("int").alias("slice"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
-    guessed = data.groupBy("block", "slice").cogroup(asked.groupBy("block", "slice")).applyInArrow(_searcher(quantiser, rerank), "query bigint, number bigint, guess float")
-    nearest = W.partitionBy("query").orderBy(F.desc("guess"), "number")
-    kept = guessed.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= rerank).select("query", "number")
-    both = kept.join(index.select("number", F.col("vec").alias("x"), "ids"), "number").join(queries, "query").select(F.col("query").alias("query_id"), "vec", "x", "ids")
-    scored = both.mapInArrow(_exact(quantiser.dims), "query_id bigint, ids array<bigint>, score double").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    scored = data.groupBy("block", "slice").cogroup(asked.groupBy("block", "slice")).applyInArrow(_searcher(quantiser, k, first), "query_id bigint, vec_id bigint, score double")
     # an id with several vectors counts by its nearest
     scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
