@@ -126,3 +126,15 @@ def test_unknown_names(spark):
     schema["definitions"].clear()
     assert C.json_schema("Action")["definitions"]
     assert len(C.MESSAGES) == 11 and not spark.range(1).select(C.is_message("Element", F.lit("{}"))).first()[0]
+
+
+def test_element_ids_cost_no_more_than_their_depth(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import messages, validation
+
+    assert len(messages.element_ids(F.col("v"), depth=6)._jc.toString()) < 20_000
+    deep = '{"a":[{"target":"e1","b":{"c":{"d":{"targets":["e3",4,"e2"],"element":7,"e":{"f":{"g":{"appear":"e9"}}}}}}}]}'
+    df = spark.createDataFrame([(1, deep), (2, "no json"), (3, None), (4, "5")], "id bigint, raw string").withColumn("v", validation.parsed(F.col("raw")))
+    got = {r["id"]: (r["six"], r["ten"]) for r in df.select("id", messages.element_ids(F.col("v")).alias("six"), messages.element_ids(F.col("v"), depth=10).alias("ten")).collect()}
+    assert got == {1: (["e1", "e2", "e3"], ["e1", "e2", "e3", "e9"]), 2: ([], []), 3: ([], []), 4: ([], [])}

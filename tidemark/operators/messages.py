@@ -148,16 +148,22 @@ def element_ids(command: Column, keys: tuple[str, ...] = ("target", "to_element"
 
     A key that names an element is not searched any deeper when it holds a string, nor a list of them.
     """
-    found = F.array().cast("array<string>")
-    level = F.array(command)
-    for _ in range(depth):
-        maps = F.filter(F.transform(level, lambda v: F.try_variant_get(v, "$", "map<string,variant>")), lambda m: m.isNotNull())
-        entries = F.flatten(F.transform(maps, F.map_entries))
-        inner = F.flatten(F.filter(F.transform(level, lambda v: F.try_variant_get(v, "$", "array<variant>")), lambda a: a.isNotNull()))
-        named = F.filter(entries, lambda e: e["key"].isin(*keys) & is_text(e["value"]))
-        listed = F.filter(entries, lambda e: e["key"].isin(*lists) & _is(e["value"], "^ARRAY<"))
-        several = F.flatten(F.transform(listed, lambda e: F.try_variant_get(e["value"], "$", "array<variant>")))
-        found = F.concat(found, F.transform(named, lambda e: text(e["value"])), F.transform(F.filter(several, is_text), text))
-        deeper = F.filter(entries, lambda e: ~(e["key"].isin(*keys) & is_text(e["value"])) & ~(e["key"].isin(*lists) & _is(e["value"], "^ARRAY<")))
-        level = F.concat(F.transform(deeper, lambda e: e["value"]), inner)
-    return F.array_sort(F.array_distinct(found))
+    names = lambda e: e["key"].isin(*keys) & is_text(e["value"])
+    listed = lambda e: e["key"].isin(*lists) & _is(e["value"], "^ARRAY<")
+
+    def next_level(held: Column) -> Column:
+        # a level is looked at several times, so it is held as a lambda's argument and not written out again
+        maps = F.filter(F.transform(held["level"], lambda v: F.try_variant_get(v, "$", "map<string,variant>")), lambda m: m.isNotNull())
+        entries = F.transform(F.flatten(F.transform(maps, F.map_entries)), lambda e: F.struct(e["value"].alias("value"), F.when(names(e), "names").when(listed(e), "lists").otherwise("other").alias("sort")))
+        inner = F.flatten(F.filter(F.transform(held["level"], lambda v: F.try_variant_get(v, "$", "array<variant>")), lambda a: a.isNotNull()))
+
+        def sorted_out(es: Column) -> Column:
+            of = lambda sort: F.transform(F.filter(es, lambda e: e["sort"] == sort), lambda e: e["value"])
+            several = F.flatten(F.transform(of("lists"), lambda v: F.try_variant_get(v, "$", "array<variant>")))
+            return F.struct(F.concat(of("other"), inner).alias("level"), F.concat(held["found"], F.transform(of("names"), text), F.transform(F.filter(several, is_text), text)).alias("found"))
+
+        return F.get(F.transform(F.array(entries), sorted_out), F.lit(0))
+
+    start = F.struct(F.array(command).alias("level"), F.array().cast("array<string>").alias("found"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, lambda held, _: F.when(F.size(held["level"]) > 0, next_level(held)).otherwise(held), lambda held: held["found"])
+    return F.array_sort(F.array_distinct(walked))
