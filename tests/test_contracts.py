@@ -138,3 +138,23 @@ def test_element_ids_cost_no_more_than_their_depth(spark):
     df = spark.createDataFrame([(1, deep), (2, "no json"), (3, None), (4, "5")], "id bigint, raw string").withColumn("v", validation.parsed(F.col("raw")))
     got = {r["id"]: (r["six"], r["ten"]) for r in df.select("id", messages.element_ids(F.col("v")).alias("six"), messages.element_ids(F.col("v"), depth=10).alias("ten")).collect()}
     assert got == {1: (["e1", "e2", "e3"], ["e1", "e2", "e3", "e9"]), 2: ([], []), 3: ([], []), 4: ([], [])}
+
+
+def test_long_messages_keep_their_verdicts(spark):
+    texts = ['{"\\' * 1300 + "é"] * 50
+    screen = next(v for m, v in GOOD if m == "ScreenState")
+    element = screen["elements"][0]
+    long = [screen | {"text_context": texts}, screen | {"elements": [element | {"name": '{"\\"' * 200}] * 300}, screen | {"elements": [element] * 3000}, {"protocol": "9"} | screen | {"protocol": "9", "elements": [element] * 3000}]
+    rows = [(i, "ScreenState", json.dumps(v)) for i, v in enumerate(long)]
+    rows += [(4, "ScreenState", rows[2][2][:-1])]
+    assert all(len(b) > C.HEAD for _, _, b in rows)
+    df = spark.createDataFrame(rows, "n int, message string, body string")
+    assert [r["n"] for r in C.valid_messages(df).orderBy("n").collect()] == [0, 1]
+    assert sorted((r["n"], r["reject_code"]) for r in C.refused_messages(df).collect()) == [(2, "invalid_request"), (3, "unsupported_version"), (4, "invalid_request")]
+
+
+def test_a_refused_body_is_made_once(spark, sf_dir):
+    from tidemark.plans import message_queries as q
+
+    made, refused = (df._jdf.queryExecution().optimizedPlan().toString().count("repeat(") for df in (q.messages(spark, sf_dir), q.message_rejects(spark, sf_dir)))
+    assert refused == made
