@@ -29,3 +29,8 @@ def test_names_count_references_as_the_sql_does(spark, differing):
     html = ["<h1>token = &quot;7702</h1>", "<h2>a&amp;&amp b &lt;i&gt; &amp;lt;</h2><a href=\"/?x=1&y=2\">&copy &#39;now&#x27; &am</a>", "<h3> &nbsp; </h3>", "<h1>&amp;quot;</h1><h2></h2>"]
     pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id bigint, url string, html string")
     assert differing("accessible_names", pages=pages) == 0
+
+
+def test_placeholders_have_no_bound(spark, differing):
+    docs = spark.range(900).selectExpr("id as doc_id", "case when id % 7 = 0 then null else concat('a', id % 600, '@b', id, '.com x@y.org') end as text", "case when id < 800 then 's' end as source")
+    assert differing("intern_placeholders", documents=docs) == 0

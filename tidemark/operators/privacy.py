@@ -37,10 +37,10 @@ def redacted_value(decision: Column, index: Column) -> Column:
     return F.when(decision["outcome"] == "clear", "").when(decision["outcome"] == "redacted", masked).otherwise(WITHHELD)
 
 
-def intern(values: DataFrame, scope: list[str], pii_class: str, value: str, order: list[str], entries: int = ENTRIES) -> DataFrame:
+def intern(values: DataFrame, scope: list[str], pii_class: str, value: str, order: list[str], entries: int | None = ENTRIES) -> DataFrame:
     """``(scope, class, value, first, entry, index, placeholder)``: one row per different class and value of a scope.
 
-    Values are numbered by first use, from 1 in each class. A scope holds ``entries`` values; later
+    Values are numbered by first use, from 1 in each class. A scope holds ``entries`` values (None: all); later
     ones have no placeholder (null), earlier ones keep theirs. Secrets share one literal and take no
     entry. Repeated values are grouped before any window, so a window sees distinct values only.
     """
@@ -48,7 +48,8 @@ def intern(values: DataFrame, scope: list[str], pii_class: str, value: str, orde
     entry = F.sum(F.when(F.col(pii_class) != "secret", 1).otherwise(0)).over(W.partitionBy(*scope).orderBy("first", pii_class, value).rowsBetween(W.unboundedPreceding, 0))
     index = F.row_number().over(W.partitionBy(*scope, pii_class).orderBy("first", value))
     out = first.withColumn("entry", entry.cast("bigint")).withColumn("index", index.cast("bigint"))
-    shown = F.when(F.col(pii_class) == "secret", SECRET).when(F.col("entry") <= entries, class_placeholder(F.col(pii_class), F.col("index")))
+    room = F.lit(True) if entries is None else F.col("entry") <= entries
+    shown = F.when(F.col(pii_class) == "secret", SECRET).when(room, class_placeholder(F.col(pii_class), F.col("index")))
     return out.withColumn("placeholder", shown)
 
 
