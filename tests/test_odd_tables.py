@@ -34,3 +34,7 @@ def test_names_count_references_as_the_sql_does(spark, differing):
 def test_placeholders_have_no_bound(spark, differing):
     docs = spark.range(900).selectExpr("id as doc_id", "case when id % 7 = 0 then null else concat('a', id % 600, '@b', id, '.com x@y.org') end as text", "case when id < 800 then 's' end as source")
     assert differing("intern_placeholders", documents=docs) == 0
+
+
+def test_loops_stay_loops_beside_other_chains(spark, differing):
+    assert differing("context_chains", events=spark.range(40_000).selectExpr("id as event_id")) == 0

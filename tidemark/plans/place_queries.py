@@ -121,7 +121,9 @@ def contexts_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as frames, each in the one before it: chains of 5,000, some broken somewhere, every third closed to a loop, and frames beside them."""
     e = table(spark, sf_dir, "events")
-    parent = F.when(F.col("event_id") % 5000 == 0, F.when(F.floor(F.col("event_id") / 5000) % 3 == 2, F.col("event_id") + 4999)).when(F.col("event_id") % 7 == 6, F.col("event_id") - 6).otherwise(F.col("event_id") - 1)
+    leaves = 6 - F.col("event_id") % 7  # so far behind a chain's first frame may stand one that hangs on the chain before: the loop closes ahead of it
+    last = F.col("event_id") + F.when(leaves.between(1, 5), leaves - 1).otherwise(4999)
+    parent = F.when(F.col("event_id") % 5000 == 0, F.when(F.floor(F.col("event_id") / 5000) % 3 == 2, last)).when(F.col("event_id") % 7 == 6, F.col("event_id") - 6).otherwise(F.col("event_id") - 1)
     contexts = e.select(F.col("event_id").alias("ctx"), parent.alias("parent"), (F.col("event_id") % 3989 != 3988).alias("attached"))
     return registry.current_contexts(contexts, "ctx", "parent", "attached").select("ctx")
 
