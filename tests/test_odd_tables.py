@@ -38,3 +38,13 @@ def test_placeholders_have_no_bound(spark, differing):
 
 def test_loops_stay_loops_beside_other_chains(spark, differing):
     assert differing("context_chains", events=spark.range(40_000).selectExpr("id as event_id")) == 0
+
+
+@pytest.mark.parametrize("name", ["closed_sessions", "coalesced_frames"])
+def test_a_streams_rows_are_written_by_many_tasks(spark, tmp_path, monkeypatch, name):
+    from tidemark.plans import stream_queries
+
+    spark.range(0, 400, 1, 4).selectExpr("id as event_id", "id % 9 as user_id", "timestamp_seconds(id * 7919) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(stream_queries, "shared_folder", lambda _, folder: f"{tmp_path}/{folder}")
+    assert __spark_entry__.queries()[name](spark, str(tmp_path)).count() > 0
+    assert len(list(tmp_path.glob("*/rows/part-*.parquet"))) > 2

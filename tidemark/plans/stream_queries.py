@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.contract_queries import _OPERATIONS, _operations
-from tidemark.sources.tables import shared_folder, table
+from tidemark.sources.tables import shared_folder, table, written
 from tidemark.streaming import hosts, incremental, runs, session_store, state
 
 TTL_SECONDS = 2 * 24 * 3600
@@ -21,8 +21,7 @@ SLICES = 3
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     operations = _operations(spark, sf_dir).select("user_id", "ts", "event_id", "op", "action_id")
     folder = shared_folder(spark, "session-store")
-    runs.in_slices(operations, "ts", SLICES, f"{folder}/operations")
-    told = runs.finished(spark, f"{folder}/operations", session_store.OPERATIONS, lambda s: session_store.sessions(s, TTL_SECONDS), folder)
+    told = runs.one_by_one(spark, runs.stretches(written(operations, "operations"), "ts", SLICES), session_store.OPERATIONS, lambda s: session_store.sessions(s, TTL_SECONDS), folder)
     return told, folder
 
 
@@ -110,10 +109,9 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "incremental")
-    records = page_records(spark, sf_dir)
-    for first, last in ((0, 1), (2, 2), (3, BATCHES + 1)):  # batch by batch, the first two and the last ones together
-        records.where(F.col("batch").between(first, last)).coalesce(1).write.mode("append").parquet(f"{folder}/records")
-    return runs.finished(spark, f"{folder}/records", incremental.RECORDS, lambda s: incremental.observations(s, max_records=64, reconcile_every=RECONCILE), folder)
+    records = written(page_records(spark, sf_dir), "page-records")
+    parts = (records.where(F.col("batch").between(first, last)) for first, last in ((0, 1), (2, 2), (3, BATCHES + 1)))  # batch by batch, the first two and the last ones together
+    return runs.one_by_one(spark, parts, incremental.RECORDS, lambda s: incremental.observations(s, max_records=64, reconcile_every=RECONCILE), folder)
 
 
 def incremental_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,9 +191,7 @@ def _micros(found: DataFrame, *columns: str) -> DataFrame:
 
 
 def _in_time(spark: SparkSession, rows: DataFrame, schema: str, name: str, of: Callable[[DataFrame], DataFrame], slices: int = 2) -> DataFrame:
-    folder = shared_folder(spark, name)
-    runs.in_slices(rows, "ts", slices, f"{folder}/rows")
-    return runs.finished(spark, f"{folder}/rows", schema, of, folder)
+    return runs.one_by_one(spark, runs.stretches(rows, "ts", slices), schema, of, shared_folder(spark, name))
 
 
 def idle_unloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,9 +206,8 @@ def coalesced_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as requests for frames of two hours. Every fiftieth comes to a second run of the stream, when its frame has been served."""
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     folder = shared_folder(spark, "frames")
-    for late in (False, True):
-        rows.where((F.col("event_id") % 50 == 7) == late).coalesce(1).write.mode("append").parquet(f"{folder}/rows")
-        served = runs.finished(spark, f"{folder}/rows", "user_id bigint, ts timestamp, event_id bigint", lambda s: hosts.coalesced_frames(s, FRAME), folder)
+    parts = (rows.where((F.col("event_id") % 50 == 7) == late) for late in (False, True))
+    served = runs.one_by_one(spark, parts, "user_id bigint, ts timestamp, event_id bigint", lambda s: hosts.coalesced_frames(s, FRAME), folder)
     return _micros(served, "frame")
 
 
@@ -229,10 +224,9 @@ def correlated_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     answered = e.where("event_id % 3 > 0").select(F.col("event_id").alias("id"), (F.col("user_id") + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).alias("peer"), (F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 90)).alias("answered"))
     answered = answered.unionByName(answered.where("id % 5 = 0"))
     folder = shared_folder(spark, "replies")
-    asked.coalesce(1).write.parquet(f"{folder}/asked")
-    answered.coalesce(1).write.parquet(f"{folder}/answered")
+    answered.write.parquet(f"{folder}/answered")
     other = lambda: spark.readStream.schema("id bigint, peer bigint, answered timestamp").parquet(f"{folder}/answered")
-    found = runs.finished(spark, f"{folder}/asked", "id bigint, peer bigint, asked timestamp", lambda s: state.matched_replies(s, other(), "60 seconds"), folder)
+    found = runs.one_by_one(spark, [asked], "id bigint, peer bigint, asked timestamp", lambda s: state.matched_replies(s, other(), "60 seconds"), folder)
     return _micros(found.select("id", "peer", "asked", "answered"), "asked", "answered")
 
 
