@@ -48,3 +48,8 @@ def test_a_streams_rows_are_written_by_many_tasks(spark, tmp_path, monkeypatch,
     monkeypatch.setattr(stream_queries, "shared_folder", lambda _, folder: f"{tmp_path}/{folder}")
     assert __spark_entry__.queries()[name](spark, str(tmp_path)).count() > 0
     assert len(list(tmp_path.glob("*/rows/part-*.parquet"))) > 2
+
+
+@pytest.mark.parametrize("name", ["history_decode"])
+def test_one_file_gives_more_than_one_task(spark, sf_dir, name):
+    assert __spark_entry__.queries()[name](spark, sf_dir).rdd.getNumPartitions() > 1

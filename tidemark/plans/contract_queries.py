@@ -11,7 +11,7 @@ from tidemark.operators import catalog, messages, privacy, sessions, store, vali
 from tidemark.operators.models import first_working
 from tidemark.plans import planner, prompts
 from tidemark.sources.inline import common_table, dealt, dealt_table, frame
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 PAYLOAD = "id bigint, operation string, direction string, payload string"
 PAYLOADS = [
@@ -104,7 +104,7 @@ HISTORIES = [
 
 def history_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stored memory: whether its list can be read, how many steps it has if every one is right, and the last outcome."""
-    told = dealt(table(spark, sf_dir, "events"), HISTORY, HISTORIES).withColumn("h", store.decoded(F.col("raw")))
+    told = dealt(spread(table(spark, sf_dir, "events"), "event_id"), HISTORY, HISTORIES).withColumn("h", store.decoded(F.col("raw")))
     last = F.element_at("h", -1)
     return told.select("id", store.entries(F.col("raw")).isNotNull().alias("listed"), F.when(F.col("h").isNotNull(), F.size("h")).cast("bigint").alias("steps"), F.when(F.size("h") > 0, prompts.outcome(last["result"])).alias("outcome"), store.stored(F.col("h")).alias("stored"))
 
