@@ -50,6 +50,6 @@ def test_a_streams_rows_are_written_by_many_tasks(spark, tmp_path, monkeypatch,
     assert len(list(tmp_path.glob("*/rows/part-*.parquet"))) > 2
 
 
-@pytest.mark.parametrize("name", ["history_decode"])
+@pytest.mark.parametrize("name", ["history_decode", "command_lines"])
 def test_one_file_gives_more_than_one_task(spark, sf_dir, name):
     assert __spark_entry__.queries()[name](spark, sf_dir).rdd.getNumPartitions() > 1

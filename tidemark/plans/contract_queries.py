@@ -186,7 +186,7 @@ _NAMING_OF = "'{\"type\":\"annotate\",\"targets\":[\"e' || cast(user_id as varch
 
 
 def _commands(spark, sf_dir, expression: str):
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(expression).alias("raw"))
+    return spread(table(spark, sf_dir, "events"), "event_id").select(F.col("event_id").alias("id"), F.expr(expression).alias("raw"))
 
 
 def command_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
