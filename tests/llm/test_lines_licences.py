@@ -4,7 +4,9 @@ import math
 import random
 import re
 import textwrap
+import time
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -75,6 +77,39 @@ def test_texts_without_their_duplicate_lines(docs_of, edge_rows):
     assert line_dedup.without_duplicate_lines(docs.limit(0)).count() == 0
 
 
+def test_written_tables_leave_no_shuffle_files_and_texts_are_not_moved(spark, docs_of, monkeypatch):
+    """The index rows' files must go once their table is written; the lines to verify are found without moving the texts."""
+    dirs = [Path(d.getPath()) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for f in d.rglob("shuffle_*")}
+    plain, left, plans = line_dedup.staged, {}, {}
+
+    def staged(df, name, **options):
+        plans[name], before = df._jdf.queryExecution().executedPlan().toString(), files()
+        out, ends = plain(df, name, **options), time.time() + 5
+        while files() - before and time.time() < ends:  # Spark deletes them in the background
+            time.sleep(0.1)
+        left[name] = len(files() - before)
+        return out
+
+    monkeypatch.setattr(line_dedup, "staged", staged)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    assert any(r["dropped"] for r in line_dedup.duplicate_lines(docs_of(made(40)), tries=1).collect())
+    assert left["line-pairs"] == 0 and set(left.values()) == {0} and spark.conf.get(setting) == was
+    assert "Join" not in plans["line-sets"] and "Join" in plans["line-firsts"]
+
+
+def test_lines_that_share_a_mark_by_chance_change_nothing(docs_of, monkeypatch):
+    rows = made(60, seed=5) + [(1, "a b c d e"), (1, "p q r s t\nu v w x y z"), (2, "a b c d e f"), (3, "u v w x y z zz\nq")]
+    want = sorted((i, n, gone) for (i, n), gone in brute_lines(rows).items())
+    for most in (64, line_dedup.MOST_MARKS):  # so few that every line is marked
+        monkeypatch.setattr(line_dedup, "MOST_MARKS", most)
+        docs = docs_of(rows)
+        found = line_dedup.duplicate_lines(docs).join(docs.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("k"), F.length("text").alias("size")), F.expr("doc_id = i and text_key = k"))
+        assert sorted((r["doc_id"], r["size"], r["dropped"]) for r in found.collect()) == want
+    assert (2, 11, [0]) in want and (3, 16, [0]) in want
+
+
 def test_licences_and_their_inheritance(spark):
     rows = [
         (1, "src/LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"), (2, "src/a/b/x.py", "print(1)\nx = 2"), (3, "src/a/y.py", "# SPDX-License-Identifier: Apache-2.0\nx = 1\ny = 2\nz = 3"),

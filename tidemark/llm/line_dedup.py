@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import drop_shuffles, free_name, from_planes, give_back, mix64, planes, shuffle_width, staged
+from tidemark.llm.shared import free_name, from_planes, give_back, mix64, planes, shuffle_width, staged
 from tidemark.llm.tokens import chunks_of_text
 from tidemark.llm.wordkeys import line_word_keys, word_keys
 
@@ -36,6 +36,8 @@ BITMAP = 4
 #: A set on one of so many lines, or more of them, counts as common.
 COMMON_LINES = 4096
 CHUNK_BYTES = 3_000_000
+#: Bits that mark the lines to verify: so many for each document, and the most of all, which more lines fill up but don't pass.
+MARKS_PER_DOC, MOST_MARKS = 8, 1 << 26
 
 POSTING = [("token", np.uint64), ("sig", np.uint64), ("size", np.uint32), ("pos", np.uint32), ("doc", np.int64), ("line", np.uint32), *((f"b{i}", np.uint64) for i in range(BITMAP))]
 NUMBERED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("sigs", pa.list_(pa.int64()))])
@@ -60,6 +62,11 @@ def least_overlap(total, threshold: float):
     return np.ceil(total * threshold / (1 + threshold) - 1e-9).astype(np.int64)
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    """Of a table once written, no shuffle files stay: those of the index rows are the largest there are."""
+    return staged(df, name, drop_shuffles=True)
+
+
 def _rank_of(counters: np.ndarray) -> np.ndarray:
     """How common each hash class is, on a logarithmic scale below 4096."""
     return np.minimum(4095, np.log2(counters + 1.0) * 127).astype(np.uint64)
@@ -244,39 +251,62 @@ def _count_words(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(sig, words)`` of the lines at the wanted addresses ``(doc, line, sig)``: sorted word hashes."""
-    per_doc = wanted.groupBy("doc").agg(F.collect_set(F.struct("line", "sig")).alias("wanted"))
-    rows = docs.select(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).min).cast("bigint")).alias("doc"), "text").join(per_doc, "doc").select("text", "wanted")
+def _mark(doc: np.ndarray, line: np.ndarray | int, marks: int) -> np.ndarray:
+    """The hash class of a line's address, below ``marks``, a power of two; line -1 stands for the whole document."""
+    return (mix64(doc.astype(np.int64).view(np.uint64), np.asarray(line, np.int64).view(np.uint64)) & np.uint64(marks - 1)).astype(np.int64)
+
+
+def _is_marked(bits: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    return (bits[mark >> 6] >> (mark & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _marks_of(wanted: DataFrame, marks: int) -> np.ndarray:
+    """``marks`` bits, one set for each address ``(doc, line)`` and one for each of their documents; of a bounded size."""
 
     def run(batches):
         for b in batches:
-            numbers, sigs = b.column(1).flatten().field("line").to_numpy(), b.column(1).flatten().field("sig").to_numpy()
-            n = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(n)
-            for first, to, texts in chunks_of_text(b.column(0), CHUNK_BYTES):
-                keys, line, of, _ = line_word_keys(texts)
-                mine = slice(int(ends[first] - n[first]), int(ends[to - 1]))
-                doc = np.repeat(np.arange(to - first), n[first:to])
-                at = np.searchsorted(of, doc) + numbers[mine]
-                fits = numbers[mine] < np.bincount(of, minlength=to - first)[doc]
-                wanted = np.unique(at[fits])
-                use = np.isin(line, wanted)
-                line, token, size = _word_sets(keys[use], np.searchsorted(wanted, line[use]), len(wanted), None)
-                parts, own = np.split(token, np.cumsum(size)[:-1]), _signatures(line, token, len(size)).view(np.int64)
-                place = np.searchsorted(wanted, at[fits])
-                right = own[place] == sigs[mine][fits]
-                place = np.unique(place[right])
-                yield pa.RecordBatch.from_arrays([pa.array(own[place]), pa.array([parts[i].tobytes() for i in place], pa.binary())], names=["sig", "words"])
+            doc = b.column(0).to_numpy()
+            mark = np.unique(np.concatenate([_mark(doc, -1, marks), _mark(doc, b.column(1).to_numpy(), marks)]))
+            bit = np.uint64(1) << (mark & 63).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(mark >> 6), pa.array(bit.view(np.int64))], names=["at", "bits"])
+
+    found = wanted.select("doc", "line").mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(marks // 64, dtype=np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, marks: int) -> DataFrame:
+    """``(sig, words)``, sorted word hashes, of the lines at the wanted addresses ``(doc, line)``, and of some others.
+
+    Texts stay where they are read: the addresses go to them, as marks, and only the sets of marked lines
+    go on. A line that shares a mark by chance comes along and meets no candidate.
+    """
+    marked = docs.sparkSession.sparkContext.broadcast(_marks_of(wanted, marks))
+
+    def run(batches):
+        bits = marked.value
+        for b in batches:
+            b = b.filter(pa.array(_is_marked(bits, _mark(_ids(b.column(0)), -1, marks))))
+            for first, to, texts in chunks_of_text(b.column(1), CHUNK_BYTES):
+                keys, line, of, number = line_word_keys(texts)
+                chosen = _is_marked(bits, _mark(_ids(b.column(0).slice(first, to - first))[of], number, marks))
+                use = chosen[line]
+                if use.any():
+                    there, line = np.unique(line[use], return_inverse=True)
+                    line, token, size = _word_sets(keys[use], line, len(there), None)
+                    own, place = np.unique(_signatures(line, token, len(size)).view(np.int64), return_index=True)
+                    parts = np.split(token, np.cumsum(size)[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([parts[i].tobytes() for i in place], pa.binary())], names=["sig", "words"])
         give_back()
 
-    return rows.mapInArrow(run, "sig bigint, words binary").dropDuplicates(["sig"])
+    return docs.select("doc_id", "text").mapInArrow(run, "sig bigint, words binary").dropDuplicates(["sig"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, threshold: float, marks: int) -> DataFrame:
     """The ``sig`` that have a true match among the candidate pairs."""
-    wanted = pairs.select("doc", "line", "sig").unionByName(pairs.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"), F.col("other").alias("sig"))).distinct()
-    sets = staged(_sets_of(docs, wanted), "line-sets")
+    wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line")))
+    sets = _staged(_sets_of(docs, wanted, marks), "line-sets")
     both = pairs.select("sig", "other").distinct().join(sets, "sig").withColumnRenamed("words", "a")
     both = both.join(sets.select(F.col("sig").alias("other"), F.col("words").alias("b")), "other")
 
@@ -293,7 +323,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 def _all_candidates(lists: DataFrame, rest: DataFrame, threshold: float) -> DataFrame:
     """Every earlier candidate of the lines in ``rest`` (token, sig), from the lists of these words, by a join on the word."""
-    rows = staged(lists.join(rest.select("token").distinct(), "token", "left_semi"), "line-lists")
+    rows = _staged(lists.join(rest.select("token").distinct(), "token", "left_semi"), "line-lists")
     mine = rows.join(rest.select("token", "sig").distinct(), ["token", "sig"], "left_semi")
     other = rows.select(*(F.col(k).alias(k if k == "token" else f"o_{k}") for k in rows.columns))
     both = mine.join(other, "token").where("struct(o_doc, o_line) < struct(doc, line) and sig <> o_sig")
@@ -319,7 +349,9 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     min_words = least_words(threshold) if min_words is None else min_words
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counters = spark.sparkContext.broadcast(_rank_of(_count_words(docs)).astype(np.uint16))
-    shards = max(shuffle_width(spark), docs.count() // DOCS_PER_OWNER)
+    n_docs = docs.count()
+    shards = max(shuffle_width(spark), n_docs // DOCS_PER_OWNER)
+    marks = min(MOST_MARKS, 1 << max(16, (MARKS_PER_DOC * n_docs).bit_length()))
 
     def post(batches):
         part, serial, rank = TaskContext.get().partitionId(), 0, counters.value.astype(np.uint64)
@@ -338,19 +370,18 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         give_back()
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    found = staged(rows.mapInArrow(post, MESSAGE_DDL).groupBy("shard").applyInArrow(_candidates(threshold, tries), FOUND_DDL), "line-pairs")
-    drop_shuffles(spark)  # the index rows: they are the largest there are, and stand in the written table
+    found = _staged(rows.mapInArrow(post, MESSAGE_DDL).groupBy("shard").applyInArrow(_candidates(threshold, tries), FOUND_DDL), "line-pairs")
     numbered = found.where("sigs is not null").groupBy("doc_id", "text_key").agg(F.first("sigs").alias("sigs"), F.count("*").alias("times"))
     pairs = found.where("other is not null")
-    matched = staged(_verified(docs, pairs.select("sig", "doc", "line", "other", "other_doc", "other_line").distinct(), threshold), "line-matches")
-    rest = staged(pairs.where("more").select("token", "sig").distinct().join(matched, "sig", "left_anti"), "line-rest")
+    matched = _staged(_verified(docs, pairs.select("sig", "doc", "line", "other", "other_doc", "other_line").distinct(), threshold, marks), "line-matches")
+    rest = _staged(pairs.where("more").select("token", "sig").distinct().join(matched, "sig", "left_anti"), "line-rest")
     if rest.take(1):
-        more = staged(_all_candidates(found.where("bits is not null").select("token", "sig", "size", "doc", "line", "bits"), rest, threshold), "line-rest-pairs")
-        matched = matched.unionByName(_verified(docs, more, threshold)).distinct()
+        more = _staged(_all_candidates(found.where("bits is not null").select("token", "sig", "size", "doc", "line", "bits"), rest, threshold), "line-rest-pairs")
+        matched = matched.unionByName(_verified(docs, more, threshold, marks)).distinct()
     lines = numbered.select("doc_id", "text_key", F.posexplode("sigs").alias("line", "sig")).where("sig <> 0")
     place = F.struct("doc_id", "text_key", "line")
     first = lines.groupBy("sig").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(matched.withColumn("matched", F.lit(True)), "sig", "left").where("n > 1 or matched")
-    first = staged(first, "line-firsts")
+    first = _staged(first, "line-firsts")
     # at most COMMON_LINES sets can be this common: they are broadcast, and no task gets all the places of one
     total = numbered.agg(F.sum(F.size("sigs")).alias("n")).first()["n"] or 0
     often = F.col("n") * COMMON_LINES >= total
