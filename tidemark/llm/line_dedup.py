@@ -78,7 +78,7 @@ def _word_sets(keys: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarra
     One integer holds a line's number, its word's rank and half of the word's key, so that one sort
     does; where two different words of a line share all that, the rows are sorted by the whole key.
     """
-    common = np.zeros(len(keys), np.uint64) if rank is None else rank[keys & np.uint64(COUNTERS - 1)]
+    common = np.zeros(len(keys), np.uint64) if rank is None else rank[(keys & np.uint64(COUNTERS - 1)).view(np.int64)].astype(np.uint64)
     place = (line.astype(np.uint64) << np.uint64(44)) | (common << np.uint64(32)) | (keys >> np.uint64(32))
     order = np.argsort(place)
     place, sorted_keys = place[order], keys[order]
@@ -156,6 +156,8 @@ def _packing(column: str):
 
 def _shards_out(rows: dict[str, np.ndarray], shards: int) -> pa.RecordBatch:
     shard = (rows["token"] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    if shards <= 1 << 16:
+        shard = shard.astype(np.uint16)  # short numbers are sorted by their digits
     order = np.argsort(shard, kind="stable")
     at = np.searchsorted(shard[order], np.arange(shards + 1))
     there = np.flatnonzero(np.diff(at))
@@ -175,12 +177,14 @@ def _candidates(threshold: float, tries: int):
             own = pa.Table.from_batches([pa.RecordBatch.from_struct_array(c.flatten()) for c in table["docs"].chunks])
             return pa.Table.from_arrays([*(pa.nulls(len(own), f.type) for f in FOUND if f.name not in own.column_names), *own.columns], schema=FOUND)
         r = {k: np.concatenate([_packing(k)[1](x, t) for x in table[k].to_pylist()]) for k, t in POSTING}
-        order = np.lexsort((r["line"], r["doc"], r["sig"], r["token"]))
-        r = {k: v[order] for k, v in r.items()}
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (r["token"][1:] != r["token"][:-1]) | (r["sig"][1:] != r["sig"][:-1])
-        r = {k: v[new] for k, v in r.items()}
         order = np.lexsort((r["sig"], r["line"], r["doc"], r["token"]))
+        # of a set's rows in a list the first stays; sorted by set, they follow each other list by list
+        token, sig = r["token"][order], r["sig"][order]
+        by_set = np.argsort(sig, kind="stable")
+        token, sig = token[by_set], sig[by_set]
+        new = np.ones(len(order), dtype=bool)
+        new[by_set[1:]] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
+        order = order[new]
         r = {k: v[order] for k, v in r.items()}
         token, size, pos = r["token"], r["size"].astype(np.int64), r["pos"].astype(np.int64)
         found, few = np.zeros(len(token), dtype=np.int64), min(FEW, tries)
@@ -221,7 +225,7 @@ def _candidates(threshold: float, tries: int):
         nothing = pa.nulls(len(at), pa.int64())
         listed = [signed("sig", at), signed("doc", at), signed("line", at), nothing, nothing, nothing, signed("token", at), signed("size", at), pa.nulls(len(at), pa.bool_()), bits]
         lists = pa.Table.from_arrays([*listed, *(pa.nulls(len(at), f.type) for f in NUMBERED)], schema=FOUND)
-        del r, order, new, size, pos, best, bound, out
+        del r, order, new, sig, by_set, size, pos, best, bound, out
         give_back()
         return pa.concat_tables([pairs, lists])
 
@@ -354,7 +358,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = min(MOST_MARKS, 1 << max(16, (MARKS_PER_DOC * n_docs).bit_length()))
 
     def post(batches):
-        part, serial, rank = TaskContext.get().partitionId(), 0, counters.value.astype(np.uint64)
+        part, serial, rank = TaskContext.get().partitionId(), 0, counters.value
         for b in batches:
             for first, to, texts in chunks_of_text(b.column(1), CHUNK_BYTES):
                 indexed, of, number = _indexed(texts, rank)

@@ -16,6 +16,9 @@ SPACE_BYTES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _AT = mix64(np.arange(_PLACES * 256, dtype=np.uint64), np.uint64(0x77_6F_72_64))
+#: The same for words: letters are lower-cased, and the spaces after a word add nothing.
+_IN_WORD = np.where(SPACE_BYTES, np.uint64(0), _AT.reshape(_PLACES, 256)[:, _LOWER]).ravel()
+_BLOCK = 1 << 16
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -28,24 +31,26 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The key of each word, in order, and the place of its first byte; words end at the ends of texts."""
-    solid = ~SPACE_BYTES[data]
+    solid = (data > 32) | (data < 9) | ((data > 13) & (data < 32))
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     cut = offsets[1:-1]
     cut = cut[cut < len(data)]
     begins[cut] = solid[cut]
     starts = np.flatnonzero(begins)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts
-    at = np.flatnonzero(solid)
-    first = begins[at]
-    place = at - starts[np.cumsum(first) - 1]
-    byte = _LOWER[data[at]]
-    values = _AT[(np.minimum(place, _PLACES - 1) << 8) | byte]
-    far = np.flatnonzero(place >= _PLACES)
-    if len(far):
-        values[far] = mix64(place[far].astype(np.uint64), byte[far].astype(np.uint64))
-    return np.add.reduceat(values, np.flatnonzero(first)), starts
+    keys = np.zeros(len(starts), np.uint64)
+    # by blocks of words: the numbers of many bytes at once would be fresh memory each time
+    blocks = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), _BLOCK)), len(starts)))
+    for at, to in zip(blocks[:-1], blocks[1:]):
+        own = starts[at:to]
+        end = starts[to] if to < len(starts) else len(data)
+        place = np.arange(end - own[0]) - np.repeat(own - own[0], np.diff(np.append(own, end)))
+        values = _IN_WORD.take((np.minimum(place, _PLACES - 1) << 8) | data[own[0] : end])
+        far = np.flatnonzero((place >= _PLACES) & solid[own[0] : end])
+        if len(far):
+            values[far] = mix64(place[far].astype(np.uint64), _LOWER[data[own[0] : end][far]].astype(np.uint64))
+        keys[at:to] = np.add.reduceat(values, own - own[0])
+    return keys, starts
 
 
 def segment_keys(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
