@@ -8,9 +8,10 @@ import time
 from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.llm import licences, line_dedup
+from tidemark.llm import licences, line_dedup, wordkeys
 
 
 def brute_lines(rows, threshold=0.8):
@@ -110,6 +111,15 @@ def test_lines_that_share_a_mark_by_chance_change_nothing(docs_of, monkeypatch):
     assert (2, 11, [0]) in want and (3, 16, [0]) in want
 
 
+def test_word_keys_do_not_depend_on_the_blocks(monkeypatch):
+    texts = ["Alpha beta", "", "x" * 200 + " y\n\nz ", "  \t", "äÖ\u0085 B", "b" + "x" * 70, "c", " tail " * 40]
+    column = pa.array(texts, pa.large_string())
+    plain = [wordkeys.word_keys(pa.array([w], pa.large_string()))[0][0] for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))]
+    for size in (1, 7, wordkeys._BLOCK):
+        monkeypatch.setattr(wordkeys, "_BLOCK", size)
+        assert wordkeys.word_keys(column)[0].tolist() == plain
+
+
 def test_licences_and_their_inheritance(spark):
     rows = [
         (1, "src/LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"), (2, "src/a/b/x.py", "print(1)\nx = 2"), (3, "src/a/y.py", "# SPDX-License-Identifier: Apache-2.0\nx = 1\ny = 2\nz = 3"),
