@@ -158,3 +158,26 @@ def test_a_refused_body_is_made_once(spark, sf_dir):
 
     made, refused = (df._jdf.queryExecution().optimizedPlan().toString().count("repeat(") for df in (q.messages(spark, sf_dir), q.message_rejects(spark, sf_dir)))
     assert refused == made
+
+
+def test_lists_are_counted_before_they_are_parsed(spark):
+    """A list's bound is met from both sides, keys in strings and after quotes are not its objects, and spaced ones are left to the parser."""
+    screen = next(v for m, v in GOOD if m == "ScreenState")
+    element = screen["elements"][0]
+    action = next(v for m, v in GOOD if m == "Action" and v["action"]["type"] == "annotate")
+    shape = action["action"]["shapes"][0]
+    rows = [("ScreenState", screen | {"elements": [element] * n, "text_context": ['"bbox":' * 40] * 99}, n <= 300) for n in (299, 300, 301, 900)]
+    rows += [("Action", action | {"action": action["action"] | {"shapes": [shape] * n}}, n <= 30) for n in (29, 30, 31)]
+    rows += [("ScreenState", screen | {"elements": [element | {'"bbox': 1}]}, False), ("EscalateRequest", next(v for m, v in GOOD if m == "EscalateRequest") | {"crops": [CROP] * 3}, False)]
+    texts = [(i, m, json.dumps(v, separators=s), ok) for i, (m, v, ok, s) in enumerate((*r, s) for r in rows for s in ((",", ":"), (" , ", " : ")))]
+    df = spark.createDataFrame(texts, "n int, message string, body string, ok boolean")
+    assert df.where(C.is_any(F.col("message"), F.col("body")) != F.col("ok")).count() == 0
+    over = spark.createDataFrame([(t[1], t[2]) for t in texts if t[0] == 6], "message string, body string")
+    assert len(over.first()["body"]) < C.HEAD and over.where(C._too_many("ScreenState", F.col("body"))).count() == 1
+
+
+def test_versions_are_told_without_a_parser_where_text_shows_them(spark):
+    bodies = ['{"protocol":1.0}', '{"protocol": null, "protocol":"9"}', '{"a":{"protocol":"1.0"},"protocol":"9"}', '{"a":1,"pro\\u0074ocol":"9"}', '{"props":{"protocol":"9"}}', '[{"protocol":"9"}]', '{"protocol" : "9"}', '{"protocol":"1.0"', '{"protocol":"9"', None]
+    df = spark.createDataFrame(list(enumerate(bodies)), "n int, body string").withColumn("message", F.lit("SessionEndRequest"))
+    assert [r["reject_code"] == "unsupported_version" for r in C.refused_messages(df).orderBy("n").collect()] == [False, False, True, True, False, False, True, False, False, False]
+    assert C.refused_messages(df).count() == len(bodies)

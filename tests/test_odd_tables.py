@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 
@@ -53,3 +54,39 @@ def test_a_streams_rows_are_written_by_many_tasks(spark, tmp_path, monkeypatch,
 @pytest.mark.parametrize("name", ["history_decode", "command_lines"])
 def test_one_file_gives_more_than_one_task(spark, sf_dir, name):
     assert __spark_entry__.queries()[name](spark, sf_dir).rdd.getNumPartitions() > 1
+
+
+@pytest.fixture
+def events_near_bounds(spark):
+    """Every fault, list and command beside users whose number is a list's bound, or near it."""
+    users = spark.createDataFrame([(u,) for u in (0, 29, 30, 31, 299, 300, 301)], "user_id bigint")
+    kinds = spark.range(11 * 25 * 66).where("id % 11 = 4 and floor(id / 11) % 3 = 2 or id % 11 = 5 and floor(id / 11) % 22 = 16 or id < 50").withColumnRenamed("id", "event_id")
+    return kinds.crossJoin(users).selectExpr("event_id + 18150 * user_id as event_id", "user_id", "'view' as event_type", "12.5D as value", """'{"k": 1}' as props""")
+
+
+def test_lists_refused_by_number_are_refused_as_text(spark, tmp_path, events_near_bounds):
+    from tidemark.operators import contracts as C
+    from tidemark.plans import message_queries as q
+
+    events_near_bounds.write.parquet(f"{tmp_path}/events.parquet")
+    whole = q.messages(spark, str(tmp_path))
+    assert whole.where("body is null").count() == 0 < q.messages(spark, str(tmp_path), q.OVERFULL).where("body is null").count()
+    by_text = whole.select("event_id", "message", C.is_any(F.col("message"), F.col("body")).alias("valid"))
+    by_number = q.message_validity(spark, str(tmp_path))
+    assert by_number.count() == whole.count() and by_number.exceptAll(by_text).count() == 0
+    codes = C.refused_messages(whole).select("event_id", "message", "reject_code")
+    told = q.message_rejects(spark, str(tmp_path)).select("event_id", "message", "code")
+    assert told.count() == codes.count() and told.exceptAll(codes).count() == 0 < codes.where("reject_code = 'unsupported_version'").count()
+
+
+@pytest.mark.parametrize("name", ["message_validity", "message_rejects"])
+def test_lists_beyond_any_text_are_refused(spark, tmp_path, name):
+    """The text of 40 million elements would be longer than a row can be."""
+    spark.range(2000).where("id % 11 = 4 and floor(id / 11) % 3 = 2 and (id * 7 + 40000000) % 25 < 12").selectExpr("id as event_id", "40000000L as user_id", "'view' as event_type", "12.5D as value", "'1' as props").write.parquet(f"{tmp_path}/events.parquet")
+    told = __spark_entry__.queries()[name](spark, str(tmp_path)).collect()
+    assert told and {r["valid"] if name == "message_validity" else r["code"] for r in told} == {False if name == "message_validity" else "invalid_request"}
+
+
+@pytest.mark.parametrize("name", ["message_validity", "message_rejects", "read_actions"])
+def test_messages_of_one_file_are_made_by_many_tasks(spark, sf_dir, name):
+    assert __spark_entry__.queries()[name](spark, sf_dir).rdd.getNumPartitions() > 1
