@@ -32,6 +32,13 @@ def test_names_count_references_as_the_sql_does(spark, differing):
     assert differing("accessible_names", pages=pages) == 0
 
 
+def test_long_deep_and_wide_names_are_told(spark, differing):
+    html = ["<h1>" + "x" * 9_000 + "</h1>", '<a href="/">' + "<span>" * 1_500 + "deep" + "</span>" * 1_500 + " end</a>", "<h2>" + "<i>w</i>" * 15_000 + "</h2>", "<div>" * 200 + "<h3>below</h3>"]
+    assert differing("accessible_names", pages=spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id bigint, url string, html string")) == 0
+    titled = [(i, "u", f"<title>{'y' * 9_000}</title><h1>one</h1><p>word</p>") for i in range(8)]
+    assert differing("composed_names", pages=spark.createDataFrame(titled, "page_id bigint, url string, html string")) == 0
+
+
 def test_placeholders_have_no_bound(spark, differing):
     docs = spark.range(900).selectExpr("id as doc_id", "case when id % 7 = 0 then null else concat('a', id % 600, '@b', id, '.com x@y.org') end as text", "case when id < 800 then 's' end as source")
     assert differing("intern_placeholders", documents=docs) == 0

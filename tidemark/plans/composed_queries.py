@@ -35,7 +35,7 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The names of the components' buttons and links, over slots and shadow roots."""
     nodes = scan.nodes(_components(spark, sf_dir).select("page_id", F.col("snippet").alias("html")))
-    return names.in_order(nodes).where("role in ('button', 'link')").select("page_id", "role", "name", "name_source")
+    return names.in_order(nodes, **names.UNBOUNDED).where("role in ('button', 'link')").select("page_id", "role", "name", "name_source")
 
 
 def composed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
